@@ -46,11 +46,20 @@ def sorted_positions(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def paged(df: DataFrame, keys: list[str], order: list[Column], page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Rows sorted by (keys, order) with ``_pos`` and ``_page``."""
-    placed = sorted_positions(df, *[F.col(k) for k in keys], *order)
+    """Rows sorted by (keys, order) with ``_pos`` and ``_page``.
+
+    A hash of the row comes last in the sort, so that equal (key, order) pairs spread over partitions too.
+    """
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    placed = sorted_positions(df, *[F.col(k) for k in keys], *order, spread)
     return placed.withColumn(PAGE, F.floor(F.col(POS) / page_rows))
 
 
+def clustered(pages: DataFrame) -> DataFrame:
+    """Whole pages per task. All windows and carry joins after this use the same partitioning."""
+    return pages.repartition(F.col(PAGE))
+
+
 def page_window(keys: list[str]) -> WindowSpec:
     """Window over one page of one key, in sort order."""
     return Window.partitionBy(PAGE, *keys).orderBy(POS)
@@ -76,10 +85,10 @@ def look_around(
     before = F.when(place < ahead, F.struct((F.col(PAGE) - 1).alias("page"), F.lit(False).alias("home")))
     spread = pages.withColumn("_copy", F.explode(F.array_compact(F.array(here, after, before))))
     spread = spread.withColumn(PAGE, F.col("_copy.page")).withColumn("_home", F.col("_copy.home")).drop("_copy")
-    spec = page_window(keys)
+    spread, spec = clustered(spread), page_window(keys)
     for name, build in columns.items():
         spread = spread.withColumn(name, build(spec))
-    return spread.filter("_home").drop("_home").withColumn(PAGE, F.floor(F.col(POS) / page_rows))
+    return spread.filter("_home").drop("_home")
 
 
 def running(
@@ -90,33 +99,34 @@ def running(
     per_page: Column,
     carry: Callable[[WindowSpec], Column],
     combine: Callable[[Column, Column], Column],
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """Add a running value over all earlier rows of the key.
+    """Add a running value over all earlier rows of the key; call ``clustered`` or ``look_around`` before.
 
     ``in_page`` is the running value inside the page, ``per_page`` the aggregate one page hands on,
-    ``carry`` folds those of the earlier pages, and ``combine`` joins carry and in-page value. The carry
-    table holds only (page, key) pairs that continue from an earlier page: at most one per page.
+    ``carry`` folds those of the earlier pages, and ``combine`` joins carry and in-page value. Only keys that
+    touch an edge of their page can continue, so at most two rows per page are folded and one is joined back.
     """
-    summary = pages.groupBy(PAGE, *keys).agg(per_page.alias("_agg"))
-    earlier = Window.partitionBy(*keys).orderBy(PAGE).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.row_number().over(Window.partitionBy(*keys).orderBy(PAGE))
+    first, last = F.min(POS), F.max(POS)
+    summary = pages.groupBy(PAGE, *keys).agg(per_page.alias("_agg"), first.alias("_first"), last.alias("_last"))
+    edges = summary.filter((F.col("_first") % page_rows == 0) | (F.col("_last") % page_rows == page_rows - 1))
+    by_key = Window.partitionBy(*keys).orderBy(PAGE)
     carried = (
-        summary.withColumn("_carry", carry(earlier))
-        .withColumn("_nth", seen)
-        .filter("_nth > 1")
+        edges.withColumn("_carry", carry(by_key.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_nth", F.row_number().over(by_key))
+        .filter((F.col("_nth") > 1) & (F.col("_first") % page_rows == 0))
         .select(F.col(PAGE).alias("_cpage"), F.col("_carry"), *[F.col(k).alias(f"_c_{k}") for k in keys])
     )
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys],
-        F.col(PAGE) == F.col("_cpage"),
-    )
     local = pages.withColumn("_local", in_page(page_window(keys)))
-    joined = local.join(carried, match, "left").withColumn(name, combine(F.col("_local"), F.col("_carry")))
+    joined = local.join(carried, F.col(PAGE) == F.col("_cpage"), "left")
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], F.col("_cpage").isNotNull())
+    joined = joined.withColumn(name, combine(F.col("_local"), F.when(same_key, F.col("_carry"))))
     return joined.drop("_local", "_carry", "_cpage", *[f"_c_{k}" for k in keys])
 
 
-def running_count(pages: DataFrame, keys: list[str], name: str, flag: Column | None = None) -> DataFrame:
+def running_count(
+    pages: DataFrame, keys: list[str], name: str, flag: Column | None = None, page_rows: int = PAGE_ROWS
+) -> DataFrame:
     """Number of rows (or of rows with ``flag``) of the key up to and including this one."""
     one = F.lit(1).cast("bigint") if flag is None else F.when(flag, 1).otherwise(0).cast("bigint")
     return running(
@@ -127,10 +137,13 @@ def running_count(pages: DataFrame, keys: list[str], name: str, flag: Column | N
         F.sum(one),
         lambda w: F.sum("_agg").over(w),
         lambda local, carry: local + F.coalesce(carry, F.lit(0)),
+        page_rows,
     )
 
 
-def running_last(pages: DataFrame, keys: list[str], name: str, value: Column) -> DataFrame:
+def running_last(
+    pages: DataFrame, keys: list[str], name: str, value: Column, page_rows: int = PAGE_ROWS
+) -> DataFrame:
     """Latest non-NULL ``value`` of the key up to and including this row."""
     return running(
         pages,
@@ -140,7 +153,33 @@ def running_last(pages: DataFrame, keys: list[str], name: str, value: Column) ->
         F.max_by(value, F.when(value.isNotNull(), F.col(POS))),
         lambda w: F.last("_agg", ignorenulls=True).over(w),
         lambda local, carry: F.coalesce(local, carry),
+        page_rows,
+    )
+
+
+def values_at(
+    df: DataFrame, col: str, pick: Callable[[Column, Column], Column], page_rows: int = PAGE_ROWS
+) -> DataFrame:
+    """(pick, value): values at chosen places of the sorted column.
+
+    A value fills the 0-based places from ``start`` up to, not including, ``end``; ``pick(start, end)`` returns
+    an array with one entry per wanted place among them.
+
+    Equal values are counted before the sort, so a value that fills a third of the column is one row of it.
+    """
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("_n"))
+    pages = clustered(paged(counts, [], [F.col("value")], page_rows))
+    totals = running(
+        pages,
+        [],
+        "_end",
+        lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        F.sum("_n"),
+        lambda w: F.sum("_agg").over(w),
+        lambda local, carry: local + F.coalesce(carry, F.lit(0)),
+        page_rows,
     )
+    return totals.select(F.explode(pick(F.col("_end") - F.col("_n"), F.col("_end"))).alias("pick"), "value")
 
 
 def unpaged(df: DataFrame) -> DataFrame:

@@ -19,9 +19,42 @@ from millrace.operators.windows import first_per_key
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full_outer", "full": "full_outer", "full_outer": "full_outer"}
 
 
-def join_tables(df: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on shared column names; each key appears once in the result."""
-    return df.join(right, as_list(on), HOW[how.lower().removeprefix("join_")])
+def join_tables(
+    df: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", salt: int | None = None
+) -> DataFrame:
+    """Equi-join on shared column names; each key appears once in the result.
+
+    Adaptive execution splits skewed partitions by itself. ``salt=n`` spreads hot keys of the left side over
+    ``n`` tasks in the plan already, for inner and left joins.
+    """
+    kind = HOW[how.lower().removeprefix("join_")]
+    return df.join(right, as_list(on), kind) if salt is None else salted_join(df, right, as_list(on), kind, salt)
+
+
+HOT_ROWS = 5_000_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with at least ``min_rows`` rows: never more than rows / min_rows of them."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows).select(*keys)
+
+
+def salted_join(
+    df: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salt: int, min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join in which rows of hot left keys are spread over ``salt`` groups and their right rows repeated there.
+
+    Only hot keys are repeated; everything else is joined as usual. The list of hot keys is broadcast, which
+    is safe because of the bound in ``hot_keys``.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins can be salted")
+    hot = F.broadcast(hot_keys(df, keys, min_rows).withColumn("_hot", F.lit(True)))
+    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt))
+    left = df.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), place.cast("int")).otherwise(F.lit(0)))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
+    other = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.drop("_hot").join(other, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_ci(df: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:

@@ -96,12 +96,14 @@ def add_ranks(
         pages = paging.look_around(
             pages, keys, {"_prev": lambda w: F.lag(peer).over(w)}, back=1, page_rows=page_rows
         ).withColumn("_new", F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col(peer)))
+    else:
+        pages = paging.clustered(pages)
     if row_number or rank:
-        pages = paging.running_count(pages, keys, "_rn")
+        pages = paging.running_count(pages, keys, "_rn", page_rows=page_rows)
     if rank:
-        pages = paging.running_last(pages, keys, rank, F.when(F.col("_new"), F.col("_rn")))
+        pages = paging.running_last(pages, keys, rank, F.when(F.col("_new"), F.col("_rn")), page_rows)
     if dense_rank:
-        pages = paging.running_count(pages, keys, dense_rank, F.col("_new"))
+        pages = paging.running_count(pages, keys, dense_rank, F.col("_new"), page_rows)
     if row_number:
         pages = pages.withColumn(row_number, F.col("_rn"))
     return paging.unpaged(pages).drop("_rn", "_prev", "_new", peer)
@@ -157,9 +159,9 @@ def forward_fill(
 ) -> DataFrame:
     """NULLs take the latest earlier value of the same key."""
     names = as_list(columns)
-    pages = paging.paged(df, as_list(keys), sort_columns(order_by), page_rows)
+    pages = paging.clustered(paging.paged(df, as_list(keys), sort_columns(order_by), page_rows))
     for c in names:
-        pages = paging.running_last(pages, as_list(keys), f"_filled_{c}", F.col(c))
+        pages = paging.running_last(pages, as_list(keys), f"_filled_{c}", F.col(c), page_rows)
     filled = pages.withColumns({c: F.col(f"_filled_{c}") for c in names})
     return paging.unpaged(filled).select(*df.columns)
 

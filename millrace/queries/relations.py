@@ -40,6 +40,11 @@ for _kind, _sql in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer":
     _join(_kind, _sql)
 
 
+@query("join_salted", f"SELECT custkey, o_orderkey, c_mktsegment FROM ({PRICED}) LEFT JOIN ({SEGMENT}) USING (custkey)")
+def join_salted(t: Tables):
+    return joins.salted_join(*_sides(t), ["custkey"], "left", salt=8, min_rows=10)
+
+
 @query(
     "join_case_insensitive",
     """SELECT c_custkey, nation FROM (SELECT c_custkey, lower('Nation_' || c_nationkey) AS nation FROM customer) c

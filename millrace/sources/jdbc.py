@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.functions.order import POS, sorted_positions
-from millrace.sources.tables import one_row
+from millrace.functions.order import values_at
+from millrace.functions.stats import one_row
 
 MIN_KEYS_PER_SPLIT = 1000
 MIN_KEYS_TO_SPLIT = 1000
@@ -58,18 +58,20 @@ def read_jdbc(spark: SparkSession, url: str, table: str, part_col: str | None =
 def partition_bounds(df: DataFrame, col: str, n: int) -> DataFrame:
     """Split points with equal row counts: the value at every ``floor(total / n)``-th row, then the last.
 
-    Empty when the table has fewer than ``n * 1000`` rows. Rows: ``split``, ``bound``. The key column alone
-    is range-sorted; each split point is picked by its position.
+    Empty when the table has fewer than ``n * 1000`` rows. Rows: ``split``, ``bound``.
     """
-    keys = df.select(F.col(col).alias("bound"))
-    total = one_row(keys, n=F.count("*"))["n"]
+    total = one_row(df, n=F.count("*"))["n"]
     step = F.floor(total / n)
-    inner = (F.col(POS) % step == 0) & (F.col(POS) < step * n)
-    split = F.when(inner, F.col(POS) / step).otherwise(F.lit(n)).cast("int")
-    placed = sorted_positions(keys, F.col("bound"))
-    last = F.col(POS) == total - 1
-    hits = placed.filter((total >= n * MIN_KEYS_PER_SPLIT) & (inner | last))
-    return hits.select(split.alias("split"), "bound")
+    none = F.array().cast("array<bigint>")
+
+    def splits(start: Column, end: Column) -> Column:
+        first, last = F.ceil(start / step), F.least(F.floor((end - 1) / step), F.lit(n - 1))
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+        final = F.when(end == total, F.array(F.lit(n).cast("bigint"))).otherwise(none)
+        return F.when(total >= n * MIN_KEYS_PER_SPLIT, F.concat(starts, final)).otherwise(none)
+
+    hits = values_at(df, col, splits)
+    return hits.select(F.col("pick").cast("int").alias("split"), F.col("value").alias("bound"))
 
 
 def range_predicates(col: str, bounds: list[object]) -> list[str]:
