@@ -117,13 +117,14 @@ def order_changes(t: Tables):
 
 @query(
     "cdc_merge",
-    f"""WITH t AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_custkey FROM orders), n AS (
-      SELECT o_orderkey AS k, arg_max(o_totalprice, lsn) AS price, arg_max(o_orderstatus, lsn) AS status, arg_max(o_totalprice, lsn) FILTER (op IN ('u', 'r')) AS u_price,
-      arg_max(o_orderstatus, lsn) FILTER (op IN ('u', 'r')) AS u_status, max(lsn) FILTER (op IN ('c', 'r')) AS ins, max(lsn) FILTER (op = 'd') AS del FROM ({CHANGES}) GROUP BY 1),
-    j AS (SELECT *, o_orderkey IS NOT NULL AS old, del IS NOT NULL AS deleted, ins IS NOT NULL AND (del IS NULL OR ins > del) AS created FROM t FULL JOIN n ON o_orderkey = k)
-    SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NULL OR (old AND NOT deleted AND u_price IS NULL) THEN o_totalprice WHEN old AND NOT deleted THEN u_price ELSE price END AS o_totalprice,
-    CASE WHEN k IS NULL OR (old AND NOT deleted AND u_price IS NULL) THEN o_orderstatus WHEN old AND NOT deleted THEN u_status ELSE status END AS o_orderstatus, o_custkey
-    FROM j WHERE CASE WHEN k IS NULL THEN true ELSE (old AND NOT deleted) OR created END""",
+    f"""WITH t AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_custkey FROM orders), c AS ({CHANGES}),
+    d AS (SELECT o_orderkey, max(lsn) AS del FROM c WHERE op = 'd' GROUP BY 1),
+    l AS (SELECT c.*, del FROM c LEFT JOIN d USING (o_orderkey) WHERE del IS NULL OR lsn >= del),
+    n AS (SELECT o_orderkey AS k, bool_or(del IS NOT NULL) AS deleted, min(lsn) FILTER (op IN ('c', 'r')) AS ins, max(lsn) FILTER (op IN ('u', 'r')) AS upd FROM l GROUP BY 1),
+    j AS (SELECT *, o_orderkey IS NOT NULL AND NOT coalesce(deleted, false) AS in_place FROM t FULL JOIN n ON o_orderkey = k),
+    w AS (SELECT *, CASE WHEN in_place THEN upd WHEN ins IS NOT NULL THEN greatest(ins, coalesce(upd, ins)) END AS win FROM j WHERE in_place OR ins IS NOT NULL)
+    SELECT coalesce(w.o_orderkey, k) AS o_orderkey, CASE WHEN win IS NULL THEN w.o_totalprice ELSE c.o_totalprice END AS o_totalprice,
+    CASE WHEN win IS NULL THEN w.o_orderstatus ELSE c.o_orderstatus END AS o_orderstatus, o_custkey FROM w LEFT JOIN c ON c.lsn = win""",
 )
 def cdc_merge(t: Tables):
     target = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")

@@ -82,4 +82,4 @@ def parse_topic(df: DataFrame, col: str = "topic") -> DataFrame:
 
 def table_slug(name: Column) -> Column:
     """A file key as a table name: lower case, runs of other characters become one underscore."""
-    return F.trim(F.lit("_"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))

@@ -125,25 +125,53 @@ def explode_envelope(df: DataFrame, value: str = "value", now: Column | None = N
 OP = "_cdc_operation"
 
 
-def collapse(changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = OP) -> DataFrame:
-    """One row per key: the newest image, the newest update image, and the last insert and delete.
+def coded(changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = OP) -> DataFrame:
+    """Changes as (keys, code, order struct, image struct of the other columns); unknown operations dropped."""
+    data = [c for c in changes.columns if c not in keys and c != op]
+    return changes.select(
+        *keys,
+        normalize_op(F.col(op)).alias("_code"),
+        F.struct(*[F.col(c) for c in order]).alias("_at"),
+        F.struct(*[F.col(c) for c in data]).alias("_image"),
+    ).filter("_code IS NOT NULL")
+
+
+def newer_than(changes: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Coded changes that are newer than the target row of their key, or have none."""
+    version = target.select(*keys, F.struct(*[F.col(c) for c in order]).alias("_version"))
+    joined = changes.join(version, list(keys), "left")
+    return joined.filter(F.col("_version").isNull() | (F.col("_at") > F.col("_version"))).drop("_version")
+
+
+def net_upsert(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last change of every key: a plain aggregate, so very busy keys shrink before the shuffle."""
+    return changes.groupBy(*keys).agg(
+        F.max_by("_image", "_at").alias("_new"), (F.max_by("_code", "_at") == "d").alias("_deleted")
+    )
+
 
-    A plain aggregate, so a key with very many changes is reduced before the shuffle. The images are structs
-    of the columns other than the keys; ``_at`` fields hold the order of the change.
+def net_snapshot(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What the changes of a key amount to when c needs a missing row and u an existing one.
+
+    Only changes after the last delete matter. If the row was missing then, the first c or r creates it and the
+    last u or r after that gives its value; if it was there, the last u or r does.
     """
-    code = normalize_op(F.col(op))
-    at = F.struct(*[F.col(c) for c in order])
-    data = [c for c in changes.columns if c not in keys and c != op]
-    image = F.struct(*[F.col(c) for c in data])
-    coded = changes.withColumn("_code", code).filter("_code IS NOT NULL").withColumn("_at", at).withColumn("_image", image)
-    return coded.groupBy(*keys).agg(
-        F.max_by("_image", "_at").alias("_last"),
-        F.max_by("_code", "_at").alias("_last_code"),
-        F.max("_at").alias("_last_at"),
-        F.max_by("_image", F.when(F.col("_code").isin("u", "r"), F.col("_at"))).alias("_update"),
-        F.max(F.when(F.col("_code").isin("c", "r"), F.col("_at"))).alias("_insert_at"),
-        F.max(F.when(F.col("_code") == "d", F.col("_at"))).alias("_delete_at"),
+    deletes = changes.filter("_code = 'd'").groupBy(*keys).agg(F.max("_at").alias("_deleted_at"))
+    live = changes.join(deletes, list(keys), "left").filter(
+        F.col("_deleted_at").isNull() | (F.col("_at") >= F.col("_deleted_at"))
     )
+    inserted = F.when(F.col("_code").isin("c", "r"), F.col("_at"))
+    updated = F.when(F.col("_code").isin("u", "r"), F.col("_at"))
+    net = live.groupBy(*keys).agg(
+        F.min_by("_image", inserted).alias("_created"),
+        F.min(inserted).alias("_created_at"),
+        F.max_by("_image", updated).alias("_update"),
+        F.max(updated).alias("_update_at"),
+        F.bool_or(F.col("_deleted_at").isNotNull()).alias("_deleted"),
+    )
+    later = F.coalesce(F.col("_update_at") > F.col("_created_at"), F.lit(False))
+    fresh = F.when(F.col("_created_at").isNotNull(), F.when(later, F.col("_update")).otherwise(F.col("_created")))
+    return net.select(*keys, "_deleted", F.col("_update"), fresh.alias("_fresh"))
 
 
 def apply_changes(
@@ -160,39 +188,39 @@ def apply_changes(
       row and a u for a missing one have no effect.
     * ``upsert``: d deletes, everything else changes or creates the row.
 
-    Several changes of one key act as if applied in order. Changes that are not newer than the target row are
-    ignored when the target has the order columns. Both sides hold one row per key at the join.
+    The result equals applying the changes one by one in order. When the target has the order columns, changes
+    that are not newer than their target row are ignored. Both sides of the join hold one row per key.
     """
-    if policy not in ("snapshot", "upsert"):
-        raise ValueError("policy must be 'snapshot' or 'upsert'")
     keys = list(keys)
     data = [c for c in target.columns if c not in keys]
-    net = collapse(changes, keys, order, op)
+    todo = coded(changes, keys, order, op)
+    if set(order) <= set(data):
+        todo = newer_than(todo, target, keys, order)
     old = target.select(*keys, F.struct(*data).alias("_old"))
-    joined = old.join(net, keys, "full_outer")
     exists = F.col("_old").isNotNull()
-    touched = F.col("_last").isNotNull()
-    if set(order) <= set(data):
-        version = F.struct(*[F.col("_old").getField(c).alias(c) for c in order])
-        touched = touched & F.coalesce(F.col("_last_at") > version, F.lit(True))
-    gone = F.col("_last_code") == "d"
     if policy == "upsert":
-        kept = F.when(touched, ~gone).otherwise(exists)
-        pick_new, new = touched & ~gone, F.col("_last")
+        net = net_upsert(todo, keys)
+        touched = F.col("_deleted").isNotNull()
+        kept = F.when(touched, ~F.col("_deleted")).otherwise(exists)
+        new = F.when(touched, F.col("_new"))
+    elif policy == "snapshot":
+        net = net_snapshot(todo, keys)
+        in_place = exists & ~F.coalesce(F.col("_deleted"), F.lit(False))
+        kept = in_place | F.col("_fresh").isNotNull()
+        new = F.when(in_place, F.col("_update")).otherwise(F.col("_fresh"))
     else:
-        deleted = F.col("_delete_at").isNotNull()
-        created = F.col("_insert_at").isNotNull() & (~deleted | (F.col("_insert_at") > F.col("_delete_at")))
-        kept = F.when(touched, (exists & ~deleted) | F.coalesce(created, F.lit(False))).otherwise(exists)
-        in_place = exists & ~deleted
-        new = F.when(in_place, F.col("_update")).otherwise(F.col("_last"))
-        pick_new = touched & (~in_place | F.col("_update").isNotNull())
-    names = net.schema["_last"].dataType.fieldNames()
+        raise ValueError("policy must be 'snapshot' or 'upsert'")
+    names = net.schema["_new" if policy == "upsert" else "_fresh"].dataType.fieldNames()
+    joined = old.join(net, keys, "full_outer").filter(kept).withColumn("_row", new)
     cells = []
     for c in data:
         before = F.col("_old").getField(c)
-        after = new.getField(c).cast(target.schema[c].dataType) if c in names else before
-        cells.append(F.when(pick_new, after).otherwise(before).alias(c))
-    return joined.filter(kept).select(*keys, *cells)
+        if c in names:
+            after = F.col("_row").getField(c).cast(target.schema[c].dataType)
+            cells.append(F.when(F.col("_row").isNotNull(), after).otherwise(before).alias(c))
+        else:
+            cells.append(before.alias(c))
+    return joined.select(*keys, *cells)
 
 
 def merge_sql(target: str, source: str, keys: Sequence[str], columns: Sequence[str], op: str = OP) -> str:
