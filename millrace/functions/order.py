@@ -12,6 +12,7 @@ longer than a page. What a window needs from before its page arrives in one of t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -91,69 +92,122 @@ def look_around(
     return spread.filter("_home").drop("_home")
 
 
+@dataclass(frozen=True)
+class Running:
+    """One running computation: what is done inside a page, handed on, folded, and combined.
+
+    ``local`` are window columns inside the page; ``per_page`` the aggregates a page hands on; ``fold`` turns
+    the page table into one with the ``carried`` columns, given the window over a key's earlier pages; ``result``
+    reads local and carried columns. A carried column is NULL where the key starts in this page.
+    """
+
+    local: dict[str, Callable[[WindowSpec], Column]]
+    per_page: dict[str, Column]
+    fold: Callable[[DataFrame, WindowSpec], DataFrame]
+    carried: list[str]
+    result: dict[str, Column]
+
+
 def running(
-    pages: DataFrame,
-    keys: list[str],
-    name: str,
-    in_page: Callable[[WindowSpec], Column],
-    per_page: Column,
-    carry: Callable[[WindowSpec], Column],
-    combine: Callable[[Column, Column], Column],
-    page_rows: int = PAGE_ROWS,
+    pages: DataFrame, keys: list[str], job: Running, page_rows: int = PAGE_ROWS, is_clustered: bool = False
 ) -> DataFrame:
-    """Add a running value over all earlier rows of the key; call ``clustered`` or ``look_around`` before.
+    """Add values that depend on all earlier rows of the key.
 
-    ``in_page`` is the running value inside the page, ``per_page`` the aggregate one page hands on,
-    ``carry`` folds those of the earlier pages, and ``combine`` joins carry and in-page value. Only keys that
-    touch an edge of their page can continue, so at most two rows per page are folded and one is joined back.
+    Only keys that touch an edge of their page can continue, so at most two rows per page are folded and one is
+    joined back, on the page alone: the shuffle that brings pages together serves windows and join.
     """
-    first, last = F.min(POS), F.max(POS)
-    summary = pages.groupBy(PAGE, *keys).agg(per_page.alias("_agg"), first.alias("_first"), last.alias("_last"))
+    first, last = F.min(POS).alias("_first"), F.max(POS).alias("_last")
+    summary = pages.groupBy(PAGE, *keys).agg(*[c.alias(n) for n, c in job.per_page.items()], first, last)
     edges = summary.filter((F.col("_first") % page_rows == 0) | (F.col("_last") % page_rows == page_rows - 1))
     by_key = Window.partitionBy(*keys).orderBy(PAGE)
+    folded = job.fold(edges, by_key.rowsBetween(Window.unboundedPreceding, -1))
     carried = (
-        edges.withColumn("_carry", carry(by_key.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_nth", F.row_number().over(by_key))
+        folded.withColumn("_nth", F.row_number().over(by_key))
         .filter((F.col("_nth") > 1) & (F.col("_first") % page_rows == 0))
-        .select(F.col(PAGE).alias("_cpage"), F.col("_carry"), *[F.col(k).alias(f"_c_{k}") for k in keys])
+        .select(
+            F.col(PAGE).alias("_cpage"),
+            *[F.col(c).alias(f"_in_{c}") for c in job.carried],
+            *[F.col(k).alias(f"_c_{k}") for k in keys],
+        )
+    )
+    body = pages if is_clustered else clustered(pages)
+    for name, build in job.local.items():
+        body = body.withColumn(name, build(page_window(keys)))
+    joined = body.join(carried, F.col(PAGE) == F.col("_cpage"), "left")
+    same_key = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], F.col("_cpage").isNotNull()
     )
-    local = pages.withColumn("_local", in_page(page_window(keys)))
-    joined = local.join(carried, F.col(PAGE) == F.col("_cpage"), "left")
-    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys], F.col("_cpage").isNotNull())
-    joined = joined.withColumn(name, combine(F.col("_local"), F.when(same_key, F.col("_carry"))))
-    return joined.drop("_local", "_carry", "_cpage", *[f"_c_{k}" for k in keys])
+    joined = joined.withColumns({c: F.when(same_key, F.col(f"_in_{c}")) for c in job.carried})
+    helpers = [*job.local, *job.carried, *[f"_in_{c}" for c in job.carried], "_cpage", *[f"_c_{k}" for k in keys]]
+    return joined.withColumns(job.result).drop(*[h for h in helpers if h not in job.result])
 
 
-def running_count(
-    pages: DataFrame, keys: list[str], name: str, flag: Column | None = None, page_rows: int = PAGE_ROWS
-) -> DataFrame:
-    """Number of rows (or of rows with ``flag``) of the key up to and including this one."""
-    one = F.lit(1).cast("bigint") if flag is None else F.when(flag, 1).otherwise(0).cast("bigint")
-    return running(
-        pages,
-        keys,
-        name,
-        lambda w: F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.sum(one),
-        lambda w: F.sum("_agg").over(w),
-        lambda local, carry: local + F.coalesce(carry, F.lit(0)),
-        page_rows,
+def _so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def running_sum(name: str, value: Column) -> Running:
+    """Sum of ``value`` over the key up to and including the row."""
+    return Running(
+        local={"_sum_here": lambda w: F.sum(value).over(_so_far(w))},
+        per_page={"_sum_page": F.sum(value)},
+        fold=lambda edges, earlier: edges.withColumn("_sum_before", F.sum("_sum_page").over(earlier)),
+        carried=["_sum_before"],
+        result={name: F.col("_sum_here") + F.coalesce(F.col("_sum_before"), F.lit(0))},
     )
 
 
-def running_last(
-    pages: DataFrame, keys: list[str], name: str, value: Column, page_rows: int = PAGE_ROWS
-) -> DataFrame:
-    """Latest non-NULL ``value`` of the key up to and including this row."""
-    return running(
-        pages,
-        keys,
-        name,
-        lambda w: F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.max_by(value, F.when(value.isNotNull(), F.col(POS))),
-        lambda w: F.last("_agg", ignorenulls=True).over(w),
-        lambda local, carry: F.coalesce(local, carry),
-        page_rows,
+def row_numbers(name: str) -> Running:
+    """1, 2, 3 … per key in sort order."""
+    return running_sum(name, F.lit(1).cast("bigint"))
+
+
+def latest_values(columns: dict[str, Column]) -> Running:
+    """Per new column the latest non-NULL value of the key up to and including the row."""
+
+    def fold(edges: DataFrame, earlier: WindowSpec) -> DataFrame:
+        return edges.withColumns({f"_last_before_{n}": F.last(f"_last_page_{n}", ignorenulls=True).over(earlier) for n in columns})
+
+    return Running(
+        local={f"_last_here_{n}": (lambda w, c=c: F.last(c, ignorenulls=True).over(_so_far(w))) for n, c in columns.items()},
+        per_page={f"_last_page_{n}": F.max_by(c, F.when(c.isNotNull(), F.col(POS))) for n, c in columns.items()},
+        fold=fold,
+        carried=[f"_last_before_{n}" for n in columns],
+        result={n: F.coalesce(F.col(f"_last_here_{n}"), F.col(f"_last_before_{n}")) for n in columns},
+    )
+
+
+def ranks(row_number: str, rank: str, dense_rank: str, is_new: str) -> Running:
+    """All three ranks; ``is_new`` is true on the first row of every group of equals."""
+    new = F.col(is_new)
+    one = F.when(new, 1).otherwise(0).cast("bigint")
+
+    def fold(edges: DataFrame, earlier: WindowSpec) -> DataFrame:
+        counted = edges.withColumns(
+            {"_rows_before": F.sum("_rows_page").over(earlier), "_groups_before": F.sum("_groups_page").over(earlier)}
+        )
+        start = F.col("_start_page") + F.coalesce(F.col("_rows_before"), F.lit(0))
+        return counted.withColumn("_start_page", start).withColumn("_start_before", F.max("_start_page").over(earlier))
+
+    before = F.coalesce(F.col("_rows_before"), F.lit(0))
+    return Running(
+        local={
+            "_row_here": lambda w: F.row_number().over(w),
+            "_start_here": lambda w: F.max(F.when(new, F.col("_row_here"))).over(_so_far(w)),
+            "_group_here": lambda w: F.sum(one).over(_so_far(w)),
+        },
+        per_page={
+            "_rows_page": F.count("*"),
+            "_groups_page": F.sum(one),
+            "_start_page": F.max(F.when(new, F.col(POS))) - F.min(POS) + 1,
+        },
+        fold=fold,
+        carried=["_rows_before", "_groups_before", "_start_before"],
+        result={
+            row_number: F.col("_row_here") + before,
+            rank: F.coalesce(F.col("_start_here") + before, F.col("_start_before")),
+            dense_rank: F.col("_group_here") + F.coalesce(F.col("_groups_before"), F.lit(0)),
+        },
     )
 
 
@@ -168,17 +222,8 @@ def values_at(
     Equal values are counted before the sort, so a value that fills a third of the column is one row of it.
     """
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("_n"))
-    pages = clustered(paged(counts, [], [F.col("value")], page_rows))
-    totals = running(
-        pages,
-        [],
-        "_end",
-        lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.sum("_n"),
-        lambda w: F.sum("_agg").over(w),
-        lambda local, carry: local + F.coalesce(carry, F.lit(0)),
-        page_rows,
-    )
+    pages = paged(counts, [], [F.col("value")], page_rows)
+    totals = running(pages, [], running_sum("_end", F.col("_n")), page_rows)
     return totals.select(F.explode(pick(F.col("_end") - F.col("_n"), F.col("_end"))).alias("pick"), "value")
 
 

@@ -41,6 +41,11 @@ class _Target:
         value = F.col(self.column)
         return F.when(value.between(self.low, self.high), value)
 
+    def aims(self) -> list[float]:
+        """Percentages a little below and above the wanted positions."""
+        low, high = self.wanted[0] / self.size - self.margin, (self.wanted[-1] + 1) / self.size + self.margin
+        return [max(0.0, low), min(1.0, high)]
+
     @property
     def wanted(self) -> list[int]:
         """Positions of the one or two order statistics, counted inside the bracket."""
@@ -106,21 +111,24 @@ def exact_quantiles(
 
 
 def _narrow(data: DataFrame, targets: list[_Target]) -> None:
-    """One refinement of every target: sketch new bounds, then count exactly what they hold."""
+    """One refinement of every target: sketch new bounds, then count exactly what they hold.
+
+    Targets that still share a bracket share its sketch.
+    """
+    shared: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
     sketch = data.agg(
         *[
-            F.percentile_approx(
-                t.inside(),
-                [
-                    max(0.0, t.wanted[0] / t.size - t.margin),
-                    min(1.0, (t.wanted[-1] + 1) / t.size + t.margin),
-                ],
-                ACCURACY,
-            ).alias(f"b{i}")
-            for i, t in enumerate(targets)
+            F.percentile_approx(group[0].inside(), [p for t in group for p in t.aims()], ACCURACY).alias(f"b{i}")
+            for i, group in enumerate(shared.values())
         ]
     ).first()
-    bounds = [sketch[f"b{i}"] for i in range(len(targets))]
+    bounds_of = {}
+    for i, group in enumerate(shared.values()):
+        for j, t in enumerate(group):
+            bounds_of[id(t)] = (sketch[f"b{i}"][2 * j], sketch[f"b{i}"][2 * j + 1])
+    bounds = [bounds_of[id(t)] for t in targets]
     counts = []
     for i, (t, (low, high)) in enumerate(zip(targets, bounds)):
         value = F.col(t.column)

@@ -243,8 +243,9 @@ def event_sequence(
     A sequence longer than ``part_rows`` continues in further rows (``part`` 0, 1, …), so no array grows
     without bound and nothing is cut off.
     """
-    pages = paging.clustered(paging.paged(df, [key], [F.col(ts), F.col(tie)], page_rows))
-    numbered = paging.running_count(pages, [key], "_rn", page_rows=page_rows)
+    slim = df.select(key, ts, tie, event_type)
+    pages = paging.paged(slim, [key], [F.col(ts), F.col(tie)], page_rows)
+    numbered = paging.running(pages, [key], paging.row_numbers("_rn"), page_rows)
     parts = numbered.groupBy(key, F.floor((F.col("_rn") - 1) / part_rows).alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", event_type))), lambda e: e[event_type]).alias("events")
     )

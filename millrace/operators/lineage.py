@@ -67,7 +67,7 @@ def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth:
         "downstream": ("source_table", "target_table"),
         "upstream": ("target_table", "source_table"),
     }[direction]
-    hops = edges.select(F.col(near).alias("_near"), F.col(far).alias("table_name")).distinct()
+    hops = edges.select(F.col(near).alias("_near"), F.col(far).alias("table_name"))
     start = edges.sparkSession.createDataFrame([(table,)], "table_name string")
     visited, frontier, found = start, start, []
     for hop in range(1, depth + 1):

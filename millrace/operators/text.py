@@ -103,25 +103,20 @@ def two_digits(percent: Column) -> Column:
     return F.floor(percent + 0.5) / 100.0
 
 
-def sentiment_columns(text: Column) -> tuple[Column, Column]:
-    """Label and score of a text from the two word lists."""
-    found = words(text)
-    pos = F.size(F.filter(found, lambda w: w.isin(POSITIVE_WORDS)))
-    neg = F.size(F.filter(found, lambda w: w.isin(NEGATIVE_WORDS)))
-    s = (pos - neg) / F.greatest(pos + neg, F.lit(1))
+def sentiment(df: DataFrame, col: str) -> DataFrame:
+    """Add ``sentiment`` and ``sentiment_score`` from the two word lists."""
+    found = F.filter(words(F.col(col)), lambda w: w.isin(POSITIVE_WORDS + NEGATIVE_WORDS))
+    pos = F.size(F.filter("_found", lambda w: w.isin(POSITIVE_WORDS)))
+    balance = F.try_divide(2 * pos - F.size("_found"), F.size("_found"))
+    s = F.col("_balance")
     label = F.when(s > 0.3, "positive").when(s < -0.3, "negative").otherwise("neutral")
     score = (
         F.when(s > 0.3, F.least(F.lit(95.0), 65 + s * 30))
         .when(s < -0.3, F.greatest(F.lit(5.0), 35 + s * 30))
         .otherwise(50 + s * 15)
     )
-    return label, two_digits(score)
-
-
-def sentiment(df: DataFrame, col: str) -> DataFrame:
-    """Add ``sentiment`` and ``sentiment_score``."""
-    label, score = sentiment_columns(F.col(col))
-    return df.withColumns({"sentiment": label, "sentiment_score": score})
+    scored = df.withColumn("_found", found).withColumn("_balance", F.coalesce(balance, F.lit(0.0)))
+    return scored.withColumns({"sentiment": label, "sentiment_score": two_digits(score)}).drop("_found", "_balance")
 
 
 def language(df: DataFrame, col: str) -> DataFrame:
@@ -149,10 +144,9 @@ def summarise(df: DataFrame, col: str, n: int = 2, name: str = "summary") -> Dat
 
 def speaker_stats(df: DataFrame, conversation: str, speaker: str, text: str) -> DataFrame:
     """Per conversation and speaker: segments, words, share of the words, dominant sentiment (ties by name)."""
-    label, _ = sentiment_columns(F.col(text))
     by_mood = (
-        df.withColumn("_mood", label)
-        .groupBy(conversation, speaker, "_mood")
+        sentiment(df, text)
+        .groupBy(conversation, speaker, F.col("sentiment").alias("_mood"))
         .agg(F.count("*").alias("_n"), F.sum(F.regexp_count(F.col(text), F.lit(r"\S+"))).alias("_w"))
     )
     per = by_mood.groupBy(conversation, speaker).agg(

@@ -89,24 +89,18 @@ def add_ranks(
 ) -> DataFrame:
     """Row number, rank and dense rank per key, ordered by ``["a desc", "b"]``; ties share the rank."""
     keys, peer = list(keys), "_peer"
+    if not (rank or dense_rank):
+        pages = paging.paged(df, keys, sort_columns(order_by), page_rows)
+        return paging.unpaged(paging.running(pages, keys, paging.row_numbers(row_number), page_rows))
     names = [name for name, _ in sort_spec(order_by)]
-    with_peer = df.withColumn(peer, F.struct(*names))
-    pages = paging.paged(with_peer, keys, sort_columns(order_by), page_rows)
-    if rank or dense_rank:
-        pages = paging.look_around(
-            pages, keys, {"_prev": lambda w: F.lag(peer).over(w)}, back=1, page_rows=page_rows
-        ).withColumn("_new", F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col(peer)))
-    else:
-        pages = paging.clustered(pages)
-    if row_number or rank:
-        pages = paging.running_count(pages, keys, "_rn", page_rows=page_rows)
-    if rank:
-        pages = paging.running_last(pages, keys, rank, F.when(F.col("_new"), F.col("_rn")), page_rows)
-    if dense_rank:
-        pages = paging.running_count(pages, keys, dense_rank, F.col("_new"), page_rows)
-    if row_number:
-        pages = pages.withColumn(row_number, F.col("_rn"))
-    return paging.unpaged(pages).drop("_rn", "_prev", "_new", peer)
+    pages = paging.paged(df.withColumn(peer, F.struct(*names)), keys, sort_columns(order_by), page_rows)
+    pages = paging.look_around(pages, keys, {"_prev": lambda w: F.lag(peer).over(w)}, back=1, page_rows=page_rows)
+    pages = pages.withColumn("_new", F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col(peer)))
+    job = paging.ranks("_r1", "_r2", "_r3", "_new")
+    wanted = {"_r1": row_number, "_r2": rank, "_r3": dense_rank}
+    out = paging.running(pages, keys, job, page_rows, is_clustered=True)
+    out = out.withColumns({new: F.col(old) for old, new in wanted.items() if new})
+    return paging.unpaged(out).drop(*wanted, "_prev", "_new", peer)
 
 
 def shifted(
@@ -159,10 +153,9 @@ def forward_fill(
 ) -> DataFrame:
     """NULLs take the latest earlier value of the same key."""
     names = as_list(columns)
-    pages = paging.clustered(paging.paged(df, as_list(keys), sort_columns(order_by), page_rows))
-    for c in names:
-        pages = paging.running_last(pages, as_list(keys), f"_filled_{c}", F.col(c), page_rows)
-    filled = pages.withColumns({c: F.col(f"_filled_{c}") for c in names})
+    pages = paging.paged(df, as_list(keys), sort_columns(order_by), page_rows)
+    job = paging.latest_values({f"_filled_{c}": F.col(c) for c in names})
+    filled = paging.running(pages, as_list(keys), job, page_rows).withColumns({c: F.col(f"_filled_{c}") for c in names})
     return paging.unpaged(filled).select(*df.columns)
 
 

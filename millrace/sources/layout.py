@@ -69,8 +69,8 @@ def to_envelopes(
     never holds more than ``n`` records.
     """
     groups = list(group_cols)
-    pages = order.clustered(order.paged(df, groups, [F.col(c) for c in order_cols], page_rows))
-    numbered = order.running_count(pages, groups, "_rn", page_rows=page_rows)
+    pages = order.paged(df, groups, [F.col(c) for c in order_cols], page_rows)
+    numbered = order.running(pages, groups, order.row_numbers("_rn"), page_rows)
     records = numbered.select(
         *groups,
         "_rn",
