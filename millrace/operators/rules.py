@@ -318,6 +318,12 @@ def contract_issues(df: DataFrame, expected: Mapping[str, str]) -> list[str]:
     return out
 
 
+def contract_report(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """One row per broken expectation; it affects every row of the table."""
+    issues = F.array(*[F.lit(i) for i in contract_issues(df, expected)]).cast("array<string>")
+    return df.agg(F.count("*").alias("affected_rows")).select(F.explode(issues).alias("issue"), "affected_rows")
+
+
 # Key prefixes, statuses and event types an asset row may have.
 ASSET_PREFIXES = {"bronze_key": "bronze/", "silver_key": "silver/"}
 ASSET_STATUSES = ["success", "failed", "pending"]

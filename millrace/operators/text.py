@@ -14,6 +14,7 @@ from millrace.operators.windows import first_per_key
 
 # Word pattern, word lists, limits and patterns the results depend on.
 WORD = r"[\p{L}\p{N}_]+"
+LONG_WORD = r"[\p{L}\p{N}_]{4,}"
 MAX_KEPT_CHARS = 1024 * 1024
 PREVIEW_CHARS = 1000
 POSITIVE_WORDS = [
@@ -50,9 +51,9 @@ PII_PATTERNS = {
 CHUNK_SIZE = 1024
 
 
-def words(text: Column) -> Column:
+def words(text: Column, pattern: str = WORD) -> Column:
     """The words of a text in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def text_metrics(df: DataFrame, col: str) -> DataFrame:
@@ -70,17 +71,17 @@ def text_metrics(df: DataFrame, col: str) -> DataFrame:
 
 
 def word_counts(df: DataFrame, id_col: str, text_col: str, keep: Column) -> DataFrame:
-    """(id, word, count, first position) of the words for which ``keep`` holds; ``keep`` reads ``word``.
+    """(id, word, count, first position) of the words of four or more characters for which ``keep`` holds.
 
     All words of a document are in one row, so the map-side aggregate already counts them completely.
     """
-    exploded = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("_pos", "word"))
+    exploded = df.select(id_col, F.posexplode(words(F.col(text_col), LONG_WORD)).alias("_pos", "word"))
     return exploded.filter(keep).groupBy(id_col, "word").agg(F.count("*").alias("count"), F.min("_pos").alias("_first"))
 
 
 def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent longer words per document; ties by first use."""
-    keep = (F.length("word") > 3) & ~F.col("word").isin(SHORT_STOP_WORDS)
+    keep = ~F.col("word").isin(SHORT_STOP_WORDS)
     counts = word_counts(df, id_col, text_col, keep)
     return _ranked(counts, id_col, k)
 

@@ -78,47 +78,44 @@ def removed_count(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def add_ranks(
+def add_window(
     df: DataFrame,
     keys: Sequence[str],
     order_by: str | Sequence[str],
-    row_number: str | None = "row_number",
+    row_number: str | None = None,
     rank: str | None = None,
     dense_rank: str | None = None,
+    ties: int | None = None,
+    shifts: Mapping[str, tuple[str, int]] | None = None,
     page_rows: int = paging.PAGE_ROWS,
 ) -> DataFrame:
-    """Row number, rank and dense rank per key, ordered by ``["a desc", "b"]``; ties share the rank."""
-    keys, peer = list(keys), "_peer"
-    if not (rank or dense_rank):
-        pages = paging.paged(df, keys, sort_columns(order_by), page_rows)
-        return paging.unpaged(paging.running(pages, keys, paging.row_numbers(row_number), page_rows))
-    names = [name for name, _ in sort_spec(order_by)]
-    pages = paging.paged(df.withColumn(peer, F.struct(*names)), keys, sort_columns(order_by), page_rows)
-    pages = paging.look_around(pages, keys, {"_prev": lambda w: F.lag(peer).over(w)}, back=1, page_rows=page_rows)
-    pages = pages.withColumn("_new", F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col(peer)))
-    job = paging.ranks("_r1", "_r2", "_r3", "_new")
-    wanted = {"_r1": row_number, "_r2": rank, "_r3": dense_rank}
-    out = paging.running(pages, keys, job, page_rows, is_clustered=True)
-    out = out.withColumns({new: F.col(old) for old, new in wanted.items() if new})
-    return paging.unpaged(out).drop(*wanted, "_prev", "_new", peer)
-
-
-def shifted(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: str | Sequence[str],
-    columns: Mapping[str, tuple[str, int]],
-    page_rows: int = paging.PAGE_ROWS,
-) -> DataFrame:
-    """Lag (positive) and lead (negative) columns: ``{new: (column, steps)}``."""
-    back = max([n for _, n in columns.values() if n > 0], default=0)
-    ahead = max([-n for _, n in columns.values() if n < 0], default=0)
-    pages = paging.paged(df, list(keys), sort_columns(order_by), page_rows)
-    build = {
-        new: (lambda w, c=c, n=n: F.lag(c, n).over(w) if n >= 0 else F.lead(c, -n).over(w))
-        for new, (c, n) in columns.items()
-    }
-    return paging.unpaged(paging.look_around(pages, list(keys), build, back, ahead, page_rows))
+    """Row number, ranks, lag and lead per key in one sort, ordered by ``["a desc", "b"]``.
+
+    Rows are equal for the ranks when their first ``ties`` order columns are (all by default). ``shifts`` maps a
+    new column to ``(column, steps)``: positive steps look back, negative ones ahead.
+    """
+    keys, shifts = list(keys), dict(shifts or {})
+    spec = sort_spec(order_by)
+    ranked = bool(rank or dense_rank)
+    looks = {new: (lambda w, c=c, n=n: F.lag(c, n).over(w) if n >= 0 else F.lead(c, -n).over(w)) for new, (c, n) in shifts.items()}
+    source = df
+    if ranked:
+        source = df.withColumn("_peer", F.struct(*[name for name, _ in spec[:ties]]))
+        looks["_prev"] = lambda w: F.lag("_peer").over(w)
+    pages = paging.paged(source, keys, sort_columns(order_by), page_rows)
+    if looks:
+        steps = [n for _, n in shifts.values()]
+        back, ahead = max([1, *steps]), max([0, *[-n for n in steps]])
+        pages = paging.look_around(pages, keys, looks, back, ahead, page_rows)
+    if ranked:
+        pages = pages.withColumn("_new", F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col("_peer")))
+        job, wanted = paging.ranks("_r1", "_r2", "_r3", "_new"), {"_r1": row_number, "_r2": rank, "_r3": dense_rank}
+    else:
+        job, wanted = paging.row_numbers("_r1"), {"_r1": row_number}
+    if any(wanted.values()):
+        pages = paging.running(pages, keys, job, page_rows, is_clustered=bool(looks))
+        pages = pages.withColumns({new: F.col(old) for old, new in wanted.items() if new}).drop(*wanted)
+    return paging.unpaged(pages).drop("_prev", "_new", "_peer")
 
 
 ROLLING = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}

@@ -142,9 +142,22 @@ def skew_label(t: Tables):
     return rounded(P.skew_label(t.lineitem, ["l_extendedprice", "l_quantity"]), "mean", "median", digits=5)
 
 
-@query("distribution_type")
+def _distribution_sql(c: str) -> str:
+    """K² of D'Agostino and Pearson, written out."""
+    return f"""WITH m AS (SELECT count({c})::DOUBLE AS n, skewness({c}) AS sk, kurtosis_pop({c}) + 3 AS b2 FROM lineitem),
+    a AS (SELECT *, sk * (n - 2) / sqrt(n * (n - 1)) * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+      (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM m),
+    b AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS q FROM a),
+    k AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * q) - cbrt((1 - 2 / q) / (1 + x * sqrt(2 / (q - 4))))) / sqrt(2 / (9 * q)) AS z2 FROM b),
+    p AS (SELECT *, exp(-(z1 * z1 + z2 * z2) / 2) AS pv FROM k)
+    SELECT '{c}' AS column_name, round(sk, 5) AS skewness, round(pv, 5) AS p_value, CASE WHEN n < 8 THEN 'insufficient_data' WHEN pv > 0.05 THEN 'normal' WHEN abs(sk) < 0.5 THEN 'symmetric' WHEN sk > 0.5 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution FROM p"""
+
+
+@query("distribution_type", " UNION ALL ".join(f"({_distribution_sql(c)})" for c in ["l_quantity", "l_extendedprice", "l_tax"]))
 def distribution_type(t: Tables):
-    return P.distribution_type(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"])
+    df = P.distribution_type(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"])
+    return rounded(df, "skewness", "p_value", digits=5)
 
 
 PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]

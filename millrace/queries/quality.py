@@ -146,6 +146,14 @@ def rule_drift(t: Tables):
     )
 
 
+@query(
+    "rule_schema_contract",
+    "SELECT 'Column ''c_name'' should be numeric.' AS issue, count(*) AS affected_rows FROM customer UNION ALL SELECT 'Missing column: email', count(*) FROM customer",
+)
+def rule_schema_contract(t: Tables):
+    return R.contract_report(t.customer, {"c_custkey": "numeric", "c_name": "numeric", "email": "string"})
+
+
 LINE_RULES = """WITH m AS (SELECT *, l_quantity > 45 AS r_qty, NOT l_returnflag IN ('A', 'N') AS r_flag, l_discount IS NULL AS r_disc FROM
  (SELECT * EXCLUDE l_discount, CASE WHEN l_discount >= 0.1 THEN NULL ELSE l_discount END AS l_discount FROM lineitem))"""
 

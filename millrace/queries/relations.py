@@ -481,13 +481,15 @@ def dedup_exact_count(t: Tables):
     FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey), d AS (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) DESC)""",
 )
 def rank_functions(t: Tables):
-    df = windows.add_ranks(t.orders, ["o_orderpriority"], ["o_orderdate desc"], None, "rk", "dr")
-    df = windows.add_ranks(df, ["o_orderpriority"], ["o_orderdate desc", "o_orderkey"], "rn")
-    df = windows.shifted(
-        df,
+    df = windows.add_window(
+        t.orders,
         ["o_orderpriority"],
         ["o_orderdate desc", "o_orderkey"],
-        {"before2": ("o_orderkey", 2), "next_price": ("o_totalprice", -1)},
+        "rn",
+        "rk",
+        "dr",
+        ties=1,
+        shifts={"before2": ("o_orderkey", 2), "next_price": ("o_totalprice", -1)},
     )
     return df.select("o_orderkey", "rn", "rk", "dr", "before2", "next_price")
 

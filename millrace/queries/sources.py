@@ -238,3 +238,48 @@ def export_report(t: Tables):
     report = t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n_rows"))
     tables.write_report(report, path)
     return t.spark.read.schema("status string, n_rows bigint").json(path)
+
+
+@query(
+    "discover_tables",
+    "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus AS source, 'o_year=' || year(o_orderdate) AS \"table\", true AS has_files FROM orders",
+)
+def discover_tables(t: Tables):
+    path = fresh_path(t.spark, "lake")
+    rows = t.orders.withColumn("o_year", F.year("o_orderdate"))
+    tables.write_files(rows, path, "parquet", ["o_orderstatus", "o_year"])
+    found = tables.discover_tables(t.spark, path)
+    return found.select("source", "table", ((F.col("file_count") > 0) & (F.col("bytes") > 0)).alias("has_files"))
+
+
+def _event_files(t: Tables) -> str:
+    path = fresh_path(t.spark, "files")
+    tables.write_files(t.events, path, "parquet", ["event_type"])
+    return path
+
+
+@query("list_files_since", "SELECT DISTINCT event_type, 'structured' AS type, true AS complete FROM events WHERE event_type LIKE '%i%'")
+def list_files_since(t: Tables):
+    listing = files.list_files(t.spark, _event_files(t), "2000-01-01 00:00:00", ["parquet"], "event_type=[^/]*i")
+    kind = F.regexp_extract("key", "event_type=([^/]+)", 1)
+    complete = F.bool_and((F.col("size") > 0) & (F.length("etag") == 32))
+    return listing.groupBy(kind.alias("event_type"), "type").agg(complete.alias("complete"))
+
+
+@query("media_inventory", "SELECT DISTINCT event_type, 'parquet' AS extension, 'other' AS media_type FROM events")
+def media_inventory(t: Tables):
+    found = files.media_inventory(t.spark, _event_files(t)).filter("extension = 'parquet'")
+    return found.select(F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type"), "extension", "media_type").distinct()
+
+
+@query("watermark_store", "SELECT 'events' AS name, max(event_id)::VARCHAR AS watermark FROM events UNION ALL SELECT 'orders', max(o_orderkey)::VARCHAR FROM orders")
+def watermark_store(t: Tables):
+    import datetime as dt
+
+    from millrace.streaming.watermarks import Watermarks
+
+    marks, now = Watermarks(t.spark, fresh_path(t.spark, "marks")), dt.datetime(2024, 2, 1)
+    marks.set("events", "0", dt.datetime(2024, 1, 1))
+    marks.advance("events", t.events, "event_id", now)
+    marks.advance("orders", t.orders, "o_orderkey", now)
+    return marks.table().select("name", "watermark")

@@ -24,15 +24,20 @@ def same(a, b):
 def test_ranks(rows):
     w, ties = Window.partitionBy("k").orderBy(F.desc("o"), "id"), Window.partitionBy("k").orderBy(F.desc("o"))
     want = rows.select("id", F.row_number().over(w).alias("rn"), F.rank().over(ties).alias("rk"), F.dense_rank().over(ties).alias("dr"))
-    got = windows.add_ranks(rows, ["k"], ["o desc"], None, "rk", "dr", page_rows=PAGE)
-    got = windows.add_ranks(got, ["k"], ["o desc", "id"], "rn", page_rows=PAGE)
+    got = windows.add_window(rows, ["k"], ["o desc", "id"], "rn", "rk", "dr", ties=1, page_rows=PAGE)
     same(got.select("id", "rn", "rk", "dr"), want)
 
 
+def test_row_number_alone(rows):
+    w = Window.partitionBy("k").orderBy("id")
+    want = rows.select("id", F.row_number().over(w).alias("n"))
+    same(windows.add_window(rows, ["k"], "id", "n", page_rows=PAGE).select("id", "n"), want)
+
+
 def test_shift_and_rolling(rows):
     w = Window.partitionBy("k").orderBy("o", "id")
     want = rows.select("id", F.lag("v", 5).over(w).alias("a"), F.lead("v", 3).over(w).alias("b"), F.count("v").over(w.rowsBetween(-4, 0)).alias("c"))
-    got = windows.shifted(rows, ["k"], ["o", "id"], {"a": ("v", 5), "b": ("v", -3)}, PAGE)
+    got = windows.add_window(rows, ["k"], ["o", "id"], shifts={"a": ("v", 5), "b": ("v", -3)}, page_rows=PAGE)
     got = windows.rolling_agg(got, "v", 5, "count", "k", ["o", "id"], PAGE).withColumnRenamed("v_rolling_count", "c")
     same(got.select("id", "a", "b", "c"), want)
 
