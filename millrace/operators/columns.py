@@ -179,13 +179,13 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, name: str = "_
 
 
 # Technical columns that stay when a table is promoted.
-ESSENTIAL_TECHNICAL = ["_silver_processed_at", "_silver_quality_score", "_silver_source"]
+ESSENTIAL_TECHNICAL = ["_bronze_ingested_at", "_silver_processed_at", "_silver_quality_passed"]
 
 
 def to_gold(df: DataFrame, score: float, now: Column, keep: Sequence[str] = tuple(ESSENTIAL_TECHNICAL)) -> DataFrame:
     """Drop ``_bronze_*`` and ``_silver_*`` except the essential ones, add Gold metadata."""
     technical = [c for c in df.columns if c.startswith(("_bronze_", "_silver_")) and c not in keep]
-    return df.drop(*technical).withColumns({"_gold_created_at": now, "_gold_quality_score": F.lit(float(score))})
+    return df.drop(*technical).withColumns({"_gold_processed_at": now, "_quality_score": F.lit(float(score))})
 
 
 def flatten(df: DataFrame, sep: str = "_", max_depth: int = 3) -> DataFrame:

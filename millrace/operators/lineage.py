@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -257,9 +257,3 @@ def lineage_from_events(events: DataFrame, assets: DataFrame, now: Column, sourc
         F.lit(dest).alias("dest_bucket"),
         F.to_json(details).alias("metadata"),
     )
-
-
-def known_tables(edges: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Which of the names occur in the lineage."""
-    ends = edges.select(F.col("source_table").alias("table_name")).union(edges.select("target_table")).distinct()
-    return ends.filter(F.col("table_name").isin(list(names)))

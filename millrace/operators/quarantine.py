@@ -45,7 +45,9 @@ def recurrence(quarantine: DataFrame) -> DataFrame:
     )
 
 
-RESOLUTIONS = ("pending", "fixed", "reprocessed", "ignored", "rejected")
+# The states of a quarantine record, and those whose row may go back into the table.
+RESOLUTIONS = ("pending", "fixed", "accepted", "rejected", "reprocessed", "ignored")
+USABLE = ("fixed", "accepted", "reprocessed")
 
 
 def resolve(quarantine: DataFrame, decisions: DataFrame, status: str, by: str, now: Column) -> DataFrame:
@@ -65,7 +67,7 @@ def resolve(quarantine: DataFrame, decisions: DataFrame, status: str, by: str, n
 
 def reprocess(resolved: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows of resolved records, read back from their JSON."""
-    done = resolved.filter(F.col("resolution_status").isin("fixed", "reprocessed"))
+    done = resolved.filter(F.col("resolution_status").isin(*USABLE))
     return done.select(F.from_json("record", schema).alias("r")).select("r.*").distinct()
 
 

@@ -26,6 +26,17 @@ KEEP_ACTIONS = ("log", "warn", "flag", "alert")
 SPLIT_ACTIONS = ("quarantine", "reject", "quarantine_row")
 FLAG_NAMES = {"not_null": "NULL", "email": "INVALID_EMAIL"}
 
+# Rule kinds as rule catalogues name them.
+KIND_NAMES = {
+    "range_check": "range",
+    "regex_format": "regex",
+    "enum_validation": "enum",
+    "cross_column_logic": "cross_column",
+    "anomaly_detection": "anomaly",
+    "sql_expression": "sql",
+    "data_type_check": "data_type",
+}
+
 VIOLATIONS = "_violations"
 
 
@@ -58,8 +69,28 @@ class Rule:
 
 def rule(kind: str, column: str | None = None, *, columns: Sequence[str] = (), name: str = "", severity: str = "error",
          action: str = "quarantine", priority: int = 5, **params: Any) -> Rule:
-    """Shorthand for ``Rule`` with the parameters as keywords."""
-    return Rule(kind, column, tuple(columns), name, severity, action, priority, params)
+    """Shorthand for ``Rule`` with the parameters as keywords; catalogue names of the kinds are accepted too."""
+    return Rule(KIND_NAMES.get(kind, kind), column, tuple(columns), name, severity, action, priority, params)
+
+
+def from_catalogue(rows: Sequence[Mapping[str, Any]]) -> list[Rule]:
+    """Active rules of a rule catalogue: a condition is a passing SQL test, ``unique`` checks its columns."""
+    out = []
+    for row in rows:
+        if not row.get("is_active", True):
+            continue
+        about = {
+            "name": row["rule_name"],
+            "severity": row.get("severity", "high").lower(),
+            "action": row.get("action", "quarantine_row"),
+            "priority": row.get("execution_priority", 5),
+        }
+        columns = tuple(row.get("target_columns") or ())
+        if row["rule_type"] in ("unique", "not_null"):
+            out.append(rule(row["rule_type"], columns=columns, **about))
+        else:
+            out.append(rule("sql", expr=row["condition_expression"], **about))
+    return out
 
 
 def _range(df: DataFrame, r: Rule) -> Column:

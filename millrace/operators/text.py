@@ -10,8 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.operators.windows import first_per_key
-
 # Word pattern, word lists, limits and patterns the results depend on.
 WORD = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_]{4,}"
@@ -189,8 +187,3 @@ def chunk(df: DataFrame, id_col: str, col: str, size: int = CHUNK_SIZE, overlap:
         pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
         pieces = F.when(F.length(text) > 0, pieces)
     return df.select(id_col, F.posexplode(pieces).alias("chunk_index", "chunk_text"))
-
-
-def first_texts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One document per key, the first in the given order."""
-    return first_per_key(df, keys, [F.col(c) for c in order])

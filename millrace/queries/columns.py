@@ -178,11 +178,11 @@ def row_hash(t: Tables):
 
 @query(
     "drop_technical_columns",
-    f"SELECT r_regionkey, r_name, 99.0::DOUBLE AS _silver_quality_score, TIMESTAMP '{NOW}' AS _gold_created_at, 97.5::DOUBLE AS _gold_quality_score FROM region",
+    f"SELECT r_regionkey, r_name, true AS _silver_quality_passed, TIMESTAMP '{NOW}' AS _gold_processed_at, 97.5::DOUBLE AS _quality_score FROM region",
 )
 def drop_technical_columns(t: Tables):
     df = t.region.withColumns(
-        {"_bronze_path": F.lit("x"), "_silver_job": F.lit("y"), "_silver_quality_score": F.lit(99.0)}
+        {"_bronze_path": F.lit("x"), "_silver_job": F.lit("y"), "_silver_quality_passed": F.lit(True)}
     )
     return op.to_gold(df, 97.5, now())
 

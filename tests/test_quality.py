@@ -49,6 +49,17 @@ def test_empty_table_scores_100(spark):
     assert R.run_checks(df, [R.rule("not_null", "id")]).first()["table_score"] == 100.0
 
 
+def test_rules_from_a_catalogue(spark):
+    rows = [
+        {"rule_name": "positive", "rule_type": "range_check", "condition_expression": "x > 0", "severity": "HIGH"},
+        {"rule_name": "one id", "rule_type": "unique", "target_columns": ["id"], "severity": "CRITICAL", "execution_priority": 1},
+        {"rule_name": "off", "rule_type": "not_null", "target_columns": ["id"], "is_active": False},
+    ]
+    df = spark.createDataFrame([(1, 1.0), (1, -1.0), (2, None)], "id int, x double")
+    report = R.run_checks(df, R.from_catalogue(rows)).collect()
+    assert [(r["rule_id"], r["failed"]) for r in report] == [("one id", 2), ("positive", 1)]
+
+
 def test_contract(spark):
     df = spark.createDataFrame([], "a string, b double")
     assert R.contract_issues(df, {"a": "numeric", "b": "numeric", "c": "any"}) == [
