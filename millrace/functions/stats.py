@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.scalars import clean_number
+from millrace.functions.scalars import FLOATING, clean_number
 
 # percentile_approx keeps about this many sketch entries; rank error is at most n / ACCURACY.
 ACCURACY = 10_000
@@ -169,6 +170,30 @@ def quantiles(
     return (approx_quantiles if approx else exact_quantiles)(df, columns, probs)
 
 
+def distinct_counts(df: DataFrame, columns: list[str], name: str = "distinct_count", approx: bool = False) -> DataFrame:
+    """(column_name, <name>): different non-missing values per column.
+
+    Exact counts are one narrow aggregate per column: each reads and shuffles only that column, where a single
+    aggregate with many distinct counts would multiply every row by the number of columns. With ``approx`` all
+    columns share one pass of sketches.
+    """
+
+    def value(c: str) -> Column:
+        column = F.col(f"`{c}`")
+        return F.when(~F.isnan(column), column) if isinstance(df.schema[c].dataType, FLOATING) else column
+
+    if approx:
+        entries = [
+            F.struct(F.lit(c).alias("column_name"), F.approx_count_distinct(value(c)).alias(name)) for c in columns
+        ]
+        return df.agg(F.array(*entries).alias("d")).select(F.inline("d"))
+    parts = [
+        df.select(value(c).alias("v")).distinct().agg(F.count("v").alias(name)).select(F.lit(c).alias("column_name"), name)
+        for c in columns
+    ]
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
 def sample_skewness(column: Column) -> Column:
     """Bias-corrected skewness; NULL below three values."""
     n = F.count(column).cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import order as paging
 from millrace.functions.scalars import FLOATING, NUMERIC, TEMPORAL, as_list, epoch_seconds, missing
+from millrace.functions.stats import distinct_counts
 from millrace.operators.columns import filter_triples
 
 
@@ -102,9 +103,9 @@ def max_watermark(df: DataFrame, col: str) -> DataFrame:
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: distinct, nulls, null %, and min/max/avg where they make sense.
 
-    One scan for all columns. ``approx=True`` replaces the exact distinct counts by sketches.
+    One scan for all columns but the exact distinct counts, which are narrow aggregates of their own;
+    ``approx=True`` replaces those by sketches.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
     entries = []
     for f in df.schema.fields:
         value = F.col(f"`{f.name}`")
@@ -117,7 +118,6 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 F.count("*").alias("row_count"),
-                distinct(value).alias("distinct_count"),
                 F.count_if(missing(df, f.name)).alias("null_count"),
                 (F.min(value).cast("string") if ordered else F.lit(None).cast("string")).alias("min_value"),
                 (F.max(value).cast("string") if ordered else F.lit(None).cast("string")).alias("max_value"),
@@ -125,7 +125,9 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
             )
         )
     rows = df.agg(F.array(*entries).alias("c")).select(F.inline("c"))
-    return rows.withColumn("null_percentage", F.round(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")).cast("double"), 2))
+    rows = rows.join(distinct_counts(df, df.columns, approx=approx), "column_name")
+    share = F.try_divide(F.col("null_count") * F.lit(100.0), F.col("row_count"))
+    return rows.withColumn("null_percentage", F.round(share, 2))
 
 
 # File type → media category; anything else counts as a document.

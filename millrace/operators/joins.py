@@ -137,12 +137,12 @@ def content_dedup(
 ) -> DataFrame:
     """The first row per SHA-256 of the content, without contents known from earlier runs.
 
-    ``existing`` has a ``content_hash`` column. Copies are dropped map-side before the shuffle.
+    ``existing`` has a ``content_hash`` column. Copies are dropped map-side before the shuffle, and the check
+    against earlier runs reuses that shuffle.
     """
     hashed = df.withColumn("content_hash", F.sha2(F.col(content_col).cast("binary"), 256))
-    if existing is not None:
-        hashed = hashed.join(existing.select("content_hash"), "content_hash", "left_anti")
-    return first_per_key(hashed, ["content_hash"], [F.col(c) for c in order_by])
+    kept = first_per_key(hashed, ["content_hash"], [F.col(c) for c in order_by])
+    return kept if existing is None else kept.join(existing.select("content_hash"), "content_hash", "left_anti")
 
 
 def content_dedup_counts(df: DataFrame, content_col: str, existing: DataFrame | None = None) -> DataFrame:

@@ -16,12 +16,11 @@ from millrace.functions.scalars import (
     INTEGRAL,
     NUMERIC,
     TEMPORAL,
-    as_list,
     clean_number,
     columns_of,
     missing,
 )
-from millrace.functions.stats import one_row, quantiles, sample_kurtosis, sample_skewness
+from millrace.functions.stats import distinct_counts, one_row, quantiles, sample_kurtosis, sample_skewness
 from millrace.operators.binning import width_bin
 
 
@@ -178,7 +177,6 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
 
 def describe(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: non-null, null, null %, unique, unique %, kind (booleans are categorical)."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
 
     def kind(t: T.DataType) -> str:
         if isinstance(t, NUMERIC):
@@ -194,11 +192,10 @@ def describe(df: DataFrame, approx: bool = False) -> DataFrame:
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 F.count("*").alias("row_count"),
                 F.count_if(missing(df, f.name)).alias("null_count"),
-                distinct(_value(df, f.name)).alias("unique_count"),
             )
             for f in df.schema.fields
         ],
-    )
+    ).join(distinct_counts(df, df.columns, "unique_count", approx), "column_name")
     share = lambda part: F.round(F.coalesce(F.try_divide(part * F.lit(100.0), F.col("row_count")), F.lit(0.0)), 2)
     return rows.withColumns(
         {
@@ -470,7 +467,8 @@ def temporal(df: DataFrame, columns: Sequence[str] = (), months: int = 12) -> Da
 def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:
     """Leading zeros in most values, too few valid emails, names with few different values."""
     texts = columns_of(df, T.StringType)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column_name string, type string, severity string, measure double")
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -478,13 +476,15 @@ def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:
             F.count(c).alias("present"),
             F.count_if(F.col(c).rlike(r"^0\d+")).alias("zeros"),
             F.count_if(F.col(c).rlike(EMAIL_PATTERN)).alias("emails"),
-            (distinct(F.col(c)) if "name" in c.lower() else F.lit(0).cast("bigint")).alias("unique"),
         )
         for c in texts
     ]
-    if not entries:
-        return df.sparkSession.createDataFrame([], "column_name string, type string, severity string, measure double")
     rows = _inline(df, entries)
+    names = [c for c in texts if "name" in c.lower()]
+    if names:
+        rows = rows.join(distinct_counts(df, names, "unique", approx), "column_name", "left")
+    else:
+        rows = rows.withColumn("unique", F.lit(None).cast("bigint"))
     name = F.lower("column_name")
     share = lambda part: F.try_divide(part, F.col("present"))
     none = F.lit(None).cast("struct<type:string,severity:string,measure:double>")
@@ -513,17 +513,16 @@ def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:
 def uniqueness(df: DataFrame, approx: bool = False) -> DataFrame:
     """Columns whose values are all different, and integer keys without gaps (max - min + 1 = rows)."""
     whole = columns_of(df, *INTEGRAL)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
             F.count("*").alias("rows"),
-            distinct(_value(df, c)).alias("unique"),
             ((F.max(c) - F.min(c) + 1).cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias("span"),
         )
         for c in df.columns
     ]
-    rows = _inline(df, entries).filter((F.col("unique") == F.col("rows")) & (F.col("rows") > 0))
+    rows = _inline(df, entries).join(distinct_counts(df, df.columns, "unique", approx), "column_name")
+    rows = rows.filter((F.col("unique") == F.col("rows")) & (F.col("rows") > 0))
     signals = F.array_compact(
         F.array(
             F.lit("unique"),

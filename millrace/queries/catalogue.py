@@ -116,7 +116,7 @@ def minmax_scale(t: Tables):
 @query(
     "zscore_normalize",
     """WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS d FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / d, 6) AS l_extendedprice_normalized FROM lineitem, s""",
+    SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / d, 6) + 0.0 AS l_extendedprice_normalized FROM lineitem, s""",
 )
 def zscore_normalize(t: Tables):
     df = scaling.zscore_normalize(t.lineitem, "l_extendedprice")
