@@ -114,17 +114,21 @@ def quality_flags(df: DataFrame, required: Sequence[str], checks: Mapping[str, s
     return flags
 
 
-def clean_batch(batch: DataFrame, cfg: SilverStream, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Trim, cast, keep the newest change per key, check; the clean and the failing rows of one batch."""
+def check_batch(batch: DataFrame, cfg: SilverStream) -> tuple[DataFrame, list[str]]:
+    """Trim, cast, keep the newest change per key, and add the ``_dq_*`` columns; also returns their names."""
     df = cdc_type_cast(trim_strings(batch), cfg.table)
     keys = [cfg.key] if isinstance(cfg.key, str) else list(cfg.key)
     if set([*keys, *cfg.order]) <= set(df.columns):
         df = latest_changes(df, keys, cfg.order)
     flags = quality_flags(df, cfg.required, cfg.checks)
-    flagged = df.withColumns(flags) if flags else df
+    return (df.withColumns(flags) if flags else df), list(flags)
+
+
+def split_batch(checked: DataFrame, flags: Sequence[str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """The clean rows with the score of the batch, and the failing rows with their flags."""
     failed = reduce(lambda a, b: a | b, [F.col(c) for c in flags], F.lit(False))
-    score = one_row(flagged, total=F.count("*"), clean=F.count_if(~failed))
-    clean = flagged.filter(~failed).drop(*flags)
+    score = one_row(checked, total=F.count("*"), clean=F.count_if(~failed))
+    clean = checked.filter(~failed).drop(*flags)
     clean = clean.withColumns(
         {
             "silver_processed_at": now,
@@ -132,21 +136,27 @@ def clean_batch(batch: DataFrame, cfg: SilverStream, now: Column) -> tuple[DataF
             "silver_validation_status": F.lit("passed"),
         }
     )
-    return clean, flagged.filter(failed).withColumn("_quarantine_timestamp", now)
+    return clean, checked.filter(failed).withColumn("_quarantine_timestamp", now)
+
+
+def clean_batch(batch: DataFrame, cfg: SilverStream, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The clean and the failing rows of one batch."""
+    return split_batch(*check_batch(batch, cfg), now)
 
 
 def silver_sink(cfg: SilverStream, now: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """The micro-batch function of the Silver stream."""
+    """The micro-batch function of the Silver stream; the checked rows are kept for score and both writes."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         moment = F.current_timestamp() if now is None else now
-        batch = batch.persist()
+        checked, flags = check_batch(batch, cfg)
+        checked = checked.persist()
         try:
-            clean, failed = clean_batch(batch, cfg, moment)
+            clean, failed = split_batch(checked, flags, moment)
             write_batch(clean, cfg.silver, batch_id)
             write_batch(failed.withColumn("_quarantine_batch_id", F.lit(batch_id)), cfg.quarantine, batch_id)
         finally:
-            batch.unpersist()
+            checked.unpersist()
 
     return process
 
