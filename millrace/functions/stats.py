@@ -194,6 +194,18 @@ def distinct_counts(df: DataFrame, columns: list[str], name: str = "distinct_cou
     return reduce(lambda a, b: a.unionAll(b), parts)
 
 
+def with_distinct_counts(
+    rows: DataFrame, df: DataFrame, columns: list[str], name: str = "distinct_count", approx: bool = False
+) -> DataFrame:
+    """Add the distinct count of ``df`` to rows that carry a ``column_name``; NULL for other columns.
+
+    The counts, one per column, arrive as one map through a scalar subquery.
+    """
+    counts = distinct_counts(df, columns, "n", approx)
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "n")))).scalar()
+    return rows.withColumn(name, F.try_element_at(found, F.col("column_name")))
+
+
 def sample_skewness(column: Column) -> Column:
     """Bias-corrected skewness; NULL below three values."""
     n = F.count(column).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import order as paging
 from millrace.functions.scalars import FLOATING, NUMERIC, TEMPORAL, as_list, epoch_seconds, missing
-from millrace.functions.stats import distinct_counts
+from millrace.functions.stats import with_distinct_counts
 from millrace.operators.columns import filter_triples
 
 
@@ -125,7 +125,7 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
             )
         )
     rows = df.agg(F.array(*entries).alias("c")).select(F.inline("c"))
-    rows = rows.join(distinct_counts(df, df.columns, approx=approx), "column_name")
+    rows = with_distinct_counts(rows, df, df.columns, approx=approx)
     share = F.try_divide(F.col("null_count") * F.lit(100.0), F.col("row_count"))
     return rows.withColumn("null_percentage", F.round(share, 2))
 

@@ -20,7 +20,7 @@ from millrace.functions.scalars import (
     columns_of,
     missing,
 )
-from millrace.functions.stats import distinct_counts, one_row, quantiles, sample_kurtosis, sample_skewness
+from millrace.functions.stats import one_row, quantiles, sample_kurtosis, sample_skewness, with_distinct_counts
 from millrace.operators.binning import width_bin
 
 
@@ -183,7 +183,7 @@ def describe(df: DataFrame, approx: bool = False) -> DataFrame:
             return "numeric"
         return "datetime" if isinstance(t, TEMPORAL) else "categorical"
 
-    rows = _inline(
+    basics = _inline(
         df,
         [
             F.struct(
@@ -195,7 +195,8 @@ def describe(df: DataFrame, approx: bool = False) -> DataFrame:
             )
             for f in df.schema.fields
         ],
-    ).join(distinct_counts(df, df.columns, "unique_count", approx), "column_name")
+    )
+    rows = with_distinct_counts(basics, df, df.columns, "unique_count", approx)
     share = lambda part: F.round(F.coalesce(F.try_divide(part * F.lit(100.0), F.col("row_count")), F.lit(0.0)), 2)
     return rows.withColumns(
         {
@@ -482,7 +483,7 @@ def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:
     rows = _inline(df, entries)
     names = [c for c in texts if "name" in c.lower()]
     if names:
-        rows = rows.join(distinct_counts(df, names, "unique", approx), "column_name", "left")
+        rows = with_distinct_counts(rows, df, names, "unique", approx)
     else:
         rows = rows.withColumn("unique", F.lit(None).cast("bigint"))
     name = F.lower("column_name")
@@ -521,7 +522,7 @@ def uniqueness(df: DataFrame, approx: bool = False) -> DataFrame:
         )
         for c in df.columns
     ]
-    rows = _inline(df, entries).join(distinct_counts(df, df.columns, "unique", approx), "column_name")
+    rows = with_distinct_counts(_inline(df, entries), df, df.columns, "unique", approx)
     rows = rows.filter((F.col("unique") == F.col("rows")) & (F.col("rows") > 0))
     signals = F.array_compact(
         F.array(

@@ -59,7 +59,7 @@ def text_metrics(df: DataFrame, col: str) -> DataFrame:
     text = F.col(col)
     return df.withColumns(
         {
-            "line_count": F.regexp_count(text, F.lit("\n")) + 1,
+            "line_count": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
             "word_count": F.regexp_count(text, F.lit(WORD)),
             "char_count": F.length(text),
             "text_preview": F.substring(text, 1, PREVIEW_CHARS),
