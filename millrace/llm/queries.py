@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, gray_simhash, language, main_text, packing, quality, range_join, shard_tree
+from millrace.llm import byte_bpe, gray_simhash, language, main_text, packing, quality, range_join, shard_tree, suffix_lm
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,12 @@ def op7_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
