@@ -197,9 +197,14 @@ def identify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(df: DataFrame, net: Network, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is recognised with at least ``min_score``, all columns unchanged."""
+    """The rows whose language is recognised with at least ``min_score``, all columns unchanged.
+
+    Texts without a letter go. A network that had nothing to learn from rejects no other text.
+    """
 
     def keep(texts):
+        if not net.labels:
+            return [_LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
         names, score = predict(net, texts)
         return (score >= min_score) & (np.array(names, object) != UNKNOWN)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, gray_simhash, language, main_text, packing, quality, range_join, shard_tree, suffix_lm
+from millrace.llm import byte_bpe, gray_simhash, language, licences, main_text, packing, quality, range_join, shard_tree, suffix_lm
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
