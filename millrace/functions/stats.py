@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.scalars import FLOATING, clean_number
 
 # percentile_approx keeps about this many sketch entries; rank error is at most n / ACCURACY.
 ACCURACY = 10_000
+# Compared without a detour through double.
+_EXACT = (T.IntegralType, T.DecimalType)
 
 
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
@@ -23,129 +27,148 @@ def one_row(df: DataFrame, **aggregates: Column) -> Column:
 
 
 @dataclass
-class _Target:
-    """One wanted quantile and the value bracket known to hold its order statistics."""
+class _Wanted:
+    """One order statistic: the ``rank``-th value (from 0) of the ``inner`` values strictly between two bounds."""
 
     column: str
-    prob: float
     rank: int
-    frac: float
-    low: float
-    high: float
-    below: int
-    size: int
-    margin: float = 2.0 / ACCURACY
-    inner: int = 0
-    values: list[float] = field(default_factory=list)
+    inner: int
+    low: object = None
+    high: object = None
+    found: bool = False
+    value: object = None
 
     def inside(self) -> Column:
-        value = F.col(self.column)
-        return F.when(value.between(self.low, self.high), value)
-
-    def aims(self) -> list[float]:
-        """Percentages a little below and above the wanted positions."""
-        low, high = self.wanted[0] / self.size - self.margin, (self.wanted[-1] + 1) / self.size + self.margin
-        return [max(0.0, low), min(1.0, high)]
+        """The column's value if it lies strictly between the bounds."""
+        value, limits = F.col(self.column), []
+        if self.low is not None:
+            limits.append(value > F.lit(self.low))
+        if self.high is not None:
+            limits.append(value < F.lit(self.high))
+        return F.when(reduce(lambda a, b: a & b, limits), value) if limits else value
 
     @property
-    def wanted(self) -> list[int]:
-        """Positions of the one or two order statistics, counted inside the bracket."""
-        first = self.rank - self.below
-        return [first, first + 1] if self.frac > 0 else [first]
+    def bracket(self) -> tuple:
+        return (self.column, self.low, self.high)
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], small: int = 200_000
+    df: DataFrame, columns: list[str], probs: list[float], small: int = 50_000, own_type: bool = False
 ) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles, without sorting and without a large buffer in one task.
 
-    ``percentile`` keeps every distinct value it sees, so it is only used once at most ``small`` rows are
-    strictly inside the bracket. Until then each pass narrows the bracket with ``percentile_approx``
-    (bounded sketch, merged map-side) and counts exactly how many rows fall below and inside it. A pass
-    shrinks the bracket about 2500 times, so 10^12 rows need two. Only counts and bounds, one row per
-    pass, come to the driver.
+    Each order statistic is looked for between two bounds that are values of the column and not inside themselves. A pass
+    sketches the inside, takes a value a little below and one a little above the wanted place, and counts exactly how
+    many rows lie below, at, between, at and above the two. Either one of them is the wanted value or the new bounds are two of the
+    old inside's values, so the inside shrinks in every pass, usually about 2500 times: 10^12 rows need two. At most ``small`` rows
+    are then sorted in one aggregate. Only counts and bounds come to the driver. Integers and decimals are
+    compared in their own type; with ``own_type`` a quantile that is one of the values, or lies at a whole
+    number, comes back in it.
     """
-    data = df.select(*[clean_number(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
+    kinds = {c: df.schema[c].dataType for c in columns}
+    data = df.select(
+        *[
+            (F.col(f"`{c}`") if isinstance(kinds[c], _EXACT) else clean_number(F.col(f"`{c}`"))).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
     names = {f"c{i}": c for i, c in enumerate(columns)}
-    head = data.agg(
-        *[F.count(k).alias(f"n_{k}") for k in names],
-        *[F.min(k).alias(f"lo_{k}") for k in names],
-        *[F.max(k).alias(f"hi_{k}") for k in names],
-    ).first()
-
-    result: dict[tuple[str, float], float | None] = {}
-    targets: list[_Target] = []
+    head = data.agg(*[F.count(k).alias(k) for k in names]).first()
+    wanted: dict[tuple[str, int], _Wanted] = {}
+    places: dict[tuple[str, float], tuple[list[_Wanted], float]] = {}
     for key, name in names.items():
-        n = head[f"n_{key}"]
+        n = head[key]
         for p in probs:
-            if n == 0:
-                result[(name, p)] = None
-                continue
-            position = (n - 1) * p
+            position = (n - 1) * p if n else 0.0
             rank = int(position)
-            targets.append(
-                _Target(key, p, rank, position - rank, head[f"lo_{key}"], head[f"hi_{key}"], 0, n, inner=n)
-            )
-
-    open_targets = [t for t in targets if t.inner > small and t.low < t.high]
-    while open_targets:
-        _narrow(data, open_targets)
-        open_targets = [t for t in open_targets if t.inner > small and t.low < t.high]
-
-    flat = [t for t in targets if t.low == t.high]
-    for t in flat:
-        t.values = [t.low] * len(t.wanted)
-    rest = [t for t in targets if t.low < t.high]
-    if rest:
-        row = data.agg(
-            *[
-                F.percentile(t.inside(), [w / (t.size - 1) for w in t.wanted]).alias(f"q{i}")
-                for i, t in enumerate(rest)
-            ]
-        ).first()
-        for i, t in enumerate(rest):
-            t.values = list(row[f"q{i}"])
+            ranks = [] if not n else [rank] if position == rank else [rank, rank + 1]
+            both = [wanted.setdefault((key, r), _Wanted(key, r, n)) for r in ranks]
+            places[(name, p)] = (both, position - rank)
+
+    while large := [w for w in wanted.values() if not w.found and w.inner > small]:
+        _narrow(data, large)
+    _look_up(data, [w for w in wanted.values() if not w.found])
+    return {place: _between([w.value for w in both], frac, own_type) for place, (both, frac) in places.items()}
+
+
+def _between(values: list, frac: float, own_type: bool):
+    """Linear interpolation between one or two neighbouring order statistics."""
+    if not values:
+        return None
+    first, last = values[0], values[-1]
+    if own_type and isinstance(first, (int, Decimal)):
+        step = (last - first) * (Decimal(frac) if isinstance(first, Decimal) else Fraction(frac))
+        if isinstance(first, Decimal):
+            return first + step
+        return first + int(step) if step.denominator == 1 else float(first + step)
+    return float(first) + frac * (float(last) - float(first))
+
+
+def _by_bracket(targets: list[_Wanted]) -> list[list[_Wanted]]:
+    shared: dict[tuple, list[_Wanted]] = {}
     for t in targets:
-        first, last = t.values[0], t.values[-1]
-        result[(names[t.column], t.prob)] = first + t.frac * (last - first)
-    return result
+        shared.setdefault(t.bracket, []).append(t)
+    return list(shared.values())
 
 
-def _narrow(data: DataFrame, targets: list[_Target]) -> None:
-    """One refinement of every target: sketch new bounds, then count exactly what they hold.
+def _narrow(data: DataFrame, targets: list[_Wanted]) -> None:
+    """One pass for all targets; those that still share their bounds share the sketch."""
+    groups = _by_bracket(targets)
+
+    def aims(t: _Wanted) -> list[float]:
+        margin = 2.0 / ACCURACY
+        return [max(0.0, t.rank / t.inner - margin), min(1.0, (t.rank + 1) / t.inner + margin)]
 
-    Targets that still share a bracket share its sketch.
-    """
-    shared: dict[tuple[str, float, float], list[_Target]] = {}
-    for t in targets:
-        shared.setdefault((t.column, t.low, t.high), []).append(t)
     sketch = data.agg(
         *[
-            F.percentile_approx(group[0].inside(), [p for t in group for p in t.aims()], ACCURACY).alias(f"b{i}")
-            for i, group in enumerate(shared.values())
+            F.percentile_approx(group[0].inside(), [p for t in group for p in aims(t)], ACCURACY).alias(f"b{i}")
+            for i, group in enumerate(groups)
         ]
     ).first()
-    bounds_of = {}
-    for i, group in enumerate(shared.values()):
-        for j, t in enumerate(group):
-            bounds_of[id(t)] = (sketch[f"b{i}"][2 * j], sketch[f"b{i}"][2 * j + 1])
-    bounds = [bounds_of[id(t)] for t in targets]
+    bounds = [(t, *sketch[f"b{i}"][2 * j : 2 * j + 2]) for i, group in enumerate(groups) for j, t in enumerate(group)]
     counts = []
-    for i, (t, (low, high)) in enumerate(zip(targets, bounds)):
-        value = F.col(t.column)
+    for i, (t, a, b) in enumerate(bounds):
+        x = t.inside()
         counts += [
-            F.count_if(value < low).alias(f"below{i}"),
-            F.count_if(value.between(low, high)).alias(f"size{i}"),
-            F.count_if((value > low) & (value < high)).alias(f"inner{i}"),
+            F.count_if(x < F.lit(a)).alias(f"below{i}"),
+            F.count_if(x == F.lit(a)).alias(f"a{i}"),
+            F.count_if((x > F.lit(a)) & (x < F.lit(b))).alias(f"between{i}"),
+            F.count_if((x == F.lit(b)) & (x > F.lit(a))).alias(f"b{i}"),
         ]
     row = data.agg(*counts).first()
-    for i, (t, (low, high)) in enumerate(zip(targets, bounds)):
-        below, size = row[f"below{i}"], row[f"size{i}"]
-        last = t.rank + (1 if t.frac > 0 else 0)
-        if below <= t.rank and last < below + size and row[f"inner{i}"] < t.inner:
-            t.low, t.high, t.below, t.size, t.inner = low, high, below, size, row[f"inner{i}"]
-        else:  # the sketch missed: keep the old bracket and look wider
-            t.margin *= 4
+    for i, (t, a, b) in enumerate(bounds):
+        below, at_a, between, at_b = (row[f"{k}{i}"] for k in ("below", "a", "between", "b"))
+        if t.rank < below:
+            t.high, t.inner = a, below
+            continue
+        t.rank -= below
+        if t.rank < at_a:
+            t.found, t.value = True, a
+            continue
+        t.rank -= at_a
+        if t.rank < between:
+            t.low, t.high, t.inner = a, b, between
+            continue
+        t.rank -= between
+        if t.rank < at_b:
+            t.found, t.value = True, b
+            continue
+        t.rank -= at_b
+        t.low, t.inner = b, t.inner - below - at_a - between - at_b
+
+
+def _look_up(data: DataFrame, targets: list[_Wanted]) -> None:
+    """Sort what little lies inside the bounds, once for each pair of bounds."""
+    groups = _by_bracket(targets)
+    if not groups:
+        return
+    sorted_values = [F.sort_array(F.collect_list(group[0].inside())).alias(f"s{i}") for i, group in enumerate(groups)]
+    row = data.agg(*sorted_values).select(
+        *[F.array(*[F.get(f"s{i}", F.lit(t.rank)) for t in group]).alias(f"v{i}") for i, group in enumerate(groups)]
+    ).first()
+    for i, group in enumerate(groups):
+        for t, value in zip(group, row[f"v{i}"]):
+            t.found, t.value = True, value
 
 
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[tuple[str, float], float | None]:
@@ -164,10 +187,10 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> d
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], approx: bool = False
+    df: DataFrame, columns: list[str], probs: list[float], approx: bool = False, own_type: bool = False
 ) -> dict[tuple[str, float], float | None]:
     """Exact quantiles, or the one-pass sketch with ``approx=True``."""
-    return (approx_quantiles if approx else exact_quantiles)(df, columns, probs)
+    return approx_quantiles(df, columns, probs) if approx else exact_quantiles(df, columns, probs, own_type=own_type)
 
 
 def distinct_counts(df: DataFrame, columns: list[str], name: str = "distinct_count", approx: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ def fill_nulls(
         stats = one_row(df, **{c: F.avg(c) for c in names})
         fills = {c: stats[c] for c in names}
     elif method == "median":
-        middle = quantiles(df, names, [0.5], approx)
+        middle = quantiles(df, names, [0.5], approx, own_type=True)
         fills = {c: F.lit(middle[(c, 0.5)]) for c in names}
     elif method == "mode":
         fills = {c: _mode(df, c) for c in names}

@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -6,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import approx_quantiles, exact_quantiles, one_row
-from millrace.operators import profiling
+from millrace.functions import stats
+from millrace.operators import cleaning, profiling
 
 
-@pytest.mark.parametrize("shape", ["spread", "ties", "two_values", "constant", "nan"])
+@pytest.mark.parametrize("shape", ["spread", "ties", "two_values", "constant", "nan", "between_heavy"])
 def test_exact_quantiles_refine_to_the_exact_value(spark, shape):
     rng = np.random.default_rng(3)
     data = {
@@ -17,6 +19,7 @@ def test_exact_quantiles_refine_to_the_exact_value(spark, shape):
         "ties": np.where(rng.random(20_000) < 0.34, 5.0, rng.integers(0, 1000, 20_000) / 7),
         "two_values": np.where(rng.random(20_000) < 0.5, 1.0, 2.0),
         "constant": np.full(20_000, 4.0),
+        "between_heavy": np.repeat([1.0, 2.0, 3.0], [9_970, 60, 9_970]),
         "nan": np.where(rng.random(20_000) < 0.3, np.nan, rng.random(20_000)),
     }[shape]
     df = spark.createDataFrame(pd.DataFrame({"x": data}))
@@ -26,6 +29,26 @@ def test_exact_quantiles_refine_to_the_exact_value(spark, shape):
         assert got[("x", p)] == pytest.approx(np.nanquantile(data, p), rel=1e-9, abs=1e-9)
 
 
+def test_quantiles_end_between_two_heavy_values(spark, monkeypatch):
+    passes = []
+    narrow = stats._narrow
+    monkeypatch.setattr(stats, "_narrow", lambda data, targets: (passes.append(1), narrow(data, targets)))
+    values = spark.range(100_000).selectExpr("case when id < 49990 then 1.0D when id < 50010 then 2.0D else 3.0D end as x")
+    assert exact_quantiles(values, ["x"], [0.5], small=10) == {("x", 0.5): 2.0}
+    assert len(passes) <= 3
+
+
+def test_quantiles_keep_large_integers_and_decimals(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, Decimal("12345678901234567890.12")), (big, Decimal("12345678901234567890.12")), (big + 2, Decimal("1")), (None, None)], "i long, d decimal(38,2)")
+    got = exact_quantiles(df, ["i", "d"], [0.5], own_type=True)
+    assert got == {("i", 0.5): big, ("d", 0.5): Decimal("12345678901234567890.12")}
+    filled = cleaning.fill_nulls(df, ["i"], method="median")
+    assert filled.where("d is null").first().i == big
+    even = spark.createDataFrame([(big,), (big + 2,), (big + 3,), (big + 1,)], "i long")
+    assert exact_quantiles(even, ["i"], [0.5], own_type=True)[("i", 0.5)] == pytest.approx(big + 1.5)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {("x", 0.5): None}
