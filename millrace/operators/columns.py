@@ -247,8 +247,8 @@ def check_select(sql: str) -> str:
     return text
 
 
-def run_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame | str], limit: int | None = 1000) -> DataFrame:
-    """An ad-hoc SELECT over named tables (frames or Parquet paths); the row limit is part of the plan."""
+def run_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame | str], limit: int | None = None) -> DataFrame:
+    """An ad-hoc SELECT over named tables (frames or Parquet paths); a row limit, if given, is part of the plan."""
     text = check_select(sql)
     for name, table in tables.items():
         frame = spark.read.parquet(table) if isinstance(table, str) else table
@@ -257,10 +257,10 @@ def run_query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame | st
     return result if limit is None else result.limit(limit)
 
 
-def query_template(name: str, table: str, column: str = "*", order: str = "created_at") -> str:
-    """SQL text of a stock check, for ``run_query``."""
+def query_template(name: str, table: str, column: str = "*", order: str = "created_at", rows: int = 100) -> str:
+    """SQL text of a stock check, for ``run_query``; the preview shows the first ``rows`` by ``order``."""
     templates = {
-        "basic_preview": f"SELECT * FROM {table} LIMIT 100",
+        "basic_preview": f"SELECT * FROM {table} ORDER BY {order} LIMIT {rows}",
         "row_count": f"SELECT COUNT(*) AS total_rows FROM {table}",
         "check_nulls": (
             f"SELECT COUNT(*) AS total_rows, COUNT(CASE WHEN {column} IS NULL THEN 1 END) AS null_count FROM {table}"

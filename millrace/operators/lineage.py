@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -27,7 +28,6 @@ EDGE_SCHEMA = T.StructType(
     ]
 )
 LAYERS = ["source", "bronze", "silver", "gold"]
-MAX_DEPTH = 10
 
 
 def edge_rules() -> list[Rule]:
@@ -55,14 +55,24 @@ def record_lineage(spark: SparkSession, path: str, edge: Mapping[str, object]) -
     spark.createDataFrame([tuple(row.values())], EDGE_SCHEMA).write.mode("append").parquet(path)
 
 
-def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth: int = 3) -> DataFrame:
+def _pairs(edges: DataFrame) -> DataFrame:
+    """The distinct pairs of tables, written once, so that no hop computes the edges again."""
+    return stage(edges.select("source_table", "target_table").distinct(), "pairs")
+
+
+def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth: int | None = 3) -> DataFrame:
     """Tables reachable from ``table`` with the smallest number of hops; cycles are cut.
 
-    One join per hop. The new tables of each hop are written to the shared folder, so the plan does not grow
-    with the depth, and the search stops when a hop finds nothing.
+    One join per hop over the distinct pairs of tables. The new tables of each hop are written to the shared folder, so
+    the plan does not grow with the depth, and the search stops when a hop finds nothing; ``depth=None`` goes on
+    until then.
     """
-    if not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+    if depth is not None and depth < 1:
+        raise ValueError("depth must be at least 1, or None for no bound")
+    return _reached(_pairs(edges), table, direction, depth)
+
+
+def _reached(edges: DataFrame, table: str, direction: str, depth: int | None) -> DataFrame:
     near, far = {
         "downstream": ("source_table", "target_table"),
         "upstream": ("target_table", "source_table"),
@@ -70,7 +80,7 @@ def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth:
     hops = edges.select(F.col(near).alias("_near"), F.col(far).alias("table_name"))
     start = edges.sparkSession.createDataFrame([(table,)], "table_name string")
     visited, frontier, found = start, start, []
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         step = hops.join(frontier.select(F.col("table_name").alias("_near")), "_near", "left_semi")
         fresh = step.select("table_name").distinct().join(visited, "table_name", "left_anti")
         frontier = stage(fresh, "hop")
@@ -84,10 +94,11 @@ def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth:
     return result
 
 
-def impact(edges: DataFrame, table: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """One row: how many tables feed the table and depend on it, and the risk of changing it."""
-    up = lineage(edges, table, "upstream", depth).agg(F.count("*").alias("n")).scalar()
-    down = lineage(edges, table, "downstream", depth)
+def impact(edges: DataFrame, table: str) -> DataFrame:
+    """One row: how many tables feed the table and depend on it at any distance, and the risk of changing it."""
+    pairs = _pairs(edges)
+    up = _reached(pairs, table, "upstream", None).agg(F.count("*").alias("n")).scalar()
+    down = _reached(pairs, table, "downstream", None)
     n = F.col("total_downstream")
     return down.agg(F.count("*").alias("total_downstream")).select(
         F.lit(table).alias("table_name"),
@@ -175,17 +186,17 @@ def audit(
     category: str | None = None,
     like: str | None = None,
     since: Column | None = None,
-    n: int = 100,
+    n: int | None = None,
     tie: str = "event_id",
 ) -> DataFrame:
-    """The newest audit rows of a category, type pattern and period."""
+    """Audit rows of a category, type pattern and period; with ``n`` only the newest ones, newest first."""
     if category is not None:
         df = df.filter(F.col("event_category") == category)
     if like is not None:
         df = df.filter(F.col("event_type").like(like))
     if since is not None:
         df = df.filter(F.col("event_timestamp") >= since)
-    return recent(df, ["event_timestamp", tie], n)
+    return df if n is None else recent(df, ["event_timestamp", tie], n)
 
 
 def quality_trend(edges: DataFrame, since: Column, path: str = "$.quality_score", ts: str = "created_at") -> DataFrame:

@@ -1,11 +1,11 @@
 """Text jobs over document tables: metrics, keywords, sentiment, extraction, redaction, chunks.
 
-All of them are column expressions over the whole text; only the keyword tables shuffle, and what they shuffle
-is one row per different word of a document.
+All of them are column expressions over the whole text. A text is one row, so even the keyword tables need no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Word pattern, word lists, limits and patterns the results depend on.
 WORD = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_]{4,}"
-MAX_KEPT_CHARS = 1024 * 1024
-PREVIEW_CHARS = 1000
 POSITIVE_WORDS = [
     "thank", "great", "excellent", "good", "happy", "glad", "found", "helpful", "appreciate", "wonderful", "pleased",
 ]
@@ -37,7 +35,7 @@ _EDGE_BEFORE, _EDGE_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 FIELD_PATTERNS = {
     "Date": _EDGE_BEFORE + r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[\p{L}\p{N}_]+ \d{1,2},? \d{4})" + _EDGE_AFTER,
     "Amount": r"(\$[\d,]+(?:\.\d{2})?)",
-    "Reference Number": _EDGE_BEFORE + r"((?i:INV|ORDER|REF|CASE|TICKET)[#\-]?[\p{L}\p{N}_\-]{4,})" + _EDGE_AFTER,
+    "Reference Number": _EDGE_BEFORE + r"((?i:INV|ORDER|REF|CASE|TICKET)[#\-]?[\p{L}\p{N}_\-]{3,}[\p{L}\p{N}_])" + _EDGE_AFTER,
     "Email": r"([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})",
 }
 FIELD_CONFIDENCE = 0.75
@@ -54,47 +52,63 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def text_metrics(df: DataFrame, col: str) -> DataFrame:
-    """Add line, word and character counts, a preview, and the text unless it is too long to keep."""
+def text_metrics(df: DataFrame, col: str, preview_chars: int | None = None) -> DataFrame:
+    """Add line, word and character counts and the whole text; with ``preview_chars`` also its first characters."""
     text = F.col(col)
+    preview = {} if preview_chars is None else {"text_preview": F.substring(text, 1, preview_chars)}
     return df.withColumns(
         {
             "line_count": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
             "word_count": F.regexp_count(text, F.lit(WORD)),
             "char_count": F.length(text),
-            "text_preview": F.substring(text, 1, PREVIEW_CHARS),
-            "text_content": F.when(F.length(text) < MAX_KEPT_CHARS, text),
+            "text_content": text,
+            **preview,
         }
     )
 
 
-def word_counts(df: DataFrame, id_col: str, text_col: str, keep: Column) -> DataFrame:
-    """(id, word, count, first position) of the words of four or more characters for which ``keep`` holds.
+def _top_words(df: DataFrame, id_col: str, text_col: str, keep: Callable[[Column], Column], k: int) -> DataFrame:
+    """(id, word, count, rank, highest) of the most frequent longer words for which ``keep`` holds; ties by first use.
 
-    All words of a document are in one row, so the map-side aggregate already counts them completely.
+    A text is one row, so its words are sorted and counted inside the row: no shuffle.
     """
-    exploded = df.select(id_col, F.posexplode(words(F.col(text_col), LONG_WORD)).alias("_pos", "word"))
-    return exploded.filter(keep).groupBy(id_col, "word").agg(F.count("*").alias("count"), F.min("_pos").alias("_first"))
+    kept = F.filter(words(F.col(text_col), LONG_WORD), keep)
+    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("word"), i.alias("first"))))
+    n = F.size("_words")
 
+    def word(i: Column) -> Column:
+        return F.get("_words", i)["word"]
 
-def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent longer words per document; ties by first use."""
-    keep = ~F.col("word").isin(SHORT_STOP_WORDS)
-    counts = word_counts(df, id_col, text_col, keep)
-    return _ranked(counts, id_col, k)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+
+    def run(start: Column, i: Column) -> Column:
+        count = F.coalesce(F.get("_starts", i + 1), n) - start
+        return F.struct((-count).alias("less"), F.get("_words", start)["first"].alias("first"), word(start).alias("word"))
+
+    counted = (
+        df.select(id_col, placed.alias("_words"))
+        .select(id_col, "_words", F.when(n > 0, starts).alias("_starts"))
+        .select(id_col, F.array_sort(F.transform("_starts", run)).alias("_runs"))
+    )
+    top = counted.select(id_col, F.col("_runs")[0]["less"].alias("_less"), F.posexplode(F.slice("_runs", 1, k)).alias("_pos", "_run"))
+    return top.select(
+        id_col,
+        F.col("_run.word").alias("word"),
+        (-F.col("_run.less")).cast("bigint").alias("count"),
+        (F.col("_pos") + 1).alias("rank"),
+        (-F.col("_less")).cast("bigint").alias("_highest"),
+    )
 
 
-def _ranked(counts: DataFrame, id_col: str, k: int) -> DataFrame:
-    order = Window.partitionBy(id_col).orderBy(F.col("count").desc(), "_first")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_first")
+def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent longer words per document; ties by first use."""
+    return _top_words(df, id_col, text_col, lambda w: ~w.isin(SHORT_STOP_WORDS), k).drop("_highest")
 
 
 def keyword_relevance(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
     """Top words of at least four plain letters, with relevance 0.6 + 0.4 · count / highest count."""
-    keep = F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(LONG_STOP_WORDS)
-    top = _ranked(word_counts(df, id_col, text_col, keep), id_col, k)
-    highest = F.max("count").over(Window.partitionBy(id_col))  # at most k rows per document
-    return top.withColumn("relevance", two_digits(60 + F.col("count") * 40.0 / highest))
+    top = _top_words(df, id_col, text_col, lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(LONG_STOP_WORDS), k)
+    return top.withColumn("relevance", two_digits(60 + F.col("count") * 40.0 / F.col("_highest"))).drop("_highest")
 
 
 def two_digits(percent: Column) -> Column:
@@ -134,11 +148,11 @@ def extract_fields(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
 
 def summarise(df: DataFrame, col: str, n: int = 2, name: str = "summary") -> DataFrame:
-    """The first ``n`` sentences longer than 20 characters, else the first 200 characters."""
+    """The first ``n`` sentences longer than 20 characters; the whole text if there are none."""
     parts = F.transform(F.split(F.col(col), "[.!?]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     sentences = F.filter(parts, lambda s: F.length(s) > 20)
     joined = F.array_join(F.slice(sentences, 1, n), " ")
-    return df.withColumn(name, F.when(F.size(sentences) > 0, joined).otherwise(F.substring(F.col(col), 1, 200)))
+    return df.withColumn(name, F.when(F.size(sentences) > 0, joined).otherwise(F.col(col)))
 
 
 def speaker_stats(df: DataFrame, conversation: str, speaker: str, text: str) -> DataFrame:

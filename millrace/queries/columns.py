@@ -237,7 +237,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegme
 
 @query("sql_query", ADHOC)
 def sql_query(t: Tables):
-    return op.run_query(t.spark, ADHOC, {"orders": t.orders, "customer": t.path("customer")}, limit=1000)
+    return op.run_query(t.spark, ADHOC, {"orders": t.orders, "customer": t.path("customer")})
 
 
 TEMPLATES = {

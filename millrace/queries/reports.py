@@ -44,7 +44,10 @@ def edges(t: Tables):
     return a.unionAll(b).unionAll(c)
 
 
-def _closure(start: str, near: str, far: str, depth: int) -> str:
+def _closure(start: str, near: str, far: str, depth: int | None = None) -> str:
+    if depth is None:  # all that can be reached
+        return f"""WITH RECURSIVE e AS (SELECT DISTINCT source_table, target_table FROM ({EDGES})), r AS (
+          SELECT '{start}' AS t UNION SELECT e.{far} FROM r JOIN e ON e.{near} = r.t) SELECT t AS table_name FROM r WHERE t <> '{start}'"""
     return f"""WITH RECURSIVE e AS (SELECT DISTINCT source_table, target_table FROM ({EDGES})), r AS (
       SELECT '{start}' AS t, 0 AS d UNION SELECT e.{far}, r.d + 1 FROM r JOIN e ON e.{near} = r.t WHERE r.d < {depth})
     SELECT t AS table_name, CAST(min(d) AS INTEGER) AS depth FROM r WHERE t <> '{start}' GROUP BY 1"""
@@ -62,7 +65,7 @@ def lineage_upstream(t: Tables):
 
 @query(
     "lineage_impact",
-    f"""WITH u AS ({_closure('o.5', 'target_table', 'source_table', 10)}), d AS ({_closure('o.5', 'source_table', 'target_table', 10)})
+    f"""WITH u AS ({_closure('o.5', 'target_table', 'source_table')}), d AS ({_closure('o.5', 'source_table', 'target_table')})
     SELECT 'o.5' AS table_name, (SELECT count(*) FROM u) AS total_upstream, (SELECT count(*) FROM d) AS total_downstream,
     CASE WHEN (SELECT count(*) FROM d) > 5 THEN 'high' WHEN (SELECT count(*) FROM d) > 0 THEN 'medium' ELSE 'low' END AS risk_level""",
 )
@@ -157,10 +160,10 @@ def audit_summary(t: Tables):
 
 @query(
     "audit_query",
-    f"SELECT event_id, event_timestamp, event_type, status FROM ({AUDIT}) WHERE event_category = 'cdc' AND event_type LIKE '%i%' AND event_timestamp >= TIMESTAMP '2024-01-03' ORDER BY event_timestamp DESC, event_id DESC LIMIT 50",
+    f"SELECT event_id, event_timestamp, event_type, status FROM ({AUDIT}) WHERE event_category = 'cdc' AND event_type LIKE '%i%' AND event_timestamp >= TIMESTAMP '2024-01-03' ",
 )
 def audit_query(t: Tables):
-    df = L.audit(audit_rows(t), "cdc", "%i%", moment("2024-01-03"), 50)
+    df = L.audit(audit_rows(t), "cdc", "%i%", moment("2024-01-03"))
     return df.select("event_id", "event_timestamp", "event_type", "status")
 
 
@@ -233,7 +236,7 @@ def sql_list(values: list[str]) -> str:
 @query(
     "text_metrics",
     """SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS line_count, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS word_count,
-    CAST(length(text) AS INTEGER) AS char_count, left(text, 1000) AS text_preview, CASE WHEN length(text) < 1048576 THEN md5(text) END AS text_content FROM documents""",
+    CAST(length(text) AS INTEGER) AS char_count, md5(text) AS text_content FROM documents""",
 )
 def text_metrics(t: Tables):
     df = X.text_metrics(t.documents.select("doc_id", "text"), "text").drop("text")
@@ -287,12 +290,12 @@ def language_heuristic(t: Tables):
     return X.language(t.documents, "text").select("doc_id", "language")
 
 
-NOTED = "SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' Paid $1,250.00 on 12/31/2023, see INV-20231.' WHEN doc_id % 4 = 1 THEN ' Due March 3, 2024 for ticket#A77x9.' ELSE '' END AS text FROM documents"
+NOTED = "SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' Paid $1,250.00 on 12/31/2023, see INV-20231-.' WHEN doc_id % 4 = 1 THEN ' Due March 3, 2024 for ticket#A77x9.' ELSE '' END AS text FROM documents"
 
 
 def noted(t: Tables):
     key = F.col("doc_id") % 4
-    tail = F.when(key == 0, " Paid $1,250.00 on 12/31/2023, see INV-20231.").when(key == 1, " Due March 3, 2024 for ticket#A77x9.").otherwise("")
+    tail = F.when(key == 0, " Paid $1,250.00 on 12/31/2023, see INV-20231-.").when(key == 1, " Due March 3, 2024 for ticket#A77x9.").otherwise("")
     return t.documents.select("doc_id", F.concat("text", tail).alias("text"))
 
 
@@ -300,7 +303,7 @@ _B, _A = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 FIELD_SQL = {
     "Date": _B + r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[\p{L}\p{N}_]+ \d{1,2},? \d{4})" + _A,
     "Amount": r"(\$[\d,]+(?:\.\d{2})?)",
-    "Reference Number": _B + r"((?i:INV|ORDER|REF|CASE|TICKET)[#\-]?[\p{L}\p{N}_\-]{4,})" + _A,
+    "Reference Number": _B + r"((?i:INV|ORDER|REF|CASE|TICKET)[#\-]?[\p{L}\p{N}_\-]{3,}[\p{L}\p{N}_])" + _A,
     "Email": r"([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})",
 }
 
@@ -320,7 +323,7 @@ def entity_extract(t: Tables):
 @query(
     "summary_sentences",
     r"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS p FROM documents)
-    SELECT doc_id, CASE WHEN len(p) > 0 THEN array_to_string(p[1:2], ' ') ELSE left(text, 200) END AS summary FROM s""",
+    SELECT doc_id, CASE WHEN len(p) > 0 THEN array_to_string(p[1:2], ' ') ELSE text END AS summary FROM s""",
 )
 def summary_sentences(t: Tables):
     return X.summarise(t.documents, "text").select("doc_id", "summary")
