@@ -14,6 +14,7 @@ from millrace.functions.order import POS, sorted_positions
 from millrace.functions.scalars import as_list
 from millrace.functions.stats import one_row
 
+# Categories that may become columns, unless the caller says otherwise: each is a column of the plan.
 MAX_ONE_HOT = 1000
 
 
@@ -40,11 +41,12 @@ def one_hot(
     columns: str | Sequence[str],
     prefix: str | None = None,
     categories: Mapping[str, Sequence] | None = None,
+    max_categories: int = MAX_ONE_HOT,
 ) -> DataFrame:
-    """A 0/1 column ``<prefix>_<value>`` per category, in value order."""
+    """A 0/1 column ``<prefix>_<value>`` per category, in value order; more than ``max_categories`` are refused."""
     out = {}
     for c in as_list(columns):
-        values = (categories or {}).get(c) or distinct_values(df, c)
+        values = (categories or {}).get(c) or distinct_values(df, c, max_categories)
         out |= {f"{prefix or c}_{v}": F.when(F.col(c) == F.lit(v), 1).otherwise(0) for v in values}
     return df.withColumns(out)
 

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.scalars import as_list
-from millrace.operators.encoding import distinct_values
+from millrace.operators.encoding import MAX_ONE_HOT, distinct_values
 
 DATE_PARTS = {
     "year": F.year,
@@ -178,9 +178,10 @@ def pivot_wide(
     values: str,
     agg: str = "first",
     categories: Sequence | None = None,
+    max_categories: int = MAX_ONE_HOT,
 ) -> DataFrame:
-    """One row per index, one column per category."""
-    wanted = list(categories) if categories is not None else distinct_values(df, columns)
+    """One row per index, one column per category; more than ``max_categories`` found values are refused."""
+    wanted = list(categories) if categories is not None else distinct_values(df, columns, max_categories)
     return df.groupBy(*as_list(index)).pivot(columns, wanted).agg(PIVOT_AGG[agg](values))
 
 

@@ -104,25 +104,19 @@ def value_counts(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count("*").alias("count"))
 
 
-# How many values a frequency table lists.
-LISTED_VALUES, FULL_CARDINALITY, SAMPLE_VALUES = 10, 50, 5
+def categorical_profile(df: DataFrame, columns: Sequence[str] = (), top: int = 10, high_above: int = 50) -> DataFrame:
+    """One row per text column: unique, most and least frequent value, lengths, the ``top`` values with counts.
 
-
-def categorical_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """One row per text column: unique, most and least frequent value, lengths, listed values.
-
-    Up to 50 different values the top ten are listed with counts; above that the column is "high" and five
-    values stand for it. Ties are ordered by value.
+    Columns with more than ``high_above`` different values are labelled "high"; the label changes nothing else. Ties are
+    ordered by value.
     """
     counts = value_counts(df, columns)
     # The two ends of each frequency list come from bounded aggregates, not from an unbounded list.
     present = counts.filter(F.col("value").isNotNull())
     best = F.struct(-F.col("count"), F.col("value"))
-
-
     ranked = present.withColumn("_rn", F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("count").desc(), "value")))
-    top = (
-        ranked.filter(F.col("_rn") <= LISTED_VALUES)
+    leading = (
+        ranked.filter(F.col("_rn") <= top)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list(F.struct("_rn", "value", "count"))).alias("_top"))
     )
@@ -136,10 +130,9 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame
         F.max(F.length("value")).alias("max_length"),
         F.try_divide(F.sum(F.length("value") * F.col("count")), F.sum(F.when(F.col("value").isNotNull(), F.col("count")))).alias("avg_length"),
     )
-    joined = summary.join(top, "column_name", "left")
-    high = F.col("unique_count") > FULL_CARDINALITY
+    joined = summary.join(leading, "column_name", "left")
+    high = F.col("unique_count") > high_above
     listed = F.transform("_top", lambda e: F.concat(e["value"], F.lit(":"), e["count"].cast("string")))
-    sample = F.slice(F.transform("_top", lambda e: e["value"]), 1, SAMPLE_VALUES)
     return joined.select(
         "column_name",
         "unique_count",
@@ -153,7 +146,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame
         "max_length",
         "avg_length",
         F.when(high, F.lit("high")).otherwise(F.lit("low")).alias("cardinality"),
-        F.when(high, sample).otherwise(listed).alias("values"),
+        listed.alias("values"),
     )
 
 
@@ -165,12 +158,13 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
         [
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.min(c).cast("timestamp_ntz").alias("min"),
-                F.max(c).cast("timestamp_ntz").alias("max"),
-                F.floor((F.max(c).cast("timestamp").cast("double") - F.min(c).cast("timestamp").cast("double")) / 86400).alias("range_days"),
-                F.count_if(F.col(c).isNull()).alias("null_count"),
+                F.min(v).cast("timestamp_ntz").alias("min"),
+                F.max(v).cast("timestamp_ntz").alias("max"),
+                F.floor((F.max(v).cast("timestamp").cast("double") - F.min(v).cast("timestamp").cast("double")) / 86400).alias("range_days"),
+                F.count_if(v.isNull()).alias("null_count"),
             )
             for c in names
+            for v in [F.col(f"`{c}`")]
         ],
     )
 
@@ -425,18 +419,19 @@ def outliers(df: DataFrame, columns: Sequence[str] = (), k: float = 1.5, samples
 DATE_WORDS = ["date", "time", "timestamp", "created", "updated"]
 
 
-def temporal(df: DataFrame, columns: Sequence[str] = (), months: int = 12) -> DataFrame:
-    """Per date column: range, distinct times, a batch-load warning, and monthly counts for long ranges.
+def temporal(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Per date column: range, distinct times, a batch-load warning, and the counts of all its months.
 
     Text columns with a date-like name take part when more than half of them parse.
     """
     dates = list(columns) or columns_of(df, *TEMPORAL)
     texts = [] if columns else [c for c in columns_of(df, T.StringType) if any(w in c.lower() for w in DATE_WORDS)]
     if texts:
-        shares = df.agg(*[F.avg(F.col(c).try_cast("timestamp").isNotNull().cast("double")).alias(c) for c in texts]).first()
-        texts = [c for c in texts if (shares[c] or 0) > 0.5]
+        parsed = [F.avg(F.col(f"`{c}`").try_cast("timestamp").isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(texts)]
+        shares = df.agg(*parsed).first()
+        texts = [c for i, c in enumerate(texts) if (shares[i] or 0) > 0.5]
     names = dates + texts
-    value = {c: (F.col(c).try_cast("timestamp") if c in texts else F.col(c)).cast("timestamp_ntz") for c in names}
+    value = {c: (F.col(f"`{c}`").try_cast("timestamp") if c in texts else F.col(f"`{c}`")).cast("timestamp_ntz") for c in names}
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), value[c].alias("value")) for c in names])
     long = df.select(F.inline(cells))
     seconds = lambda c: c.cast("timestamp").cast("double")
@@ -457,12 +452,10 @@ def temporal(df: DataFrame, columns: Sequence[str] = (), months: int = 12) -> Da
         .groupBy("column_name", F.date_format("value", "yyyy-MM").alias("month"))
         .agg(F.count("*").alias("count"))
         .groupBy("column_name")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("month", "count"))), 1, months).alias("monthly"))
+        .agg(F.array_sort(F.collect_list(F.struct("month", "count"))).alias("monthly"))  # one entry per month
     )
     text = F.transform("monthly", lambda e: F.concat(e["month"], F.lit(":"), e["count"].cast("string")))
-    return summary.join(monthly, "column_name", "left").withColumn(
-        "monthly", F.when(F.col("range_days") > 30, text)
-    )
+    return summary.join(monthly, "column_name", "left").withColumn("monthly", text)
 
 
 def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:

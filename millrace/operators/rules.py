@@ -103,7 +103,12 @@ def _range(df: DataFrame, r: Rule) -> Column:
 
 
 def _length(df: DataFrame, r: Rule) -> Column:
-    return ~F.length(r.column).between(r.params.get("min", 0), r.params.get("max", 10_000))
+    size, out = F.length(r.column), F.lit(False)
+    if r.params.get("min") is not None:
+        out = out | (size < r.params["min"])
+    if r.params.get("max") is not None:
+        out = out | (size > r.params["max"])
+    return out
 
 
 def _not_future(df: DataFrame, r: Rule) -> Column:

@@ -172,28 +172,40 @@ def route_tables(t: Tables):
     return rows.groupBy("source_db", "source_table").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
 
-SILVERED = f"""SELECT * FROM (SELECT user_id AS _cdc_key, event_id AS _cdc_lsn, ts AS _cdc_timestamp, event_type, CASE WHEN event_type = 'error' THEN -value ELSE value END AS amount FROM events)
- QUALIFY row_number() OVER (PARTITION BY _cdc_key ORDER BY _cdc_timestamp DESC, _cdc_lsn DESC) = 1"""
+BATCHES = 3
+# The newest change of each key in each batch; what of it is clean is merged.
+SILVERED = f"""SELECT * FROM (SELECT event_id % {BATCHES} AS batch, user_id AS _cdc_key, event_id AS _cdc_lsn, ts AS _cdc_timestamp, event_type, CASE WHEN event_type = 'error' THEN -value ELSE value END AS amount FROM events)
+ QUALIFY row_number() OVER (PARTITION BY batch, _cdc_key ORDER BY _cdc_timestamp DESC, _cdc_lsn DESC) = 1"""
 
 
 def _silver_run(t: Tables):
-    stream = _events_stream(t).select(
+    source, checkpoint = fresh_path(t.spark, "events"), fresh_path(t.spark, "chk")
+    cfg = silver.SilverStream("shop", "transactions", fresh_path(t.spark, "silver"), fresh_path(t.spark, "quarantine"))
+    runs = []
+    for part in range(BATCHES):  # each run finds the files of one more part and takes them as one batch
+        t.events.filter(F.col("event_id") % BATCHES == part).write.mode("append").parquet(source)
+        runs.append(_silver_batch(t, source, checkpoint, cfg))
+    return cfg, runs
+
+
+def _silver_batch(t: Tables, source: str, checkpoint: str, cfg: silver.SilverStream):
+    stream = silver.stream_table(t.spark, source, t.events.schema).select(
         F.col("user_id").alias("_cdc_key"),
         F.col("event_id").alias("_cdc_lsn"),
         F.col("ts").alias("_cdc_timestamp"),
         F.concat(F.col("event_type"), F.lit(" ")).alias("event_type"),
         F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")).cast("string").alias("amount"),
     )
-    cfg = silver.SilverStream("shop", "transactions", fresh_path(t.spark, "silver"), fresh_path(t.spark, "quarantine"))
-    run = silver.start_silver_stream(stream, cfg, fresh_path(t.spark, "chk"), available_now=True, now=now())
+    run = silver.start_silver_stream(stream, cfg, checkpoint, available_now=True, now=now())
     run.awaitTermination()
-    return cfg, run
+    return run
 
 
 @query(
     "silver_stream",
-    f"""WITH s AS ({SILVERED}) SELECT _cdc_key, _cdc_lsn, event_type, amount, round((SELECT count(*) FILTER (amount >= 0) * 100.0::DOUBLE / count(*) FROM s), 6) AS silver_quality_score,
-    'passed' AS silver_validation_status, TIMESTAMP '{NOW}' AS silver_processed_at FROM s WHERE amount >= 0""",
+    f"""WITH s AS ({SILVERED}), q AS (SELECT batch, count(*) FILTER (amount >= 0) * 100.0::DOUBLE / count(*) AS score FROM s GROUP BY 1)
+    SELECT _cdc_key, _cdc_lsn, event_type, amount, round(score, 6) AS silver_quality_score, 'passed' AS silver_validation_status, TIMESTAMP '{NOW}' AS silver_processed_at
+    FROM s JOIN q USING (batch) WHERE amount >= 0 QUALIFY row_number() OVER (PARTITION BY _cdc_key ORDER BY _cdc_timestamp DESC, _cdc_lsn DESC) = 1""",
 )
 def silver_stream(t: Tables):
     cfg, _ = _silver_run(t)
@@ -201,7 +213,7 @@ def silver_stream(t: Tables):
     return df.select("_cdc_key", "_cdc_lsn", "event_type", "amount", "silver_quality_score", "silver_validation_status", "silver_processed_at")
 
 
-@query("stream_quarantine", f"SELECT _cdc_key, _cdc_lsn, amount, true AS _dq_negative_amount, 0 AS _quarantine_batch_id, TIMESTAMP '{NOW}' AS _quarantine_timestamp FROM ({SILVERED}) WHERE amount < 0")
+@query("stream_quarantine", f"SELECT _cdc_key, _cdc_lsn, amount, true AS _dq_negative_amount, CAST(batch AS INTEGER) AS _quarantine_batch_id, TIMESTAMP '{NOW}' AS _quarantine_timestamp FROM ({SILVERED}) WHERE amount < 0")
 def stream_quarantine(t: Tables):
     cfg, _ = _silver_run(t)
     df = t.spark.read.parquet(cfg.quarantine)
@@ -215,13 +227,11 @@ def stream_quarantine(t: Tables):
 def stream_table_init(t: Tables):
     path = fresh_path(t.spark, "init")
     name = "silver_supplier_" + path.rsplit("-", 1)[-1]
-    silver.ensure_table(t.spark, name, t.supplier.select("s_suppkey", "s_name").schema, path)
-    rows = t.supplier.select(
-        "s_suppkey", "s_name", F.lit("2024-02-01 00:00:00").cast("timestamp").alias("silver_processed_at"),
-        F.lit(100.0).alias("silver_quality_score"), F.lit("passed").alias("silver_validation_status"),
-        F.lit("2024-02-01").cast("date").alias("silver_day"),
-    )
-    rows.write.insertInto(name)
+    cfg = silver.SilverStream("shop", "suppliers", path, fresh_path(t.spark, "quarantine"), "s_suppkey", ["s_version"], catalog=name)
+    moment = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    for version in range(2):  # both versions of each row end up as one
+        batch = t.supplier.select("s_suppkey", "s_name", F.lit(version).alias("s_version"))
+        silver.silver_sink(cfg, moment)(batch, version)
     return t.spark.table(name).select("s_suppkey", "s_name", "silver_day", "silver_quality_score")
 
 
@@ -236,8 +246,8 @@ def stream_metrics(t: Tables):
 
 @query("stream_monitor", "SELECT 'silver_shop_transactions' AS query, count(*) AS input_rows FROM events")
 def stream_monitor(t: Tables):
-    _, run = _silver_run(t)
-    rows = monitor.recent_progress(t.spark, [run])
+    _, runs = _silver_run(t)
+    rows = monitor.recent_progress(t.spark, runs)
     return rows.groupBy("query").agg(F.sum("input_rows").alias("input_rows"))
 
 

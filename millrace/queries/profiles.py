@@ -55,7 +55,7 @@ def _categorical_sql(c: str) -> str:
     return f"""SELECT '{c}' AS column_name, count(*) AS unique_count, CAST(sum(n) AS BIGINT) AS non_null_count, arg_min(v, (-n, v)) AS most_frequent, max(n) AS most_frequent_count,
     arg_min(v, (n, v)) AS least_frequent, min(n) AS least_frequent_count, CAST(min(length(v)) AS INTEGER) AS min_length, CAST(max(length(v)) AS INTEGER) AS max_length, round(sum(length(v) * n) / sum(n), 4) AS avg_length,
     CASE WHEN count(*) > 50 THEN 'high' ELSE 'low' END AS cardinality,
-    CASE WHEN count(*) > 50 THEN array_to_string((list(v ORDER BY n DESC, v))[1:5], ',') ELSE array_to_string((list(v || ':' || n ORDER BY n DESC, v))[1:10], ',') END AS "values"
+    array_to_string((list(v || ':' || n ORDER BY n DESC, v))[1:10], ',') AS "values"
     FROM (SELECT {c} AS v, count(*) AS n FROM part GROUP BY 1)"""
 
 
@@ -196,7 +196,7 @@ def outliers(t: Tables):
 @query(
     "temporal_patterns",
     """SELECT 'o_orderdate' AS column_name, min(o_orderdate) AS min_date, max(o_orderdate) AS max_date, count(DISTINCT o_orderdate) AS unique_dates, count(*) - count(o_orderdate) AS null_count,
-    CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS BIGINT) AS range_days, (SELECT string_agg(m || ':' || n, ',' ORDER BY m) FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 12)) AS monthly FROM orders""",
+    CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS BIGINT) AS range_days, (SELECT string_agg(m || ':' || n, ',' ORDER BY m) FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders GROUP BY 1)) AS monthly FROM orders""",
 )
 def temporal_patterns(t: Tables):
     return P.temporal(t.orders).drop("warning").withColumn("monthly", F.array_join("monthly", ","))

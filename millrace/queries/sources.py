@@ -93,7 +93,7 @@ def file_change_feed_deletes(t: Tables):
     "quantile_bounds",
     """
 WITH s AS (SELECT l_orderkey AS v, row_number() OVER (ORDER BY l_orderkey) - 1 AS pos, count(*) OVER () AS n FROM lineitem),
-b AS (SELECT v, pos, n, n // 5 AS step FROM s WHERE n >= 5000)
+b AS (SELECT v, pos, n, n // 5 AS step FROM s)
 SELECT CASE WHEN pos % step = 0 AND pos < step * 5 THEN CAST(pos // step AS INTEGER) ELSE 5 END AS split, v AS bound
 FROM b WHERE (pos % step = 0 AND pos < step * 5) OR pos = n - 1""",
 )

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.functions.order import values_at
 from millrace.functions.stats import one_row
 
-MIN_KEYS_PER_SPLIT = 1000
-MIN_KEYS_TO_SPLIT = 1000
-
 
 def jdbc_options(
     url: str,
@@ -20,8 +17,9 @@ def jdbc_options(
     n: int = 1,
     since: tuple[str, object] | None = None,
     fetch_size: int = 10_000,
+    min_keys: int = 0,
 ) -> dict[str, str]:
-    """Reader options: ``[lower, upper]`` cut into ``n`` ranges, serial when it holds under 1000 keys.
+    """Reader options: ``[lower, upper]`` cut into ``n`` ranges, read serially when it holds fewer than ``min_keys``.
 
     ``since=(column, value)`` reads only rows strictly above the value; the filter runs in the database.
     """
@@ -32,7 +30,7 @@ def jdbc_options(
         source = f"(SELECT * FROM {table} WHERE {column} > {literal}) AS incremental"
     options = {"url": url, "dbtable": source, "fetchsize": str(fetch_size)}
     splittable = part_col is not None and lower is not None and upper is not None
-    if splittable and n > 1 and upper - lower + 1 >= MIN_KEYS_TO_SPLIT:
+    if splittable and n > 1 and upper - lower + 1 >= max(min_keys, 2):
         options |= {
             "partitionColumn": part_col,
             "lowerBound": str(lower),
@@ -58,17 +56,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, part_col: str | None =
 def partition_bounds(df: DataFrame, col: str, n: int) -> DataFrame:
     """Split points with equal row counts: the value at every ``floor(total / n)``-th row, then the last.
 
-    Empty when the table has fewer than ``n * 1000`` rows. Rows: ``split``, ``bound``.
+    A table with fewer than ``n`` rows has a split for each row. Rows: ``split``, ``bound``.
     """
     total = one_row(df, n=F.count("*"))["n"]
-    step = F.floor(total / n)
+    step = F.greatest(F.floor(total / n), F.lit(1))
     none = F.array().cast("array<bigint>")
 
     def splits(start: Column, end: Column) -> Column:
         first, last = F.ceil(start / step), F.least(F.floor((end - 1) / step), F.lit(n - 1))
         starts = F.when(first <= last, F.sequence(first, last)).otherwise(none)
         final = F.when(end == total, F.array(F.lit(n).cast("bigint"))).otherwise(none)
-        return F.when(total >= n * MIN_KEYS_PER_SPLIT, F.concat(starts, final)).otherwise(none)
+        return F.concat(starts, final)
 
     hits = values_at(df, col, splits)
     return hits.select(F.col("pick").cast("int").alias("split"), F.col("value").alias("bound"))

@@ -11,15 +11,15 @@ TABLE_TOPIC_PREFIXES = ["cdc_", "client.", "cdc."]
 MEDIA_TOPIC_WORDS = ["image", "audio", "video", "document", "media"]
 
 
-def stream_options(servers: str, pattern: str, max_offsets: int = 10_000) -> dict[str, str]:
-    """Options of the change stream: all matching topics from the start, bounded triggers."""
-    return {
+def stream_options(servers: str, pattern: str, max_offsets: int | None = None) -> dict[str, str]:
+    """Options of the change stream: all matching topics from the start; ``max_offsets`` bounds a trigger."""
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribePattern": pattern,
         "startingOffsets": "earliest",
-        "maxOffsetsPerTrigger": str(max_offsets),
         "failOnDataLoss": "false",
     }
+    return options if max_offsets is None else {**options, "maxOffsetsPerTrigger": str(max_offsets)}
 
 
 def batch_options(servers: str, topics: list[str], since: dt.datetime | None = None) -> dict[str, str]:
@@ -38,7 +38,7 @@ def _text(df: DataFrame) -> DataFrame:
     )
 
 
-def read_kafka_stream(spark: SparkSession, servers: str, pattern: str, max_offsets: int = 10_000) -> DataFrame:
+def read_kafka_stream(spark: SparkSession, servers: str, pattern: str, max_offsets: int | None = None) -> DataFrame:
     return _text(spark.readStream.format("kafka").options(**stream_options(servers, pattern, max_offsets)).load())
 
 

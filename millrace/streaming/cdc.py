@@ -64,19 +64,31 @@ def unwrap_cdc(df: DataFrame, schema: T.StructType, value: str = "value", now: C
     )
 
 
+# Keys that may become columns, unless the caller says otherwise: each is a column of the plan.
 MAX_KEYS = 2000
 
 
-def record_keys(df: DataFrame, record: str = "record") -> list[str]:
-    """The union of the top-level keys of all records, technical keys (``__…``) left out. Batch only."""
+def record_keys(df: DataFrame, record: str = "record", max_keys: int = MAX_KEYS) -> list[str]:
+    """The union of the top-level keys of all records, technical keys (``__…``) left out. Batch only.
+
+    More than ``max_keys`` are refused; ``record_map`` is the way beyond.
+    """
     keys = df.select(F.explode(F.json_object_keys(record)).alias("k")).filter(~F.col("k").startswith("__"))
-    found = [r["k"] for r in keys.distinct().orderBy("k").limit(MAX_KEYS + 1).collect()]
-    if len(found) > MAX_KEYS:
-        raise ValueError(f"records have more than {MAX_KEYS} different keys; give a schema")
+    found = [r["k"] for r in keys.distinct().orderBy("k").limit(max_keys + 1).collect()]
+    if len(found) > max_keys:
+        raise ValueError(f"records have more than {max_keys} different keys; give a schema or use record_map")
     return found
 
 
-def expand_record(df: DataFrame, schema: T.StructType | None = None, record: str = "record") -> DataFrame:
+def record_map(df: DataFrame, record: str = "record") -> DataFrame:
+    """Parsed messages with the record as one map of texts, for any number of keys; technical keys are left out."""
+    fields = F.from_json(record, "map<string,string>")
+    return df.withColumn("fields", F.map_filter(fields, lambda k, v: ~k.startswith("__"))).drop(record)
+
+
+def expand_record(
+    df: DataFrame, schema: T.StructType | None = None, record: str = "record", max_keys: int = MAX_KEYS
+) -> DataFrame:
     """Parsed messages → business columns plus ``_cdc_operation``, ``_cdc_timestamp`` and ``_kafka_offset``.
 
     With a schema the values are typed; without one they are text and the columns are all keys that occur.
@@ -88,7 +100,7 @@ def expand_record(df: DataFrame, schema: T.StructType | None = None, record: str
         fields = [f for f in schema.fields if not f.name.startswith("__")]
         wide = df.withColumn("_r", F.from_json(record, T.StructType(fields)))
         return wide.select(*[F.col("_r").getField(f.name).alias(f.name) for f in fields], *meta)
-    return df.select(*[F.get_json_object(record, f"$['{k}']").alias(k) for k in record_keys(df, record)], *meta)
+    return df.select(*[F.get_json_object(record, f"$['{k}']").alias(k) for k in record_keys(df, record, max_keys)], *meta)
 
 
 ENVELOPE_SCHEMA = T.StructType(

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -36,10 +36,26 @@ def progress_row(progress: Mapping) -> tuple:
 
 
 class QueryMonitor(StreamingQueryListener):
-    """Keeps the newest progress of all queries of a session; register with ``spark.streams.addListener``."""
+    """The progress of all queries of a session; register with ``spark.streams.addListener``.
 
-    def __init__(self, keep: int = 1000):
-        self.rows: deque[tuple] = deque(maxlen=keep)
+    With a ``path`` every ``flush_rows`` rows are appended to a table there, so that runs of any length are counted whole;
+    without one all rows are kept in memory.
+    """
+
+    def __init__(self, path: str | None = None, flush_rows: int = 100):
+        self.path, self.flush_rows = path, flush_rows
+        self.rows: list[tuple] = []
+
+    def _add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if self.path and len(self.rows) >= self.flush_rows:
+            self.flush(SparkSession.active())
+
+    def flush(self, spark: SparkSession) -> None:
+        """Append what is not yet in the table."""
+        rows, self.rows = self.rows, []
+        if rows:
+            spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(self.path)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -48,14 +64,20 @@ class QueryMonitor(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.rows.append(progress_row(json.loads(event.progress.json)))
+        self._add(progress_row(json.loads(event.progress.json)))
 
     def onQueryTerminated(self, event) -> None:
         if event.exception:
-            self.rows.append((str(event.id), -1, 0, 0.0, 0.0, 0, 0, event.exception[:1000]))
+            self._add((str(event.id), -1, 0, 0.0, 0.0, 0, 0, event.exception))
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), SCHEMA)
+        if not self.path:
+            return spark.createDataFrame(list(self.rows), SCHEMA)
+        self.flush(spark)
+        try:
+            return spark.read.schema(SCHEMA).parquet(self.path)
+        except AnalysisException:  # nothing happened yet
+            return spark.createDataFrame([], SCHEMA)
 
 
 def recent_progress(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataFrame:

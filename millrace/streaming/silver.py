@@ -1,7 +1,7 @@
 """Streaming jobs: Bronze table streams, per-table routing, and the Silver change stream.
 
-Sinks write each micro-batch below ``batch_id=<n>`` and overwrite that folder, so replaying a batch after a
-failure leaves the same rows.
+The Silver stream merges each micro-batch into one table with a row per key; other sinks write each micro-batch below
+``batch_id=<n>`` and overwrite that folder. Either way, replaying a batch after a failure leaves the same rows.
 """
 
 from __future__ import annotations
@@ -10,15 +10,17 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.scalars import EMAIL_PATTERN
 from millrace.functions.stats import one_row
 from millrace.operators.columns import cdc_type_cast, trim_strings
 from millrace.operators.windows import latest_changes
+from millrace.session import stage
 
-# Columns that must not be NULL, by word in the table name; trigger and batch size.
+# Columns that must not be NULL, by word in the table name; trigger.
 CRITICAL_COLUMNS = {
     "users": ["user_id", "email"],
     "transactions": ["transaction_id", "amount", "transaction_date"],
@@ -26,19 +28,17 @@ CRITICAL_COLUMNS = {
     "products": ["product_id", "name", "price"],
 }
 TRIGGER = "30 seconds"
-ROWS_PER_TRIGGER = 10_000
+DAY = "silver_day"
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1, pattern: str = "*.parquet"
+    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, pattern: str = "*.parquet"
 ) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", pattern)
-        .parquet(path)
-    )
+    """A Parquet table as a stream of its files; ``max_files`` bounds a trigger."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def start(
@@ -56,8 +56,8 @@ def start(
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite the folder of this micro-batch."""
-    writer = df.write.mode("overwrite")
+    """Overwrite the folder of this micro-batch; partitions are gathered first and large ones split."""
+    writer = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
@@ -94,6 +94,11 @@ class SilverStream:
     order: Sequence[str] = ("_cdc_timestamp", "_cdc_lsn")
     critical: Sequence[str] | None = None
     checks: Mapping[str, str] = field(default_factory=dict)
+    catalog: str | None = None
+
+    @property
+    def keys(self) -> list[str]:
+        return [self.key] if isinstance(self.key, str) else list(self.key)
 
     @property
     def required(self) -> list[str]:
@@ -117,9 +122,8 @@ def quality_flags(df: DataFrame, required: Sequence[str], checks: Mapping[str, s
 def check_batch(batch: DataFrame, cfg: SilverStream) -> tuple[DataFrame, list[str]]:
     """Trim, cast, keep the newest change per key, and add the ``_dq_*`` columns; also returns their names."""
     df = cdc_type_cast(trim_strings(batch), cfg.table)
-    keys = [cfg.key] if isinstance(cfg.key, str) else list(cfg.key)
-    if set([*keys, *cfg.order]) <= set(df.columns):
-        df = latest_changes(df, keys, cfg.order)
+    if set([*cfg.keys, *cfg.order]) <= set(df.columns):
+        df = latest_changes(df, cfg.keys, cfg.order)
     flags = quality_flags(df, cfg.required, cfg.checks)
     return (df.withColumns(flags) if flags else df), list(flags)
 
@@ -144,6 +148,40 @@ def clean_batch(batch: DataFrame, cfg: SilverStream, now: Column) -> tuple[DataF
     return split_batch(*check_batch(batch, cfg), now)
 
 
+def merge_batch(clean: DataFrame, cfg: SilverStream, moment: Column) -> None:
+    """Merge the clean rows of a batch into the Silver table: one row per key, the newest by ``cfg.order``.
+
+    The table is partitioned by the day on which a key first arrived, so a key stays in its partition. Only the partitions
+    that hold keys of the batch, and the current day, are read in full and rewritten; to find them, keys and
+    days of the table are read. An older change than the stored one is ignored, so a replayed batch changes nothing. Without
+    key or order columns there is nothing to merge by, and the rows are added as they are.
+    """
+    spark = clean.sparkSession
+    rows = clean.withColumn(DAY, F.to_date(moment))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    if cfg.catalog:
+        ensure_table(spark, cfg.catalog, clean.schema, cfg.silver)
+    keyed = set([*cfg.keys, *cfg.order]) <= set(clean.columns)
+    try:
+        stored = spark.read.schema(schema).parquet(cfg.silver)
+    except AnalysisException:  # the first batch
+        stored = spark.createDataFrame([], schema)
+    if keyed:
+        known = stored.join(rows.select(*cfg.keys).distinct(), cfg.keys, "left_semi")
+        days = {r[0] for r in known.select(DAY).distinct().collect()}  # at most one row for each day
+        days |= {r[0] for r in rows.select(DAY).distinct().collect()}
+        both = stored.filter(F.col(DAY).isin(list(days))).unionByName(rows)
+        newest = Window.partitionBy(*cfg.keys).orderBy(*[F.col(c).desc() for c in cfg.order])
+        ranked = both.withColumn("_rank", F.row_number().over(newest))
+        ranked = ranked.withColumn(DAY, F.min(DAY).over(Window.partitionBy(*cfg.keys)))
+        rows = stage(ranked.filter("_rank = 1").drop("_rank"), "silver")
+    writer = rows.select(*[c for c in rows.columns if c != DAY], DAY).hint("rebalance", DAY).write.partitionBy(DAY)
+    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if keyed else writer.mode("append")
+    writer.parquet(cfg.silver)
+    if cfg.catalog:
+        spark.catalog.recoverPartitions(cfg.catalog)
+
+
 def silver_sink(cfg: SilverStream, now: Column | None = None) -> Callable[[DataFrame, int], None]:
     """The micro-batch function of the Silver stream; the checked rows are kept for score and both writes."""
 
@@ -153,7 +191,7 @@ def silver_sink(cfg: SilverStream, now: Column | None = None) -> Callable[[DataF
         checked = checked.persist()
         try:
             clean, failed = split_batch(checked, flags, moment)
-            write_batch(clean, cfg.silver, batch_id)
+            merge_batch(clean, cfg, moment)
             write_batch(failed.withColumn("_quarantine_batch_id", F.lit(batch_id)), cfg.quarantine, batch_id)
         finally:
             checked.unpersist()
@@ -182,7 +220,7 @@ SILVER_COLUMNS = [
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
     """Create the Silver table if it is missing: data and metadata columns, partitioned by day."""
     known = {f.name for f in schema.fields}
-    fields = [*schema.fields, *[f for f in SILVER_COLUMNS if f.name not in known], T.StructField("silver_day", T.DateType())]
+    fields = [*schema.fields, *[f for f in SILVER_COLUMNS if f.name not in known], T.StructField(DAY, T.DateType())]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet PARTITIONED BY (silver_day) LOCATION '{path}'")
 

@@ -13,7 +13,7 @@ SCHEMA = "name string, watermark string, recorded_at timestamp"
 class Watermarks:
     """One mark per prefix or collection; the newest row counts. Advance only after a successful write."""
 
-    def __init__(self, spark: SparkSession, path: str, look_back: dt.timedelta = dt.timedelta(days=7)):
+    def __init__(self, spark: SparkSession, path: str, look_back: dt.timedelta | None = None):
         self.spark, self.path, self.look_back = spark, path, look_back
 
     def table(self) -> DataFrame:
@@ -26,17 +26,19 @@ class Watermarks:
             F.max_by("watermark", "recorded_at").alias("watermark"), F.max("recorded_at").alias("recorded_at")
         )
 
-    def get(self, name: str, now: dt.datetime) -> str:
-        """The mark, or ``now`` minus the look-back when there is none."""
+    def get(self, name: str, now: dt.datetime) -> str | None:
+        """The mark; without one ``now`` minus the look-back, or None (read everything) if no look-back was asked for."""
         row = self.table().filter(F.col("name") == name).select("watermark").first()
-        return row[0] if row and row[0] is not None else (now - self.look_back).isoformat(sep=" ")
+        if row and row[0] is not None:
+            return row[0]
+        return None if self.look_back is None else (now - self.look_back).isoformat(sep=" ")
 
     def set(self, name: str, value: str | None, now: dt.datetime) -> None:
         """Record a mark: the largest value seen, not the time of the run."""
         self.spark.createDataFrame([(name, value, now)], SCHEMA).write.mode("append").parquet(self.path)
 
     def reset(self, name: str, now: dt.datetime) -> None:
-        """Forget the mark; the next run looks back."""
+        """Forget the mark; the next run starts anew."""
         self.set(name, None, now)
 
     def advance(self, name: str, processed: DataFrame, column: str, now: dt.datetime) -> str | None:

@@ -74,7 +74,8 @@ def test_split_points_with_a_hot_value(spark):
     values = sorted(r[0] for r in df.collect())
     got = {r["split"]: r["bound"] for r in jdbc.partition_bounds(df, "x", 4).collect()}
     assert got == {**{i: values[i * 1500] for i in range(4)}, 4: values[-1]}
-    assert jdbc.partition_bounds(df, "x", 7).count() == 0
+    small = spark.createDataFrame([(v,) for v in (4, 9, 2)], "x long")
+    assert sorted(tuple(r) for r in jdbc.partition_bounds(small, "x", 5).collect()) == [(0, 2), (1, 4), (2, 9), (5, 9)]
 
 
 def test_positions_are_dense(spark):

@@ -226,3 +226,19 @@ def test_redaction(spark):
     df = spark.createDataFrame([("SSN 123-45-6789, card 4111 1111 1111 1111, pass AB1234567.",)], "t string")
     assert text.redact(df, "t").first()["t"] == "SSN [SSN], card [CREDIT_CARD], pass [PASSPORT]."
     assert text.pii_flags(df, "t").first()["has_pii"]
+
+
+def test_equal_quarantined_rows_all_come_back(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, None), (3, "x")], "id long, name string")
+    rules = [R.rule("not_null", "name"), R.rule("range", "id", min=2)]
+    held = quarantine.quarantine_records(df, rules, "t", F.lit("2024-01-01").cast("timestamp"))
+    done = held.withColumn("resolution_status", F.lit("accepted"))
+    assert sorted(r.id for r in quarantine.reprocess(done, df.schema).collect()) == [1, 1, 2]
+    again = done.withColumn("quarantined_at", F.lit("2024-01-02").cast("timestamp"))
+    assert quarantine.reprocess(done.unionAll(again), df.schema).count() == 3
+
+
+def test_length_has_no_maximum_unless_given(spark):
+    df = spark.createDataFrame([("x" * 20_000,), ("",)], "s string")
+    assert R.apply_rules(df, [R.rule("length", "s", min=1)]).valid.count() == 1
+    assert R.apply_rules(df, [R.rule("length", "s", min=1, max=5)]).valid.count() == 0

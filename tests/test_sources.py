@@ -67,7 +67,7 @@ def test_bronze_scan_pushes_the_watermark(spark, tmp_path):
 def test_jdbc_options():
     o = jdbc.jdbc_options("jdbc:x", "t", "id", 1, 100_000, 8)
     assert (o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"]) == ("id", "1", "100001", "8")
-    assert "partitionColumn" not in jdbc.jdbc_options("jdbc:x", "t", "id", 1, 900, 8)
+    assert "partitionColumn" not in jdbc.jdbc_options("jdbc:x", "t", "id", 1, 900, 8, min_keys=1000)
     since = jdbc.jdbc_options("jdbc:x", "t", since=("ts", "2024-01-01 o'clock"))["dbtable"]
     assert since == "(SELECT * FROM t WHERE ts > '2024-01-01 o''clock') AS incremental"
 
@@ -80,7 +80,8 @@ def test_range_predicates_cover_every_key():
 
 def test_kafka_options():
     o = kafka.stream_options("h:9092", "cdc.*")
-    assert o["subscribePattern"] == "cdc.*" and o["maxOffsetsPerTrigger"] == "10000" and o["failOnDataLoss"] == "false"
+    assert o["subscribePattern"] == "cdc.*" and "maxOffsetsPerTrigger" not in o and o["failOnDataLoss"] == "false"
+    assert kafka.stream_options("h:9092", "cdc.*", 500)["maxOffsetsPerTrigger"] == "500"
     b = kafka.batch_options("h:9092", ["a", "b"], dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc))
     assert b["subscribe"] == "a,b" and b["startingTimestamp"] == "1704067200000" and "startingOffsets" not in b
 
@@ -113,7 +114,8 @@ def test_bronze_metadata(spark):
 
 
 def test_watermarks(spark, tmp_path):
-    marks, now = Watermarks(spark, str(tmp_path / "marks")), dt.datetime(2024, 1, 10)
+    assert Watermarks(spark, str(tmp_path / "none")).get("a", dt.datetime(2024, 1, 10)) is None  # reads everything
+    marks, now = Watermarks(spark, str(tmp_path / "marks"), dt.timedelta(days=7)), dt.datetime(2024, 1, 10)
     assert marks.get("a", now) == "2024-01-03 00:00:00"
     rows = spark.createDataFrame([("2024-01-05",), ("2024-01-04",)], "ts string")
     assert marks.advance("a", rows, "ts", now) == "2024-01-05"
