@@ -194,11 +194,10 @@ def quantiles(
 
 
 def distinct_counts(df: DataFrame, columns: list[str], name: str = "distinct_count", approx: bool = False) -> DataFrame:
-    """(column_name, <name>): different non-missing values per column.
+    """(column_name, <name>): different non-missing values per column, in one scan whatever the number of columns.
 
-    Exact counts are one narrow aggregate per column: each reads and shuffles only that column, where a single
-    aggregate with many distinct counts would multiply every row by the number of columns. With ``approx`` all
-    columns share one pass of sketches.
+    Exact counts shuffle the distinct (column, value) pairs, which each task reduces first; values are compared as
+    text. With ``approx`` all columns share one pass of sketches. An empty table gives no rows.
     """
 
     def value(c: str) -> Column:
@@ -210,11 +209,15 @@ def distinct_counts(df: DataFrame, columns: list[str], name: str = "distinct_cou
             F.struct(F.lit(c).alias("column_name"), F.approx_count_distinct(value(c)).alias(name)) for c in columns
         ]
         return df.agg(F.array(*entries).alias("d")).select(F.inline("d"))
-    parts = [
-        df.select(value(c).alias("v")).distinct().agg(F.count("v").alias(name)).select(F.lit(c).alias("column_name"), name)
-        for c in columns
-    ]
-    return reduce(lambda a, b: a.unionAll(b), parts)
+
+    def text(c: str) -> Column:
+        column, kind = value(c), df.schema[c].dataType
+        if isinstance(kind, FLOATING):
+            column = column + F.lit(0.0)  # -0.0 is 0.0
+        return F.hex(column) if isinstance(kind, T.BinaryType) else column.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text(c).alias("v")) for c in columns])
+    return df.select(F.inline(cells)).distinct().groupBy("column_name").agg(F.count("v").alias(name))
 
 
 def with_distinct_counts(
@@ -226,7 +229,8 @@ def with_distinct_counts(
     """
     counts = distinct_counts(df, columns, "n", approx)
     found = counts.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "n")))).scalar()
-    return rows.withColumn(name, F.try_element_at(found, F.col("column_name")))
+    known = F.coalesce(F.try_element_at(found, F.col("column_name")), F.lit(0).cast("bigint"))
+    return rows.withColumn(name, F.when(F.col("column_name").isin(list(columns)), known))
 
 
 def sample_skewness(column: Column) -> Column:

@@ -6,6 +6,7 @@ NaN counts as missing in floating columns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -22,6 +23,7 @@ from millrace.functions.scalars import (
 )
 from millrace.functions.stats import one_row, quantiles, sample_kurtosis, sample_skewness, with_distinct_counts
 from millrace.operators.binning import width_bin
+from millrace.session import stage
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -651,18 +653,28 @@ def classify_table(df: DataFrame, table: str, approx: bool = False) -> DataFrame
     )
 
 
-def sample_rows(df: DataFrame, rows: int, total: int, seed: int = 42) -> DataFrame:
-    """A random sample of about ``rows`` rows."""
-    return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
+def sample_rows(df: DataFrame, rows: int, key: str | Sequence[str]) -> DataFrame:
+    """Exactly ``rows`` rows (all, if there are fewer): the first by the MD5 of the key, the same on every run."""
+    names = [key] if isinstance(key, str) else list(key)
+    drawn = F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in names]))
+    return df.orderBy(drawn, *[F.col(f"`{c}`") for c in names]).limit(rows)
 
 
-def profile(df: DataFrame, sample: int | None = None, seed: int = 42, approx: bool = False) -> dict[str, DataFrame]:
-    """Overview on all rows; column statistics on all rows or, on request, on a sample."""
-    part = df
-    if sample:
-        part = sample_rows(df, sample, df.count(), seed)
+def profile(
+    df: DataFrame, sample: int | None = None, key: str | Sequence[str] = (), approx: bool = False
+) -> dict[str, DataFrame]:
+    """Overview on all rows; column statistics on all rows or, on request, on a sample drawn by ``key``.
+
+    The overview reports ``sampled_rows``, the rows that the column statistics have seen. The sample is written
+    once, so that all sections see the same rows.
+    """
+    part, summary = df, overview(df)
+    seen = F.col("row_count")
+    if sample is not None:
+        part = stage(sample_rows(df, sample, key or df.columns), "sample")
+        seen = F.least(seen, F.lit(sample).cast("bigint"))
     return {
-        "overview": overview(df),
+        "overview": summary.withColumn("sampled_rows", seen),
         "columns": describe(part, approx),
         "numeric": numeric_profile(part, approx=approx),
         "categorical": categorical_profile(part),
@@ -670,35 +682,73 @@ def profile(df: DataFrame, sample: int | None = None, seed: int = 42, approx: bo
     }
 
 
-def eda_report(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:
-    """One row per table and section: the section as JSON rows. A table that fails is listed with its error."""
-    parts, failures = [], []
+def _flat(section: DataFrame, table: str, name: str) -> DataFrame:
+    """A section as (table_name, section, column_name, metric, value, text): a row for each cell."""
+    entries = []
+    for f in section.schema.fields:
+        if f.name == "column_name":
+            continue
+        cell = F.col(f"`{f.name}`")
+        number = isinstance(f.dataType, (*NUMERIC, T.BooleanType))
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        value = cell.cast("double") if number else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if number else F.to_json(cell) if nested else cell.cast("string")
+        entries.append(F.struct(F.lit(f.name).alias("metric"), value.alias("value"), text.alias("text")))
+    about = F.col("column_name") if "column_name" in section.columns else F.lit(None).cast("string")
+    return section.select(
+        F.lit(table).alias("table_name"), F.lit(name).alias("section"), about.alias("column_name"), F.inline(F.array(*entries))
+    )
+
+
+def _sections(df: DataFrame, roles: Mapping[str, object] | None, approx: bool) -> dict[str, DataFrame]:
+    """Everything a report has to say about one table."""
+    sections = {
+        "overview": overview(df),
+        "columns": describe(df, approx),
+        "uniqueness": uniqueness(df, approx),
+        "patterns": patterns(df, approx),
+        "semantic_warnings": semantic_warnings(df, approx),
+        "quality_score": quality_score(df, approx),
+        "insights": insights(df),
+    }
+    numbers = columns_of(df, *NUMERIC)
+    if numbers:
+        sections["numeric"] = numeric_profile(df, approx=approx)
+        sections["outliers"] = outlier_counts(df, approx=approx)
+        sections["skew"] = skew_label(df, approx=approx)
+        sections["distributions"] = distribution_type(df)
+        for c in numbers:
+            sections[f"histogram {c}"] = histogram(df, c).withColumn("column_name", F.lit(c))
+    if len(numbers) > 1:
+        sections["correlations"] = correlations(df, threshold=0.7)
+    if columns_of(df, T.StringType):
+        sections["categorical"] = categorical_profile(df)
+    if columns_of(df, *TEMPORAL):
+        sections["datetime"] = datetime_profile(df)
+        sections["temporal"] = temporal(df, columns_of(df, *TEMPORAL))
+    if roles:
+        sections["business_metrics"] = business_metrics(df, roles["kind"], roles["columns"], approx)
+    return sections
+
+
+def eda_report(
+    tables: Mapping[str, DataFrame], approx: bool = False, roles: Mapping[str, Mapping[str, object]] | None = None
+) -> DataFrame:
+    """All sections of all tables as (table_name, section, column_name, metric, value, text).
+
+    Numbers are in ``value``, everything else in ``text``. Each table is computed and written once, then its sections;
+    a table that fails on the way, in planning or while running, is one row with its error and hides nothing
+    else. ``roles`` names kind and columns of tables with business metrics.
+    """
+    parts = []
     for name, df in tables.items():
         try:
-            sections = {
-                "overview": overview(df),
-                "columns": describe(df, approx),
-                "correlations": correlations(df, threshold=0.7),
-                "uniqueness": uniqueness(df, approx),
-                "insights": insights(df),
-            }
-            if columns_of(df, *NUMERIC):
-                sections["numeric"] = numeric_profile(df, approx=approx)
-                sections["outliers"] = outlier_counts(df, approx=approx)
-            if columns_of(df, T.StringType):
-                sections["categorical"] = categorical_profile(df)
-            if columns_of(df, *TEMPORAL):
-                sections["datetime"] = datetime_profile(df)
+            source = stage(df, "eda")
+            found = _sections(source, (roles or {}).get(name), approx)
+            flat = [_flat(section, name, key) for key, section in found.items()]
+            parts.append(stage(reduce(lambda a, b: a.unionAll(b), flat), "eda_sections"))
         except Exception as error:  # noqa: BLE001 - one broken table must not hide the others
-            failures.append((df, name, str(error)))
-            continue
-        parts += [
-            s.select(F.lit(name).alias("table_name"), F.lit(k).alias("section"), F.to_json(F.struct("*")).alias("entry"))
-            for k, s in sections.items()
-        ]
-    for df, name, message in failures:
-        parts.append(df.sparkSession.createDataFrame([(name, "failed", message)], "table_name string, section string, entry string"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionAll(p)
-    return result
+            row = (name, "failed", None, "error", None, str(error))
+            schema = "table_name string, section string, column_name string, metric string, value double, text string"
+            parts.append(df.sparkSession.createDataFrame([row], schema))
+    return reduce(lambda a, b: a.unionAll(b), parts)

@@ -86,9 +86,22 @@ def profile_quality_score(t: Tables):
     return rounded(P.quality_score(doubled(t).select("event_type", "kind", "value")), "completeness", "uniqueness", "validity")
 
 
-@query("profile_sampled")
+SAMPLED = 500
+SAMPLE_SQL = f"SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT {SAMPLED}"
+
+
+@query(
+    "profile_sampled",
+    f"WITH s AS ({SAMPLE_SQL}) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS kind, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, (SELECT least(count(*), {SAMPLED}) FROM events) AS sampled_rows FROM s"
+        for c, k in [("event_id", "numeric"), ("event_type", "categorical"), ("ts", "datetime"), ("user_id", "numeric"), ("value", "numeric")]
+    ),
+)
 def profile_sampled(t: Tables):
-    return P.profile(t.events, sample=10_000, seed=42)["columns"]
+    found = P.profile(t.events.select("event_id", "event_type", "ts", "user_id", "value"), sample=SAMPLED, key="event_id")
+    columns = found["columns"].select("column_name", "kind", "row_count", "null_count", "unique_count")
+    return columns.withColumn("sampled_rows", found["overview"].select("sampled_rows").scalar())
 
 
 @query(
@@ -284,6 +297,40 @@ def table_classifier(t: Tables):
     return both.withColumns({c: F.array_join(c, ",") for c in ("primary_keys", "foreign_keys")})
 
 
-@query("eda_report")
+def _eda_sql() -> str:
+    """Twins of the report's sections that are plain counts; the others have their own queries above."""
+    parts = []
+    for table, columns in {"customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]}.items():
+        width = len(columns) + (table == "orders")  # its date has no counts here
+        for metric, sql in {
+            "row_count": "count(*)", "column_count": str(width), "duplicate_rows": f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)}{', o_orderdate' if table == 'orders' else ''} FROM {table}))",
+            "missing_cells": "0", "duplicate_percentage": "0", "missing_percentage": "0", "completeness_score": "100",
+        }.items():
+            parts.append(f"SELECT '{table}' AS table_name, 'overview' AS section, NULL AS column_name, '{metric}' AS metric, CAST({sql} AS DOUBLE) AS value, NULL AS text FROM {table if '(' in sql else '(SELECT 1)'}")
+        for c in columns:
+            for metric, sql in {"row_count": "count(*)", "null_count": f"count(*) - count({c})", "unique_count": f"count(DISTINCT {c})", "non_null_count": f"count({c})"}.items():
+                parts.append(f"SELECT '{table}', 'columns', '{c}', '{metric}', CAST({sql} AS DOUBLE), NULL FROM {table}")
+    parts.append("SELECT 'orders', 'business_metrics', NULL, 'max_transaction_amount', max(o_totalprice), NULL FROM orders")
+    for c in ("o_orderkey", "o_totalprice", "o_custkey"):
+        for metric, sql in {"count": f"count({c})", "min": f"min({c})", "max": f"max({c})", "median": f"quantile_cont({c}, 0.5)", "q25": f"quantile_cont({c}, 0.25)", "q75": f"quantile_cont({c}, 0.75)"}.items():
+            parts.append(f"SELECT 'orders', 'numeric', '{c}', '{metric}', CAST({sql} AS DOUBLE), NULL FROM orders")
+    parts.append("SELECT 'broken', 'failed', NULL, 'error', NULL, NULL FROM region WHERE r_regionkey = 0")
+    return " UNION ALL ".join(parts)
+
+
+@query("eda_report", _eda_sql())
 def eda_report(t: Tables):
-    return P.eda_report({"customer": t.customer, "orders": t.orders})
+    broken = t.orders.select(F.raise_error(F.lit("unreadable")).cast("string").alias("x"), "o_orderkey")
+    report = P.eda_report(
+        {
+            "customer": t.customer.select("c_custkey", "c_name", "c_mktsegment"),
+            "broken": broken,
+            "orders": t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"),
+        },
+        roles={"orders": {"kind": "transaction", "columns": {"amount": "o_totalprice", "date": "o_orderdate"}}},
+    )
+    key, metric = F.concat_ws(" ", "section", "metric"), F.col("metric")
+    counted = (F.col("section") == "columns") & metric.isin("row_count", "null_count", "unique_count", "non_null_count")
+    numeric = (F.col("section") == "numeric") & (F.col("table_name") == "orders") & metric.isin("count", "min", "max", "median", "q25", "q75")
+    shown = report.where(F.col("section").isin("overview", "failed") | counted | numeric | (key == "business_metrics max_transaction_amount"))
+    return shown.withColumn("text", F.lit(None).cast("string")).where("not (table_name = 'orders' and column_name <=> 'o_orderdate')")

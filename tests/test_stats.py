@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import approx_quantiles, exact_quantiles, one_row
 from millrace.functions import stats
-from millrace.operators import cleaning, profiling
+from millrace.operators import aggregates, cleaning, profiling
 
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "two_values", "constant", "nan", "between_heavy"])
@@ -126,6 +126,30 @@ def test_moments_match_pandas(spark):
 
 
 def test_sampled_profile(spark):
-    df = spark.range(50_000)
-    part = profiling.sample_rows(df, 10_000, 50_000).count()
-    assert 9_000 < part < 11_000
+    df = spark.range(5_000).selectExpr("id", "id % 7 as x")
+    part = profiling.sample_rows(df, 1_000, "id")
+    assert part.count() == 1_000 and part.exceptAll(profiling.sample_rows(df.repartition(3), 1_000, "id")).count() == 0
+    found = profiling.profile(df, sample=1_000, key="id")
+    assert found["overview"].first().sampled_rows == 1_000 and found["columns"].first().row_count == 1_000
+    assert profiling.profile(df, sample=9_000, key="id")["overview"].first().sampled_rows == 5_000
+
+
+def test_report_lists_a_table_that_fails_while_running(spark):
+    good = spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0)], "id long, `x.y` string, v double")
+    bad = good.withColumn("id", F.raise_error(F.lit("no such block")).cast("long"))
+    report = profiling.eda_report({"bad": bad, "good": good}).collect()
+    assert [(r.section, r.metric) for r in report if r.table_name == "bad"] == [("failed", "error")]
+    assert {"overview", "columns", "patterns", "quality_score", "histogram v", "skew", "distributions", "correlations", "categorical"} <= {r.section for r in report if r.table_name == "good"}
+
+
+def test_profiles_scan_the_table_twice_at_most(spark, tmp_path):
+    spark.range(50).selectExpr(*[f"id % {i + 2} as c{i}" for i in range(12)]).write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    for found in (aggregates.column_stats(wide), profiling.describe(wide), profiling.uniqueness(wide), profiling.patterns(wide)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+
+
+def test_distinct_counts_of_awkward_values(spark):
+    df = spark.createDataFrame([(0.0, b"\xff", None), (-0.0, b"\xfe", [1]), (float("nan"), None, [1])], "d double, b binary, a array<int>")
+    assert dict(tuple(r) for r in stats.distinct_counts(df, ["d", "b", "a"]).collect()) == {"d": 1, "b": 2, "a": 1}
+    assert [r.unique_count for r in profiling.describe(df.limit(0)).collect()] == [0, 0, 0]
