@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from millrace.functions.scalars import row_spread
 from millrace.session import stage
 
 PAGE_ROWS = 1 << 18
@@ -51,7 +52,7 @@ def paged(df: DataFrame, keys: list[str], order: list[Column], page_rows: int =
 
     A hash of the row comes last in the sort, so that equal (key, order) pairs spread over partitions too.
     """
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    spread = row_spread(df)
     placed = sorted_positions(df, *[F.col(k) for k in keys], *order, spread)
     return placed.withColumn(PAGE, F.floor(F.col(POS) / page_rows))
 

@@ -80,13 +80,27 @@ def e164(column: Column, country_code: str = DEFAULT_COUNTRY_CODE) -> Column:
 
 
 def md5_of(columns: list[str], null_safe: bool = True, separator: str = "||") -> Column:
-    """MD5 of the joined cells. NULL becomes a marker so that ``(a, NULL)`` and ``(NULL, a)`` differ."""
+    """MD5 of the joined cells.
+
+    With ``null_safe`` every cell is led by its length and NULL is a marker without one, so that different rows have
+    different texts whatever the cells hold; without it cells are joined as they are and NULL is left out.
+    """
     cells = [F.col(f"`{c}`").cast("string") for c in columns]
     if null_safe:
-        cells = [F.coalesce(c, F.lit("\\N")) for c in cells]
+        cells = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("\\N")) for c in cells]
     return F.md5(F.concat_ws(separator, *cells))
 
 
+def row_spread(df: DataFrame) -> Column:
+    """A hash of all cells, for spreading and ordering rows; columns with maps are hashed as JSON."""
+
+    def cell(f: T.StructField) -> Column:
+        column = F.col(f"`{f.name}`")
+        return F.to_json(F.struct(column)) if "map<" in f.dataType.simpleString() else column
+
+    return F.xxhash64(*[cell(f) for f in df.schema.fields])
+
+
 def sha256_of(columns: list[str]) -> Column:
     """SHA-256 of the JSON object of the columns in name order."""
     return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

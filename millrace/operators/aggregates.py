@@ -169,6 +169,17 @@ def asset_quality(df: DataFrame) -> DataFrame:
     )
 
 
+def extraction_success(df: DataFrame) -> DataFrame:
+    """Per file type and model, successful assets only: count, mean confidence, first and last time."""
+    good = df.filter(F.col("extraction_status") == "success")
+    return good.groupBy("file_type", "model").agg(
+        F.count("*").alias("success_count"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.min("processed_at").alias("first_processed"),
+        F.max("processed_at").alias("last_processed"),
+    )
+
+
 def asset_aging(df: DataFrame, now: Column, statuses: Sequence[str] = ("failed", "pending")) -> DataFrame:
     """Unfinished assets with the hours since they were created."""
     hours = (epoch_seconds(now) - epoch_seconds(F.col("created_at"))) / 3600
@@ -257,6 +268,14 @@ def event_sequence(
     return parts.join(totals, key)
 
 
+def asset_event_sequence(
+    df: DataFrame, assets: DataFrame, key: str, ts: str, event_type: str, tie: str, about: Sequence[str] = ("file_type", "source"), **kw
+) -> DataFrame:
+    """``event_sequence`` with columns of the assets (one row per ``key``); events of unknown assets keep NULLs there."""
+    known = assets.select(key, *about)
+    return event_sequence(df, key, ts, event_type, tie, **kw).join(known, key, "left")
+
+
 def gold_metadata(df: DataFrame) -> DataFrame:
     """One row over the Gold assets: totals, distinct types and sources, date range, mean confidence."""
     return df.agg(

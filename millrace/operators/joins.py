@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.scalars import as_list
+from millrace.functions.scalars import as_list, row_spread
 from millrace.operators.windows import first_per_key
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full_outer", "full": "full_outer", "full_outer": "full_outer"}
@@ -50,7 +50,7 @@ def salted_join(
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted")
     hot = F.broadcast(hot_keys(df, keys, min_rows).withColumn("_hot", F.lit(True)))
-    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt))
+    place = F.pmod(row_spread(df), F.lit(salt))
     left = df.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), place.cast("int")).otherwise(F.lit(0)))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
     other = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -155,6 +155,51 @@ def trail(events: DataFrame, key: str, value: object, ts: str, tie: str) -> Data
     return one.orderBy(ts, tie)
 
 
+def lineage_history(edges: DataFrame, since: Column) -> DataFrame:
+    """Per day and pair of layers, valid rows only: transformations and different batches, from the ``batch_id`` column."""
+    good = valid(edges).filter(F.col("created_at") >= since)
+    return good.groupBy(F.to_date("created_at").alias("day"), "source_layer", "target_layer").agg(
+        F.count("*").alias("transformation_count"), F.count_distinct("batch_id").alias("batch_count")
+    )
+
+
+def audit_history(audit_rows: DataFrame, since: Column) -> DataFrame:
+    """Per day and category: events, successes, failures."""
+    recent_rows = audit_rows.filter(F.col("event_timestamp") >= since)
+    return recent_rows.groupBy(F.to_date("event_timestamp").alias("day"), "event_category").agg(
+        F.count("*").alias("event_count"),
+        F.count_if(F.col("status") == "success").alias("success_count"),
+        F.count_if(F.col("status") == "failure").alias("failure_count"),
+    )
+
+
+def job_statistics(jobs: DataFrame) -> DataFrame:
+    """Per job type and status: jobs, rows, and the mean duration of completed jobs in seconds."""
+    done = F.when(F.lower("status") == "completed", F.col("duration_seconds"))
+    return jobs.groupBy("job_type", "status").agg(
+        F.count("*").alias("job_count"), F.sum("rows").alias("total_rows"), F.avg(done).alias("avg_duration_seconds")
+    )
+
+
+def combined_report(edges: DataFrame, audit_rows: DataFrame, since: Column, latest: int = 10) -> DataFrame:
+    """A period in one table of (section, name, value): edges per pair of layers, audit rows per category and status,
+    different tables per layer, and the ``latest`` transformations with their times."""
+    good = valid(edges).filter(F.col("created_at") >= since)
+    pair = F.concat_ws(" -> ", "source_layer", "target_layer")
+
+    def part(df: DataFrame, section: str, name: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value"))
+
+    audits = audit_rows.filter(F.col("event_timestamp") >= since).groupBy("event_category", "status").agg(F.count("*").alias("n"))
+    newest = good.orderBy(F.col("created_at").desc(), "source_table", "target_table").limit(latest)
+    return (
+        part(good.groupBy("source_layer", "target_layer").agg(F.count("*").alias("n")), "layers", pair, F.col("n"))
+        .unionAll(part(audits, "audit", F.concat_ws(" ", "event_category", "status"), F.col("n")))
+        .unionAll(part(layer_totals(good), "tables", F.col("layer"), F.col("table_count")))
+        .unionAll(part(newest, "latest", F.concat_ws(" -> ", "source_table", "target_table"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
+    )
+
+
 def history_by_day(
     lineage_rows: DataFrame, audit_rows: DataFrame, since: Column, lineage_ts: str = "created_at", audit_ts: str = "event_timestamp"
 ) -> DataFrame:

@@ -673,13 +673,14 @@ def profile(
     if sample is not None:
         part = stage(sample_rows(df, sample, key or df.columns), "sample")
         seen = F.least(seen, F.lit(sample).cast("bigint"))
-    return {
-        "overview": summary.withColumn("sampled_rows", seen),
-        "columns": describe(part, approx),
-        "numeric": numeric_profile(part, approx=approx),
-        "categorical": categorical_profile(part),
-        "datetime": datetime_profile(part),
-    }
+    sections = {"overview": summary.withColumn("sampled_rows", seen), "columns": describe(part, approx)}
+    if columns_of(df, *NUMERIC):
+        sections["numeric"] = numeric_profile(part, approx=approx)
+    if columns_of(df, T.StringType):
+        sections["categorical"] = categorical_profile(part)
+    if columns_of(df, *TEMPORAL):
+        sections["datetime"] = datetime_profile(part)
+    return sections
 
 
 def _flat(section: DataFrame, table: str, name: str) -> DataFrame:

@@ -259,7 +259,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], write_once: bool | None =
 
 def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The report of the rules plus ``table_score``: % of rows that break no rule (100 for an empty table)."""
-    marked = mark(df, rules)
+    marked = mark(df, rules).select(VIOLATIONS)  # the report needs nothing else
     if needs_shuffle(rules):
         marked = stage(marked, "marked")
     clean = F.count_if(F.size(VIOLATIONS) == 0) * F.lit(100.0)

@@ -54,18 +54,21 @@ def silver_rows(df: DataFrame, job: SilverJob, now: Column) -> tuple[DataFrame,
 def bronze_to_silver(spark: SparkSession, job: SilverJob, now: Column) -> DataFrame:
     """Run the job and return its one-row report.
 
-    Two writes and no other action: the row counts and the new watermark are observed on the way.
+    Two writes and no other action: the row counts and the new watermark are observed on the way. The watermark is that of
+    all rows read, rejected ones included, whatever the SQL does to the column, so no row is read twice; a job that is
+    tried again replaces its own quarantined rows.
     """
     raw = read_bronze(spark, job.source, job.mode, job.watermark_col, job.watermark_value)
+    raw_seen, clean_seen, rejected_seen = Observation("raw"), Observation("clean"), Observation("rejected")
+    raw = raw.observe(raw_seen, _watermark(job, raw).alias("high"))
     clean, rejected = silver_rows(raw, job, now)
-    clean_seen, rejected_seen = Observation("clean"), Observation("rejected")
-    clean = clean.observe(clean_seen, F.count(F.lit(1)).alias("n"), _watermark(job, clean).alias("high"))
+    clean = clean.observe(clean_seen, F.count(F.lit(1)).alias("n"))
     rejected = rejected.observe(rejected_seen, F.count(F.lit(1)).alias("n"))
     writer = clean.write.mode("overwrite" if job.mode == "full" else "append").option("compression", "snappy")
     (writer.partitionBy(*job.partition_by) if job.partition_by else writer).parquet(job.target)
     write_quarantine(rejected, job.quarantine, job.job_id, now)
     kept, lost = clean_seen.get, rejected_seen.get
-    row = (job.job_id, job.entity, kept["n"], lost["n"], kept["high"])
+    row = (job.job_id, job.entity, kept["n"], lost["n"], raw_seen.get["high"])
     return spark.createDataFrame(
         [row], "job_id string, entity string, silver_rows bigint, quarantined_rows bigint, watermark string"
     )

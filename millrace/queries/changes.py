@@ -342,14 +342,14 @@ def silver_batch(t: Tables):
     job = _silver_job(t)
     plan.bronze_to_silver(t.spark, job, now())
     df = t.spark.read.parquet(job.target)
-    df = df.withColumn("check_hash", md5_of(["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+    df = df.withColumn("check_hash", md5_of(["o_orderkey", "o_orderstatus", "o_orderpriority"], null_safe=False))
     return df.select("o_orderkey", "o_totalprice", "o_orderpriority", "_entity_name", "_job_id", "check_hash")
 
 
 @query(
     "silver_batch_report",
     """SELECT 'job-1' AS job_id, 'orders' AS entity, count(*) FILTER (o_totalprice <= 400000) AS silver_rows,
-    CAST(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END) FILTER (o_totalprice > 400000), 0) AS BIGINT) AS quarantined_rows, strftime(max(o_orderdate) FILTER (o_totalprice <= 400000), '%Y-%m-%d %H:%M:%S') AS watermark
+    CAST(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END) FILTER (o_totalprice > 400000), 0) AS BIGINT) AS quarantined_rows, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS watermark
     FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01'""",
 )
 def silver_batch_report(t: Tables):

@@ -158,14 +158,14 @@ def standardize_typed(t: Tables):
 
 @query(
     "add_silver_metadata",
-    f"""SELECT n_nationkey, n_name, n_regionkey, 'erp' AS _source_system, 'nation' AS _entity_name,
+    f"""SELECT o_orderkey, o_orderstatus, o_custkey, 'erp' AS _source_system, 'orders' AS _entity_name,
         TIMESTAMP '{NOW}' AS _ingestion_timestamp, 'job-1' AS _job_id,
-        md5(n_nationkey || '||' || CASE WHEN n_regionkey = 2 THEN '\\N' ELSE n_name END || '||' || n_regionkey) AS _record_hash
-        FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS n_name, n_regionkey FROM nation)""",
+        md5(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || '||' || coalesce(length(o_orderstatus) || ':' || o_orderstatus, '\\N') || '||' || length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey) AS _record_hash
+        FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus, o_custkey FROM orders)""",
 )
 def add_silver_metadata(t: Tables):
-    df = t.nation.withColumn("n_name", F.when(F.col("n_regionkey") != 2, F.col("n_name")))
-    return op.add_silver_metadata(df, "erp", "nation", "job-1", now())
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus")
+    return op.add_silver_metadata(t.orders.select("o_orderkey", status, "o_custkey"), "erp", "orders", "job-1", now())
 
 
 @query(

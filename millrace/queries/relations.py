@@ -289,6 +289,16 @@ def asset_quality(t: Tables):
     return aggregates.asset_quality(assets(t)).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
+@query(
+    "extraction_success",
+    f"""SELECT file_type, 'model-' || (id % 3) AS model, count(*) AS success_count, round(avg(confidence), 6) AS avg_confidence, min(processed_at) AS first_processed, max(processed_at) AS last_processed
+    FROM ({ASSETS}) WHERE extraction_status = 'success' GROUP BY 1, 2""",
+)
+def extraction_success(t: Tables):
+    df = assets(t).withColumn("model", F.concat(F.lit("model-"), (F.col("id") % 3).cast("string")))
+    return aggregates.extraction_success(df).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
 @query(
     "asset_aging",
     f"""SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'pending' END AS extraction_status,
@@ -400,6 +410,19 @@ def event_sequence(t: Tables):
     return df.withColumn("events", F.array_join("events", ","))
 
 
+@query(
+    "asset_event_sequence",
+    f"""WITH r AS (SELECT user_id AS id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT id, count(*) AS total_events, min(ts) AS first_event, max(ts) AS last_event FROM r GROUP BY 1)
+    SELECT id, (rn - 1) // 50 AS part, string_agg(event_type, ',' ORDER BY rn) AS events, any_value(total_events) AS total_events,
+    any_value(first_event) AS first_event, any_value(last_event) AS last_event, any_value(file_type) AS file_type, any_value(source) AS source FROM r JOIN s USING (id) LEFT JOIN ({ASSETS}) a USING (id) GROUP BY 1, 2""",
+)
+def asset_event_sequence(t: Tables):
+    events = t.events.select(F.col("user_id").alias("id"), "ts", "event_type", "event_id")
+    df = aggregates.asset_event_sequence(events, assets(t), "id", "ts", "event_type", "event_id", part_rows=50)
+    return df.withColumn("events", F.array_join("events", ","))
+
+
 @query(
     "gold_asset_metadata",
     f"""SELECT count(*) AS total_gold_assets, count(DISTINCT file_type) AS unique_file_types, count(DISTINCT source) AS unique_sources,

@@ -141,13 +141,54 @@ def audit_rows(t: Tables):
 
 @query(
     "history_by_day",
-    f"""WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-05' GROUP BY 1),
+    f"""WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1),
     b AS (SELECT CAST(event_timestamp AS DATE) AS day, count(*) AS n, count(*) FILTER (status = 'success') AS s, count(*) FILTER (status = 'failure') AS f FROM ({AUDIT}) WHERE event_timestamp >= TIMESTAMP '2024-01-05' GROUP BY 1)
     SELECT day, coalesce(a.n, 0) AS lineage_count, coalesce(b.n, 0) AS audit_count, coalesce(s, 0) AS success_count, coalesce(f, 0) AS failure_count FROM a FULL JOIN b USING (day)""",
 )
 def history_by_day(t: Tables):
-    rows = t.events.filter("event_type <> 'view'").select(F.col("ts").alias("created_at"))
-    return L.history_by_day(rows, audit_rows(t), moment("2024-01-05"))
+    return L.history_by_day(t.events.select(F.col("ts").alias("created_at")), audit_rows(t), moment("2024-01-05"))
+
+
+@query(
+    "history_by_layers",
+    f"""SELECT CAST(created_at AS DATE) AS day, source_layer, target_layer, count(*) AS transformation_count, count(DISTINCT batch_id) AS batch_count
+    FROM (SELECT *, source_table AS batch_id, transformation_type <> 'join' OR target_table NOT LIKE '%7' AS is_valid FROM ({EDGES})) WHERE is_valid AND created_at >= TIMESTAMP '1997-01-01' GROUP BY 1, 2, 3""",
+)
+def history_by_layers(t: Tables):
+    good = (F.col("transformation_type") != "join") | ~F.col("target_table").endswith("7")
+    return L.lineage_history(edges(t).withColumns({"batch_id": F.col("source_table"), "is_valid": good}), moment("1997-01-01"))
+
+
+@query(
+    "history_by_category",
+    f"""SELECT CAST(event_timestamp AS DATE) AS day, event_category, count(*) AS event_count, count(*) FILTER (status = 'success') AS success_count, count(*) FILTER (status = 'failure') AS failure_count
+    FROM ({AUDIT}) WHERE event_timestamp >= TIMESTAMP '2024-01-05' GROUP BY 1, 2""",
+)
+def history_by_category(t: Tables):
+    return L.audit_history(audit_rows(t), moment("2024-01-05"))
+
+
+@query(
+    "job_statistics",
+    """SELECT o_orderpriority AS job_type, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, count(*) AS job_count, CAST(sum(o_custkey) AS BIGINT) AS total_rows,
+    round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 100 END), 4) AS avg_duration_seconds FROM orders GROUP BY 1, 2""",
+)
+def job_statistics(t: Tables):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    jobs = t.orders.select(F.col("o_orderpriority").alias("job_type"), status.alias("status"), F.col("o_custkey").alias("rows"), (F.col("o_totalprice") / 100).alias("duration_seconds"))
+    return L.job_statistics(jobs).withColumn("avg_duration_seconds", F.round("avg_duration_seconds", 4))
+
+
+@query(
+    "combined_report",
+    f"""WITH e AS (SELECT * FROM ({EDGES}) WHERE created_at >= TIMESTAMP '1997-01-01')
+    SELECT 'layers' AS section, source_layer || ' -> ' || target_layer AS name, CAST(count(*) AS VARCHAR) AS value FROM e GROUP BY source_layer, target_layer
+    UNION ALL SELECT 'audit', event_category || ' ' || status, CAST(count(*) AS VARCHAR) FROM ({AUDIT}) WHERE event_timestamp >= TIMESTAMP '1997-01-01' GROUP BY event_category, status
+    UNION ALL SELECT 'tables', layer, CAST(count(*) AS VARCHAR) FROM (SELECT source_layer AS layer, source_table FROM e UNION SELECT target_layer, target_table FROM e) GROUP BY layer
+    UNION ALL SELECT 'latest', source_table || ' -> ' || target_table, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM (SELECT * FROM e ORDER BY created_at DESC, source_table, target_table LIMIT 10)""",
+)
+def combined_report(t: Tables):
+    return L.combined_report(edges(t), audit_rows(t), moment("1997-01-01"))
 
 
 @query(

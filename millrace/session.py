@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +33,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
-
-    A temporary folder is made only for a local master, where driver and executors are one process.
-    """
+    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session, else one below the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(base)
-    return spark.sparkContext.getCheckpointDir()
+    return base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -53,13 +43,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+# What ``stage`` has written in this process and ``release`` has not yet removed.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but is computed once and stays columnar, so later readers prune
-    columns. A lost executor only costs the tasks it was running: the files outlive it.
+    columns. A lost executor only costs the tasks it was running: the files outlive it. They stay until ``release``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove everything staged so far and return how many folders that were.
+
+    Call it when the results of the operators have been written or collected: frames that still read a staged copy
+    cannot be used afterwards.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, removed = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _staged:
+        path = hadoop.Path(_staged.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

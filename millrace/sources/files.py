@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Extension classes, destinations and type names the routing results depend on.
 AUDIO_EXTENSIONS = ["mp3", "wav", "flac", "aac", "ogg", "m4a", "wma", "opus"]
@@ -39,9 +39,11 @@ def storage_class(ext: Column) -> Column:
     return start.otherwise(F.lit("binary"))
 
 
-def read_files(spark: SparkSession, paths: str | Sequence[str], fmt: str = "auto") -> DataFrame:
-    """CSV (header, strings, byte-order mark dropped), JSON (object, array or lines), JSONL, Parquet.
+def read_files(spark: SparkSession, paths: str | Sequence[str], fmt: str = "auto", multi_line: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV (header, strings, byte-order mark dropped), JSON, JSONL, Parquet.
 
+    CSV and JSON are read by lines, so that large files are split over tasks; ``multi_line`` is for records (or one JSON
+    array) that span lines, at one task per file. With a ``schema`` JSON is not read a first time for its columns.
     Any other type gives one row per file with its size and base64 content. ``auto`` looks at the
     extension, which must be the same for all paths.
     """
@@ -52,11 +54,11 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], fmt: str = "auto
             raise ValueError(f"paths mix the types {sorted(kinds)}; read them one type at a time")
         fmt = READERS.get(kinds.pop(), "binary")
     if fmt == "csv":
-        return spark.read.option("header", "true").option("encoding", "UTF-8").option("multiLine", "true").csv(paths)
-    if fmt == "json":
-        return spark.read.option("multiLine", "true").json(paths)
-    if fmt == "jsonl":
-        return spark.read.json(paths)
+        reader = spark.read.option("header", "true").option("encoding", "UTF-8").option("multiLine", str(multi_line).lower())
+        return (reader.schema(schema) if schema else reader).csv(paths)
+    if fmt in ("json", "jsonl"):
+        reader = spark.read.option("multiLine", str(multi_line and fmt == "json").lower())
+        return (reader.schema(schema) if schema else reader).json(paths)
     if fmt == "parquet":
         return spark.read.parquet(*paths)
     return (

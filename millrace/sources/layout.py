@@ -40,20 +40,23 @@ def add_bronze_metadata(
 
 
 def write_quarantine(df: DataFrame, path: str, job_id: str, now: Column, by_rule: bool = False) -> str:
-    """Append rejected rows with time and job id below a job folder; one folder per rule on request."""
+    """Rejected rows with time and job id in the job's folder, replacing what an earlier try of the same job left there.
+
+    On request there is one folder per rule; rules are gathered first and large ones split over several files.
+    """
     target = f"{path.rstrip('/')}/{job_id}"
     out = df.withColumns({"_quarantine_timestamp": now, "_quarantine_job_id": F.lit(job_id)})
-    writer = out.write.mode("append")
     if by_rule:
-        writer = writer.partitionBy("rule_id")
-    writer.parquet(target)
+        out.hint("rebalance", "rule_id").write.mode("overwrite").partitionBy("rule_id").parquet(target)
+    else:
+        out.write.mode("overwrite").parquet(target)
     return target
 
 
 def write_tenants(df: DataFrame, path: str, tenant_col: str, table_col: str | None = None) -> None:
     """One job for all tenants; every tenant (and table) gets its own folder."""
     parts = [tenant_col] + ([table_col] if table_col else [])
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def to_envelopes(

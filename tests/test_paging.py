@@ -89,3 +89,9 @@ def test_keyed_first_row_is_limited_before_the_shuffle(rows):
     plan = windows.deduplicate(rows, "k", "id")._jdf.queryExecution().executedPlan().toString()
     before_shuffle = plan[plan.index("Exchange hashpartitioning") :]
     assert "WindowGroupLimit" in before_shuffle
+
+
+def test_ordered_windows_take_map_columns(spark):
+    df = spark.createDataFrame([(1, 1, {"a": 1}), (1, 2, None), (1, 3, {"b": 2})], "k long, o long, m map<string,int>")
+    numbered = paging.running(paging.paged(df, ["k"], [F.col("o")]), ["k"], paging.row_numbers("n"))
+    assert [(r["o"], r["n"]) for r in numbered.orderBy("o").collect()] == [(1, 1), (2, 2), (3, 3)]

@@ -4,17 +4,56 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
+from millrace.functions import scalars
 from millrace.sources import files, jdbc, kafka, layout, tables
 from millrace.streaming.watermarks import Watermarks
 
 
+def test_line_files_are_split(spark, tmp_path):
+    lines = "\n".join(f"{i},{'x' * 50}" for i in range(20_000))
+    (tmp_path / "big.csv").write_text("id,name\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = files.read_files(spark, str(tmp_path / "big.csv"), schema="id long, name string")
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 20_000 and df.schema["id"].dataType.typeName() == "long"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_release_removes_what_was_staged(spark, tmp_path):
+    import pathlib
+
+    session.release(spark)
+    staged = session.stage(spark.range(100))
+    kept = staged.agg(F.sum("id").alias("s"))
+    kept.write.parquet(str(tmp_path / "kept"))
+    folder = pathlib.Path(session._staged[0].removeprefix("file:"))
+    assert folder.exists() and session.release(spark) == 1 and not folder.exists()
+    assert spark.read.parquet(str(tmp_path / "kept")).first().s == 4950 and session.release(spark) == 0
+
+
+def test_writers_gather_their_partitions(spark, tmp_path):
+    df = spark.range(2000).repartition(8).select("id", F.concat(F.lit("t"), F.col("id") % 5).alias("tenant"), F.lit("r").alias("rule_id"))
+    layout.write_tenants(df, str(tmp_path / "t"), "tenant")
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 5
+    for _ in range(2):  # the second try of the job replaces the first
+        target = layout.write_quarantine(df, str(tmp_path / "q"), "job", F.lit("2024-01-01").cast("timestamp"), by_rule=True)
+    assert spark.read.parquet(target).count() == 2000 and len(list((tmp_path / "q").rglob("*.parquet"))) == 1
+
+
+def test_different_rows_have_different_hashes(spark):
+    df = spark.createDataFrame([("a||b", "c"), ("a", "b||c"), (None, "c"), ("\\N", "c")], "x string, y string")
+    assert df.select(scalars.md5_of(["x", "y"]).alias("h")).distinct().count() == 4
+
+
 def test_read_files_by_extension(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,name\n1,Ann\n2,\"Bo\nb\"\n".encode())
-    df = files.read_files(spark, str(tmp_path / "a.csv"))
+    df = files.read_files(spark, str(tmp_path / "a.csv"), multi_line=True)
     assert df.columns == ["id", "name"] and [r["id"] for r in df.collect()] == ["1", "2"]
     (tmp_path / "o.json").write_text(json.dumps({"a": 1}))
     (tmp_path / "l.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
-    assert files.read_files(spark, str(tmp_path / "o.json")).count() == 1
+    assert files.read_files(spark, str(tmp_path / "o.json"), multi_line=True).count() == 1
     assert files.read_files(spark, str(tmp_path / "l.json")).count() == 2
     (tmp_path / "r.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"b": 3}\n')
     assert files.read_files(spark, str(tmp_path / "r.jsonl")).columns == ["a", "b"]
