@@ -178,10 +178,10 @@ def row_hash(t: Tables):
 
 @query(
     "drop_technical_columns",
-    f"SELECT r_regionkey, r_name, true AS _silver_quality_passed, TIMESTAMP '{NOW}' AS _gold_processed_at, 97.5::DOUBLE AS _quality_score FROM region",
+    f"SELECT o_orderkey, o_orderstatus, true AS _silver_quality_passed, TIMESTAMP '{NOW}' AS _gold_processed_at, 97.5::DOUBLE AS _quality_score FROM orders",
 )
 def drop_technical_columns(t: Tables):
-    df = t.region.withColumns(
+    df = t.orders.select("o_orderkey", "o_orderstatus").withColumns(
         {"_bronze_path": F.lit("x"), "_silver_job": F.lit("y"), "_silver_quality_passed": F.lit(True)}
     )
     return op.to_gold(df, 97.5, now())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.plans import bronze
 from millrace.queries.registry import Tables, query
 from millrace.session import fresh_path
 from millrace.sources import files, jdbc, kafka, layout, tables
@@ -132,14 +133,14 @@ def table_preview(t: Tables):
     return tables.preview(t.customer.select("c_custkey", "c_name", "c_acctbal"), "c_custkey", 25, 50)
 
 
-@query("write_table", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
+@query("write_table", "SELECT o_orderkey AS id, o_orderpriority AS name FROM orders UNION ALL SELECT c_custkey, c_name FROM customer")
 def write_table(t: Tables):
-    name = "silver_places_" + fresh_path(t.spark, "t").rsplit("-", 1)[-1]
+    name = "silver_names_" + fresh_path(t.spark, "t").rsplit("-", 1)[-1]
     path = fresh_path(t.spark, "table")
-    t.spark.sql(f"CREATE TABLE {name} (r_regionkey INT, r_name STRING) USING parquet LOCATION '{path}'")
-    tables.write_table(t.region, name, "incremental")
-    rows = t.nation.select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name"))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
+    t.spark.sql(f"CREATE TABLE {name} (id {rows.schema['id'].dataType.simpleString()}, name STRING) USING parquet LOCATION '{path}'")
     tables.write_table(rows, name, "incremental")
+    tables.write_table(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), name, "incremental")
     return t.spark.table(name)
 
 
@@ -160,16 +161,41 @@ def date_partition_cols(t: Tables):
 
 @query(
     "bronze_ingest",
-    """SELECT n_nationkey, n_name, n_regionkey, TIMESTAMP '2024-02-01 00:00:00' AS _ingestion_timestamp, 'erp' AS _source_system,
-    'nation' AS _source_entity, 'run-1' AS _ingestion_id, 1 AS _schema_version,
-    sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS _row_hash
-    FROM nation""",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, TIMESTAMP '2024-02-01 00:00:00' AS _ingestion_timestamp, 'erp' AS _source_system,
+    'orders' AS _source_entity, 'run-1' AS _ingestion_id, 1 AS _schema_version,
+    sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS _row_hash
+    FROM orders""",
 )
 def bronze_ingest(t: Tables):
+    job, _ = _ingested(t, 1)
+    return tables.read_bronze(t.spark, f"{job.target}/_run=run-1")
+
+
+def _ingested(t: Tables, runs: int):
+    """Orders taken in once or twice; the second run has one more column. Returns the job and the catalogue rows."""
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    path = fresh_path(t.spark, "bronze")
-    tables.write_files(layout.add_bronze_metadata(t.nation, "erp", "nation", "run-1", now), path)
-    return tables.read_bronze(t.spark, path)
+    places = [fresh_path(t.spark, k) for k in ("bronze", "catalog", "profile", "lineage")]
+    columns, entries = ["o_orderkey", "o_custkey", "o_orderstatus"], []
+    for i in range(runs):
+        job = bronze.BronzeJob("erp", "orders", f"run-{i + 1}", *places)
+        entries.append(bronze.ingest(t.orders.select(*columns, *(["o_totalprice"] if i else [])), job, now))
+    return job, entries
+
+
+@query(
+    "bronze_ingest_records",
+    """SELECT v AS version, v + 2 AS column_count, (SELECT count(*) FROM orders) AS row_count, (SELECT count(*) FROM orders) AS lineage_rows, (SELECT count(DISTINCT o_custkey) FROM orders) AS profiled_customers
+    FROM (SELECT 1::BIGINT AS v UNION ALL SELECT 2)""",
+)
+def bronze_ingest_records(t: Tables):
+    job, entries = _ingested(t, 2)
+    edges = t.spark.read.parquet(job.lineage).select((F.size("columns") - 2).cast("long").alias("version"), F.col("row_count").alias("lineage_rows"))
+    seen = [
+        t.spark.read.parquet(f"{job.profile}/_run=run-{i}/columns").where("column_name = 'o_custkey'").select(F.lit(i).cast("long").alias("version"), F.col("unique_count").alias("profiled_customers"))
+        for i in (1, 2)
+    ]
+    rows = entries[0].unionAll(entries[1]).select(F.col("version").cast("long").alias("version"), "column_count", "row_count")
+    return rows.join(edges, "version").join(seen[0].unionAll(seen[1]), "version")
 
 
 @query("multi_tenant_layout", "SELECT o_orderstatus AS tenant, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
