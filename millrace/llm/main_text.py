@@ -238,9 +238,10 @@ def second_pass(labels: list[str], regions: list[int]) -> list[bool]:
 def main_text(page: str) -> str:
     """Good blocks of a page, one per line, in page order."""
     found = blocks(page)
-    # Furniture inside an article says nothing about the article's own blocks.
-    regions = [-1 if b.furniture and b.region else b.region for b in found]
-    keep = second_pass([first_pass(b) for b in found], regions)
+    labels = [first_pass(b) for b in found]
+    # Furniture and link lists inside an article say nothing about the article's own blocks.
+    regions = [-1 if label == BAD and b.region else b.region for b, label in zip(found, labels)]
+    keep = second_pass(labels, regions)
     return "\n".join(b.text for b, good in zip(found, keep) if good)
 
 
