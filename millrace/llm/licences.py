@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines of a text. Features are the one- and two-word n-grams of the templates that hold a word which is not
-an ordinary function word. A multinomial logistic regression tells the families and an unknown class apart; it learns from
+Paragraphs are lines of a text; those without any licence word are unknown. Features are the one- and two-word n-grams of
+the templates that hold a licence word or a number. A multinomial logistic regression tells the families and an unknown class apart; it learns from
 altered copies of the templates, from fragments of them that are too short to count (unknown), and from
 paragraphs of the corpus that use licence words without resembling any template (unknown). Its probabilities are
 calibrated by a temperature on copies that it has not seen. A predicted family is confirmed if the paragraph holds enough
@@ -120,7 +120,10 @@ def grams(word_array: Column) -> Column:
 
 
 def _content(gram: str) -> bool:
-    return any(w not in STOPS and w not in ORDINARY and not w[0].isdigit() and len(w) > 1 for w in gram.split())
+    """A licence word, or a pair with such a word or a number in it ("version 3")."""
+    parts = gram.split()
+    numbered = len(parts) > 1 and any(w[0].isdigit() for w in parts)
+    return numbered or any(w not in STOPS and w not in ORDINARY and not w[0].isdigit() and len(w) > 1 for w in parts)
 
 
 @dataclass(frozen=True)
@@ -135,7 +138,7 @@ class Model:
 
     @property
     def terms(self) -> list[str]:
-        """Single words of the vocabulary; a paragraph without any has no feature but foreign words, so it is unknown."""
+        """Licence words: single words of the vocabulary. A paragraph without any is unknown."""
         return [g for g in self.vocabulary if " " not in g]
 
 
