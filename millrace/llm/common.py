@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Arrow batches are cut by bytes, so that many long texts never sit in one batch.
@@ -43,3 +43,24 @@ def rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, fn) -> Iterator[p
 def remainder(id_column: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % n, F.lit(0).cast("long"))
+
+
+def hash_sample(df: DataFrame, key: list[str], rows: int, by: str | None = None) -> DataFrame:
+    """At most ``rows`` rows (for each value of ``by``), the first by a hash of ``key``; the same on every run.
+
+    The rows are counted first, and only those below a hash threshold that leaves about twice as many as wanted are
+    ranked, so what one task sorts does not grow with the table. ``by`` is meant for few values.
+    """
+    groups = [by] if by else []
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    drawn = df.withColumn("_hash", F.xxhash64(*key))
+    if by:
+        sized = drawn.join(F.broadcast(sizes), by)  # a row for each of the few values
+    else:
+        sized = drawn.withColumn("_size", F.lit(sizes.first()[0]))
+    share = F.when(F.col("_size") <= 4 * rows + 60, 1.0).otherwise(F.lit(2.0 * rows + 30) / F.col("_size"))
+    near = sized.where(F.shiftrightunsigned("_hash", 11) < share * float(1 << 53))
+    if not by:
+        return near.orderBy("_hash", *key).limit(rows).select(*df.columns)
+    first = Window.partitionBy(by).orderBy("_hash", *key)
+    return near.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= rows).select(*df.columns)

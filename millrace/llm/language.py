@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import col, remainder, texts_of
+from millrace.llm.common import col, hash_sample, remainder, texts_of
 from millrace.llm.quality import filter_texts
 
 WINDOW = 256  # bytes that the network sees at once
@@ -156,8 +156,7 @@ def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, st
     ``und``.
     """
     labelled = docs.select(col("doc_id").cast("long").alias("doc_id"), col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_label).select("doc_id", "lang").distinct()
+    chosen = hash_sample(labelled, ["doc_id"], docs_per_label, by="lang").distinct()
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
     def run(batches):

@@ -17,7 +17,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import col
+from millrace.llm.common import col, hash_sample
 from millrace.llm.main_text import STOPS
 from millrace.session import stage
 
@@ -224,7 +224,7 @@ def training_rows(spark: SparkSession, corpus: DataFrame | None = None) -> DataF
     rows = made.select("label", (F.col("copy") >= COPIES).alias("held_out"), grams(F.col("words")).alias("grams"), F.size("words").alias("n_words"))
     if corpus is not None:
         unlike = containment(corpus.select("grams", "n_words")).where("similarity < 0.3").select("grams", "n_words")
-        some = unlike.orderBy(F.xxhash64("grams"), "grams").limit(CORPUS_SAMPLE)
+        some = hash_sample(unlike, ["grams"], CORPUS_SAMPLE)
         rows = rows.unionByName(some.select(F.lit(UNKNOWN).alias("label"), (F.pmod(F.xxhash64("grams"), F.lit(5)) == 0).alias("held_out"), "grams", "n_words"))
     return rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import boosting
-from millrace.llm.common import col, texts_of
+from millrace.llm.common import col, hash_sample, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -130,10 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> boosting
         .where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
     )
-    chosen = {r.doc_id: r.quality for r in wanted.collect()}
+    chosen = {r.doc_id: r.quality for r in hash_sample(wanted, ["doc_id"], sample_rows).collect()}
     if not chosen:
         return boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)
     spark = docs.sparkSession

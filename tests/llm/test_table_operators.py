@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents, found, none_of, prose  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from millrace.llm import components, gray_simhash, licences, packing, range_join, shard_tree  # noqa: E402
+from millrace.llm import common, components, gray_simhash, licences, packing, range_join, shard_tree  # noqa: E402
 from millrace.llm.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +35,15 @@ def joined(nodes, links):
     return label
 
 
+def test_hash_sample(spark):
+    df = spark.range(3000).selectExpr("id", "id % 3 as k", "'x' as extra")
+    picked = common.hash_sample(df, ["id"], 100)
+    assert picked.columns == df.columns and picked.count() == 100
+    assert {r.id for r in picked.collect()} == {r.id for r in common.hash_sample(df.repartition(5), ["id"], 100).collect()}
+    assert {(r.k, r["count"]) for r in common.hash_sample(df, ["id"], 100, by="k").groupBy("k").count().collect()} == {(0, 100), (1, 100), (2, 100)}
+    assert common.hash_sample(df, ["id"], 5000).count() == 3000 and common.hash_sample(df.limit(0), ["id"], 5).count() == 0
+
+
 # ---- components
 
 
