@@ -30,8 +30,9 @@ MIN_GAIN = 10.0  # nats over the training text
 SMOOTHING = 6.0
 # The most frequent bytes are told apart, the others share one class and split its probability evenly.
 CLASSES = 64
-# Words that every task knows; the others are looked up by a join. Longer words are never among them.
-FREQUENT_WORDS = 1 << 16
+# Words that every task knows, by their share of the training tokens (so there are at most 1 / FREQUENT_SHARE); the others
+# are looked up by a join. Longer words are never among the frequent ones.
+FREQUENT_SHARE = 2e-6
 FREQUENT_BYTES = 64
 
 END = b"\n"
@@ -260,9 +261,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = training.count()
     train_tokens, kinds = total + ends, distinct + (1 if ends else 0)
     tree = grow(counts.where("gram is not null").select("gram", "n"))
-    frequent_words = words.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
+    frequent_words = words.where((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("n") >= max(2, math.ceil(FREQUENT_SHARE * train_tokens))))
     frequent = {bytes(r.word): math.log10(r.n + 1) for r in frequent_words.collect()}
-    shared = df.sparkSession.sparkContext.broadcast((tree, frequent, ends))  # bounded by MIN_SHARE, FREQUENT_WORDS and FREQUENT_BYTES
+    shared = df.sparkSession.sparkContext.broadcast((tree, frequent, ends))  # bounded by MIN_SHARE, FREQUENT_SHARE and FREQUENT_BYTES
 
     def run(batches):
         tree, frequent, ends = shared.value

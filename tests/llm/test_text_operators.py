@@ -240,7 +240,7 @@ def lm_of(docs):
 
 @pytest.mark.parametrize("source", ["awkward", "given"])
 def test_word_counts_and_base_scores(spark, source, monkeypatch):
-    monkeypatch.setattr(suffix_lm, "FREQUENT_WORDS", 20)  # so that most words take the join
+    monkeypatch.setattr(suffix_lm, "FREQUENT_SHARE", 0.01)  # so that most words take the join
     frame = documents(spark, "score n") if source == "awkward" else spark.read.parquet(f"{SF}/documents.parquet")
     expected = sorted(lm_of([(r.doc_id, r.text) for r in frame.collect()]), key=repr)
     got = found(suffix_lm.score_documents(frame).drop("score"))
