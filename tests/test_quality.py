@@ -190,8 +190,9 @@ def test_lineage_cycles_end(spark):
     up = {r["table_name"]: r["depth"] for r in lineage.lineage(edges, "e", "upstream", 10).collect()}
     assert up == {"d": 1, "c": 2, "b": 3, "a": 4}
     assert lineage.impact(edges, "a").first()["risk_level"] == "medium"
+    assert lineage.lineage(edges, "a", depth=11).count() == lineage.lineage(edges, "a", depth=None).count() == 4
     with pytest.raises(ValueError):
-        lineage.lineage(edges, "a", depth=11)
+        lineage.lineage(edges, "a", depth=0)
 
 
 def test_record_lineage_refuses_bad_edges(spark, tmp_path):
