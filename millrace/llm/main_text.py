@@ -4,7 +4,8 @@ Pass one looks at each block alone: link density, length and stop-word density m
 Pass two gives undecided blocks the label of the nearest decided neighbours. Elements whose tag, role or class says
 that they are page furniture (menus, footers, adverts, comments ...) are bad from the start, and a block that lies in
 an ``article`` or ``main`` element is never bad for want of stop words: there it stays undecided and follows its
-neighbours inside that element.
+neighbours inside that element. A class, an id or a form is not believed where the element holds the page's ``main``
+element, most of the text of its articles or, without articles, most of its text: then it is a wrapper of the page.
 """
 
 from __future__ import annotations
@@ -39,11 +40,18 @@ STOPS = frozenset(word for words in STOP_WORDS.values() for word in words.split(
 SILENT = frozenset("head script style noscript template svg math iframe object embed canvas audio video textarea select option title".split())
 # Elements of page furniture, by tag, by role and by a part of the class or id.
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+WRAPPER_TAGS = frozenset(["form", "fieldset"])  # may also be around a whole page
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal "
     "nav navbar navigation newsletter notice pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
+# Class names that begin or end so tell what a page has or allows ("has-sidebar", "comments-open"), not what the element is.
+STATE_FIRST = frozenset("has have no not with without".split())
+STATE_LAST = frozenset("allowed closed disabled enabled off on open".split())
+# A named element is a wrapper if it holds more than this share of the text; inside of an article, more than the second.
+WRAPPER_SHARE = 0.5
+INNER_WRAPPER_SHARE = 0.9
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -68,6 +76,18 @@ GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
+@dataclass
+class Wrapper:
+    """An element that is furniture by its class or id, or a form, unless it turns out to hold the page."""
+
+    above: Wrapper | None
+    region: int
+    main: bool = False  # holds a main element
+    chars: int = 0  # of blocks that are not furniture by other signs nor full of links
+    article_chars: int = 0  # of these, in articles that are not named as furniture themselves
+    furniture: bool = False
+
+
 @dataclass
 class Block:
     text: str
@@ -75,6 +95,7 @@ class Block:
     furniture: bool
     region: int  # the article or main element around it, by number; 0 for none
     label: str = ""
+    wrapper: Wrapper | None = None
 
 
 @dataclass
@@ -83,6 +104,8 @@ class Element:
     silent: bool = False
     furniture: bool = False
     region: int = 0
+    heading: bool = False  # in a page header
+    wrapper: Wrapper | None = None
 
 
 @dataclass
@@ -95,6 +118,8 @@ class _Reader:
     link_parts: list[str] = field(default_factory=list)
     links: int = 0
     regions: int = 0
+    wrappers: list[Wrapper] = field(default_factory=list)
+    named_regions: set[int] = field(default_factory=set)  # articles named as furniture inside of a named element
 
     def text(self, piece: str) -> None:
         top = self.open[-1]
@@ -109,7 +134,7 @@ class _Reader:
             if text:
                 top = self.open[-1]
                 link_chars = len(" ".join(html.unescape("".join(self.link_parts)).split()))
-                self.blocks.append(Block(text, link_chars, top.furniture, top.region))
+                self.blocks.append(Block(text, link_chars, top.furniture or top.heading, top.region, wrapper=top.wrapper))
             self.parts, self.link_parts = [], []
 
     def start(self, tag: str, attrs: str) -> None:
@@ -129,18 +154,31 @@ class _Reader:
         if tag in VOID or not (block or tag in SILENT or tag in FURNITURE_TAGS):
             return
         above = self.open[-1]
-        region = above.region
-        if tag in ("article", "main") and not region:
-            self.regions += 1
-            region = self.regions
-        silent, named = _signs(attrs)
+        region, wrapper = above.region, above.wrapper
+        furniture, heading = above.furniture, above.heading
+        silent, role, named = _signs(attrs)
         self.end_block()
+        if tag in ("article", "main"):
+            if not region:
+                self.regions += 1
+                region, heading = self.regions, False
+                if tag == "main":
+                    furniture = False
+                    if wrapper:
+                        wrapper.main = True
+                elif named and wrapper:
+                    self.named_regions.add(region)
+        elif (named and tag not in ("html", "body")) or tag in WRAPPER_TAGS:
+            wrapper = Wrapper(wrapper, region)
+            self.wrappers.append(wrapper)
         self.open.append(
             Element(
                 tag,
                 silent=above.silent or silent or tag in SILENT,
-                furniture=above.furniture or (named and tag not in ("html", "body", "article", "main")) or tag in FURNITURE_TAGS or (tag == "header" and not region),
+                furniture=furniture or (role and tag not in ("html", "body", "article", "main")) or (tag in FURNITURE_TAGS and tag not in WRAPPER_TAGS),
                 region=region,
+                heading=heading or (tag == "header" and not region),
+                wrapper=wrapper,
             )
         )
 
@@ -157,19 +195,58 @@ class _Reader:
                 return
 
 
-def _signs(attrs: str) -> tuple[bool, bool]:
-    """(hidden, furniture by role, class or id) of an element's attributes."""
-    hidden = named = False
+    def decide_wrappers(self) -> None:
+        """Tell wrappers of the page from furniture; blocks inside of furniture are furniture."""
+        chars, article_chars = [0] * (self.regions + 1), 0
+        for b in self.blocks:
+            if b.furniture or b.link_chars > MAX_LINK_DENSITY * len(b.text):
+                continue
+            size = len(b.text)
+            plain = size if b.region and b.region not in self.named_regions else 0
+            chars[b.region] += size
+            article_chars += plain
+            if b.wrapper:
+                b.wrapper.chars += size
+                b.wrapper.article_chars += plain
+        for w in reversed(self.wrappers):  # inner ones first
+            if w.above:
+                w.above.main |= w.main
+                w.above.chars += w.chars
+                w.above.article_chars += w.article_chars
+        for w in self.wrappers:  # outer ones first
+            if w.region:
+                holds = w.chars > INNER_WRAPPER_SHARE * chars[w.region]
+            elif article_chars:
+                holds = w.article_chars > WRAPPER_SHARE * article_chars
+            else:
+                holds = w.chars > WRAPPER_SHARE * sum(chars)
+            w.furniture = (w.above is not None and w.above.furniture) or not (w.main or holds)
+        for b in self.blocks:
+            b.furniture |= b.wrapper is not None and b.wrapper.furniture
+
+
+def _signs(attrs: str) -> tuple[bool, bool, bool]:
+    """(hidden, furniture by role, furniture by class or id) of an element's attributes."""
+    hidden = role = named = False
     if attrs and attrs != "/":
         for key, value in _ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
             elif key == "role":
-                named |= not FURNITURE_ROLES.isdisjoint(value.split())
+                roles = set(value.split())
+                named |= "form" in roles
+                role |= not FURNITURE_ROLES.isdisjoint(roles - {"form"})
             elif key in ("class", "id"):
-                named |= not FURNITURE_NAMES.isdisjoint(_NAME.findall(value))
-    return hidden, named
+                named |= any(_names_furniture(name) for name in value.split())
+    return hidden, role, named
+
+
+def _names_furniture(name: str) -> bool:
+    parts = _NAME.findall(name)
+    if FURNITURE_NAMES.isdisjoint(parts):
+        return False
+    return len(parts) == 1 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)
 
 
 def blocks(page: str) -> list[Block]:
@@ -183,6 +260,8 @@ def blocks(page: str) -> list[Block]:
             (reader.end if m["close"] else lambda t: reader.start(t, m["attrs"]))(tag.lower())
     reader.text(page[at:])
     reader.end_block()
+    if reader.wrappers:
+        reader.decide_wrappers()
     return reader.blocks
 
 

@@ -171,6 +171,23 @@ def test_main_text_short_blocks_follow_neighbours():
     assert main_text.second_pass(["short", "bad"], [1, 0]) == [True, False]
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article><div class=sidebar>{LONG}</div></div>", LONG.strip()),
+        (f"<div id='page' class='single comments-open'><article><p>{LONG}</p></article><div id=comments><article class=comment>{LONG}</article></div></div>", LONG.strip()),
+        (f"<div class='content no-share'><p>{LONG}</p></div><footer>{LONG}</footer>", LONG.strip()),
+        (f"<form action=x><div class=widget><p>{LONG}</p><p>{LONG}</p><div class=comments>{LONG}</div></div></form>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<div class=social><main><p>{LONG}</p><form>{LONG}</form></main></div>", LONG.strip()),
+        (f"<header><main><p>{LONG}</p></main></header>", LONG.strip()),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div id=comments><article class=comment><p>{LONG}</p></article></div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<article><div class='share-page'><p>{LONG}</p></div></article>", LONG.strip()),
+    ],
+)
+def test_main_text_wrappers_named_like_furniture(page, expected):
+    assert main_text.main_text(page) == expected
+
+
 def test_main_text_awkward_rows(spark):
     rows = [(1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<p>x</p>"), (2, "u", "<p>x</p>"), (3, "u", "<div>" * 20_000 + "deep")]
     source = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as text", "1 as n_chars")
