@@ -24,8 +24,13 @@ from millrace.llm.common import col
 MAX_LINK_DENSITY = 0.33
 SHORT_CHARS = 70
 LONG_CHARS = 200
-LOW_STOP_DENSITY = 0.30
 HIGH_STOP_DENSITY = 0.32
+# The lists fit a page whose blocks reach this density together; else the density says nothing about its blocks.
+FITTING_DENSITY = 0.20
+# Long running text below this share of such a page's own density is no sentence at all.
+LOW_SHARE = 0.02
+# A character of a script without spaces counts as so many.
+UNSPACED_CHARS = 3
 
 # Common function words of the languages at hand.
 STOP_WORDS = {
@@ -58,6 +63,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # A new one of these ends an open one of the same set that lies directly around it.
+# Their text need not be sentences.
+NO_PROSE = frozenset("table caption tr td th pre dl dt dd ul ol li address figcaption h1 h2 h3 h4 h5 h6".split())
 SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 
 _MARKUP = re.compile(
@@ -70,6 +77,10 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z0-9]+")
+# Thai, Lao, Burmese, Khmer, kana and ideographs.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
+_OTHER_LETTER = re.compile(r"[^\W\d_A-Za-z\u00c0-\u024f]")
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
@@ -96,6 +107,7 @@ class Block:
     region: int  # the article or main element around it, by number; 0 for none
     label: str = ""
     wrapper: Wrapper | None = None
+    prose: bool = True
 
 
 @dataclass
@@ -134,7 +146,7 @@ class _Reader:
             if text:
                 top = self.open[-1]
                 link_chars = len(" ".join(html.unescape("".join(self.link_parts)).split()))
-                self.blocks.append(Block(text, link_chars, top.furniture or top.heading, top.region, wrapper=top.wrapper))
+                self.blocks.append(Block(text, link_chars, top.furniture or top.heading, top.region, wrapper=top.wrapper, prose=top.tag not in NO_PROSE))
             self.parts, self.link_parts = [], []
 
     def start(self, tag: str, attrs: str) -> None:
@@ -265,28 +277,61 @@ def blocks(page: str) -> list[Block]:
     return reader.blocks
 
 
-def first_pass(block: Block) -> str:
-    """Label of a block from what it holds."""
-    size = len(block.text)
-    if block.furniture or block.link_chars > MAX_LINK_DENSITY * size:
+def _size(text: str) -> int:
+    """Characters, those of scripts without spaces by their weight."""
+    return len(text) if text.isascii() else len(text) + (UNSPACED_CHARS - 1) * len(_UNSPACED.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words)"""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOPS for w in words), len(words)
+
+
+def _latin(text: str) -> bool:
+    return text.isascii() or len(_LATIN.findall(text)) > len(_OTHER_LETTER.findall(text))
+
+
+def page_density(found: list[Block]) -> float:
+    """Stop words among the words of all blocks that may be text."""
+    stops = words = 0
+    for b in found:
+        if not b.furniture and b.link_chars <= MAX_LINK_DENSITY * len(b.text) and _size(b.text) >= SHORT_CHARS:
+            s, n = _stop_words(b.text)
+            stops, words = stops + s, words + n
+    return stops / words if words else 0.0
+
+
+def first_pass(block: Block, density_of_page: float = 1.0) -> str:
+    """Label of a block from what it holds.
+
+    The stop words are those of a few languages. Where the page does not use them, or the block is in another script,
+    its length alone decides.
+    """
+    if block.furniture or block.link_chars > MAX_LINK_DENSITY * len(block.text):
         return BAD
+    size = _size(block.text)
     if size < SHORT_CHARS:
         return SHORT
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOPS for w in words) / len(words)
-    if density >= HIGH_STOP_DENSITY and size >= LONG_CHARS:
+    stops, words = _stop_words(block.text)
+    if size >= LONG_CHARS and stops >= HIGH_STOP_DENSITY * words:
         return GOOD
-    if density >= LOW_STOP_DENSITY or block.region:
+    if block.region:
         return NEAR
-    return BAD
+    if density_of_page < FITTING_DENSITY or not _latin(block.text):
+        return GOOD
+    if size >= LONG_CHARS and block.prose and stops < LOW_SHARE * density_of_page * words:
+        return BAD
+    return NEAR
 
 
 def second_pass(labels: list[str], regions: list[int]) -> list[bool]:
     """Good or not, for every block: undecided ones take the label of their nearest decided neighbours.
 
-    Neighbours are looked for in the same region. Where both sides differ, a nearly good block is good and a short one
-    follows the nearer side (good at equal distance). A region without any decided block is good as a whole if it is
-    an article; outside of articles nearly good blocks are good, and short ones only if the page decided nothing.
+    Neighbours are looked for in the same region. Nearly good blocks, long and not full of links, are good: neighbours
+    cannot make them furniture. Where both sides differ, a short block follows the nearer side (good at equal distance).
+    A region without any decided block is good as a whole if it is an article; outside of articles short blocks are good
+    only if the page decided nothing.
     """
     n = len(labels)
     before: list[tuple[str, int] | None] = [None] * n
@@ -304,20 +349,23 @@ def second_pass(labels: list[str], regions: list[int]) -> list[bool]:
     for label, region, a, b in zip(labels, regions, before, after):
         if label in (GOOD, BAD):
             good.append(label == GOOD)
+        elif label == NEAR:
+            good.append(True)
         elif not a and not b:
-            good.append(bool(region) or label == NEAR or not decided)
+            good.append(bool(region) or not decided)
         elif not a or not b or a[0] == b[0]:
             good.append((a or b)[0] == GOOD)
         else:
             nearer = GOOD if a[1] == b[1] else (a if a[1] < b[1] else b)[0]
-            good.append(label == NEAR or nearer == GOOD)
+            good.append(nearer == GOOD)
     return good
 
 
 def main_text(page: str) -> str:
     """Good blocks of a page, one per line, in page order."""
     found = blocks(page)
-    labels = [first_pass(b) for b in found]
+    density = page_density(found) if any(not b.region for b in found) else 1.0
+    labels = [first_pass(b, density) for b in found]
     # Furniture and link lists inside an article say nothing about the article's own blocks.
     regions = [-1 if label == BAD and b.region else b.region for b, label in zip(found, labels)]
     keep = second_pass(labels, regions)

@@ -188,6 +188,26 @@ def test_main_text_wrappers_named_like_furniture(page, expected):
     assert main_text.main_text(page) == expected
 
 
+ITALIAN = "Durante quegli anni molti contadini lasciarono i campi della pianura per cercare lavoro nelle fabbriche di Torino, dove trovarono nuove abitudini."
+RUSSIAN = "Зимой мы часто ходили через замёрзшее озеро в соседнюю деревню, где жила моя бабушка, и возвращались только поздно вечером."
+CHINESE = "那年冬天我们常常走过结冰的湖面去邻村看望祖母，直到天黑以后才慢慢回到家里，路上只有风声和雪。"
+GERMAN = "Messwerte Januar bis Dezember: Hamburg 14,2 Grad, München 12,9 Grad, Dresden 13,1 Grad, Leipzig 13,4 Grad, Rostock 12,2 Grad sowie Kassel 11,8 Grad im Mittel."
+TABLE = "Hamburg 14,2 München 12,9 Dresden 13,1 Leipzig 13,4 Rostock 12,2 Kassel 11,8 Bremen 12,4 Erfurt 11,9 " * 3
+MENU = "<div><a href=x>one link</a> <a href=y>another link</a></div>"
+
+
+@pytest.mark.parametrize("text", [ITALIAN, RUSSIAN, CHINESE, GERMAN])
+def test_main_text_of_other_languages_and_of_content_words(text):
+    assert main_text.main_text(f"{MENU}<h1>Short</h1><div><p>{text}</p><p>{text * 3}</p><p>ab</p></div>{MENU}").split("\n")[-3:] == [text, text * 3, "ab"]
+    assert main_text.main_text(f"<div><p>{LONG}</p><p>{text}</p><p>{LONG}</p></div>") == f"{LONG.strip()}\n{text}\n{LONG.strip()}"
+
+
+def test_main_text_keeps_tables_and_text_between_links():
+    assert main_text.main_text(f"<p>{LONG}</p><table><tr><td>{TABLE}</td></tr></table>") == f"{LONG.strip()}\n{TABLE.strip()}"
+    assert main_text.main_text(f"<p>{LONG}</p>{MENU}<p>{GERMAN}</p>{MENU}") == f"{LONG.strip()}\n{GERMAN}"
+    assert main_text.main_text(f"{MENU}<p>{ITALIAN}</p><footer>{LONG}</footer>") == ITALIAN
+
+
 def test_main_text_awkward_rows(spark):
     rows = [(1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<p>x</p>"), (2, "u", "<p>x</p>"), (3, "u", "<div>" * 20_000 + "deep")]
     source = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as text", "1 as n_chars")
