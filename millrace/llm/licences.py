@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines of a text; those without any licence word are unknown. Features are the one- and two-word n-grams of
+Paragraphs are lines of a text, and runs of lines that a notice is wrapped into: from every line with a licence word on,
+all runs of lines without an empty one (comment marks alone are empty) that are as long as the longest template. Where
+they overlap, the one that holds most of a template counts. Lines without any licence word are unknown. Features are the one- and two-word n-grams of
 the templates that hold a licence word or a number. A multinomial logistic regression tells the families and an unknown class apart; it learns from
 altered copies of the templates, from fragments of them that are too short to count (unknown), and from
 paragraphs of the corpus that use licence words without resembling any template (unknown). Its probabilities are
@@ -10,6 +12,7 @@ of one of that family's templates. Everything is made of DataFrame operations.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -154,35 +157,83 @@ def vocabulary(spark: SparkSession) -> list[str]:
     return sorted(r.gram for r in found if _content(r.gram))
 
 
+def longest_template() -> int:
+    return max(len(re.findall(WORD, text.lower())) for texts in TEMPLATES.values() for text in texts)
+
+
+def _following(lines: Column, at: Column) -> Column:
+    """Words of each line after ``at``, up to the first line without words or until they are as many as the longest template's."""
+    longest = longest_template()
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<array<string>>").alias("lines"))
+
+    def add(so_far, line):
+        n = F.size(line)
+        going = so_far["n"] < longest
+        return F.struct(
+            F.when(going & (n > 0), so_far["n"] + n).otherwise(F.lit(longest)).alias("n"),
+            F.when(going & (n > 0), F.concat(so_far["lines"], F.array(line))).otherwise(so_far["lines"]).alias("lines"),
+        )
+
+    return F.aggregate(F.transform(F.slice(lines, at + 2, longest), words), start, add, lambda x: x["lines"])
+
+
 def candidates(df: DataFrame, vocab: list[str], id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, n_paragraphs, hits): for every row the paragraphs that hold a single word of the vocabulary.
 
-    ``hits`` has (paragraph, grams, n_words); paragraphs are the lines that hold a word, counted from 0.
+    ``hits`` has (paragraph, words, after): the line, counted from 0, its words, and those of the lines that go on from it.
     """
     terms = F.array(*[F.lit(g) for g in vocab if " " not in g])
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line)) > 0)
+    lines = F.split(text, "\n")
     spelled = F.transform(F.col("_lines"), lambda line, i: F.struct(i.alias("paragraph"), words(line).alias("words")))
     hits = F.filter(spelled, lambda x: F.arrays_overlap(x["words"], terms))
-    hits = F.transform(hits, lambda x: F.struct(x["paragraph"].cast("long").alias("paragraph"), grams(x["words"]).alias("grams"), F.size(x["words"]).alias("n_words")))
+    hits = F.transform(hits, lambda x: F.struct(x["paragraph"].cast("long").alias("paragraph"), x["words"].alias("words"), _following(F.col("_lines"), x["paragraph"]).alias("after")))
     # the whole text is looked at once; only texts with such a word are taken apart
     some = F.arrays_overlap(words(text), terms)
     return df.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), lines.alias("_lines"), some.alias("_some")).select(
         "row",
         "doc_id",
-        F.size("_lines").cast("long").alias("n_paragraphs"),
+        F.size(F.filter("_lines", lambda line: F.length(F.trim(line)) > 0)).cast("long").alias("n_paragraphs"),
         F.when(F.col("_some"), hits).alias("hits"),
     )
 
 
 def paragraphs(found: DataFrame) -> DataFrame:
-    """(row, paragraph, grams, n_words) of all hits."""
-    return found.select("row", F.explode("hits").alias("x")).select("row", "x.paragraph", "x.grams", "x.n_words")
+    """(row, paragraph, last, grams, n_words) of all lines with a licence word."""
+    hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.paragraph", "x.words")
+    return hits.select("row", "paragraph", F.col("paragraph").alias("last"), grams(F.col("words")).alias("grams"), F.size("words").alias("n_words"))
+
+
+def wrapped(found: DataFrame) -> DataFrame:
+    """(row, paragraph, last, grams, n_words) of the runs of two lines and more that hold enough of any template."""
+    hits = found.select("row", F.explode("hits").alias("x")).where(F.size("x.after") > 0)
+    # made inside of the array, so that no later filter works them out again for every template
+    joined = F.transform(F.sequence(F.lit(1), F.size("x.after")), lambda k: F.struct(k.alias("more"), F.concat("x.words", F.flatten(F.slice("x.after", 1, k))).alias("words")))
+    runs = F.transform(joined, lambda r: F.struct(r["more"].alias("more"), grams(r["words"]).alias("grams"), F.size(r["words"]).alias("n_words")))
+    table = hits.select("row", "x.paragraph", F.explode(runs).alias("r")).select("row", "paragraph", (F.col("paragraph") + F.col("r.more")).alias("last"), "r.grams", "r.n_words")
+    return containment(table).where(F.col("similarity") >= MIN_CONTAINMENT).drop("similarity")
+
+
+def strongest(confirmed: DataFrame) -> DataFrame:
+    """Of overlapping confirmed (row, paragraph, last, family, evidence, ...) those that say most of a template."""
+    whole = F.struct(*confirmed.columns)
+
+    def least(table: DataFrame, keys: list[str], end: Column) -> DataFrame:
+        return table.groupBy("row", "family", "evidence", *keys).agg(F.min_by(whole, end).alias("x")).select("x.*")
+
+    # lines around it that add nothing do not belong to a notice
+    short = least(least(confirmed, ["paragraph"], F.col("last")), ["last"], -F.col("paragraph"))
+    order = F.struct((-F.col("evidence")).alias("evidence"), (F.col("last") - F.col("paragraph")).alias("lines"), (-F.col("probability")).alias("p"), "paragraph", "family")
+    by_line = short.withColumn("order", order).withColumn("line", F.explode(F.sequence("paragraph", "last")))
+    won = by_line.groupBy("row", "line").agg(F.min_by(whole, "order").alias("x"))
+    lines_won = won.groupBy("row", "x").agg(F.count(F.lit(1)).alias("n")).where("n = x.last - x.paragraph + 1")
+    return lines_won.select("x.*")
 
 
 def containment(table: DataFrame, families: Column | None = None) -> DataFrame:
     """Add ``similarity``: the largest share of a template's n-grams that the paragraph holds, over its own family's
-    templates (column ``family``) or over all."""
+    templates (column ``family``) or over all; with families also ``evidence``, the most n-grams held of a template that
+    is held well enough."""
     spark = table.sparkSession
     shapes = template_table(spark).select(F.col("family").alias("_family"), F.col("grams").alias("_grams"))
     by_family = {}
@@ -193,12 +244,18 @@ def containment(table: DataFrame, families: Column | None = None) -> DataFrame:
         shares = [F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, g)))) / F.lit(float(len(g))) for g in texts]
         return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
+    def most(texts: list[list[str]]) -> Column:
+        held = [F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, g)))) for g in texts]
+        held = [F.when(n >= MIN_CONTAINMENT * len(g), n).otherwise(0) for n, g in zip(held, texts)]
+        return F.greatest(*held) if len(held) > 1 else held[0]
+
     if families is None:
         return table.withColumn("similarity", best([g for texts in by_family.values() for g in texts]))
-    chosen = F.lit(0.0)
+    chosen, evidence = F.lit(0.0), F.lit(0)
     for family, texts in by_family.items():
         chosen = F.when(families == family, best(texts)).otherwise(chosen)
-    return table.withColumn("similarity", chosen)
+        evidence = F.when(families == family, most(texts)).otherwise(evidence)
+    return table.withColumn("similarity", chosen).withColumn("evidence", evidence)
 
 
 def training_rows(spark: SparkSession, corpus: DataFrame | None = None) -> DataFrame:
@@ -266,19 +323,20 @@ def _softmax(margins: Column, temperature: float) -> Column:
 
 
 def classify(table: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
-    """Add to (row, paragraph, grams, n_words) the margins, the most probable family and its probability.
+    """Add to (row, paragraph, [last,] grams, n_words) the margins, the most probable family and its probability.
 
     The n-grams meet the weights in a join; the weights are as many rows as the templates have n-grams, so they are
     broadcast. Sums are made per paragraph.
     """
     spark = table.sparkSession
     k = len(FAMILIES)
+    keys = [c for c in ("row", "paragraph", "last") if c in table.columns]
     weights = spark.createDataFrame(list(zip(model.vocabulary, model.weights)), "gram string, w array<double>")
-    sums = table.select("row", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
-    sums = sums.groupBy("row", "paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)])
+    sums = table.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    sums = sums.groupBy(*keys).agg(*[F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(k)])
     foreign = _foreign(F.col("grams"), F.col("n_words"), model.vocabulary)
     margins = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.lit(model.intercepts[i]) + F.lit(model.other[i]) * foreign for i in range(k)])
-    joined = table.join(sums, ["row", "paragraph"], "left").select("row", "paragraph", "grams", *keep, margins.alias("margins"))
+    joined = table.join(sums, keys, "left").select(*keys, "grams", *keep, margins.alias("margins"))
     scored = joined.withColumn("_p", _softmax(F.col("margins"), model.temperature)).withColumn("probability", F.array_max("_p"))
     return scored.withColumn("family", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(F.col("_p"), F.col("probability")).cast("int"))).drop("_p")
 
@@ -288,18 +346,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     ``licence`` is the confirmed family with the highest probability (the first by name among equals), null if there is
     none; ``licences`` lists all confirmed families. ``n_unknown_paragraphs`` counts paragraphs that use licence words
-    but are unknown or not confirmed. A null or empty text has no paragraphs. Repeated rows are scanned each for
+    but are unknown or not confirmed; ``n_paragraphs`` counts lines, and lines joined to one notice are one licence paragraph. A null or empty text has no paragraphs. Repeated rows are scanned each for
     itself, ids may be null, and further columns are not read.
     """
     spark = df.sparkSession
     found = stage(candidates(df, vocabulary(spark), id_col, text_col), "candidates")
     hits = paragraphs(found)
     model = fit(spark, hits)
-    judged = containment(classify(hits, model), F.col("family"))
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("similarity") >= MIN_CONTAINMENT)
-    judged = judged.withColumn("ok", confirmed)
+    told = stage(classify(hits.unionByName(wrapped(found)), model).select("row", "paragraph", "last", "grams", "family", "probability"), "classified")
+    likely = told.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
+    confirmed = stage(containment(likely, F.col("family")), "similar").where(F.col("similarity") >= MIN_CONTAINMENT)
+    notices = stage(strongest(confirmed.select("row", "paragraph", "last", "family", "evidence", "probability", "similarity")), "notices")
+    # lines with a licence word that no notice covers
+    covered = notices.select("row", F.explode(F.sequence("paragraph", "last")).alias("paragraph"))
+    unknown = hits.select("row", "paragraph").join(covered, ["row", "paragraph"], "left_anti").select("row", F.lit(None).cast(notices.schema["family"].dataType).alias("family"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("similarity"))
+    told = notices.select("row", "family", "probability", "similarity").unionByName(unknown).withColumn("ok", F.col("family").isNotNull())
     best = F.struct((-F.col("probability")).alias("p"), F.col("family").alias("family"), F.col("similarity").alias("similarity"))
-    by_row = judged.groupBy("row").agg(
+    by_row = told.groupBy("row").agg(
         F.min(F.when(F.col("ok"), best)).alias("best"),
         F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))).alias("licences"),
         F.count_if("ok").alias("n_licence_paragraphs"),

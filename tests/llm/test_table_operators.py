@@ -308,6 +308,26 @@ def test_licence_classifier_on_unseen_wording(spark):
     assert all(r.probability >= licences.MIN_PROBABILITY for r in rows if r.licence)
 
 
+def test_licences_of_wrapped_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    texts = {
+        1: (["BSD"], 1, "Some words before it.\n\n" + bsd + "\n\nMore words."),
+        2: (["GPL-3.0"], 1, "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n"),
+        3: (["GPL-3.0"], 1, "\n".join(" * " + line for line in ["A tool.", "", *gpl.split("\n"), "", "End of it."])),
+        4: (["MIT"], 1, "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files, to use it."),
+        5: (["Apache-2.0"], 1, '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.'),
+        6: (["Apache-2.0", "MIT"], 2, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."),
+        7: (["GPL-3.0", "MIT"], 2, gpl + "\nReleased under the MIT License."),
+        8: (["MPL-2.0"], 1, "This Source Code Form is subject to\nthe terms of the Mozilla Public\nLicense, v. 2.0."),
+        9: (["LGPL"], 1, "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public License."),
+        10: ([], 0, "Released under the\n\nMIT\n\nLicense."),
+    }
+    rows = licences.scan(spark.createDataFrame([(i, t) for i, (*_, t) in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_licence_paragraphs) for r in rows} == {i: (f, n) for i, (f, n, _) in texts.items()}
+    assert {r.doc_id: r.n_unknown_paragraphs for r in rows if r.doc_id in (1, 2, 6)} == {1: 0, 2: 0, 6: 0}
+
+
 def test_licences_awkward_rows(spark):
     source = documents(spark, "licence probability row").unionByName(documents(spark, "licence probability row").limit(1).selectExpr("77 as doc_id", "'Released under the MIT License.\n\n ' as text", "lang", "source", "n_chars", "licence", "probability", "row"))
     rows = licences.scan(source).collect()
