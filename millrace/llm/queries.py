@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, gray_simhash, language, licences, main_text, packing, quality, range_join, shard_tree, suffix_lm
+from millrace.llm import byte_bpe, gray_simhash, language, licences, main_text, packing, quality, range_join, shard_tree, structure, suffix_lm
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of every document."""
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every conversation, after damage."""
+    return structure.damage_report(table(spark, sf_dir, "conversations"))
