@@ -40,7 +40,8 @@ class WordIds:
 
     A word goes through the tokenizer once while it stays in the cache. Words of plain characters skip the normaliser,
     which would only lower-case them, and are split here as the tokenizer's pattern does; their pieces are cached too.
-    All other words take the whole way. Both caches are emptied when they have grown beyond a limit.
+    All other words, and those that hold one of the tokenizer's own marks (``<|endoftext|>``), take the whole way. Both
+    caches are emptied when they have grown beyond a limit.
     """
 
     def __init__(self, path: str):
@@ -48,7 +49,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.alphabet = str.maketrans(_byte_letters())
         self.words: dict[bytes, bytes] = {}
@@ -68,9 +69,10 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         text = b"\n".join(words).decode("utf-8", "replace")
-        if _NOT_PLAIN.search(text):
+        marked = any(mark in text for mark in self.marks)
+        if marked or _NOT_PLAIN.search(text):
             spelled = [w.decode("utf-8", "replace") for w in words]
-            plain = [_NOT_PLAIN.search(w) is None for w in spelled]
+            plain = [_NOT_PLAIN.search(w) is None and not (marked and any(m in w for m in self.marks)) for w in spelled]
             for word, own, skip in zip(words, spelled, plain):
                 if not skip:
                     self.words[word] = np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, "<u4").tobytes()

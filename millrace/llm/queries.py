@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, gray_simhash, language, licences, main_text, packing, quality, range_join, shard_tree, structure, suffix_lm
+from millrace.llm import byte_bpe, gray_simhash, language, licences, main_text, packing, prefix_trie, quality, range_join, shard_tree, structure, suffix_lm, token_files
 from millrace.llm.common import table
+from millrace.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +108,17 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest edits of every conversation, after damage."""
     return structure.damage_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    path = fresh_path(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.digests(spark, path)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt with shared openings."""
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
