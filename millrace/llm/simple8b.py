@@ -79,15 +79,15 @@ def pack(lists: Sequence[np.ndarray]) -> list[Packed]:
     classes = _SMALL[numbers.astype(np.uint16)] if small else np.searchsorted(_LIMITS, numbers, side="right").astype(np.uint8)
     selectors = _selectors(classes)
 
-    # Each word begins where the one before it ends: the only step that goes word by word.
-    steps, at, words_of = SLOTS[selectors].astype(np.uint8).tobytes(), [], np.zeros(len(lengths), np.int64)
-    for block, (place, length) in enumerate(zip(begins.tolist(), lengths.tolist())):
-        end, before = place + length, len(at)
-        while place < end:
-            at.append(place)
-            place += steps[place]
-        words_of[block] = len(at) - before
-    firsts = np.array(at, np.int64)
+    # Each word begins where the one before it ends: one step for a word of every block that has not ended.
+    place, end, firsts = begins, begins + lengths, [np.zeros(0, np.int64)]
+    while len(place):
+        firsts.append(place)
+        place = place + SLOTS[selectors[place]]
+        left = place < end
+        place, end = place[left], end[left]
+    firsts = np.sort(np.concatenate(firsts))
+    words_of = np.diff(np.append(np.searchsorted(firsts, begins), len(firsts)))
     chosen = selectors[firsts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in range(1, len(SLOTS)):
@@ -98,18 +98,17 @@ def pack(lists: Sequence[np.ndarray]) -> list[Packed]:
                 held |= numbers[firsts[mine] + slot] << np.uint64(slot * int(WIDTHS[selector]))
             words[mine] |= held
 
-    found, block, word = [], 0, 0
-    word_ends = np.cumsum(words_of)
-    for count, n_blocks in zip(counts.tolist(), per_list.tolist()):
-        ends = word_ends[block : block + n_blocks]
-        last = int(ends[-1]) if n_blocks else word
-        offsets = np.concatenate([[0], ends[:-1] - word]).astype("<u4") if n_blocks else np.zeros(0, "<u4")
-        mine = words[word:last].copy()
-        escaped = np.flatnonzero(chosen[word:last] == ESCAPE)
-        mine[escaped] = np.arange(len(escaped), dtype=np.uint64)  # selector 0: the place among the escapes
-        found.append(Packed(count, offsets, mine.astype("<u8"), numbers[firsts[word:last][escaped]].astype("<u8")))
-        block, word = block + n_blocks, last
-    return found
+    block_ends, word_ends = np.cumsum(per_list), np.append(0, np.cumsum(words_of))
+    first_words = word_ends[block_ends - per_list]
+    offsets = (word_ends[:-1] - np.repeat(first_words, per_list)).astype("<u4")
+    escaped = np.flatnonzero(chosen == ESCAPE)
+    escapes = numbers[firsts[escaped]].astype("<u8")
+    escape_ends = np.searchsorted(escaped, word_ends[block_ends])
+    escape_begins = np.searchsorted(escaped, first_words)
+    words[escaped] = np.arange(len(escaped)) - np.repeat(escape_begins, escape_ends - escape_begins)  # selector 0
+    spans = zip(counts.tolist(), (block_ends - per_list).tolist(), block_ends.tolist(), first_words.tolist(), word_ends[block_ends].tolist(), escape_begins.tolist(), escape_ends.tolist())
+    words = words.astype("<u8")
+    return [Packed(n, offsets[b0:b1], words[w0:w1], escapes[e0:e1]) for n, b0, b1, w0, w1, e0, e1 in spans]
 
 
 def unpack(packed: Sequence[Packed]) -> list[np.ndarray]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,18 +23,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simple8b
-from millrace.llm.common import texts_of
+from millrace.llm.common import col, texts_of
 from millrace.llm.packing import END_ID, word_ids
 from millrace.session import stage
 
 HEADER = struct.Struct("<4sIqQIIII")
 MAGIC, END, NO_ID = b"S8B1", "\n.\n.\n.\n\n", 1
-# Size of a file that is aimed at; a document is never cut, so a file with a very long one is larger.
-FILE_BYTES = 32 << 20
-# Ids that are unpacked together.
-TOGETHER = 1 << 20
-
-RECORDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("digest", pa.int64()), ("record", pa.binary())])
+# Text that goes into a file, in bytes; its ids take half of that or a little more. A document is never cut, so a file
+# with a very long one is larger.
+FILE_TEXT = 24 << 20
+# Ids that are packed or unpacked together.
+TOGETHER = 1 << 18
+# Documents without an id stand before all others.
+BEFORE_ALL = -(1 << 63)
+
+RECORDS = pa.schema([("file", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("record", pa.binary())])
 DIGESTS = pa.schema([("file", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 IDS = pa.schema([("file", pa.int64()), ("doc_id", pa.int64()), ("within", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
@@ -71,16 +74,42 @@ def records(data: bytes) -> Iterator[Record]:
         yield Record(None if flags & NO_ID else doc_id, packed)
 
 
-def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, size, digest, record) of every row: its ids and ``end_id``, packed; null texts are empty."""
+def cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file_text: int = FILE_TEXT) -> list[int]:
+    """Document ids that part a table into files of about ``file_text`` bytes of text; an id with many rows is named repeatedly.
+
+    The ids are quantiles of the id column alone; the driver gets one number for each file.
+    """
+    size = df.agg(F.sum(F.octet_length(col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    files = -(-size // file_text)
+    if files < 2:
+        return []
+    shares = F.array(*[F.lit(i / files) for i in range(1, files)])
+    known = F.coalesce(col(id_col).cast("long"), F.lit(BEFORE_ALL))
+    return [int(x) for x in df.agg(F.percentile_approx(known, shares, max(10_000, 20 * files)).alias("cuts")).first()["cuts"]]
+
+
+def encode(
+    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, parted_at: Sequence[int] = ()
+) -> DataFrame:
+    """(file, doc_id, n_tokens, record) of every row: its ids and ``end_id``, packed; null texts are empty.
+
+    ``file``: place of the document id among ``parted_at``. An id that is named there repeatedly is dealt to all files that it
+    may be in, one row after the other.
+    """
+    bounds = np.array(parted_at, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        words, end, dealt = word_ids(tokenizer), end_id.to_bytes(4, "little"), 0
 
         def made(doc_ids: list, lists: list) -> pa.RecordBatch:
+            nonlocal dealt
             packed = simple8b.pack(lists)
             rows = [to_bytes(i, p) for i, p in zip(doc_ids, packed)]
-            columns = [doc_ids, [p.count for p in packed], [len(r) for r in rows], [zlib.crc32(r) for r in rows], rows]
+            keys = np.array([BEFORE_ALL if i is None else i for i in doc_ids], np.int64)
+            low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+            files = low + (dealt + np.arange(len(keys))) % (high - low + 1)
+            dealt += len(keys)
+            columns = [files, doc_ids, [p.count for p in packed], rows]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RECORDS)], schema=RECORDS)
 
         for batch in batches:
@@ -94,30 +123,29 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     doc_ids, lists, held = [], [], 0
             yield made(doc_ids, lists)
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, size long, digest long, record binary")
+    return texts_of(df, id_col, text_col).mapInArrow(run, "file int, doc_id long, n_tokens long, record binary")
 
 
-def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", file_text: int = FILE_TEXT) -> None:
     """Write the ids of every row's text and the end id to files below ``path``, in ascending order of the document ids.
 
-    Rows without an id come first. Rows that share an id, or their whole content, stand one after the other, by number of
-    ids and digest. The texts are encoded once, where they lie; only the packed records, a third of the text or less, are
-    sorted. A number that spreads equal rows is the last sort key, so a hot id is dealt to many files. Other columns are
-    not read. An empty table gives no record.
+    Rows without an id come first. Rows that share an id stand one after the other, in no particular order; a hot id is
+    dealt to many files. The texts are encoded once, where they lie, and only the packed records are shuffled. Other columns
+    are not read. An empty table gives no file.
     """
-    packed = stage(encode(df, tokenizer, id_col, text_col), "token_records")
-    total = packed.agg(F.sum("size")).first()[0] or 0
-    spread = packed.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
-    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "digest", "spread"]
-    ordered = spread.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
+    parted_at = cuts(df, id_col, text_col, file_text)
+    packed = encode(df, tokenizer, id_col, text_col, parted_at=parted_at)
+    # More partitions than files, so that few of them get two.
+    gathered = packed.repartition(3 * len(parted_at) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n_tokens")
     # The text writer puts the bytes of a string down as they are.
-    ordered.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    lines = gathered.select("file", F.col("record").cast("string").alias("value"))
+    lines.write.partitionBy("file").option("lineSep", END).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): whole files with their number, which is that of the sort partition that wrote them."""
-    number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(number.alias("file"), "content")
+    """(file, content): whole files with their number."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return found.select(F.regexp_extract("path", r"/file=(\d+)/[^/]*$", 1).cast("long").alias("file"), "content")
 
 
 def _together(data: bytes) -> Iterator[tuple[list[Record], list[np.ndarray]]]:

@@ -101,23 +101,23 @@ def by_start(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("file_bytes", [1 << 25, 2000])
-def test_files_equal_the_library(spark, tmp_path, file_bytes):
-    df = documents(spark, "size record digest spread file")
+@pytest.mark.parametrize("file_text", [1 << 25, 100_000])
+def test_files_equal_the_library(spark, tmp_path, file_text):
+    df = documents(spark, "record value n_tokens file")
     rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
-    token_files.write(df, PATH, str(tmp_path / "files"), file_bytes=file_bytes)
+    token_files.write(df, PATH, str(tmp_path / "files"), file_text=file_text)
     got = by_start(token_files.digests(spark, str(tmp_path / "files")))
     assert got == brute(rows)
     lists = {(r["file"], r["within"]): r for r in token_files.read(spark, str(tmp_path / "files")).collect()}
     in_order = [lists[k] for k in sorted(lists)]
     assert [(r["doc_id"], len(r["ids"]), crc(r["ids"])) for r in in_order] == [(i, n, c) for i, _, n, c in got]
-    assert (len({f for f, _ in lists}) > 1) == (file_bytes == 2000)
+    assert (len({f for f, _ in lists}) > 1) == (file_text == 100_000)
 
 
 def test_a_hot_id_is_dealt_to_many_files(spark, tmp_path):
     rows = [(5, f"word{i % 7} and more of it") for i in range(3000)] + [(i, "other text") for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    token_files.write(df, PATH, str(tmp_path / "files"), file_bytes=20_000)
+    token_files.write(df, PATH, str(tmp_path / "files"), file_text=5_000)
     got = token_files.digests(spark, str(tmp_path / "files"))
     totals = token_files.read(spark, str(tmp_path / "files")).groupBy("file").count().collect()
     assert len(totals) > 4 and max(r["count"] for r in totals) < 1000
