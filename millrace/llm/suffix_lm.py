@@ -28,8 +28,6 @@ MIN_SHARE = 5e-6
 MIN_DIVERGENCE = 0.01  # nats for each time the context occurs
 MIN_GAIN = 10.0  # nats over the training text
 SMOOTHING = 6.0
-# The most frequent bytes are told apart, the others share one class and split its probability evenly.
-CLASSES = 64
 # Words that every task knows, by their share of the training tokens (so there are at most 1 / FREQUENT_SHARE); the others
 # are looked up by a join. Longer words are never among the frequent ones.
 FREQUENT_SHARE = 2e-6
@@ -37,8 +35,9 @@ FREQUENT_BYTES = 64
 
 END = b"\n"
 POSITIONS = 1 << 20
-HELD_WORDS = 500_000
-HELD_GRAMS = 3_000_000
+# What a task holds of its counts before it gives them out; Spark adds them up before its shuffle, so small is as good.
+HELD_WORDS = 100_000
+HELD_GRAMS = 400_000
 
 COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 SCORED = pa.schema(
@@ -133,10 +132,10 @@ TABLE_DEPTH = 3
 class SuffixTree:
     """Kept contexts and their smoothed next-class distributions; bounded by MIN_SHARE, so it travels with the tasks."""
 
-    class_of: np.ndarray  # uint8 [256]
+    class_of: np.ndarray  # uint8 [256]: every byte of the training texts has a class, all others share the last one
     depths: np.ndarray
-    codes: np.ndarray  # each context as a number to the base CLASSES, the last byte being the lowest digit
-    logp: np.ndarray  # float32 [states, CLASSES], natural logarithm for a single byte of the class
+    codes: np.ndarray  # each context as a number to the base of the classes, the last byte being the lowest digit
+    logp: np.ndarray  # float32 [states, classes], natural logarithm for a single byte of the class
 
     def ready(self) -> Lookup:
         return Lookup(self)
@@ -147,25 +146,26 @@ class Lookup:
 
     def __init__(self, tree: SuffixTree):
         self.class_of, self.logp = tree.class_of, tree.logp
+        self.classes = classes = tree.logp.shape[1]
         state = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(tree.depths, tree.codes))}
-        nodes = sorted({(k, c % CLASSES**k) for d, c in state for k in range(d + 1)})
+        nodes = sorted({(k, c % classes**k) for d, c in state for k in range(d + 1)})
         number = {node: i for i, node in enumerate(nodes)}
         self.state = np.zeros(len(nodes), np.int32)
-        self.child = np.zeros((len(nodes), CLASSES), np.int32)
-        self.table = np.zeros(CLASSES**TABLE_DEPTH, np.int32)
+        self.child = np.zeros((len(nodes), classes), np.int32)
+        self.table = np.zeros(classes**TABLE_DEPTH, np.int32)
         for i, (d, code) in enumerate(nodes):
-            above = number[d - 1, code % CLASSES ** (d - 1)] if d else 0
+            above = number[d - 1, code % classes ** (d - 1)] if d else 0
             self.state[i] = state.get((d, code), self.state[above])
             if d <= TABLE_DEPTH:
-                self.table.reshape(-1, CLASSES**d)[:, code] = i
+                self.table.reshape(-1, classes**d)[:, code] = i
             else:
-                self.child[above, code // CLASSES ** (d - 1)] = i
+                self.child[above, code // classes ** (d - 1)] = i
 
     def states(self, text: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """State in which each of the classes ``text[lo:hi]`` is predicted."""
         code = np.zeros(hi - lo, np.int32)
         for k in range(TABLE_DEPTH, 0, -1):
-            code = code * CLASSES + text[lo - k : hi - k]
+            code = code * self.classes + text[lo - k : hi - k]
         node = self.table[code]
         # Only nodes of the table's full depth have entries here, so a shorter match has no way on.
         at = np.arange(hi - lo)
@@ -208,28 +208,27 @@ def _tree(contexts: list[tuple[int, int, int, list[tuple[int, int]]]]) -> Suffix
         if d == 0:
             for byte, n in following:
                 by_byte[byte] = n
-    class_of = np.full(256, CLASSES - 1, np.uint8)
-    frequent = np.argsort(-by_byte, kind="stable")[: CLASSES - 1]
-    class_of[frequent] = np.arange(CLASSES - 1)
+    seen_bytes = np.flatnonzero(by_byte)
+    classes = min(256, len(seen_bytes) + 1)
+    class_of = np.full(256, classes - 1, np.uint8)
+    class_of[seen_bytes] = np.arange(len(seen_bytes))
 
     def counts(following):
-        c = np.zeros(CLASSES)
+        c = np.zeros(classes)
         for byte, n in following:
             c[class_of[byte]] += n
         return c
 
-    root = np.bincount(class_of, by_byte, CLASSES) + 1.0
+    root = np.bincount(class_of, by_byte, classes) + 1.0
     states: dict[tuple[int, int], int] = {(0, 0): 0}
     probabilities, depths, codes = [root / root.sum()], [0], [0]
     for d, context, total, following in contexts:  # short ones first
-        spelled = [(context >> (8 * k)) & 255 for k in range(d - 1, -1, -1)]
-        classes = [int(class_of[b]) for b in spelled]
-        if d == 0 or CLASSES - 1 in classes:
+        if d == 0:
             continue
         code = 0
-        for c in classes:
-            code = code * CLASSES + c
-        parent = next(states[k, code % CLASSES**k] for k in range(d - 1, -1, -1) if (k, code % CLASSES**k) in states)
+        for k in range(d - 1, -1, -1):
+            code = code * classes + int(class_of[(context >> (8 * k)) & 255])
+        parent = next(states[k, code % classes**k] for k in range(d - 1, -1, -1) if (k, code % classes**k) in states)
         seen = counts(following)
         above = probabilities[parent]
         share = seen / total
@@ -241,7 +240,9 @@ def _tree(contexts: list[tuple[int, int, int, list[tuple[int, int]]]]) -> Suffix
             depths.append(d)
             codes.append(code)
     logp = np.log(np.array(probabilities))
-    logp[:, CLASSES - 1] -= math.log(256 - (CLASSES - 1))
+    unseen = 256 - len(seen_bytes)
+    if unseen:
+        logp[:, -1] -= math.log(unseen)
     return SuffixTree(class_of, np.array(depths), np.array(codes, np.int64), logp.astype(np.float32))
 
 

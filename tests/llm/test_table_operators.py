@@ -44,6 +44,17 @@ def test_hash_sample(spark):
     assert common.hash_sample(df, ["id"], 5000).count() == 3000 and common.hash_sample(df.limit(0), ["id"], 5).count() == 0
 
 
+def test_hash_sample_of_repeated_keys(spark):
+    """A third of all rows have one id: it counts once, and the others are drawn all the same."""
+    hot = spark.range(20_000).selectExpr("7L as id", "'en' as k")
+    rest = spark.range(3000).selectExpr("id + 100 as id", "if(id % 2 = 0, 'en', 'de') as k")
+    for by in (None, "k"):
+        picked = common.hash_sample(hot.unionAll(rest), ["id"], 100, by=by, distinct=True).collect()
+        assert len(picked) == len({(r.id, r.k) for r in picked}) == (200 if by else 100)
+    many = spark.range(500).selectExpr("id", "cast(id % 50 as string) as k")
+    assert common.hash_sample(many, ["id"], 5, by="k", groups=3).select("k").distinct().count() == 3
+
+
 # ---- components
 
 
@@ -114,19 +125,26 @@ def test_range_join_awkward_rows(spark):
 # ---- shard tree
 
 
-def leaf_of(doc_id, shards):
-    def wait(s):
-        h = xxhash.xxh64_intdigest(f"{'null' if doc_id is None else doc_id}/{s}", 42)
-        return -math.log(((h >> 11) + 0.5) / (1 << 53))
+def wait(key, node, weight):
+    return -math.log(((xxhash.xxh64_intdigest(f"{key}/{node}", 42) >> 11) + 0.5) / (1 << 53)) / weight
+
 
-    return min(range(shards), key=wait)
+def leaf_of(doc_id, tree):
+    key, inside = "null" if doc_id is None else doc_id, tree
+    for level in ("region", "rack", "shard"):
+        nodes = {}
+        for t in inside:
+            nodes.setdefault(getattr(t, level), []).append(t)
+        inside = nodes[min(nodes, key=lambda n: wait(key, f"{level}{n}", sum(t.weight for t in nodes[n])))]
+    return inside[0].shard
 
 
 def test_shards(spark):
     for source in (documents(spark, "shard slot law"), spark.read.parquet(f"{SF}/documents.parquet")):
         texts = source.collect()
         rows = shard_tree.assign(source, 16).collect()
-        expected = sorted((r.doc_id or -1, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), leaf_of(r.doc_id, 16), leaf_of(r.doc_id, 17)) for r in texts)
+        tree = shard_tree.even_tree(16)
+        expected = sorted((r.doc_id or -1, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), leaf_of(r.doc_id, tree), leaf_of(r.doc_id, shard_tree.grown(tree))) for r in texts)
         assert sorted((r.doc_id or -1, r["size"], r.text_crc32, r.shard, r.grown_shard) for r in rows) == expected
         for r in rows:
             assert r.law == "key" and r.grown_shard in (r.shard, 16)
@@ -143,16 +161,38 @@ def test_slots_do_not_depend_on_one_task(spark):
         assert slots == list(range(len(slots)))
 
 
+def test_equal_rows_share_no_block(spark):
+    same = spark.range(4000).selectExpr("7L as doc_id", "3L as size", "1L as text_crc32", "0 as shard")
+    numbered = shard_tree.number(same, rows_per_block=64)
+    assert sorted(r.slot for r in numbered.select("slot").collect()) == list(range(4000))
+    assert numbered.groupBy("_block").count().agg({"count": "max"}).first()[0] < 140
+
+
 def test_weights_and_confined_movement(spark):
-    tree = [shard_tree.Leaf(0, 0, 0, 1.0), shard_tree.Leaf(1, 0, 0, 2.0), shard_tree.Leaf(2, 0, 1, 1.0), shard_tree.Leaf(3, 1, 2, 4.0), shard_tree.Leaf(4, 1, 2, 0.0)]
-    heavier = [*tree[:2], shard_tree.Leaf(2, 0, 1, 3.0), *tree[3:]]
+    Leaf = shard_tree.Leaf
+    tree = [Leaf(0, 0, 0, 1.0), Leaf(1, 0, 0, 2.0), Leaf(2, 0, 1, 1.0), Leaf(3, 1, 2, 4.0), Leaf(4, 1, 2, 0.0), Leaf(5, 2, 3, 1.0), Leaf(6, 2, 4, 1.0)]
+    heavier = [*tree[:2], Leaf(2, 0, 1, 3.0), *tree[3:]]
     from pyspark.sql import functions as F
 
     keys = spark.range(20_000).withColumn("key", F.col("id").cast("string"))
     both = shard_tree.descend(shard_tree.descend(keys, F.col("key"), tree, "a"), F.col("key"), heavier, "b").groupBy("a", "b").count().collect()
-    share = {s: sum(r["count"] for r in both if r.a == s) / 20_000 for s in range(5)}
-    assert share == pytest.approx({0: 1 / 8, 1: 2 / 8, 2: 1 / 8, 3: 4 / 8, 4: 0}, abs=0.02)
-    assert all(r.b == r.a or r.b == 2 for r in both)
+    share = {s: sum(r["count"] for r in both if r.a == s) / 20_000 for s in range(7)}
+    assert share == pytest.approx({0: 1 / 10, 1: 2 / 10, 2: 1 / 10, 3: 4 / 10, 4: 0, 5: 1 / 10, 6: 1 / 10}, abs=0.02)
+    moved = {(r.a, r.b) for r in both if r.a != r.b}
+    # Into the heavier region from the others, inside of it into the heavier rack; nothing else, in particular nothing between
+    # shards of the other racks or the other regions.
+    assert moved == {(3, 0), (3, 1), (3, 2), (5, 0), (5, 1), (5, 2), (6, 0), (6, 1), (6, 2), (0, 2), (1, 2)}
+
+
+def test_each_level_draws_for_itself(spark):
+    from pyspark.sql import functions as F
+
+    tree = shard_tree.even_tree(16)
+    keys = spark.range(3000).withColumn("key", F.col("id").cast("string"))
+    rows = shard_tree.descend(keys, F.col("key"), tree, "shard").collect()
+    flat = [min(range(16), key=lambda s: wait(r.key, f"shard{s}", 1.0)) for r in rows]
+    assert [r.shard for r in rows] == [leaf_of(r.id, tree) for r in rows]
+    assert sum(r.shard != f for r, f in zip(rows, flat)) > 1000
 
 
 # ---- packing
@@ -180,7 +220,6 @@ def test_words_have_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     texts = ["", "ça va bien", "naïve ŒUVRE", "ÀÉÎ straße", "a\x1cb c", "İstanbul Σας ΣΑΣ", "x y", "don't 12²3 µm <|endoftext|> é 日本語 😀", "× ÷ a×b !!'s 'LL", prose(4), "z" * 20_000]
     got = list(packing.word_ids(WORDS).encode([t.encode() for t in texts]))
     assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

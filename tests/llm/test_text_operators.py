@@ -301,7 +301,8 @@ def test_suffix_tree_scores_are_probabilities_of_longest_suffixes():
     tree = suffix_lm._tree(kept)
     assert len(tree.depths) > 50 and tree.depths.max() == suffix_lm.DEPTH
     spread = np.exp(tree.logp.astype(float))
-    spread[:, -1] *= 256 - (suffix_lm.CLASSES - 1)
+    classes = tree.logp.shape[1]
+    spread[:, -1] *= 256 - (classes - 1)
     assert np.allclose(spread.sum(axis=1), 1, atol=1e-4)
     states = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(tree.depths, tree.codes))}
 
@@ -311,7 +312,7 @@ def test_suffix_tree_scores_are_probabilities_of_longest_suffixes():
             for d in range(suffix_lm.DEPTH, -1, -1):
                 code = 0
                 for b in text[i - d : i]:
-                    code = code * suffix_lm.CLASSES + int(tree.class_of[b])
+                    code = code * classes + int(tree.class_of[b])
                 if (d, code) in states:
                     score += float(tree.logp[states[d, code], tree.class_of[text[i]]])
                     break
@@ -328,3 +329,82 @@ def test_suffix_tree_beats_its_root_on_held_out_documents(spark):
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -4.5
     empty = suffix_lm.score_documents(none_of(spark))
     assert empty.collect() == []
+
+
+def test_contexts_of_a_rare_script_are_learned():
+    """A few Cyrillic texts among many others: their bytes have classes of their own and contexts of their own."""
+    texts = [suffix_lm.words_of(prose(i).encode()) for i in range(200)]
+    texts += [suffix_lm.words_of("съешь ещё этих мягких французских булок да выпей чаю".encode() * 3) for _ in range(8)]
+    runs = Counter()
+    for words in texts:
+        text = suffix_lm.symbols(words)
+        for i in range(suffix_lm.DEPTH, len(text)):
+            for d in range(suffix_lm.DEPTH + 1):
+                runs[d, text[i - d : i], text[i]] += 1
+    contexts = {}
+    for (d, context, byte), n in runs.items():
+        contexts.setdefault((d, int.from_bytes(context, "big")), []).append((byte, n))
+    tree = suffix_lm._tree(sorted((d, c, sum(n for _, n in following), sorted(following)) for (d, c), following in contexts.items() if sum(n for _, n in following) > 5))
+    lookup = tree.ready()
+    known, other = (suffix_lm._in_parts(lookup, [suffix_lm.words_of(w.encode())])[0] for w in ("французских", "ффранцухксиз"))
+    assert len(set(tree.class_of.tolist())) > 50 and known > other / 3
+
+
+HOT = "doc_id long, text string, lang string"
+
+
+def test_samples_of_one_hot_id_stay_small(spark, monkeypatch):
+    """A third of all rows under one id: the driver gets one row of it, and every language is learned."""
+    rows = [(7, prose(1), "en")] * 4000 + [(i, prose(i), ("en", "de", "fr")[i % 3]) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, HOT).repartition(8)
+    seen = []
+    real = language.train
+    monkeypatch.setattr(language, "train", lambda x, y, labels, steps: seen.append((len(x), labels)) or real(x, y, labels, steps=5))
+    net = language.fit(docs, docs_per_label=40)
+    assert net.labels == ["de", "en", "fr"] and seen[0][0] <= 40 * 3 * 8
+    only = spark.createDataFrame([(7, prose(1), "en")] * 4000, HOT)
+    assert language.fit(only).labels == (["en"] if __import__("zlib").crc32(b"7") % 4 != 2 else [])
+    labels = spark.createDataFrame([(7, 1), *[(i, i % 2) for i in range(100, 400)]], "doc_id long, quality int")
+    sizes = []
+    fit = boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda x, y, m: sizes.append(len(x)) or fit(x, y, m))
+    quality.fit(docs, labels)
+    assert sizes == [301]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000 "])
+def test_long_white_space(blank):
+    import public_tokenizers
+    import regex
+
+    encoder = byte_bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    run = blank * (2_000_000 // len(blank))
+    for text in (run, "word" + run, run + "word", f"a b{run}c d{run}x"):
+        ids = byte_bpe.encode(encoder, text)
+        assert byte_bpe.decode(encoder, ids) == text.encode()
+    for size in (byte_bpe.LONG_RUN, byte_bpe.LONG_RUN + 5):  # what the library itself can take
+        for text in (f"a{blank * size}b c", f"a{blank * size}", f"{blank * size}!"):
+            assert byte_bpe.encode(encoder, text) == encoder.encode_ordinary(text)
+    assert byte_bpe.whole_runs(public_tokenizers.PATTERN) and not byte_bpe.whole_runs(r"\s|\S+")
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<div>" * 100_000 + "</p>" * 100_000, "<div>" * 200_000, "<p" * 500_000 + "text", "<!-- " * 200_000, "<script>" * 100_000, "</div>" * 150_000 + "end"])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    main_text.blocks(page)
+    assert time.process_time() - begin < 4
+
+
+def test_comments_and_scripts_without_end():
+    assert main_text.main_text("<p>one</p><!-- two <p>three</p> four") == "one"
+    assert main_text.main_text("<p>one</p><script>two <p>three</p> four") == "one"
+    assert main_text.main_text("<p>one</p> two <!-- three") == "one\ntwo"
+    assert main_text.main_text("<p>one</p> two < three <four") == "one\ntwo < three <four"
+
+
+def test_long_text_without_stop_words_stays():
+    prose_block = "<p>" + "This is the story of a man who had to go to the town and it was not easy for him to do so. " * 6 + "</p>"
+    names = "Karajan Furtwangler Celibidache Toscanini Bernstein Abbado Kleiber Szell Solti Barbirolli " * 5
+    assert names.strip() in main_text.main_text(f"<div>{prose_block}<p>{names}</p>{prose_block}</div>")
