@@ -19,7 +19,11 @@ SEGMENT_CHARS = 1 << 16
 
 # Places where no match of the usual byte-BPE patterns can reach across: white space begins after something else,
 # or a run of letters or digits ends. (A mark before a letter is no such place: contractions join the two.)
-_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+_SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{White_Space}\p{L}])|(?<=\p{N})(?=[^\p{White_Space}\p{N}])")
+# The library's pattern matcher runs out of stack on about a million characters of white space; longer runs than this are
+# handed to it as the pieces that the pattern makes of them.
+LONG_RUN = 1 << 16
+_RUN = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -49,10 +53,29 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> list[str]:
     return parts
 
 
+@functools.lru_cache(maxsize=4)
+def whole_runs(pattern: str) -> bool:
+    """Whether a pattern takes a run of white space as one piece, but for its last character where something follows."""
+    probe = regex.compile(pattern)
+    tail = [probe.findall(f"a{blank * 4}b") for blank in " \n\u3000"]
+    return all(t[:2] == ["a", blank * 3] for t, blank in zip(tail, " \n\u3000")) and probe.findall("a \n\t ") == ["a", " \n\t "]
+
+
 def encode(encoder: tiktoken.Encoding, text: str, size: int = SEGMENT_CHARS) -> list[int]:
     """Ids of a whole text."""
     if len(text) <= size:
         return encoder.encode_ordinary(text)
+    ids, begin = [], 0
+    if len(text) >= LONG_RUN and whole_runs(encoder._pat_str):
+        for run in _RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += _by_segments(encoder, text[begin : run.start()], size)
+            ids += encoder._encode_single_piece(text[run.start() : end])
+            begin = end
+    return ids + _by_segments(encoder, text[begin:], size)
+
+
+def _by_segments(encoder: tiktoken.Encoding, text: str, size: int) -> list[int]:
     return [i for part in segments(text, size) for i in encoder.encode_ordinary(part)]
 
 
