@@ -2,9 +2,8 @@
 
 Pass one looks at each block alone: link density, length and stop-word density make it good, bad or undecided.
 Pass two gives undecided blocks the label of the nearest decided neighbours. Elements whose tag, role or class says
-that they are page furniture (menus, footers, adverts, comments ...) are bad from the start, and a block that lies in
-an ``article`` or ``main`` element is never bad for want of stop words: there it stays undecided and follows its
-neighbours inside that element. A class, an id or a form is not believed where the element holds the page's ``main``
+that they are page furniture (menus, footers, adverts, comments ...) are bad from the start. No block is bad for want of
+stop words: a long one without them stays, a short one follows its neighbours. A class, an id or a form is not believed where the element holds the page's ``main``
 element, most of the text of its articles or, without articles, most of its text: then it is a wrapper of the page.
 """
 
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,8 +27,6 @@ LONG_CHARS = 200
 HIGH_STOP_DENSITY = 0.32
 # The lists fit a page whose blocks reach this density together; else the density says nothing about its blocks.
 FITTING_DENSITY = 0.20
-# Long running text below this share of such a page's own density is no sentence at all.
-LOW_SHARE = 0.02
 # A character of a script without spaces counts as so many.
 UNSPACED_CHARS = 3
 
@@ -125,6 +123,7 @@ class _Reader:
     """Cuts a page into blocks."""
 
     open: list[Element] = field(default_factory=lambda: [Element("")])
+    count: Counter[str] = field(default_factory=Counter)  # open elements by tag
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
@@ -160,9 +159,9 @@ class _Reader:
             self.end_block()
             closes = SELF_CLOSING.get(tag)
             if closes and self.open[-1].tag in closes:
-                self.open.pop()
+                self.pop()
             if tag != "p" and self.open[-1].tag == "p":
-                self.open.pop()
+                self.pop()
         if tag in VOID or not (block or tag in SILENT or tag in FURNITURE_TAGS):
             return
         above = self.open[-1]
@@ -183,6 +182,7 @@ class _Reader:
         elif (named and tag not in ("html", "body")) or tag in WRAPPER_TAGS:
             wrapper = Wrapper(wrapper, region)
             self.wrappers.append(wrapper)
+        self.count[tag] += 1
         self.open.append(
             Element(
                 tag,
@@ -200,12 +200,16 @@ class _Reader:
         if tag not in BLOCKS and tag not in SILENT and tag not in FURNITURE_TAGS:
             return
         self.end_block()
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                self.links = 0
-                return
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+            self.links = 0
 
+    def pop(self) -> str:
+        """End the innermost element and return its tag."""
+        tag = self.open.pop().tag
+        self.count[tag] -= 1
+        return tag
 
     def decide_wrappers(self) -> None:
         """Tell wrappers of the page from furniture; blocks inside of furniture are furniture."""
@@ -261,16 +265,28 @@ def _names_furniture(name: str) -> bool:
     return len(parts) == 1 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)
 
 
+def _unended(m: re.Match) -> bool:
+    """Whether a comment or a raw element goes on to the end of the page."""
+    if m["raw"]:
+        return not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order, not yet labelled."""
     reader, at = _Reader(), 0
-    for m in _MARKUP.finditer(page):
+    last = page.rfind(">") + 1  # no tag begins after it, so none is looked for
+    for m in _MARKUP.finditer(page, 0, last):
         if m.start() > at:
             reader.text(page[at : m.start()])
         at = m.end()
         if tag := m["tag"]:
             (reader.end if m["close"] else lambda t: reader.start(t, m["attrs"]))(tag.lower())
-    reader.text(page[at:])
+        elif at == last and _unended(m):
+            at = len(page)
+    rest = page[at:]
+    comment = rest.find("<!--")
+    reader.text(rest if comment < 0 else rest[:comment])
     reader.end_block()
     if reader.wrappers:
         reader.decide_wrappers()
@@ -320,8 +336,6 @@ def first_pass(block: Block, density_of_page: float = 1.0) -> str:
         return NEAR
     if density_of_page < FITTING_DENSITY or not _latin(block.text):
         return GOOD
-    if size >= LONG_CHARS and block.prose and stops < LOW_SHARE * density_of_page * words:
-        return BAD
     return NEAR
 
 
