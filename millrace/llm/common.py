@@ -45,21 +45,25 @@ def remainder(id_column: Column, n: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % n, F.lit(0).cast("long"))
 
 
-def hash_sample(df: DataFrame, key: list[str], rows: int, by: str | None = None) -> DataFrame:
+def hash_sample(df: DataFrame, key: list[str], rows: int, by: str | None = None, groups: int = 1000, distinct: bool = False) -> DataFrame:
     """At most ``rows`` rows (for each value of ``by``), the first by a hash of ``key``; the same on every run.
 
     The rows are counted first, and only those below a hash threshold that leaves about twice as many as wanted are
-    ranked, so what one task sorts does not grow with the table. ``by`` is meant for few values.
+    ranked, so what one task sorts does not grow with the table. Of the values of ``by`` the ``groups`` most frequent are
+    drawn from. With ``distinct`` rows with the same key (and ``by``) count as one, however many there are; their number is
+    then taken from a sketch.
     """
-    groups = [by] if by else []
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    size = F.approx_count_distinct(F.xxhash64(*key), 0.02) if distinct else F.count(F.lit(1))
     drawn = df.withColumn("_hash", F.xxhash64(*key))
     if by:
-        sized = drawn.join(F.broadcast(sizes), by)  # a row for each of the few values
+        sizes = df.groupBy(by).agg(size.alias("_size")).orderBy(F.col("_size").desc(), by).limit(groups)
+        sized = drawn.join(sizes, by)
     else:
-        sized = drawn.withColumn("_size", F.lit(sizes.first()[0]))
+        sized = drawn.withColumn("_size", F.lit(df.agg(size).first()[0]))
     share = F.when(F.col("_size") <= 4 * rows + 60, 1.0).otherwise(F.lit(2.0 * rows + 30) / F.col("_size"))
     near = sized.where(F.shiftrightunsigned("_hash", 11) < share * float(1 << 53))
+    if distinct:
+        near = near.dropDuplicates([*key, *([by] if by else [])])
     if not by:
         return near.orderBy("_hash", *key).limit(rows).select(*df.columns)
     first = Window.partitionBy(by).orderBy("_hash", *key)

@@ -148,15 +148,18 @@ def predict(net: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     return names, np.where(has_letter, probability[np.arange(len(texts)), best], 0.0)
 
 
-def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, steps: int = 500) -> Network:
+def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, steps: int = 500, max_labels: int = 200) -> Network:
     """Train on at most ``docs_per_label`` documents of each language and ``windows_per_doc`` windows of each.
 
+    Of more than ``max_labels`` different languages those with most documents are learned. Of documents with the same id
+    and language the one first by a hash of its text counts.
+
     Only documents with a language whose crc32(doc_id as text) mod 4 is not 2 are used, chosen by a hash of their id;
     the windows are spread evenly over the whole text. Without such documents there are no labels and every text is
     ``und``.
     """
     labelled = docs.select(col("doc_id").cast("long").alias("doc_id"), col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    chosen = hash_sample(labelled, ["doc_id"], docs_per_label, by="lang").distinct()
+    chosen = hash_sample(labelled, ["doc_id"], docs_per_label, by="lang", groups=max_labels, distinct=True)
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
     def run(batches):
@@ -170,7 +173,8 @@ def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, st
                         parts.append(all_windows[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], schema=schema)
 
-    sample = texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")  # docs_per_label rows for each language
+    rows = texts_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # docs_per_label rows for each of max_labels languages
+    sample = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
     found = sorted((r.lang, bytes(r.window)) for r in sample.mapInArrow(run, "lang string, window binary").collect())
     labels = sorted({lang for lang, _ in found})
     if not labels:

@@ -121,8 +121,9 @@ def _repeat_words(words: list[bytes], width: int = 3) -> tuple[int, int]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> boosting.Trees:
     """Fit the trees on at most ``sample_rows`` labelled documents, the ones first by a hash of their id.
 
-    ``labels`` has (doc_id, quality 0/1); rows with a null in either are left out, of repeated ids one counts. The
-    statistics of the sample are all that reaches the driver: a few numbers for each of ``sample_rows`` documents.
+    ``labels`` has (doc_id, quality 0/1); rows with a null in either are left out, of repeated ids one counts, and so does of
+    documents with the same id the one first by a hash of its text. The statistics of the sample are all that reaches the
+    driver: a few numbers for each of ``sample_rows`` documents.
     Without labelled documents every document that passes the base rule is kept.
     """
     wanted = (
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> boosting
         return boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")  # sample_rows ids at most
-    sample = texts_of(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = texts_of(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:
