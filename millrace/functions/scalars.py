@@ -49,6 +49,11 @@ def safe_cast(column: Column, type_name: str) -> Column:
     return column.try_cast(target)
 
 
+def exact(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean_number(column: Column) -> Column:
     """The value as double, with NaN read as missing."""
     value = column.cast("double")
@@ -57,7 +62,7 @@ def clean_number(column: Column) -> Column:
 
 def missing(df: DataFrame, name: str) -> Column:
     """True where the cell counts as missing: NULL, or NaN in a floating column."""
-    column = F.col(f"`{name}`")
+    column = exact(name)
     if isinstance(df.schema[name].dataType, FLOATING):
         return column.isNull() | F.isnan(column)
     return column.isNull()
@@ -85,7 +90,7 @@ def md5_of(columns: list[str], null_safe: bool = True, separator: str = "||") ->
     With ``null_safe`` every cell is led by its length and NULL is a marker without one, so that different rows have
     different texts whatever the cells hold; without it cells are joined as they are and NULL is left out.
     """
-    cells = [F.col(f"`{c}`").cast("string") for c in columns]
+    cells = [exact(c).cast("string") for c in columns]
     if null_safe:
         cells = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("\\N")) for c in cells]
     return F.md5(F.concat_ws(separator, *cells))
@@ -95,7 +100,7 @@ def row_spread(df: DataFrame) -> Column:
     """A hash of all cells, for spreading and ordering rows; columns with maps are hashed as JSON."""
 
     def cell(f: T.StructField) -> Column:
-        column = F.col(f"`{f.name}`")
+        column = exact(f.name)
         return F.to_json(F.struct(column)) if "map<" in f.dataType.simpleString() else column
 
     return F.xxhash64(*[cell(f) for f in df.schema.fields])
@@ -103,7 +108,7 @@ def row_spread(df: DataFrame) -> Column:
 
 def sha256_of(columns: list[str]) -> Column:
     """SHA-256 of the JSON object of the columns in name order."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*[exact(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 
 def epoch_seconds(column: Column) -> Column:

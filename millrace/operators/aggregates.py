@@ -10,27 +10,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import order as paging
-from millrace.functions.scalars import FLOATING, NUMERIC, TEMPORAL, as_list, epoch_seconds, missing
+from millrace.functions.scalars import FLOATING, NUMERIC, TEMPORAL, as_list, epoch_seconds, exact, missing
 from millrace.functions.stats import with_distinct_counts
 from millrace.operators.columns import filter_triples
 
 
 def group_sum(df: DataFrame, group_by: str | Sequence[str], agg_columns: str | Sequence[str]) -> DataFrame:
-    return df.groupBy(*as_list(group_by)).agg(*[F.sum(c).alias(f"{c}_sum") for c in as_list(agg_columns)])
+    return df.groupBy(*[exact(c) for c in as_list(group_by)]).agg(*[F.sum(exact(c)).alias(f"{c}_sum") for c in as_list(agg_columns)])
 
 
 def group_avg(df: DataFrame, group_by: str | Sequence[str], agg_columns: str | Sequence[str]) -> DataFrame:
-    return df.groupBy(*as_list(group_by)).agg(*[F.avg(c).alias(f"{c}_avg") for c in as_list(agg_columns)])
+    return df.groupBy(*[exact(c) for c in as_list(group_by)]).agg(*[F.avg(exact(c)).alias(f"{c}_avg") for c in as_list(agg_columns)])
 
 
 def group_count(df: DataFrame, group_by: str | Sequence[str]) -> DataFrame:
-    return df.groupBy(*as_list(group_by)).agg(F.count("*").alias("count"))
+    return df.groupBy(*[exact(c) for c in as_list(group_by)]).agg(F.count("*").alias("count"))
 
 
 def group_min_max(df: DataFrame, group_by: str | Sequence[str], agg_columns: str | Sequence[str]) -> DataFrame:
     names = as_list(agg_columns)
-    aggs = [f(c).alias(f"{c}_{n}") for c in names for n, f in (("min", F.min), ("max", F.max))]
-    return df.groupBy(*as_list(group_by)).agg(*aggs)
+    aggs = [f(exact(c)).alias(f"{c}_{n}") for c in names for n, f in (("min", F.min), ("max", F.max))]
+    return df.groupBy(*[exact(c) for c in as_list(group_by)]).agg(*aggs)
 
 
 FUNCTIONS = {"sum": F.sum, "count": F.count, "avg": F.avg, "max": F.max, "min": F.min, "count_distinct": F.count_distinct}
@@ -108,7 +108,7 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     entries = []
     for f in df.schema.fields:
-        value = F.col(f"`{f.name}`")
+        value = exact(f.name)
         if isinstance(f.dataType, FLOATING):
             value = F.when(~F.isnan(value), value)
         number = isinstance(f.dataType, NUMERIC)

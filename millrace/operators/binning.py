@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.scalars import as_list
+from millrace.functions.scalars import as_list, exact
 from millrace.functions.stats import one_row, quantiles
 
 
@@ -19,8 +19,8 @@ def width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def equal_width_bin(df: DataFrame, columns: str | Sequence[str], bins: int = 10, suffix: str = "_bin") -> DataFrame:
     names = as_list(columns)
-    s = one_row(df, **{f"lo_{c}": F.min(c) for c in names}, **{f"hi_{c}": F.max(c) for c in names})
-    return df.withColumns({f"{c}{suffix}": width_bin(F.col(c), s[f"lo_{c}"], s[f"hi_{c}"], bins) for c in names})
+    s = one_row(df, **{f"lo_{c}": F.min(exact(c)) for c in names}, **{f"hi_{c}": F.max(exact(c)) for c in names})
+    return df.withColumns({f"{c}{suffix}": width_bin(exact(c), s[f"lo_{c}"], s[f"hi_{c}"], bins) for c in names})
 
 
 def edge_bin(value: Column, edges: Sequence[float]) -> Column:
@@ -44,7 +44,7 @@ def quantile_bin(
     edges = quantiles(df, names, inner, approx)
     return df.withColumns(
         {
-            f"{c}{suffix}": edge_bin(F.col(c), [edges[(c, p)] for p in inner if edges[(c, p)] is not None])
+            f"{c}{suffix}": edge_bin(exact(c), [edges[(c, p)] for p in inner if edges[(c, p)] is not None])
             for c in names
         }
     )
@@ -72,6 +72,6 @@ def custom_bin(
     for c in as_list(columns):
         result = F.lit(None).cast("string")
         for low, high, label in reversed(list(zip(bins, bins[1:], labels))):
-            result = F.when((F.col(c) >= low) & (F.col(c) < high), F.lit(label)).otherwise(result)
+            result = F.when((exact(c) >= low) & (exact(c) < high), F.lit(label)).otherwise(result)
         out[f"{c}{suffix}"] = result
     return df.withColumns(out)

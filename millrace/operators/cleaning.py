@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.scalars import EMAIL_PATTERN, NUMERIC, as_list, columns_of, missing
+from millrace.functions.scalars import EMAIL_PATTERN, NUMERIC, as_list, columns_of, exact, missing
 from millrace.functions.stats import one_row, quantiles
 from millrace.operators.windows import deduplicate, forward_fill
 
@@ -35,7 +35,7 @@ def fill_nulls(
     if method == "constant":
         fills = {c: F.lit(fill_value) for c in names}
     elif method == "mean":
-        stats = one_row(df, **{c: F.avg(c) for c in names})
+        stats = one_row(df, **{c: F.avg(exact(c)) for c in names})
         fills = {c: stats[c] for c in names}
     elif method == "median":
         middle = quantiles(df, names, [0.5], approx, own_type=True)
@@ -44,13 +44,13 @@ def fill_nulls(
         fills = {c: _mode(df, c) for c in names}
     else:
         raise ValueError(f"unknown fill method {method!r}")
-    return df.withColumns({c: F.coalesce(F.col(c), v.cast(df.schema[c].dataType)) for c, v in fills.items()})
+    return df.withColumns({c: F.coalesce(exact(c), v.cast(df.schema[c].dataType)) for c, v in fills.items()})
 
 
 def _mode(df: DataFrame, name: str) -> Column:
     """The most frequent non-NULL value, the smallest of them on a tie."""
-    counts = df.filter(F.col(name).isNotNull()).groupBy(name).count()
-    return counts.orderBy(F.col("count").desc(), F.col(name)).limit(1).select(name).scalar()
+    counts = df.filter(exact(name).isNotNull()).groupBy(exact(name)).count()
+    return counts.orderBy(F.col("count").desc(), exact(name)).limit(1).select(exact(name)).scalar()
 
 
 def remove_duplicates(
@@ -85,11 +85,11 @@ def remove_outliers(
     names = as_list(columns)
     if method == "iqr":
         fences = iqr_bounds(df, names, 1.5 if threshold is None else threshold, approx)
-        tests = [F.col(c).between(*b) for c, b in fences.items() if b]
+        tests = [exact(c).between(*b) for c, b in fences.items() if b]
     elif method == "zscore":
         limit = 3.0 if threshold is None else threshold
-        stats = one_row(df, **{f"m_{c}": F.avg(c) for c in names}, **{f"s_{c}": F.stddev_samp(c) for c in names})
-        tests = [F.abs(F.col(c) - stats[f"m_{c}"]) <= limit * stats[f"s_{c}"] for c in names]
+        stats = one_row(df, **{f"m_{c}": F.avg(exact(c)) for c in names}, **{f"s_{c}": F.stddev_samp(exact(c)) for c in names})
+        tests = [F.abs(exact(c) - stats[f"m_{c}"]) <= limit * stats[f"s_{c}"] for c in names]
     else:
         raise ValueError(f"unknown outlier method {method!r}")
     return df.filter(reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(True)) for t in tests], F.lit(True)))
@@ -97,7 +97,7 @@ def remove_outliers(
 
 def fix_typos(df: DataFrame, columns: str | Sequence[str], pattern: str, replacement: str) -> DataFrame:
     """Regex replace in the listed columns."""
-    return df.withColumns({c: F.regexp_replace(c, pattern, replacement) for c in as_list(columns)})
+    return df.withColumns({c: F.regexp_replace(exact(c), pattern, replacement) for c in as_list(columns)})
 
 
 def clean_missing(
@@ -110,18 +110,18 @@ def clean_missing(
     """Drop columns that are mostly NULL, fill numbers with median or mean and strings with a word."""
     shares = df.agg(*[F.avg(missing(df, c).cast("double")).alias(c) for c in df.columns]).first().asDict()
     kept = [c for c in df.columns if (shares[c] or 0.0) <= drop_threshold]
-    df = df.select(*kept)
+    df = df.select(*[exact(c) for c in kept])
     holes = [c for c in kept if (shares[c] or 0.0) > 0]
     numbers = [c for c in columns_of(df, *NUMERIC) if c in holes]
     texts = [c for c in columns_of(df, T.StringType) if c in holes]
     if numbers:
-        df = df.withColumns({c: F.when(~missing(df, c), F.col(c)) for c in numbers})
+        df = df.withColumns({c: F.when(~missing(df, c), exact(c)) for c in numbers})
         middle = {
             "median": lambda: {c: F.lit(v) for (c, _), v in quantiles(df, numbers, [0.5], approx).items()},
-            "mean": lambda: {c: one_row(df, **{n: F.avg(n) for n in numbers})[c] for c in numbers},
+            "mean": lambda: {c: one_row(df, **{n: F.avg(exact(n)) for n in numbers})[c] for c in numbers},
         }[numeric_fill]()
-        df = df.withColumns({c: F.coalesce(F.col(c), v.cast(_filled_type(df, c))) for c, v in middle.items()})
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(text_fill)) for c in texts}) if texts else df
+        df = df.withColumns({c: F.coalesce(exact(c), v.cast(_filled_type(df, c))) for c, v in middle.items()})
+    return df.withColumns({c: F.coalesce(exact(c), F.lit(text_fill)) for c in texts}) if texts else df
 
 
 def _filled_type(df: DataFrame, name: str) -> T.DataType:
@@ -134,14 +134,14 @@ def cap_outliers(df: DataFrame, columns: str | Sequence[str] = (), k: float = 1.
     """Clip to the IQR fences; ``<column>_has_outlier`` where any was clipped, ``_has_anomalies`` = any flag."""
     names = as_list(columns) or [c for c in columns_of(df, *NUMERIC) if not c.startswith("_")]
     fences = {c: b for c, b in iqr_bounds(df, names, k, approx).items() if b}
-    outside = {c: (F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in fences.items()}
+    outside = {c: (exact(c) < lo) | (exact(c) > hi) for c, (lo, hi) in fences.items()}
     if not outside:
         return df.withColumn("_has_anomalies", F.lit(False))
     hit = df.agg(*[F.coalesce(F.bool_or(cond), F.lit(False)).alias(c) for c, cond in outside.items()]).first()
     flagged = [c for c in outside if hit[c]]
     out = df.withColumns({f"{c}_has_outlier": F.coalesce(outside[c], F.lit(False)) for c in flagged})
-    out = out.withColumns({c: _clip(F.col(c).cast("double"), *fences[c]) for c in flagged})
-    any_flag = reduce(lambda a, b: a | b, [F.col(f"{c}_has_outlier") for c in flagged], F.lit(False))
+    out = out.withColumns({c: _clip(exact(c).cast("double"), *fences[c]) for c in flagged})
+    any_flag = reduce(lambda a, b: a | b, [exact(f"{c}_has_outlier") for c in flagged], F.lit(False))
     return out.withColumn("_has_anomalies", any_flag)
 
 
@@ -179,15 +179,15 @@ def null_invalid(
     ranges = NUMERIC_RANGES if ranges is None else ranges
     patterns = COLUMN_PATTERNS if patterns is None else patterns
     enums = COLUMN_ENUMS if enums is None else enums
-    ok = {c: F.col(c).between(lo, hi) for c, (lo, hi) in ranges.items() if c in df.columns}
-    ok |= {c: F.col(c).rlike(p) for c, p in patterns.items() if c in df.columns}
-    ok |= {c: F.col(c).isin(list(v)) for c, v in enums.items() if c in df.columns}
-    return df.withColumns({c: F.when(test, F.col(c)) for c, test in ok.items()}) if ok else df
+    ok = {c: exact(c).between(lo, hi) for c, (lo, hi) in ranges.items() if c in df.columns}
+    ok |= {c: exact(c).rlike(p) for c, p in patterns.items() if c in df.columns}
+    ok |= {c: exact(c).isin(list(v)) for c, v in enums.items() if c in df.columns}
+    return df.withColumns({c: F.when(test, exact(c)) for c, test in ok.items()}) if ok else df
 
 
 def backfill(df: DataFrame, fills: Mapping[str, Sequence[Column]]) -> DataFrame:
     """NULLs in a column take the first non-NULL of the listed expressions."""
-    return df.withColumns({c: F.coalesce(F.col(c), *v) for c, v in fills.items()})
+    return df.withColumns({c: F.coalesce(exact(c), *v) for c, v in fills.items()})
 
 
 def backfill_assets(df: DataFrame, now: Column, bronze: str = "bronze/", silver: str = "silver/") -> DataFrame:

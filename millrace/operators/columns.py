@@ -13,6 +13,7 @@ from millrace.functions.scalars import (
     DEFAULT_COUNTRY_CODE,
     columns_of,
     e164,
+    exact,
     md5_of,
     phone_digits,
     safe_cast,
@@ -122,14 +123,14 @@ def normalize(df: DataFrame, config: Mapping[str, Mapping[str, object]]) -> Data
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every string column in one projection."""
     strings = columns_of(df, T.StringType)
-    return df.withColumns({c: F.trim(F.col(f"`{c}`")) for c in strings}) if strings else df
+    return df.withColumns({c: F.trim(exact(c)) for c in strings}) if strings else df
 
 
 def standardize(df: DataFrame, fill_zero: bool = True, parse_dates: bool = True) -> DataFrame:
     """Trim strings, NULL → 0 in int and double columns, columns named date/time → timestamp."""
     out = {}
     for f in df.schema.fields:
-        value = F.col(f"`{f.name}`")
+        value = exact(f.name)
         if isinstance(f.dataType, T.StringType):
             value = F.trim(value)
             if parse_dates and re.search("date|time", f.name.lower()):
@@ -202,7 +203,7 @@ def flatten(df: DataFrame, sep: str = "_", max_depth: int = 3) -> DataFrame:
             return [F.to_json(column).alias(name)]
         return [column.alias(name)]
 
-    return df.select(*[leaf for f in df.schema.fields for leaf in leaves(F.col(f"`{f.name}`"), f.name, f.dataType, 0)])
+    return df.select(*[leaf for f in df.schema.fields for leaf in leaves(exact(f.name), f.name, f.dataType, 0)])
 
 
 def flatten_json(df: DataFrame, keys: Mapping[str, Sequence[str]], keep: bool = True) -> DataFrame:
@@ -217,9 +218,9 @@ def sanitize(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, COMPLEX):
-            out[f.name] = F.to_json(F.col(f"`{f.name}`"))
+            out[f.name] = F.to_json(exact(f.name))
         elif isinstance(f.dataType, T.DecimalType):
-            out[f.name] = F.col(f"`{f.name}`").cast("double")
+            out[f.name] = exact(f.name).cast("double")
     return df.withColumns(out) if out else df
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.order import POS, sorted_positions
-from millrace.functions.scalars import as_list
+from millrace.functions.scalars import as_list, exact
 from millrace.functions.stats import one_row
 
 # Categories that may become columns, unless the caller says otherwise: each is a column of the plan.
@@ -23,14 +23,14 @@ def category_index(df: DataFrame, column: str) -> DataFrame:
 
     Numbered through a distributed sort, so the category list has no size limit.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    placed = sorted_positions(counts, F.col("_n").desc(), F.col(column))
-    return placed.select(column, F.col(POS).alias("_index"))
+    counts = df.filter(exact(column).isNotNull()).groupBy(exact(column)).agg(F.count("*").alias("_n"))
+    placed = sorted_positions(counts, F.col("_n").desc(), exact(column))
+    return placed.select(exact(column), F.col(POS).alias("_index"))
 
 
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_ONE_HOT) -> list:
     """Sorted distinct values, for operators that make one column per value."""
-    rows = df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(limit + 1).collect()
+    rows = df.filter(exact(column).isNotNull()).select(exact(column).alias("_v")).distinct().orderBy("_v").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} values; use label_encode or one_hot_vector")
     return [r[0] for r in rows]
@@ -47,7 +47,7 @@ def one_hot(
     out = {}
     for c in as_list(columns):
         values = (categories or {}).get(c) or distinct_values(df, c, max_categories)
-        out |= {f"{prefix or c}_{v}": F.when(F.col(c) == F.lit(v), 1).otherwise(0) for v in values}
+        out |= {f"{prefix or c}_{v}": F.when(exact(c) == F.lit(v), 1).otherwise(0) for v in values}
     return df.withColumns(out)
 
 
@@ -55,7 +55,7 @@ def one_hot_vector(df: DataFrame, column: str, name: str | None = None) -> DataF
     """A sparse vector column over all categories, for domains too wide for columns."""
     from pyspark.ml.feature import OneHotEncoder
 
-    indexed = label_encode(df.filter(F.col(column).isNotNull()), column)
+    indexed = label_encode(df.filter(exact(column).isNotNull()), column)
     model = OneHotEncoder(inputCol=f"{column}_encoded", outputCol=name or f"{column}_vector", dropLast=False)
     return model.fit(indexed).transform(indexed)
 
@@ -67,7 +67,7 @@ def label_encode(
     for c in as_list(columns):
         if mapping is not None:
             lookup = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-            df = df.withColumn(f"{c}{suffix}", F.try_element_at(lookup, F.col(c)).cast("bigint"))
+            df = df.withColumn(f"{c}{suffix}", F.try_element_at(lookup, exact(c)).cast("bigint"))
         else:
             index = category_index(df, c).withColumnRenamed("_index", f"{c}{suffix}")
             df = df.join(index, c, "left")
@@ -91,14 +91,14 @@ def target_encode(
     df: DataFrame, columns: str | Sequence[str], target: str, smoothing: float = 0.0, suffix: str = "_target"
 ) -> DataFrame:
     """Category → mean target, pulled towards the overall mean by ``smoothing`` virtual rows."""
-    overall = one_row(df, mean=F.avg(target))["mean"]
+    overall = one_row(df, mean=F.avg(exact(target)))["mean"]
     for c in as_list(columns):
-        sums = df.groupBy(c).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"))
+        sums = df.groupBy(exact(c)).agg(F.sum(exact(target)).alias("_sum"), F.count(exact(target)).alias("_n"))
         encoded = sums.select(
-            F.col(c).alias("_key"),
+            exact(c).alias("_key"),
             F.try_divide(F.col("_sum") + overall * smoothing, F.col("_n") + smoothing).alias(f"{c}{suffix}"),
         )
-        df = df.join(encoded, F.col(c).eqNullSafe(F.col("_key")), "left").drop("_key")
+        df = df.join(encoded, exact(c).eqNullSafe(F.col("_key")), "left").drop("_key")
     return df
 
 
@@ -106,7 +106,7 @@ def frequency_encode(df: DataFrame, columns: str | Sequence[str], suffix: str =
     """Category → its share of the rows."""
     total = one_row(df, n=F.count("*"))["n"]
     for c in as_list(columns):
-        counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-        shares = counts.select(F.col(c).alias("_key"), (F.col("_n") / total).alias(f"{c}{suffix}"))
-        df = df.join(shares, F.col(c).eqNullSafe(F.col("_key")), "left").drop("_key")
+        counts = df.groupBy(exact(c)).agg(F.count("*").alias("_n"))
+        shares = counts.select(exact(c).alias("_key"), (F.col("_n") / total).alias(f"{c}{suffix}"))
+        df = df.join(shares, exact(c).eqNullSafe(F.col("_key")), "left").drop("_key")
     return df

@@ -9,7 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.scalars import as_list
+from millrace.functions.scalars import as_list, exact
 from millrace.operators.encoding import MAX_ONE_HOT, distinct_values
 
 DATE_PARTS = {
@@ -27,10 +27,10 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
     """Long and double as epoch milliseconds, strings parsed, dates and timestamps as they are."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.LongType, T.DoubleType)):
-        return F.timestamp_millis(F.col(name).cast("bigint"))
+        return F.timestamp_millis(exact(name).cast("bigint"))
     if isinstance(kind, T.StringType):
-        return F.col(name).try_cast("timestamp")
-    return F.col(name)
+        return exact(name).try_cast("timestamp")
+    return exact(name)
 
 
 def extract_datetime(df: DataFrame, column: str, parts: Sequence[str] = ("year", "month", "day")) -> DataFrame:
@@ -59,28 +59,28 @@ COMBINE = {
 def combine_features(
     df: DataFrame, columns: str | Sequence[str], operation: str = "concat", new_name: str = "combined"
 ) -> DataFrame:
-    return df.withColumn(new_name, COMBINE[operation]([F.col(c) for c in as_list(columns)]))
+    return df.withColumn(new_name, COMBINE[operation]([exact(c) for c in as_list(columns)]))
 
 
 def polynomial_features(df: DataFrame, columns: str | Sequence[str], degree: int = 2) -> DataFrame:
     """``<column>_pow2`` up to the degree."""
-    return df.withColumns({f"{c}_pow{d}": F.pow(c, F.lit(d)) for c in as_list(columns) for d in range(2, degree + 1)})
+    return df.withColumns({f"{c}_pow{d}": F.pow(exact(c), F.lit(d)) for c in as_list(columns) for d in range(2, degree + 1)})
 
 
 def interaction_features(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """``<a>_x_<b>`` products of all column pairs."""
-    return df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in combinations(as_list(columns), 2)})
+    return df.withColumns({f"{a}_x_{b}": exact(a) * exact(b) for a, b in combinations(as_list(columns), 2)})
 
 
 def split_column(df: DataFrame, column: str, delimiter: str, into: int = 2) -> DataFrame:
     """``<column>_part1…n``; the delimiter is plain text, missing parts are NULL."""
-    parts = F.split(F.col(column), re.escape(delimiter), -1)
+    parts = F.split(exact(column), re.escape(delimiter), -1)
     return df.withColumns({f"{column}_part{i + 1}": F.get(parts, F.lit(i)) for i in range(into)})
 
 
 def extract_regex(df: DataFrame, column: str, pattern: str, group: int = 1, name: str | None = None) -> DataFrame:
     """One group of the first match; NULL when there is none."""
-    found = F.when(F.col(column).rlike(pattern), F.regexp_extract(column, pattern, group))
+    found = F.when(exact(column).rlike(pattern), F.regexp_extract(exact(column), pattern, group))
     return df.withColumn(name or f"{column}_extracted", found)
 
 
@@ -93,41 +93,41 @@ URL_PARTS = {"protocol": "PROTOCOL", "host": "HOST", "path": "PATH", "query": "Q
 
 
 def parse_url(df: DataFrame, column: str, parts: Sequence[str] = ("protocol", "host", "path", "query")) -> DataFrame:
-    return df.withColumns({f"{column}_{p}": F.try_parse_url(F.col(column), F.lit(URL_PARTS[p])) for p in parts})
+    return df.withColumns({f"{column}_{p}": F.try_parse_url(exact(column), F.lit(URL_PARTS[p])) for p in parts})
 
 
 def log_transform(df: DataFrame, columns: str | Sequence[str], base: float | None = None) -> DataFrame:
     """``<column>_log``, natural or to a base; NULL for x ≤ 0."""
 
     def log(c: str) -> Column:
-        return F.log(F.col(c)) if base is None else F.log(float(base), F.col(c))
+        return F.log(exact(c)) if base is None else F.log(float(base), exact(c))
 
-    return df.withColumns({f"{c}_log": F.when(F.col(c) > 0, log(c)) for c in as_list(columns)})
+    return df.withColumns({f"{c}_log": F.when(exact(c) > 0, log(c)) for c in as_list(columns)})
 
 
 def sqrt_transform(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Square root in place; NULL for x < 0."""
-    return df.withColumns({c: F.when(F.col(c) >= 0, F.sqrt(c)) for c in as_list(columns)})
+    return df.withColumns({c: F.when(exact(c) >= 0, F.sqrt(exact(c))) for c in as_list(columns)})
 
 
 def power_transform(df: DataFrame, columns: str | Sequence[str], exponent: float = 2.0) -> DataFrame:
     """``<column>_power``; NULL where the power is not a real number."""
-    value = {c: F.pow(c, F.lit(float(exponent))) for c in as_list(columns)}
+    value = {c: F.pow(exact(c), F.lit(float(exponent))) for c in as_list(columns)}
     return df.withColumns({f"{c}_power": F.when(~F.isnan(v), v) for c, v in value.items()})
 
 
 def reciprocal(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """``<column>_reciprocal``; 0 → NULL."""
-    return df.withColumns({f"{c}_reciprocal": F.try_divide(F.lit(1.0), F.col(c)) for c in as_list(columns)})
+    return df.withColumns({f"{c}_reciprocal": F.try_divide(F.lit(1.0), exact(c)) for c in as_list(columns)})
 
 
 def box_cox(df: DataFrame, columns: str | Sequence[str], lambda_: float = 0.0) -> DataFrame:
     """ln x for λ = 0, else (x^λ - 1) / λ; only for x > 0."""
 
     def value(c: str) -> Column:
-        return F.log(F.col(c)) if lambda_ == 0 else (F.pow(c, F.lit(float(lambda_))) - 1) / lambda_
+        return F.log(exact(c)) if lambda_ == 0 else (F.pow(exact(c), F.lit(float(lambda_))) - 1) / lambda_
 
-    return df.withColumns({f"{c}_boxcox": F.when(F.col(c) > 0, value(c)) for c in as_list(columns)})
+    return df.withColumns({f"{c}_boxcox": F.when(exact(c) > 0, value(c)) for c in as_list(columns)})
 
 
 def round_values(df: DataFrame, columns: str | Sequence[str], precision: int = 2) -> DataFrame:
@@ -142,7 +142,7 @@ def categorize(
     lookup = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
     return df.withColumns(
         {
-            f"{c}_category": F.coalesce(F.try_element_at(lookup, F.col(c).cast("string")), F.lit(default))
+            f"{c}_category": F.coalesce(F.try_element_at(lookup, exact(c).cast("string")), F.lit(default))
             for c in as_list(columns)
         }
     )

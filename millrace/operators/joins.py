@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.scalars import as_list, row_spread
+from millrace.functions.scalars import as_list, exact, row_spread
 from millrace.operators.windows import first_per_key
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full_outer", "full": "full_outer", "full_outer": "full_outer"}
@@ -172,7 +172,7 @@ def identical_columns(df: DataFrame) -> DataFrame:
         F.struct(
             F.lit(a).alias("column1"),
             F.lit(b).alias("column2"),
-            F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias("same"),
+            F.bool_and(exact(a).eqNullSafe(exact(b))).alias("same"),
         )
         for a, b in pairs
     ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -55,54 +56,112 @@ def record_lineage(spark: SparkSession, path: str, edge: Mapping[str, object]) -
     spark.createDataFrame([tuple(row.values())], EDGE_SCHEMA).write.mode("append").parquet(path)
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    """The distinct pairs of tables, written once, so that no hop computes the edges again."""
-    return stage(edges.select("source_table", "target_table").distinct(), "pairs")
+DIRECTIONS = {"downstream": ("source_table", "target_table"), "upstream": ("target_table", "source_table")}
+# Bounded searches of at most so many hops go hop by hop in one plan.
+WALK = 4
 
 
 def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth: int | None = 3) -> DataFrame:
-    """Tables reachable from ``table`` with the smallest number of hops; cycles are cut.
+    """(table_name, depth): tables reachable from ``table`` with the smallest number of hops; cycles are cut.
 
-    One join per hop over the distinct pairs of tables. The new tables of each hop are written to the shared folder, so
-    the plan does not grow with the depth, and the search stops when a hop finds nothing; ``depth=None`` goes on
-    until then.
+    ``depth=None`` goes on until nothing new is found.
+    """
+    return closure(edges, table, [direction], depth).select("table_name", "depth")
+
+
+def closure(edges: DataFrame, table: str, directions: Sequence[str] = ("downstream", "upstream"), depth: int | None = None) -> DataFrame:
+    """(direction, table_name, depth): tables reachable in each of the directions, which are searched together.
+
+    A search of at most ``WALK`` hops is one plan. A longer one first folds up stretches without branches: a table with one
+    way in, from a table with one way out, takes over that table's place by path doubling, which halves the remaining
+    stretch in every round. What is left, joined by edges with lengths, is searched branch by branch. So the number of
+    rounds is that of the branches on the longest way plus the logarithm of the longest stretch, each with rows of at most
+    the number of edges; pairs of tables far apart are never made.
     """
     if depth is not None and depth < 1:
         raise ValueError("depth must be at least 1, or None for no bound")
-    return _reached(_pairs(edges), table, direction, depth)
-
-
-def _reached(edges: DataFrame, table: str, direction: str, depth: int | None) -> DataFrame:
-    near, far = {
-        "downstream": ("source_table", "target_table"),
-        "upstream": ("target_table", "source_table"),
-    }[direction]
-    hops = edges.select(F.col(near).alias("_near"), F.col(far).alias("table_name"))
-    start = edges.sparkSession.createDataFrame([(table,)], "table_name string")
-    visited, frontier, found = start, start, []
-    for hop in count(1) if depth is None else range(1, depth + 1):
-        step = hops.join(frontier.select(F.col("table_name").alias("_near")), "_near", "left_semi")
-        fresh = step.select("table_name").distinct().join(visited, "table_name", "left_anti")
-        frontier = stage(fresh, "hop")
-        if frontier.isEmpty():
+    sides = [
+        edges.select(F.lit(d).alias("direction"), F.col(DIRECTIONS[d][0]).alias("near"), F.col(DIRECTIONS[d][1]).alias("far")) for d in directions
+    ]
+    hops = reduce(DataFrame.unionAll, sides).filter((F.col("near") != F.col("far")) & (F.col("far") != table))
+    starts = edges.sparkSession.createDataFrame([(d, table, 0) for d in directions], "direction string, node string, depth int")
+    found = _walked(hops, starts, depth) if depth is not None and depth <= WALK else _folded_search(hops, starts, depth)
+    return found.filter("depth > 0").select("direction", F.col("node").alias("table_name"), "depth")
+
+
+def _walked(hops: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """Tables within a few hops: each hop is a join with the tables of the one before."""
+    layers, here = [starts], starts
+    for hop in range(1, depth + 1):
+        near = here.select("direction", F.col("node").alias("near"))
+        met = hops.join(near, ["direction", "near"], "left_semi").select("direction", F.col("far").alias("node")).distinct()
+        here = met.withColumn("depth", F.lit(hop))
+        layers.append(here)
+    return reduce(DataFrame.unionAll, layers).groupBy("direction", "node").agg(F.min("depth").alias("depth"))
+
+
+def _folded_search(hops: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """Tables at any distance: stretches without branches are folded up first."""
+    hops = stage(hops.distinct(), "hops")
+    ways_out = hops.groupBy("direction", F.col("near").alias("up")).agg(F.count("*").alias("out"))
+    ways_in = hops.groupBy("direction", F.col("far").alias("node")).agg(F.count("*").alias("in"), F.min("near").alias("up"))
+    attached = ways_in.filter("in = 1").join(ways_out.filter("out = 1"), ["direction", "up"])
+    folded = _doubled(stage(attached.select("direction", "node", "up", F.lit(1).alias("off")), "stretch"))
+
+    top = folded.select("direction", F.col("node").alias("near"), "up", "off")
+    inner = folded.select("direction", F.col("node").alias("far"))
+    begun = hops.join(inner, ["direction", "far"], "left_anti").join(top, ["direction", "near"], "left")
+    ways = begun.select("direction", F.coalesce("up", "near").alias("node"), "far", (F.coalesce("off", F.lit(0)) + 1).alias("length"))
+    ways = stage(ways.groupBy("direction", "node", "far").agg(F.min("length").alias("length")), "ways")
+    reached, front = starts, starts
+    for _ in count():
+        steps = front.join(ways, ["direction", "node"]).select("direction", F.col("far").alias("node"), (F.col("depth") + F.col("length")).alias("depth"))
+        best = steps.groupBy("direction", "node").agg(F.min("depth").alias("depth"))
+        best = best if depth is None else best.filter(F.col("depth") <= depth)
+        known = reached.select("direction", "node", F.col("depth").alias("_known"))
+        nearer = best.join(known, ["direction", "node"], "left").filter("_known is null or depth < _known").drop("_known")
+        front = stage(nearer, "front")
+        if front.isEmpty():
             break
-        found.append(frontier.withColumn("depth", F.lit(hop)))
-        visited = visited.unionAll(frontier)
-    result = edges.sparkSession.createDataFrame([], "table_name string, depth int")
-    for f in found:
-        result = result.unionAll(f)
-    return result
+        reached = stage(reached.unionAll(front).groupBy("direction", "node").agg(F.min("depth").alias("depth")), "reached")
+    inside = folded.join(reached.withColumnRenamed("node", "up"), ["direction", "up"])
+    inside = inside.select("direction", "node", (F.col("depth") + F.col("off")).alias("depth"))
+    everything = reached.unionAll(inside)
+    return everything if depth is None else everything.filter(F.col("depth") <= depth)
+
+
+def _doubled(attached: DataFrame) -> DataFrame:
+    """(direction, node, up, off): the top of each attached table's stretch, and how far above it is.
+
+    Each round looks up where the place looked up so far points to. Only a ring of attached tables goes on for ever; nothing
+    leads into it from outside, so what still moves after more rounds than any stretch needs is dropped.
+    """
+    rows = attached.count()
+    for done in count():
+        further = attached.select("direction", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("off").alias("_off"))
+        looked = attached.join(further, ["direction", "up"], "left")
+        moving = F.col("_up").isNotNull()
+        if 1 << done > rows:
+            return stage(looked.filter(~moving).select("direction", "node", "up", "off"), "stretch")
+        attached = stage(
+            looked.select("direction", "node", F.coalesce("_up", "up").alias("up"), (F.col("off") + F.coalesce("_off", F.lit(0))).alias("off"), moving.alias("moving")),
+            "stretch",
+        )
+        if attached.filter("moving").isEmpty():
+            return attached.drop("moving")
+        attached = attached.drop("moving")
 
 
 def impact(edges: DataFrame, table: str) -> DataFrame:
     """One row: how many tables feed the table and depend on it at any distance, and the risk of changing it."""
-    pairs = _pairs(edges)
-    up = _reached(pairs, table, "upstream", None).agg(F.count("*").alias("n")).scalar()
-    down = _reached(pairs, table, "downstream", None)
+    found = closure(edges, table)
     n = F.col("total_downstream")
-    return down.agg(F.count("*").alias("total_downstream")).select(
+    counts = found.agg(
+        F.count_if(F.col("direction") == "upstream").alias("total_upstream"), F.count_if(F.col("direction") == "downstream").alias("total_downstream")
+    )
+    return counts.select(
         F.lit(table).alias("table_name"),
-        up.alias("total_upstream"),
+        "total_upstream",
         "total_downstream",
         F.when(n > 5, "high").when(n > 0, "medium").otherwise("low").alias("risk_level"),
     )

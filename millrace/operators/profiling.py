@@ -9,6 +9,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions.scalars import (
@@ -19,6 +23,7 @@ from millrace.functions.scalars import (
     TEMPORAL,
     clean_number,
     columns_of,
+    exact,
     missing,
 )
 from millrace.functions.stats import one_row, quantiles, sample_kurtosis, sample_skewness, with_distinct_counts
@@ -28,7 +33,7 @@ from millrace.session import stage
 
 def _value(df: DataFrame, name: str) -> Column:
     """The cell with NaN read as NULL."""
-    column = F.col(f"`{name}`")
+    column = exact(name)
     return F.when(~F.isnan(column), column) if isinstance(df.schema[name].dataType, FLOATING) else column
 
 
@@ -39,7 +44,7 @@ def _inline(df: DataFrame, entries: list[Column]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows and repeats after the first (rows - distinct rows)."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    groups = df.groupBy(*[exact(c) for c in df.columns]).agg(F.count("*").alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -48,7 +53,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicates, missing cells, and their shares in %."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    groups = df.groupBy(*[exact(c) for c in df.columns]).agg(F.count("*").alias("_n"))
     holes = sum([missing(df, c).cast("bigint") for c in df.columns], F.lit(0).cast("bigint"))
     row = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
@@ -74,7 +79,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] = (), approx: bool = F
     q = quantiles(df, names, [0.25, 0.5, 0.75], approx)
     entries = []
     for c in names:
-        v = clean_number(F.col(f"`{c}`"))
+        v = clean_number(exact(c))
         low, mid, high = (F.lit(q[(c, p)]).cast("double") for p in (0.25, 0.5, 0.75))
         entries.append(
             F.struct(
@@ -102,7 +107,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] = (), approx: bool = F
 def value_counts(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """(column_name, value, count) of the text columns: one shuffle for all columns, pre-aggregated."""
     names = list(columns) or columns_of(df, T.StringType)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), exact(c).cast("string").alias("value")) for c in names])
     return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count("*").alias("count"))
 
 
@@ -166,7 +171,7 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
                 F.count_if(v.isNull()).alias("null_count"),
             )
             for c in names
-            for v in [F.col(f"`{c}`")]
+            for v in [exact(c)]
         ],
     )
 
@@ -250,7 +255,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """(bin, low edge, high edge, count) of equal-width bins, the last closed; every bin has a row."""
-    value = clean_number(F.col(f"`{col}`"))
+    value = clean_number(exact(col))
     numbers = df.select(value.alias("_v")).filter("_v IS NOT NULL")
     s = one_row(numbers, lo=F.min("_v"), hi=F.max("_v"))
     counts = (
@@ -306,7 +311,7 @@ def distribution_type(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     names = list(columns) or columns_of(df, *NUMERIC)
     entries = []
     for c in names:
-        v = clean_number(F.col(f"`{c}`"))
+        v = clean_number(exact(c))
         entries.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -333,16 +338,58 @@ def distribution_type(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return rows.select("column_name", "skewness", "p_value", label.alias("distribution"))
 
 
+# Columns up to which each pair is an expression of its own.
+GRAM_COLUMNS = 24
+
+
+def gram_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pearson r of every pair from the products of all columns with each other, over the rows where both are present.
+
+    For each column a row holds its distance from the mean (0 where missing), whether it is present, and the square of that
+    distance. The Gram matrix of these, added up in the tasks, has every sum that the pairs need; what reaches the driver is
+    that matrix and what goes back is a row for each pair.
+    """
+    number = [clean_number(exact(c)) for c in names]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(number)]).first()
+    far = [F.coalesce(v - F.lit(means[f"m{i}"]).cast("double"), F.lit(0.0)) for i, v in enumerate(number)]
+    there = [v.isNotNull().cast("double") for v in number]
+    cells = F.array(*far, *there, *[x * x for x in far])
+    vectors = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(cells).alias("v")), "v")
+    k = len(names)
+    empty = df.isEmpty()
+    g = np.zeros((3 * k, 3 * k)) if empty else RowMatrix(vectors, 0, 3 * k).computeGramianMatrix().toArray()
+    n, product = g[k : 2 * k, k : 2 * k], g[:k, :k]
+    total, square = g[:k, k : 2 * k], g[2 * k :, k : 2 * k]  # of the row's column, where the other one is present
+    with np.errstate(all="ignore"):
+        own = square - total * total / n
+        own = np.where(own > 1e-12 * square, own, np.nan)  # no spread but rounding
+        r = np.clip((product - total * total.T / n) / np.sqrt(own * own.T), -1, 1)
+    rows = [(names[i], names[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(range(k), 2)]
+    return df.sparkSession.createDataFrame(rows, "column1 string, column2 string, correlation double")
+
+
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson r where both are present; NULL where one of them does not vary."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlations(df: DataFrame, columns: Sequence[str] = (), threshold: float | None = None) -> DataFrame:
     """Pearson r of every pair of number columns over the rows where both are present, in one aggregate.
 
-    With a threshold only pairs with |r| above it, rounded to three digits.
+    With a threshold only pairs with |r| above it, rounded to three digits. Many columns share one Gram matrix instead of an
+    expression for each pair.
     """
     names = list(columns) or columns_of(df, *NUMERIC)
-    number = {c: clean_number(F.col(f"`{c}`")) for c in names}
+    if len(names) > GRAM_COLUMNS:
+        pairs = gram_correlations(df, names)
+        if threshold is None:
+            return pairs
+        return pairs.filter(F.abs("correlation") > threshold).withColumn("correlation", F.round("correlation", 3))
+    number = {c: clean_number(exact(c)) for c in names}
     entries = [
         F.struct(
-            F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.corr(number[a], number[b]).alias("correlation")
+            F.lit(a).alias("column1"), F.lit(b).alias("column2"), _corr(number[a], number[b]).alias("correlation")
         )
         for a, b in combinations(names, 2)
     ]
@@ -369,7 +416,7 @@ def outlier_counts(
         if low is None or (strict and high == low):
             continue
         lo, hi = low - k * (high - low), high + k * (high - low)
-        v = clean_number(F.col(f"`{c}`"))
+        v = clean_number(exact(c))
         outside = (v < lo) | (v > hi)
         entries.append(
             F.struct(
@@ -401,7 +448,7 @@ def outliers(df: DataFrame, columns: Sequence[str] = (), k: float = 1.5, samples
     if not bounds:
         return found.withColumn("outlier_values", F.array().cast("array<double>"))
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), clean_number(F.col(f"`{c}`")).alias("value")) for c in bounds]
+        *[F.struct(F.lit(c).alias("column_name"), clean_number(exact(c)).alias("value")) for c in bounds]
     )
     out = F.lit(False)
     for c, (lo, hi) in bounds.items():
@@ -429,11 +476,11 @@ def temporal(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     dates = list(columns) or columns_of(df, *TEMPORAL)
     texts = [] if columns else [c for c in columns_of(df, T.StringType) if any(w in c.lower() for w in DATE_WORDS)]
     if texts:
-        parsed = [F.avg(F.col(f"`{c}`").try_cast("timestamp").isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(texts)]
+        parsed = [F.avg(exact(c).try_cast("timestamp").isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(texts)]
         shares = df.agg(*parsed).first()
         texts = [c for i, c in enumerate(texts) if (shares[i] or 0) > 0.5]
     names = dates + texts
-    value = {c: (F.col(f"`{c}`").try_cast("timestamp") if c in texts else F.col(f"`{c}`")).cast("timestamp_ntz") for c in names}
+    value = {c: (exact(c).try_cast("timestamp") if c in texts else exact(c)).cast("timestamp_ntz") for c in names}
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), value[c].alias("value")) for c in names])
     long = df.select(F.inline(cells))
     seconds = lambda c: c.cast("timestamp").cast("double")
@@ -469,9 +516,9 @@ def semantic_warnings(df: DataFrame, approx: bool = False) -> DataFrame:
         F.struct(
             F.lit(c).alias("column_name"),
             F.count("*").alias("rows"),
-            F.count(c).alias("present"),
-            F.count_if(F.col(c).rlike(r"^0\d+")).alias("zeros"),
-            F.count_if(F.col(c).rlike(EMAIL_PATTERN)).alias("emails"),
+            F.count(exact(c)).alias("present"),
+            F.count_if(exact(c).rlike(r"^0\d+")).alias("zeros"),
+            F.count_if(exact(c).rlike(EMAIL_PATTERN)).alias("emails"),
         )
         for c in texts
     ]
@@ -513,7 +560,7 @@ def uniqueness(df: DataFrame, approx: bool = False) -> DataFrame:
         F.struct(
             F.lit(c).alias("column_name"),
             F.count("*").alias("rows"),
-            ((F.max(c) - F.min(c) + 1).cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias("span"),
+            ((F.max(exact(c)) - F.min(exact(c)) + 1).cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias("span"),
         )
         for c in df.columns
     ]
@@ -656,8 +703,8 @@ def classify_table(df: DataFrame, table: str, approx: bool = False) -> DataFrame
 def sample_rows(df: DataFrame, rows: int, key: str | Sequence[str]) -> DataFrame:
     """Exactly ``rows`` rows (all, if there are fewer): the first by the MD5 of the key, the same on every run."""
     names = [key] if isinstance(key, str) else list(key)
-    drawn = F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in names]))
-    return df.orderBy(drawn, *[F.col(f"`{c}`") for c in names]).limit(rows)
+    drawn = F.md5(F.concat_ws("|", *[exact(c).cast("string") for c in names]))
+    return df.orderBy(drawn, *[exact(c) for c in names]).limit(rows)
 
 
 def profile(
@@ -689,7 +736,7 @@ def _flat(section: DataFrame, table: str, name: str) -> DataFrame:
     for f in section.schema.fields:
         if f.name == "column_name":
             continue
-        cell = F.col(f"`{f.name}`")
+        cell = exact(f.name)
         number = isinstance(f.dataType, (*NUMERIC, T.BooleanType))
         nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         value = cell.cast("double") if number else F.lit(None).cast("double")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.scalars import NUMERIC, columns_of, missing
+from millrace.functions.scalars import NUMERIC, columns_of, exact, missing
 from millrace.operators.aggregates import column_stats
 from millrace.operators.cleaning import iqr_bounds
 from millrace.operators.rules import VIOLATIONS, Rule, contract_issues, mark, ordered, rule, rule_report
@@ -18,7 +18,7 @@ def quarantine_records(df: DataFrame, rules: Sequence[Rule], table: str, now: Co
     about = F.create_map(*[x for r in ordered(rules) for x in (F.lit(r.id), F.lit(r.severity))])
     kinds = F.create_map(*[x for r in ordered(rules) for x in (F.lit(r.id), F.lit(r.kind))])
     data = df.columns
-    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"ignoreNullFields": "false"})
+    record = F.to_json(F.struct(*[exact(c) for c in data]), {"ignoreNullFields": "false"})
     return (
         mark(df, rules)
         .filter(F.size(VIOLATIONS) > 0)
@@ -203,7 +203,7 @@ def quality_gate(df: DataFrame, expected: Mapping[str, str], min_rows: int, appr
     row = df.agg(
         F.count("*").alias("rows"),
         *[F.count_if(missing(df, c)).alias(f"m_{c}") for c in df.columns],
-        *[F.count_if(~F.col(c).between(*b)).alias(f"o_{c}") for c, b in fences.items()],
+        *[F.count_if(~exact(c).between(*b)).alias(f"o_{c}") for c, b in fences.items()],
     ).first()
     repeats = duplicate_rows(df).first()["duplicate_rows"]
     issues = contract_issues(df, expected)

@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.scalars import EMAIL_PATTERN, NUMERIC, PHONE_PATTERN, missing, phone_digits, safe_cast
+from millrace.functions.scalars import EMAIL_PATTERN, NUMERIC, PHONE_PATTERN, exact, missing, phone_digits, safe_cast
 from millrace.functions.stats import one_row
 from millrace.operators.cleaning import iqr_bounds
 from millrace.session import stage
@@ -94,7 +94,7 @@ def from_catalogue(rows: Sequence[Mapping[str, Any]]) -> list[Rule]:
 
 
 def _range(df: DataFrame, r: Rule) -> Column:
-    value, out = F.col(r.column), F.lit(False)
+    value, out = exact(r.column), F.lit(False)
     if r.params.get("min") is not None:
         out = out | (value < r.params["min"])
     if r.params.get("max") is not None:
@@ -112,18 +112,18 @@ def _length(df: DataFrame, r: Rule) -> Column:
 
 
 def _not_future(df: DataFrame, r: Rule) -> Column:
-    return F.col(r.column) > r.params.get("as_of", F.current_timestamp())
+    return exact(r.column) > r.params.get("as_of", F.current_timestamp())
 
 
 def _data_type(df: DataFrame, r: Rule) -> Column:
-    value = F.col(r.column)
+    value = exact(r.column)
     return value.isNotNull() & safe_cast(value.cast("string"), r.params["type"]).isNull()
 
 
 def _anomaly(df: DataFrame, r: Rule) -> Column:
-    value = F.col(r.column)
+    value = exact(r.column)
     if r.params.get("method", "iqr") == "zscore":
-        s = one_row(df, m=F.avg(r.column), d=F.stddev_samp(r.column))
+        s = one_row(df, m=F.avg(exact(r.column)), d=F.stddev_samp(exact(r.column)))
         return F.abs(value - s["m"]) > r.params.get("threshold", 3.0) * s["d"]
     bounds = iqr_bounds(df, [r.column], r.params.get("threshold", 1.5), r.params.get("approx", False))[r.column]
     return F.lit(False) if bounds is None else ~value.between(*bounds)
@@ -132,16 +132,16 @@ def _anomaly(df: DataFrame, r: Rule) -> Column:
 # Violation of each row rule; a NULL result counts as passed.
 CHECKS: dict[str, Callable[[DataFrame, Rule], Column]] = {
     "not_null": lambda df, r: reduce(lambda a, b: a | b, [missing(df, c) for c in r.targets]),
-    "email": lambda df, r: ~F.col(r.column).rlike(EMAIL_PATTERN),
-    "phone": lambda df, r: ~phone_digits(F.col(r.column)).rlike(PHONE_PATTERN),
+    "email": lambda df, r: ~exact(r.column).rlike(EMAIL_PATTERN),
+    "phone": lambda df, r: ~phone_digits(exact(r.column)).rlike(PHONE_PATTERN),
     "range": _range,
     "length": _length,
-    "regex": lambda df, r: ~F.col(r.column).rlike(r.params["pattern"]),
-    "enum": lambda df, r: ~F.col(r.column).isin(list(r.params["values"])),
+    "regex": lambda df, r: ~exact(r.column).rlike(r.params["pattern"]),
+    "enum": lambda df, r: ~exact(r.column).isin(list(r.params["values"])),
     "sql": lambda df, r: ~F.expr(r.params["expr"]),
     "cross_column": lambda df, r: ~F.expr(r.params["expr"]),
     "data_type": _data_type,
-    "not_empty": lambda df, r: F.length(F.trim(r.column)) == 0,
+    "not_empty": lambda df, r: F.length(F.trim(exact(r.column))) == 0,
     "not_future": _not_future,
     "anomaly": _anomaly,
     "custom": lambda df, r: ~r.params["fn"](df),
@@ -152,8 +152,8 @@ TABLE_KINDS = ("unique", "foreign_key")
 def _with_unique(df: DataFrame, r: Rule, name: str) -> DataFrame:
     """Flag every member of a duplicate group. Only keys seen twice are joined back, NULLs equal."""
     repeated = df.groupBy(*r.targets).agg(F.count("*").alias("_n")).filter("_n > 1")
-    keys = repeated.select(*[F.col(c).alias(f"_k_{c}") for c in r.targets], F.lit(True).alias(name))
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in r.targets])
+    keys = repeated.select(*[exact(c).alias(f"_k_{c}") for c in r.targets], F.lit(True).alias(name))
+    match = reduce(lambda a, b: a & b, [exact(c).eqNullSafe(exact(f"_k_{c}")) for c in r.targets])
     return df.join(keys, match, "left").drop(*[f"_k_{c}" for c in r.targets])
 
 
@@ -162,8 +162,8 @@ def _with_foreign_key(df: DataFrame, r: Rule, name: str) -> DataFrame:
     keys = r.params["keys"]
     parent = r.params["parent"].select(*[F.col(p).alias(f"_p_{p}") for p in keys.values()]).distinct()
     found = parent.withColumn("_found", F.lit(True))
-    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_p_{p}") for c, p in keys.items()])
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    match = reduce(lambda a, b: a & b, [exact(c) == exact(f"_p_{p}") for c, p in keys.items()])
+    present = reduce(lambda a, b: a & b, [exact(c).isNotNull() for c in keys])
     joined = df.join(found, match, "left").withColumn(name, present & F.col("_found").isNull())
     return joined.drop("_found", *[f"_p_{p}" for p in keys.values()])
 
@@ -210,7 +210,7 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         if r.severity.lower() in REJECTING_SEVERITIES:
             valid = valid & ~broken(r)
     out = marked.withColumns({"_quality_flags": F.array_join(flags, ","), "_quality_score": score, "_is_valid": valid})
-    phones = {f"_{r.column}_cleaned": phone_digits(F.col(r.column)) for r in rules if r.kind == "phone"}
+    phones = {f"_{r.column}_cleaned": phone_digits(exact(r.column)) for r in rules if r.kind == "phone"}
     return out.withColumns(phones) if phones else out
 
 
@@ -284,7 +284,7 @@ def enforce(df: DataFrame, rules: Sequence[Rule]) -> Split:
     fixes = [r for r in ordered(rules) if r.action == "auto_fix"]
     for r in fixes:
         marked = mark(df, [r])
-        fixed = F.when(F.array_contains(VIOLATIONS, r.id), r.params["fix"]).otherwise(F.col(r.column))
+        fixed = F.when(F.array_contains(VIOLATIONS, r.id), r.params["fix"]).otherwise(exact(r.column))
         df = marked.withColumn(r.column, fixed).drop(VIOLATIONS)
     rest = [r for r in rules if r.action != "auto_fix"]
     flagged = mark(df, rest)
@@ -325,7 +325,7 @@ def drift(current: DataFrame, baseline: DataFrame, columns: Sequence[str], toler
         return [
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.avg(F.when(~missing(df, c), F.col(c))).cast("double").alias("mean"),
+                F.avg(F.when(~missing(df, c), exact(c))).cast("double").alias("mean"),
                 F.avg(missing(df, c).cast("double")).alias("null_share"),
             )
             for c in columns

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.functions.scalars import as_list
+from millrace.functions.scalars import as_list, exact
 from millrace.functions.stats import one_row, quantiles
 
 
@@ -16,16 +16,16 @@ def minmax_scale(
 ) -> DataFrame:
     """(x - min) / (max - min) into the target range; a constant column gives NULL."""
     names = as_list(columns)
-    s = one_row(df, **{f"lo_{c}": F.min(c) for c in names}, **{f"hi_{c}": F.max(c) for c in names})
-    share = {c: F.try_divide(F.col(c) - s[f"lo_{c}"], s[f"hi_{c}"] - s[f"lo_{c}"]) for c in names}
+    s = one_row(df, **{f"lo_{c}": F.min(exact(c)) for c in names}, **{f"hi_{c}": F.max(exact(c)) for c in names})
+    share = {c: F.try_divide(exact(c) - s[f"lo_{c}"], s[f"hi_{c}"] - s[f"lo_{c}"]) for c in names}
     return df.withColumns({f"{c}{suffix}": v * (max - min) + min for c, v in share.items()})
 
 
 def zscore_normalize(df: DataFrame, columns: str | Sequence[str], suffix: str = "_normalized") -> DataFrame:
     """(x - mean) / sample standard deviation."""
     names = as_list(columns)
-    s = one_row(df, **{f"m_{c}": F.avg(c) for c in names}, **{f"s_{c}": F.stddev_samp(c) for c in names})
-    return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c) - s[f"m_{c}"], s[f"s_{c}"]) for c in names})
+    s = one_row(df, **{f"m_{c}": F.avg(exact(c)) for c in names}, **{f"s_{c}": F.stddev_samp(exact(c)) for c in names})
+    return df.withColumns({f"{c}{suffix}": F.try_divide(exact(c) - s[f"m_{c}"], s[f"s_{c}"]) for c in names})
 
 
 def robust_scale(
@@ -40,19 +40,19 @@ def robust_scale(
             out[f"{c}{suffix}"] = F.lit(None).cast("double")
         else:
             spread = q[(c, 0.75)] - q[(c, 0.25)]
-            out[f"{c}{suffix}"] = F.try_divide(F.col(c) - F.lit(q[(c, 0.5)]), F.lit(spread))
+            out[f"{c}{suffix}"] = F.try_divide(exact(c) - F.lit(q[(c, 0.5)]), F.lit(spread))
     return df.withColumns(out)
 
 
 def maxabs_scale(df: DataFrame, columns: str | Sequence[str], suffix: str = "_maxabs") -> DataFrame:
     """x / max |x|."""
     names = as_list(columns)
-    s = one_row(df, **{c: F.max(F.abs(F.col(c))) for c in names})
-    return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c), s[c]) for c in names})
+    s = one_row(df, **{c: F.max(F.abs(exact(c))) for c in names})
+    return df.withColumns({f"{c}{suffix}": F.try_divide(exact(c), s[c]) for c in names})
 
 
 def unit_vector(df: DataFrame, columns: str | Sequence[str], suffix: str = "_unit") -> DataFrame:
     """The listed columns divided by the row's Euclidean norm."""
     names = as_list(columns)
-    squares = reduce(lambda a, b: a + b, [F.col(c).cast("double") * F.col(c) for c in names])
-    return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c), F.sqrt(squares)) for c in names})
+    squares = reduce(lambda a, b: a + b, [exact(c).cast("double") * exact(c) for c in names])
+    return df.withColumns({f"{c}{suffix}": F.try_divide(exact(c), F.sqrt(squares)) for c in names})

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from millrace.functions.scalars import exact
+
 
 def union_tables(df: DataFrame, others: Sequence[DataFrame], by: str = "position") -> DataFrame:
     """Append tables, duplicates kept; by position, or by name with missing columns as NULL."""
@@ -116,8 +118,8 @@ def align(df: DataFrame, target: T.StructType, allow_new: bool = True) -> DataFr
     extra = [c for c in df.columns if c not in known]
     if extra and not allow_new:
         raise ValueError(f"columns not in the target schema: {extra}")
-    aligned = [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields]
-    return df.select(*aligned, *[F.col(f"`{c}`") for c in extra])
+    aligned = [exact(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields]
+    return df.select(*aligned, *[exact(c) for c in extra])
 
 
 # DDL patterns and the change they stand for; the first match wins.

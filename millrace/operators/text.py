@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.functions.scalars import exact
+
 # Word pattern, word lists, limits and patterns the results depend on.
 WORD = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_]{4,}"
@@ -70,34 +72,16 @@ def text_metrics(df: DataFrame, col: str, preview_chars: int | None = None) -> D
 def _top_words(df: DataFrame, id_col: str, text_col: str, keep: Callable[[Column], Column], k: int) -> DataFrame:
     """(id, word, count, rank, highest) of the most frequent longer words for which ``keep`` holds; ties by first use.
 
-    A text is one row, so its words are sorted and counted inside the row: no shuffle.
+    Every row is counted for itself, whatever ids it shares. Its words are added up where the row lies, so the shuffle carries
+    each different word of a row once, and of those only ``k`` go on to be ranked.
     """
-    kept = F.filter(words(F.col(text_col), LONG_WORD), keep)
-    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("word"), i.alias("first"))))
-    n = F.size("_words")
-
-    def word(i: Column) -> Column:
-        return F.get("_words", i)["word"]
-
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
-
-    def run(start: Column, i: Column) -> Column:
-        count = F.coalesce(F.get("_starts", i + 1), n) - start
-        return F.struct((-count).alias("less"), F.get("_words", start)["first"].alias("first"), word(start).alias("word"))
-
-    counted = (
-        df.select(id_col, placed.alias("_words"))
-        .select(id_col, "_words", F.when(n > 0, starts).alias("_starts"))
-        .select(id_col, F.array_sort(F.transform("_starts", run)).alias("_runs"))
-    )
-    top = counted.select(id_col, F.col("_runs")[0]["less"].alias("_less"), F.posexplode(F.slice("_runs", 1, k)).alias("_pos", "_run"))
-    return top.select(
-        id_col,
-        F.col("_run.word").alias("word"),
-        (-F.col("_run.less")).cast("bigint").alias("count"),
-        (F.col("_pos") + 1).alias("rank"),
-        (-F.col("_less")).cast("bigint").alias("_highest"),
-    )
+    kept = F.filter(words(exact(text_col), LONG_WORD), keep)
+    rows = df.select(exact(id_col), F.monotonically_increasing_id().alias("_row"), kept.alias("_words"))
+    used = rows.select(exact(id_col), "_row", F.posexplode("_words").alias("_first", "word"))
+    counted = used.groupBy("_row", exact(id_col), "word").agg(F.count("*").alias("count"), F.min("_first").alias("_first"))
+    of_row = Window.partitionBy("_row")
+    ranked = counted.withColumn("rank", F.row_number().over(of_row.orderBy(F.col("count").desc(), "_first"))).filter(F.col("rank") <= k)
+    return ranked.select(exact(id_col), "word", "count", "rank", F.max("count").over(of_row).alias("_highest"))
 
 
 def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:

@@ -10,13 +10,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.functions import order as paging
-from millrace.functions.scalars import as_list
+from millrace.functions import frames, order as paging, seek
+from millrace.functions.scalars import as_list, exact
 from millrace.functions.stats import one_row
 
 
 def descending(columns: Sequence[str]) -> list[Column]:
-    return [F.col(c).desc_nulls_last() for c in columns]
+    return [exact(c).desc_nulls_last() for c in columns]
 
 
 def sort_spec(order_by: str | Sequence[str]) -> list[tuple[str, bool]]:
@@ -26,12 +26,12 @@ def sort_spec(order_by: str | Sequence[str]) -> list[tuple[str, bool]]:
 
 def sort_columns(order_by: str | Sequence[str]) -> list[Column]:
     """Sort expressions; NULLs come last either way."""
-    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in sort_spec(order_by)]
+    return [exact(c).desc_nulls_last() if down else exact(c).asc_nulls_last() for c, down in sort_spec(order_by)]
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of every key in the given order."""
-    spec = Window.partitionBy(*keys).orderBy(*order)
+    spec = Window.partitionBy(*[exact(c) for c in keys]).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= k).drop("_rn")
 
 
@@ -46,7 +46,7 @@ def deduplicate(
     if keep == "last":
         order = descending(columns)
     elif keep == "first":
-        order = [F.col(c).asc_nulls_last() for c in columns]
+        order = [exact(c).asc_nulls_last() for c in columns]
     else:
         raise ValueError("keep must be 'first' or 'last'")
     return first_per_key(df, as_list(keys), order)
@@ -130,12 +130,19 @@ def rolling_agg(
     order_by: str | Sequence[str] = (),
     page_rows: int = paging.PAGE_ROWS,
 ) -> DataFrame:
-    """``<column>_rolling_<function>`` over the last ``window`` rows of the key."""
+    """``<column>_rolling_<function>`` over the last ``window`` rows of the key.
+
+    Windows that reach back over more than a page are put together from running values, see ``frames``; sums of floating
+    columns are then differences of running sums and agree with a plain window up to rounding.
+    """
     aggregate = ROLLING[function]
     keys, order = as_list(partition_by), sort_columns(order_by)
     pages = paging.paged(df, keys, order, page_rows)
+    if window - 1 > page_rows:
+        names = {c: f"{c}_rolling_{function}" for c in as_list(columns)}
+        return paging.unpaged(frames.long_frames(pages, keys, names, window, function, page_rows))
     build = {
-        f"{c}_rolling_{function}": (lambda w, c=c: aggregate(c).over(w.rowsBetween(-(window - 1), 0)))
+        f"{c}_rolling_{function}": (lambda w, c=c: aggregate(exact(c)).over(w.rowsBetween(-(window - 1), 0)))
         for c in as_list(columns)
     }
     return paging.unpaged(paging.look_around(pages, keys, build, back=window - 1, page_rows=page_rows))
@@ -158,10 +165,10 @@ def forward_fill(
 
 def top_k(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values with count and share of the non-NULL rows; ties by value."""
-    present = df.filter(F.col(col).isNotNull())
-    total = one_row(df, n=F.count(col))["n"]
+    present = df.filter(exact(col).isNotNull())
+    total = one_row(df, n=F.count(exact(col)))["n"]
     return (
-        present.groupBy(F.col(col).alias("value"))
+        present.groupBy(exact(col).alias("value"))
         .agg(F.count("*").alias("count"))
         .orderBy(F.col("count").desc(), F.col("value"))
         .limit(k)
@@ -175,8 +182,9 @@ def recent(
     n: int,
     offset: int = 0,
     filters: Mapping[str, object] | None = None,
+    held: int = seek.HELD,
 ) -> DataFrame:
-    """The newest rows first, NULL times last, one page of them."""
+    """The newest rows first, NULL times last, one page of them, however deep."""
     for name, value in (filters or {}).items():
-        df = df.filter(F.col(name) == value)
-    return df.orderBy(*descending(as_list(ts))).offset(offset).limit(n)
+        df = df.filter(exact(name) == value)
+    return seek.page(df, [seek.By(c, down=True, nulls_last=True) for c in as_list(ts)], n, offset, held)

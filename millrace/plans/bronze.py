@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.operators import lineage, profiling, sets
+from millrace.functions.scalars import exact
+from millrace.operators import lineage, profiling, sets, sketches
 from millrace.sources.layout import add_bronze_metadata
 from millrace.sources.tables import read_bronze
 
@@ -39,7 +40,8 @@ def ingest(df: DataFrame, job: BronzeJob, now: Column) -> DataFrame:
 
     The schema version rises when names or types differ from the entity's last run, and is stored with the rows. Each
     run has its own folder below the target and the profile, so a run that is tried again replaces its rows; catalogue and
-    lineage get one more row. The profile reads the written rows, so the source is read once.
+    lineage get one more row. The profile reads the written rows, so the source is read once. It includes sketches, from which
+    ``profile`` and ``sketches.drift`` answer for any set of runs without reading their rows.
     """
     spark = df.sparkSession
     listing = spark.createDataFrame([(job.entity, f.name, f.dataType.simpleString()) for f in df.schema.fields], LISTING)
@@ -49,12 +51,14 @@ def ingest(df: DataFrame, job: BronzeJob, now: Column) -> DataFrame:
     path = f"{job.target.rstrip('/')}/_run={job.run_id}"
     add_bronze_metadata(df, job.source, job.entity, job.run_id, now, version).write.mode("overwrite").parquet(path)
     written = read_bronze(spark, path)
-    data = written.select(*[F.col(f"`{c}`") for c in df.columns])
+    data = written.select(*[exact(c) for c in df.columns])
     overview = profiling.overview(data).withColumns({"table_name": F.lit(job.entity), "run_id": F.lit(job.run_id), "profiled_at": now})
     columns = profiling.describe(data).withColumns({"table_name": F.lit(job.entity), "run_id": F.lit(job.run_id)})
     folder = f"{job.profile.rstrip('/')}/_run={job.run_id}"
     overview.write.mode("overwrite").parquet(f"{folder}/overview")
     columns.write.mode("overwrite").parquet(f"{folder}/columns")
+    marked = sketches.sketch(data).withColumns({"run_id": F.lit(job.run_id), "profiled_at": now})
+    marked.write.mode("overwrite").parquet(f"{folder}/sketches")
     rows = spark.read.parquet(f"{folder}/overview").first()["row_count"]
     counts = spark.createDataFrame([(job.entity, rows)], "table_name string, row_count bigint")
     entry = sets.register(known, listing, counts, now, ["bronze", job.source])
@@ -66,3 +70,13 @@ def ingest(df: DataFrame, job: BronzeJob, now: Column) -> DataFrame:
     }
     lineage.record_lineage(spark, job.lineage, edge)
     return entry
+
+
+def stored_profiles(spark: SparkSession, job: BronzeJob) -> DataFrame:
+    """The sketches of all runs of an entity, with ``run_id`` and ``profiled_at``."""
+    return spark.read.parquet(f"{job.profile.rstrip('/')}/_run=*/sketches")
+
+
+def profile(spark: SparkSession, job: BronzeJob) -> DataFrame:
+    """One row for each column over all runs, from their stored sketches."""
+    return sketches.summary(sketches.merge(stored_profiles(spark, job)))

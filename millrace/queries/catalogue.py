@@ -250,6 +250,18 @@ def rolling_agg(t: Tables):
     return rounded(df, "value_rolling_avg", digits=4).select("event_id", "value_rolling_avg", "value_rolling_max")
 
 
+@query(
+    "rolling_agg_long",
+    """SELECT event_id, round(sum(value) OVER w, 3) AS value_rolling_sum, min(value) OVER w AS value_rolling_min FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
+)
+def rolling_agg_long(t: Tables):
+    """Windows of 1000 rows over pages of 64."""
+    df = windows.rolling_agg(t.events, "value", 1000, "sum", "event_type", ["ts", "event_id"], 64)
+    df = windows.rolling_agg(df, "value", 1000, "min", "event_type", ["ts", "event_id"], 64)
+    return rounded(df, "value_rolling_sum", digits=3).select("event_id", "value_rolling_sum", "value_rolling_min")
+
+
 @query(
     "equal_width_bin",
     """WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)

@@ -9,7 +9,7 @@ from millrace.operators.rules import rule
 from millrace.plans import presets, silver as plan, steps
 from millrace.queries.registry import Tables, query
 from millrace.session import fresh_path
-from millrace.sources import layout, tables
+from millrace.sources import layout, tables, versions
 from millrace.streaming import cdc, monitor, silver
 
 NOW = "2024-02-01 00:00:00"
@@ -142,6 +142,30 @@ def cdc_merge_upsert(t: Tables):
     return cdc.apply_changes(target, order_changes(t), ["o_orderkey"], ["lsn"], "upsert")
 
 
+NARROW = "o_orderkey BETWEEN 100 AND 160"
+
+
+@query(
+    "cdc_merge_files",
+    f"""WITH t AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_custkey FROM orders), c AS (SELECT * FROM ({CHANGES}) WHERE {NARROW}),
+    d AS (SELECT o_orderkey, max(lsn) AS del FROM c WHERE op = 'd' GROUP BY 1),
+    l AS (SELECT c.*, del FROM c LEFT JOIN d USING (o_orderkey) WHERE del IS NULL OR lsn >= del),
+    n AS (SELECT o_orderkey AS k, bool_or(del IS NOT NULL) AS deleted, min(lsn) FILTER (op IN ('c', 'r')) AS ins, max(lsn) FILTER (op IN ('u', 'r')) AS upd FROM l GROUP BY 1),
+    j AS (SELECT *, o_orderkey IS NOT NULL AND NOT coalesce(deleted, false) AS in_place FROM t FULL JOIN n ON o_orderkey = k),
+    w AS (SELECT *, CASE WHEN in_place THEN upd WHEN ins IS NOT NULL THEN greatest(ins, coalesce(upd, ins)) END AS win FROM j WHERE in_place OR ins IS NOT NULL)
+    SELECT coalesce(w.o_orderkey, k) AS o_orderkey, CASE WHEN win IS NULL THEN w.o_totalprice ELSE c.o_totalprice END AS o_totalprice,
+    CASE WHEN win IS NULL THEN w.o_orderstatus ELSE c.o_orderstatus END AS o_orderstatus, o_custkey FROM w LEFT JOIN c ON c.lsn = win""",
+)
+def cdc_merge_files(t: Tables):
+    """All orders in a stored table, then the changes of a narrow range of keys."""
+    target = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    rows = target.count()
+    table = versions.VersionedTable(t.spark, fresh_path(t.spark, "merged"), ["o_orderkey"], file_rows=max(1, rows // 16))
+    table.add(target, rows=rows)
+    cdc.merge_into(table, order_changes(t).filter(NARROW), ["lsn"])
+    return table.read()
+
+
 def _events_stream(t: Tables):
     return silver.stream_table(t.spark, t.dir, t.events.schema, pattern="events.parquet")
 
@@ -168,7 +192,7 @@ def route_tables(t: Tables):
     messages = stream.select(F.to_json(body).alias("value"), F.col("event_id").alias("offset"))
     run = silver.start(cdc.parse_cdc(messages), silver.route_batch(out, errors), fresh_path(t.spark, "chk"), "routing", True)
     run.awaitTermination()
-    rows = t.spark.read.parquet(out)
+    rows = versions.read(t.spark, out)
     return rows.groupBy("source_db", "source_table").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
 
@@ -209,14 +233,14 @@ def _silver_batch(t: Tables, source: str, checkpoint: str, cfg: silver.SilverStr
 )
 def silver_stream(t: Tables):
     cfg, _ = _silver_run(t)
-    df = t.spark.read.parquet(cfg.silver).withColumn("silver_quality_score", F.round("silver_quality_score", 6))
+    df = versions.read(t.spark, cfg.silver).withColumn("silver_quality_score", F.round("silver_quality_score", 6))
     return df.select("_cdc_key", "_cdc_lsn", "event_type", "amount", "silver_quality_score", "silver_validation_status", "silver_processed_at")
 
 
 @query("stream_quarantine", f"SELECT _cdc_key, _cdc_lsn, amount, true AS _dq_negative_amount, CAST(batch AS INTEGER) AS _quarantine_batch_id, TIMESTAMP '{NOW}' AS _quarantine_timestamp FROM ({SILVERED}) WHERE amount < 0")
 def stream_quarantine(t: Tables):
     cfg, _ = _silver_run(t)
-    df = t.spark.read.parquet(cfg.quarantine)
+    df = versions.read(t.spark, cfg.quarantine)
     return df.select("_cdc_key", "_cdc_lsn", "amount", "_dq_negative_amount", "_quarantine_batch_id", "_quarantine_timestamp")
 
 

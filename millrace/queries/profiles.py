@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from millrace.operators import profiling as P
@@ -181,6 +183,24 @@ def correlations(t: Tables):
     return rounded(P.correlations(t.lineitem, NUMBERS), "correlation", digits=5)
 
 
+WIDE = {f"x{i}": (i % 5 + 2, i % 7, 11 + i) for i in range(30)}
+
+
+@query(
+    "correlations_wide",
+    "WITH w AS (SELECT "
+    + ", ".join(f"CASE WHEN l_orderkey % {hole} <> 1 THEN l_quantity * {f} + l_partkey % {m} END AS {c}" for c, (hole, f, m) in WIDE.items())
+    + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS column1, '{b}' AS column2, round(corr({a}, {b}), 5) AS correlation FROM w" for a, b in combinations(WIDE, 2)),
+)
+def correlations_wide(t: Tables):
+    """Thirty columns with holes: all pairs from one Gram matrix."""
+    wide = t.lineitem.select(
+        *[F.when(F.col("l_orderkey") % hole != 1, F.col("l_quantity") * f + F.col("l_partkey") % m).alias(c) for c, (hole, f, m) in WIDE.items()]
+    )
+    return rounded(P.correlations(wide), "correlation", digits=5)
+
+
 @query(
     "correlations_strong",
     "SELECT 'l_quantity' AS column1, 'gross' AS column2, round(corr(l_quantity, l_quantity * 2 + l_tax), 3) AS correlation FROM lineitem",
@@ -307,7 +327,7 @@ def _eda_sql() -> str:
             "missing_cells": "0", "duplicate_percentage": "0", "missing_percentage": "0", "completeness_score": "100",
         }.items():
             parts.append(f"SELECT '{table}' AS table_name, 'overview' AS section, NULL AS column_name, '{metric}' AS metric, CAST({sql} AS DOUBLE) AS value, NULL AS text FROM {table if '(' in sql else '(SELECT 1)'}")
-        for c in columns:
+        for c in [*columns, *(["o_orderdate"] if table == "orders" else [])]:
             for metric, sql in {"row_count": "count(*)", "null_count": f"count(*) - count({c})", "unique_count": f"count(DISTINCT {c})", "non_null_count": f"count({c})"}.items():
                 parts.append(f"SELECT '{table}', 'columns', '{c}', '{metric}', CAST({sql} AS DOUBLE), NULL FROM {table}")
     parts.append("SELECT 'orders', 'business_metrics', NULL, 'max_transaction_amount', max(o_totalprice), NULL FROM orders")
@@ -333,4 +353,4 @@ def eda_report(t: Tables):
     counted = (F.col("section") == "columns") & metric.isin("row_count", "null_count", "unique_count", "non_null_count")
     numeric = (F.col("section") == "numeric") & (F.col("table_name") == "orders") & metric.isin("count", "min", "max", "median", "q25", "q75")
     shown = report.where(F.col("section").isin("overview", "failed") | counted | numeric | (key == "business_metrics max_transaction_amount"))
-    return shown.withColumn("text", F.lit(None).cast("string")).where("not (table_name = 'orders' and column_name <=> 'o_orderdate')")
+    return shown.withColumn("text", F.lit(None).cast("string"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.operators import cleaning, quarantine, rules as R
+from millrace.operators import cleaning, quarantine, rules as R, sketches
 from millrace.queries.registry import Tables, query
 from millrace.queries.catalogue import HOLED, holed
+from millrace.session import fresh_path
+from millrace.sources.versions import VersionedTable
 
 NOW = "2024-02-01 00:00:00"
 
@@ -146,6 +148,26 @@ def rule_drift(t: Tables):
     )
 
 
+@query(
+    "rule_drift_stored",
+    """WITH a AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts >= TIMESTAMP '2024-01-16'), b AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+    t AS (SELECT unnest(range(1, 10)) / 10.0 AS p), q AS (SELECT p, (SELECT quantile_disc(value, p) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS x FROM t),
+    k AS (SELECT max(abs((SELECT avg((value <= x)::INT) FROM events WHERE ts >= TIMESTAMP '2024-01-16') - p)) AS far FROM q)
+    SELECT 'value' AS column_name, round(a.v, 6) AS mean, round(b.v, 6) AS base_mean, round(abs((a.v - b.v) / b.v), 6) AS mean_change, abs((a.v - b.v) / b.v) > 0.01 OR far > 0.2 AS drifted, true AS shape_is_close FROM a, b, k
+    UNION ALL SELECT 'user_id', round(a.u, 6), round(b.u, 6), round(abs((a.u - b.u) / b.u), 6), abs((a.u - b.u) / b.u) > 0.01, true FROM a, b""",
+)
+def rule_drift_stored(t: Tables):
+    """Profiles stored for each day of events; both periods are compared without reading an event again."""
+    stored = VersionedTable(t.spark, fresh_path(t.spark, "profiles"))
+    by_day = t.events.withColumn("day", F.to_date("ts"))
+    stored.add(sketches.sketch(by_day, ["value", "user_id"], by=["day"]))
+    old = F.col("day") < F.lit("2024-01-16").cast("date")
+    found = sketches.drift(stored.read().filter(~old), stored.read().filter(old), 0.01, 0.2)
+    return found.select(
+        "column_name", *[F.round(c, 6).alias(c) for c in ("mean", "base_mean", "mean_change")], "drifted", (F.col("shape_change") < 0.2).alias("shape_is_close")
+    )
+
+
 @query(
     "rule_schema_contract",
     "SELECT 'Column ''c_name'' should be numeric.' AS issue, count(*) AS affected_rows FROM customer UNION ALL SELECT 'Missing column: email', count(*) FROM customer",

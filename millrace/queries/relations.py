@@ -552,6 +552,12 @@ def recent_rows(t: Tables):
     return windows.recent(t.events, ["ts", "event_id"], 20, 5, {"event_type": "click"}).select("event_id", "ts", "event_type")
 
 
+@query("recent_rows_deep", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 20 OFFSET 700")
+def recent_rows_deep(t: Tables):
+    """A page far down, found by the time at its ends; tasks hold at most 100 rows of it."""
+    return windows.recent(t.events, ["ts", "event_id"], 20, 700, held=100).select("event_id", "ts", "event_type")
+
+
 # ---------------------------------------------------------------- set operations
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from millrace.operators import lineage as L, media, text as X
 from millrace.queries.registry import Tables, query
 from millrace.queries.relations import ASSETS, assets
+from millrace.session import fresh_path
+from millrace.sources import versions
+from millrace.streaming import gold
 
 NOW = "2024-02-01 00:00:00"
 
@@ -108,8 +111,6 @@ def lineage_trail(t: Tables):
 
 @query("record_lineage", "SELECT 'bronze' AS source_layer, 'orders' AS source_table, 'silver' AS target_layer, 'orders_clean' AS target_table, count(*) AS row_count, true AS is_valid FROM orders")
 def record_lineage(t: Tables):
-    from millrace.session import fresh_path
-
     path = fresh_path(t.spark, "lineage")
     rows = t.orders.count()
     L.record_lineage(
@@ -253,16 +254,41 @@ def ingestion_report(t: Tables):
     FROM events e JOIN a ON e.user_id = a.id""",
 )
 def event_gold_refresh(t: Tables):
+    known = assets(t).withColumn("model", F.lit("base"))
+    return L.lineage_from_events(completed(t), known, now()).select("asset_id", "event_type", "model_used", "quality_score", "metadata")
+
+
+def completed(t: Tables):
     kind = F.col("event_type")
-    done = t.events.select(
+    return t.events.select(
         F.col("user_id").alias("asset_id"),
         "event_id",
         F.when(kind == "error", "failed").otherwise("success").alias("status"),
         F.when(kind != "view", kind).alias("ai_model_used"),
         F.when(F.col("value") <= 30, F.col("value") / 100).alias("ai_confidence_score"),
     )
+
+
+@query(
+    "event_gold_stream",
+    f"""WITH a AS ({ASSETS}), l AS (SELECT e.user_id AS asset_id, CASE WHEN e.event_type = 'error' THEN 'silver_failed' ELSE 'silver_processed' END AS event_type,
+    CASE WHEN e.event_type = 'view' THEN 'base' ELSE e.event_type END AS model_used, CASE WHEN e.value > 30 THEN a.confidence ELSE e.value / 100 END AS quality_score
+    FROM events e JOIN a ON e.user_id = a.id)
+    SELECT l.*, (SELECT count(*) FROM l) // 10 AS refreshes, (SELECT count(*) FROM a WHERE extraction_status = 'success') AS gold_assets FROM l""",
+)
+def event_gold_stream(t: Tables):
+    """Two files of events, each a micro-batch; the lineage events, the refreshes they made due, and the Gold rows."""
+    source, checkpoint = fresh_path(t.spark, "completed"), fresh_path(t.spark, "chk")
+    for part in range(2):
+        completed(t).filter(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
     known = assets(t).withColumn("model", F.lit("base"))
-    return L.lineage_from_events(done, known, now()).select("asset_id", "event_type", "model_used", "quality_score", "metadata")
+    cfg = gold.GoldStream(lambda: known, *[fresh_path(t.spark, n) for n in ("gold_lineage", "gold", "refreshes")])
+    stream = t.spark.readStream.schema(completed(t).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    gold.start_gold_stream(stream, cfg, checkpoint, available_now=True, now=now()).awaitTermination()
+    rows = versions.read(t.spark, cfg.lineage).select("asset_id", "event_type", "model_used", "quality_score")
+    refreshes = versions.VersionedTable(t.spark, cfg.gold).version().counts.get("refreshes", 0)
+    gold_rows = versions.read(t.spark, cfg.gold).agg(F.count("*")).scalar()
+    return rows.withColumns({"refreshes": F.lit(refreshes).cast("long"), "gold_assets": gold_rows})
 
 
 # ---------------------------------------------------------------- text

@@ -133,6 +133,17 @@ def table_preview(t: Tables):
     return tables.preview(t.customer.select("c_custkey", "c_name", "c_acctbal"), "c_custkey", 25, 50)
 
 
+@query(
+    "table_preview_deep",
+    """SELECT l_returnflag, l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total_rows
+       FROM lineitem ORDER BY l_returnflag, l_orderkey, l_linenumber LIMIT 25 OFFSET 3000""",
+)
+def table_preview_deep(t: Tables):
+    """A page far down in an order whose first column has three values, so that rows are placed by a distributed sort."""
+    df = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber")
+    return tables.preview(df, ["l_returnflag", "l_orderkey", "l_linenumber"], 25, 3000, held=100)
+
+
 @query("write_table", "SELECT o_orderkey AS id, o_orderpriority AS name FROM orders UNION ALL SELECT c_custkey, c_name FROM customer")
 def write_table(t: Tables):
     name = "silver_names_" + fresh_path(t.spark, "t").rsplit("-", 1)[-1]
@@ -309,3 +320,26 @@ def watermark_store(t: Tables):
     marks.advance("events", t.events, "event_id", now)
     marks.advance("orders", t.orders, "o_orderkey", now)
     return marks.table().select("name", "watermark")
+
+
+@query(
+    "profile_stored",
+    """SELECT 'o_orderkey' AS column_name, 2 * count(*) AS row_count, 2 * count(*) - 2 * count(o_orderkey) AS null_count, min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high, true AS distinct_is_close, true AS median_is_close FROM orders
+    UNION ALL SELECT 'o_custkey', 2 * count(*), 2 * count(*) - 2 * count(o_custkey), min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE, true, true FROM orders
+    UNION ALL SELECT 'o_orderstatus', 2 * count(*), 2 * count(*) - 2 * count(o_orderstatus), NULL, NULL, true, NULL FROM orders
+    UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), true, true FROM orders""",
+)
+def profile_stored(t: Tables):
+    """The profile of all runs of an entity, added up from what each run has left; sketched figures against exact ones."""
+    job, _ = _ingested(t, 2)
+    found = bronze.profile(t.spark, job)
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    middles = {c: F.percentile_approx(c, 0.5, 100_000).cast("double") for c in columns if c != "o_orderstatus"}
+    spans = {c: (F.max(c) - F.min(c)).cast("double") for c in middles}
+    exact = t.orders.select(*columns).agg(
+        F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("n"), middles.get(c, F.lit(None)).cast("double").alias("middle"), spans.get(c, F.lit(None)).cast("double").alias("span")) for c in columns]).alias("e")
+    ).select(F.inline("e"))
+    near = F.abs(F.col("distinct_count") - F.col("n")) <= 0.03 * F.col("n")
+    return found.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "low", "high", near.alias("distinct_is_close"), (F.abs(F.col("median") - F.col("middle")) <= 0.05 * F.col("span")).alias("median_is_close")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session, else one below the warehouse."""
+    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session, else one below the warehouse.
+
+    A warehouse on a local disk serves only where driver and executors are one process; on a cluster it is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return base or _below_warehouse(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+
+
+def _below_warehouse(warehouse: str, master: str) -> str:
+    if warehouse.startswith(("file:", "/")) and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is on a local disk")
+    return f"{warehouse.rstrip('/')}/_shared"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

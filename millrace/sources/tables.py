@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions import seek
 from millrace.functions.stats import one_row
 
 
@@ -63,11 +64,11 @@ def table_info(spark: SparkSession, name: str) -> DataFrame:
     )
 
 
-def preview(df: DataFrame, key: str | Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """One page of rows in key order, with the size of the whole table in ``total_rows``."""
+def preview(df: DataFrame, key: str | Sequence[str], limit: int, offset: int = 0, held: int = seek.HELD) -> DataFrame:
+    """One page of rows in key order, however deep, with the size of the whole table in ``total_rows``."""
     keys = [key] if isinstance(key, str) else list(key)
     total = one_row(df, n=F.count("*"))["n"]
-    return df.orderBy(*keys).offset(offset).limit(limit).withColumn("total_rows", total)
+    return seek.page(df, [seek.By(k) for k in keys], limit, offset, held).withColumn("total_rows", total)
 
 
 def discover_tables(spark: SparkSession, root: str) -> DataFrame:

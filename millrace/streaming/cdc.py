@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from millrace.sources.versions import Version, VersionedTable
+
 # Operation names of the different capture tools.
 OPERATION_CODES = {
     "c": ["c", "create", "insert"],
@@ -235,6 +237,24 @@ def apply_changes(
     return joined.select(*keys, *cells)
 
 
+def merge_into(
+    table: VersionedTable, changes: DataFrame, order: Sequence[str], policy: str = "snapshot", op: str = OP, writer: str | None = None, batch: int | None = None
+) -> Version:
+    """``apply_changes`` to a stored table: only files that may hold a changed key are read and replaced.
+
+    The table must exist and hold one row per key. Ranges and filters of its files, which were stored when they were
+    written, say which files these are; new keys go into the files that are written for them. With ``writer`` and
+    ``batch`` the changes are applied once, however often they are handed in.
+    """
+    if not table.version().schema.fields:
+        raise ValueError("the table has no columns yet; add its first rows")
+
+    def merged(old: DataFrame) -> DataFrame:
+        return apply_changes(old, changes, table.keys, order, policy, op)
+
+    return table.rewrite(changes.select(*table.keys).distinct(), merged, writer, batch)
+
+
 def merge_sql(target: str, source: str, keys: Sequence[str], columns: Sequence[str], op: str = OP) -> str:
     """MERGE text for catalogues that support it; ``source`` holds one row per key."""
     on = " AND ".join(f"t.{k} <=> s.{k}" for k in keys)

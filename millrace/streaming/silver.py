@@ -1,7 +1,9 @@
 """Streaming jobs: Bronze table streams, per-table routing, and the Silver change stream.
 
-The Silver stream merges each micro-batch into one table with a row per key; other sinks write each micro-batch below
-``batch_id=<n>`` and overwrite that folder. Either way, replaying a batch after a failure leaves the same rows.
+The sinks write versioned tables (``millrace.sources.versions``): files first, then one list of what counts. The Silver stream
+merges each micro-batch into one table with a row per key, the others append. Each table remembers the last batch of a
+stream, so a batch that is replayed after a failure leaves the same rows. ``write_batch`` is the plain alternative, a
+folder for each micro-batch that a replay overwrites.
 """
 
 from __future__ import annotations
@@ -10,15 +12,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.scalars import EMAIL_PATTERN
 from millrace.functions.stats import one_row
 from millrace.operators.columns import cdc_type_cast, trim_strings
 from millrace.operators.windows import latest_changes
-from millrace.session import stage
+from millrace.sources.versions import VersionedTable
 
 # Columns that must not be NULL, by word in the table name; trigger.
 CRITICAL_COLUMNS = {
@@ -66,16 +67,22 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[
 def route_batch(path: str, errors: str) -> Callable[[DataFrame, int], None]:
     """A sink that files parsed changes by database and table, and unusable messages as errors.
 
-    One write serves all tables of the batch; the batch is kept in memory for the two writes only.
+    Both are versioned tables (``versions.read``). One write serves all tables of the batch; the batch is kept in memory for
+    the two writes only, and small files are gathered now and then.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         known = F.col("source_table").isNotNull() & F.col("operation").isNotNull()
+        writer, spark = stream_id(batch, "routing"), batch.sparkSession
         batch = batch.persist()
         try:
-            write_batch(batch.filter(known), path, batch_id, ["source_db", "source_table"])
+            routed = VersionedTable(spark, path, partition_by=["source_db", "source_table"])
+            routed.add(batch.filter(known), writer, batch_id)
             reason = F.when(F.col("source_table").isNull(), "no source table").otherwise("no operation")
-            write_batch(batch.filter(~known).withColumn("error", reason), errors, batch_id)
+            unusable = VersionedTable(spark, errors)
+            unusable.add(batch.filter(~known).withColumn("error", reason), writer, batch_id)
+            tidy(routed)
+            tidy(unusable)
         finally:
             batch.unpersist()
 
@@ -148,51 +155,94 @@ def clean_batch(batch: DataFrame, cfg: SilverStream, now: Column) -> tuple[DataF
     return split_batch(*check_batch(batch, cfg), now)
 
 
-def merge_batch(clean: DataFrame, cfg: SilverStream, moment: Column) -> None:
+def silver_table(spark: SparkSession, cfg: SilverStream, columns: Sequence[str]) -> VersionedTable:
+    """The Silver table; it has keys if the rows have all key and order columns."""
+    keyed = set([*cfg.keys, *cfg.order]) <= set(columns)
+    return VersionedTable(spark, cfg.silver, cfg.keys if keyed else (), [DAY])
+
+
+def merge_batch(clean: DataFrame, cfg: SilverStream, moment: Column, writer: str | None = None, batch: int | None = None) -> None:
     """Merge the clean rows of a batch into the Silver table: one row per key, the newest by ``cfg.order``.
 
-    The table is partitioned by the day on which a key first arrived, so a key stays in its partition. Only the partitions
-    that hold keys of the batch, and the current day, are read in full and rewritten; to find them, keys and
-    days of the table are read. An older change than the stored one is ignored, so a replayed batch changes nothing. Without
-    key or order columns there is nothing to merge by, and the rows are added as they are.
+    The table is partitioned by the day on which a key first arrived, so a key stays in its partition. Only files that may
+    hold a key of the batch are read and replaced, and readers see the new files and the old ones' end at once. An older
+    change than the stored one is ignored, and a batch that is already there changes nothing. Without key or order columns
+    there is nothing to merge by, and the rows are added as they are. With a catalogue table whole days are replaced,
+    because the catalogue knows one folder for each day.
     """
     spark = clean.sparkSession
     rows = clean.withColumn(DAY, F.to_date(moment))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    table = silver_table(spark, cfg, clean.columns)
+
+    def merged(old: DataFrame | None) -> DataFrame:
+        both = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
+        if not table.keys:
+            return both
+        image = F.struct(*[F.col(c) for c in both.columns if c != DAY])
+        newest = both.groupBy(*table.keys).agg(F.max_by(image, F.struct(*cfg.order)).alias("_row"), F.min(DAY).alias(DAY))
+        return newest.select("_row.*", DAY)
+
+    if table.keys or cfg.catalog:
+        table.rewrite(rows.select(*table.keys, DAY), merged, writer, batch, whole_parts=cfg.catalog is not None)
+    else:
+        table.add(rows, writer, batch)
     if cfg.catalog:
         ensure_table(spark, cfg.catalog, clean.schema, cfg.silver)
-    keyed = set([*cfg.keys, *cfg.order]) <= set(clean.columns)
-    try:
-        stored = spark.read.schema(schema).parquet(cfg.silver)
-    except AnalysisException:  # the first batch
-        stored = spark.createDataFrame([], schema)
-    if keyed:
-        known = stored.join(rows.select(*cfg.keys).distinct(), cfg.keys, "left_semi")
-        days = {r[0] for r in known.select(DAY).distinct().collect()}  # at most one row for each day
-        days |= {r[0] for r in rows.select(DAY).distinct().collect()}
-        both = stored.filter(F.col(DAY).isin(list(days))).unionByName(rows)
-        newest = Window.partitionBy(*cfg.keys).orderBy(*[F.col(c).desc() for c in cfg.order])
-        ranked = both.withColumn("_rank", F.row_number().over(newest))
-        ranked = ranked.withColumn(DAY, F.min(DAY).over(Window.partitionBy(*cfg.keys)))
-        rows = stage(ranked.filter("_rank = 1").drop("_rank"), "silver")
-    writer = rows.select(*[c for c in rows.columns if c != DAY], DAY).hint("rebalance", DAY).write.partitionBy(DAY)
-    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if keyed else writer.mode("append")
-    writer.parquet(cfg.silver)
-    if cfg.catalog:
-        spark.catalog.recoverPartitions(cfg.catalog)
+        point_partitions(spark, cfg.catalog, table)
+    else:
+        tidy(table)
+
+
+def point_partitions(spark: SparkSession, name: str, table: VersionedTable) -> None:
+    """Let each day of the catalogue table read the folder that holds its live files.
+
+    Days change one after the other; readers that need one state of all days read the table's path (``versions.read``).
+    """
+    folders = {f.part[0]: f"{table.path}/{f.path.rsplit('/', 1)[0]}" for f in table.version().files}
+    shown = spark.sql(f"SHOW PARTITIONS {name}").collect()  # a row for each day
+    known = {r[0].split("=", 1)[1] for r in shown}
+    for day, folder in sorted(folders.items()):
+        spec = f"PARTITION ({DAY} = DATE '{day}')"
+        if day in known:
+            spark.sql(f"ALTER TABLE {name} {spec} SET LOCATION '{folder}'")
+        else:
+            spark.sql(f"ALTER TABLE {name} ADD {spec} LOCATION '{folder}'")
+    spark.catalog.refreshTable(name)
+
+
+# Small files of one partition above which a sink gathers them.
+MAX_SMALL_FILES = 32
+
+
+def tidy(table: VersionedTable, most: int = MAX_SMALL_FILES) -> None:
+    """Gather the small files of a table once there are more than ``most`` in a partition."""
+    if table.small_files(table.version()) > most:
+        table.compact()
+
+
+def stream_id(batch: DataFrame, fallback: str) -> str:
+    """The id of the running stream, which its checkpoint keeps; ``fallback`` outside of one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or fallback
 
 
 def silver_sink(cfg: SilverStream, now: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """The micro-batch function of the Silver stream; the checked rows are kept for score and both writes."""
+    """The micro-batch function of the Silver stream; the checked rows are kept for score and both writes.
+
+    Silver and quarantine tables remember the last batch of each stream, so a batch that comes again, after a crash between
+    the two writes too, adds what is missing and nothing twice.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         moment = F.current_timestamp() if now is None else now
+        writer = stream_id(batch, "silver")
         checked, flags = check_batch(batch, cfg)
         checked = checked.persist()
         try:
             clean, failed = split_batch(checked, flags, moment)
-            merge_batch(clean, cfg, moment)
-            write_batch(failed.withColumn("_quarantine_batch_id", F.lit(batch_id)), cfg.quarantine, batch_id)
+            merge_batch(clean, cfg, moment, writer, batch_id)
+            quarantine = VersionedTable(batch.sparkSession, cfg.quarantine)
+            quarantine.add(failed.withColumn("_quarantine_batch_id", F.lit(batch_id)), writer, batch_id)
+            tidy(quarantine)
         finally:
             checked.unpersist()
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from millrace.sources import versions
 from millrace.streaming import cdc, monitor, silver
 
 
@@ -90,10 +91,10 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
     run = silver.start_silver_stream(stream, cfg, str(tmp_path / "chk"), True, now)
     run.awaitTermination()
-    out = spark.read.parquet(cfg.silver)
+    out = versions.read(spark, cfg.silver)
     # in every batch the newest change of key 3 fails; of the other keys the newest change of all batches is left
     assert sorted((r["_cdc_key"], r["_cdc_lsn"]) for r in out.collect()) == [(0, 58), (1, 59), (2, 54), (4, 56), (5, 57)]
-    bad = spark.read.parquet(cfg.quarantine)
+    bad = versions.read(spark, cfg.quarantine)
     assert bad.count() == 3 and bad.filter("NOT _dq_negative_amount").count() == 0
     batch = spark.read.parquet(f"{path}/part0")
     clean, failed = silver.clean_batch(batch, cfg, now)
@@ -101,7 +102,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_path):
     before = sorted(map(tuple, out.collect()))
     silver.silver_sink(cfg, now)(spark.read.parquet(f"{path}/part1"), 1)
     spark.catalog.clearCache()
-    assert sorted(map(tuple, spark.read.parquet(cfg.silver).collect())) == before
+    assert sorted(map(tuple, versions.read(spark, cfg.silver).collect())) == before
     metrics = monitor.recent_progress(spark, [run])
     assert metrics.agg(F.sum("input_rows")).first()[0] == 60
 
@@ -110,8 +111,8 @@ def test_unusable_messages_go_to_the_error_folder(spark, tmp_path):
     rows = [('{"__op": "c", "__source_table": "t", "__source_db": "d"}',), ("broken",), ('{"__source_table": "t"}',)]
     parsed = cdc.parse_cdc(spark.createDataFrame(rows, "value string"))
     silver.route_batch(str(tmp_path / "ok"), str(tmp_path / "err"))(parsed, 0)
-    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1
-    errors = {r["error"] for r in spark.read.parquet(str(tmp_path / "err")).collect()}
+    assert versions.read(spark, str(tmp_path / "ok")).count() == 1
+    errors = {r["error"] for r in versions.read(spark, str(tmp_path / "err")).collect()}
     assert errors == {"no source table", "no operation"}
 
 

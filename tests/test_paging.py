@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from millrace.functions import order as paging
-from millrace.operators import windows
+from millrace.functions import order as paging, seek
+from millrace.functions.scalars import exact
+from millrace.operators import profiling, windows
 from millrace.sources import jdbc, layout
 
 PAGE = 7
@@ -42,9 +43,65 @@ def test_shift_and_rolling(rows):
     same(got.select("id", "a", "b", "c"), want)
 
 
-def test_frame_longer_than_page_is_refused(rows):
-    with pytest.raises(ValueError):
-        windows.rolling_agg(rows, "v", 50, "sum", "k", "id", PAGE)
+@pytest.mark.parametrize("function", ["sum", "count", "avg", "min", "max"])
+@pytest.mark.parametrize("window", [9, 50, 1000])
+def test_frames_longer_than_a_page(rows, function, window):
+    w = Window.partitionBy("k").orderBy("o", "id").rowsBetween(-(window - 1), 0)
+    plain = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}[function]
+    want = rows.select("id", plain("v").over(w).alias("a"), plain("id").over(w).alias("b"))
+    got = windows.rolling_agg(rows, ["v", "id"], window, function, "k", ["o", "id"], PAGE)
+    same(got.select("id", F.col(f"v_rolling_{function}").alias("a"), F.col(f"id_rolling_{function}").alias("b")), want)
+
+
+def test_long_frames_without_key(rows):
+    w = Window.orderBy("id").rowsBetween(-99, 0)
+    want = rows.select("id", F.max("v").over(w).alias("m"))
+    same(windows.rolling_agg(rows, "v", 100, "max", [], "id", PAGE).select("id", F.col("v_rolling_max").alias("m")), want)
+
+
+DEEP = {
+    "number": lambda: F.col("id") * 7 % 391,
+    "ties": lambda: F.col("id") % 3,
+    "holes": lambda: F.when(F.col("id") % 4 != 0, F.col("id") * 5 % 399),
+    "nothing": lambda: F.lit(None).cast("int"),
+    "text": lambda: F.col("k"),
+    "time": lambda: F.timestamp_seconds(F.col("id") * 3600 % 77_777),
+    "day": lambda: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")),
+    "float": lambda: F.when(F.col("id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3),
+    "decimal": lambda: (F.col("id") / 8).cast("decimal(12,4)"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(DEEP))
+def test_deep_pages(rows, kind):
+    df = rows.withColumn("x y.z", DEEP[kind]()).select("id", exact("x y.z"))
+    for down, last in ((False, False), (True, True), (False, True)):
+        by = [seek.By("x y.z", down, last), seek.By("id", down)]
+        everything = df.orderBy(*[b.order for b in by]).collect()
+        for offset, limit in ((0, 10), (90, 20), (250, 7), (395, 20), (500, 5)):
+            got = seek.page(df, by, limit, offset, held=30).collect()
+            assert list(map(str, got)) == list(map(str, everything[offset : offset + limit])), (down, last, offset)
+
+
+def test_gram_correlations(spark, rows):
+    cells = [(F.when((F.col("id") + i) % (i + 2) != 0, (F.col("id") * (i + 3) % 101).cast("double") + 1e6 * i)).alias(f"a.{i}") for i in range(26)]
+    wide = rows.select(*cells, F.lit(4.0).alias("constant"), F.lit(None).cast("double").alias("empty"))
+    got = {(r["column1"], r["column2"]): r["correlation"] for r in profiling.correlations(wide).collect()}
+    names = wide.columns
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    plain = [None if {"constant", "empty"} & set(pair) else F.corr(*map(exact, pair)) for pair in pairs]
+    want = wide.agg(*[c.alias(f"r{i}") for i, c in enumerate(plain) if c is not None]).first()
+    assert len(got) == len(pairs) == 28 * 27 // 2
+    for i, pair in enumerate(pairs):
+        assert got[pair] is None if plain[i] is None else got[pair] == pytest.approx(want[f"r{i}"], abs=1e-8)
+    few = profiling.correlations(wide, ["a.0", "constant", "empty", "a.1"]).collect()
+    assert [r["correlation"] for r in few if {"constant", "empty"} & {r["column1"], r["column2"]}] == [None] * 5
+
+
+def test_many_columns_run(spark):
+    wide = spark.range(200).select(*[((F.col("id") * (i + 1)) % 101).alias(f"c{i}") for i in range(300)])
+    assert profiling.correlations(wide).count() == 300 * 299 // 2
+    assert profiling.correlations(wide.limit(0)).filter("correlation is not null").isEmpty()
 
 
 def test_forward_fill(rows):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stats import approx_quantiles, exact_quantiles, one_row
 from millrace.functions import stats
-from millrace.operators import aggregates, cleaning, profiling
+from millrace.operators import aggregates, cleaning, profiling, sketches
+from millrace.operators.rules import drift
 
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "two_values", "constant", "nan", "between_heavy"])
@@ -153,3 +154,49 @@ def test_distinct_counts_of_awkward_values(spark):
     df = spark.createDataFrame([(0.0, b"\xff", None), (-0.0, b"\xfe", [1]), (float("nan"), None, [1])], "d double, b binary, a array<int>")
     assert dict(tuple(r) for r in stats.distinct_counts(df, ["d", "b", "a"]).collect()) == {"d": 1, "b": 2, "a": 1}
     assert [r.unique_count for r in profiling.describe(df.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_sketches_of_batches_add_up(spark):
+    df = spark.range(4000).select(
+        (F.col("id") % 7).alias("batch"),
+        F.when(F.col("id") % 9 != 0, (F.col("id") * 13 % 1000) / 10).alias("v.w"),
+        F.when(F.col("id") % 50 == 0, float("nan")).otherwise(F.col("id") / 4).alias("f"),
+        (F.col("id") % 300).cast("string").alias("t"),
+        F.array("id").alias("a"),
+    )
+    whole = {r["column_name"]: r for r in sketches.summary(sketches.merge(sketches.sketch(df.drop("batch")))).collect()}
+    parts = {r["column_name"]: r for r in sketches.summary(sketches.merge(sketches.sketch(df, by=["batch"]))).collect()}
+    assert whole.keys() == parts.keys() == {"v.w", "f", "t", "a"}
+    plain = df.agg(F.avg("`v.w`"), F.min("`v.w`"), F.max("`v.w`"), F.count("`v.w`"), F.percentile("`v.w`", 0.5)).first()
+    for found in (whole, parts):
+        v = found["v.w"]
+        assert (v.row_count, v.row_count - v.null_count, v.low, v.high) == (4000, plain[3], plain[1], plain[2])
+        assert v["mean"] == pytest.approx(plain[0]) and v["median"] == pytest.approx(plain[4], abs=2)
+        assert found["f"].null_count == 80 and found["f"]["mean"] is not None
+        assert found["t"].distinct_count == pytest.approx(300, rel=0.05) and found["t"].median is None
+        assert found["a"].distinct_count == pytest.approx(4000, rel=0.05) and found["a"].null_count == 0
+    assert [whole[c].row_count for c in sorted(whole)] == [parts[c].row_count for c in sorted(parts)]
+
+
+def test_drift_of_stored_profiles(spark):
+    old = spark.range(2000).select((F.col("id") % 100).cast("double").alias("same"), (F.col("id") % 100).cast("double").alias("shape"), F.lit(5).alias("still"), F.col("id").cast("string").alias("t"))
+    # the mean stays and the middle empties
+    new = old.withColumn("shape", F.when(F.col("shape") < 50, 9.0).otherwise(90.0)).withColumn("still", F.when(F.col("t") > "5", 5))
+    a, b = sketches.sketch(new), sketches.sketch(old)
+    got = {r["column_name"]: r for r in sketches.drift(a, b, tolerance=0.1, shape_tolerance=0.1).collect()}
+    plain = {r["column_name"]: r for r in drift(new, old, ["same", "shape", "still"], 0.1).collect()}
+    assert got.keys() == plain.keys()
+    for c, r in plain.items():
+        assert got[c]["mean"] == pytest.approx(r["mean"]) and got[c]["null_share"] == pytest.approx(r["null_share"])
+    assert [got[c]["drifted"] for c in ("same", "shape", "still")] == [False, True, True]
+    assert got["shape"]["shape_change"] > 0.3 and got["same"]["shape_change"] < 0.05
+    assert sketches.drift(sketches.sketch(new.limit(0)), b).filter("drifted").isEmpty()
+
+
+def test_shared_folder_on_a_cluster():
+    from millrace.session import _below_warehouse
+
+    assert _below_warehouse("file:/w", "local[8]") == "file:/w/_shared" and _below_warehouse("hdfs://x/w/", "yarn") == "hdfs://x/w/_shared"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            _below_warehouse("file:/w", master)
