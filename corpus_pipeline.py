@@ -28,19 +28,28 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One row of each group of near-duplicates: that with the smallest id (those without one last), then text hash.
 
-    Documents without an id cannot be told apart by it and stay; of repeated rows of the kept id one stays.
+    Rows are told apart by id and text together, so different texts that share an id, or have none, are judged each for
+    itself; of rows that are equal in both one stays.
     """
-    found = stage(gray_simhash.near_duplicates(docs), "groups")
-    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_goes")).distinct()
-    kept = docs.join(goes, docs["doc_id"] == goes["_goes"], "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null")
+    found = stage(gray_simhash.grouped(docs), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.groupBy("root").agg(F.min(place).alias("stays"))
+    marked = found.join(first, "root").withColumn("goes", ~place.eqNullSafe(F.col("stays")))
+    names = [F.col("doc_id").alias("_id_"), F.col("text_key").alias("_key_")]
+
+    def same(df: DataFrame):
+        return df["doc_id"].cast("long").eqNullSafe(F.col("_id_")) & (gray_simhash.text_key(df["text"]) == F.col("_key_"))
+
+    goes = marked.where("goes").select(*names).distinct()
+    kept = docs.join(goes, same(docs), "left_anti")
+    repeated = marked.where("not goes").groupBy(*names).agg(F.count(F.lit(1)).alias("_n_")).where("_n_ > 1").drop("_n_")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.select(F.col("doc_id").alias("_again")), kept["doc_id"] == F.col("_again"), "left_semi")
-    once = kept.join(repeated.select(F.col("doc_id").alias("_again")), kept["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    again = kept.join(repeated, same(kept), "left_semi").withColumn("_key_", gray_simhash.text_key(F.col("text")))
+    once = kept.join(repeated, same(kept), "left_anti")
+    return once.unionByName(again.dropDuplicates(["doc_id", "_key_"]).drop("_key_"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
