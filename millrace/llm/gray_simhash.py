@@ -219,9 +219,33 @@ def near_duplicates(df: DataFrame, limit: int = MAX_BITS, width: int = SHINGLE_W
     with a null id take part, but only name a component (null) that has no other id. Further columns are not read.
     """
     prints = stage(fingerprints(df, width, id_col, text_col), "fingerprints")
+    named = _roots(prints, limit).select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_key(text: Column) -> Column:
+    """A hash by which equal texts are known; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def grouped(df: DataFrame, limit: int = MAX_BITS, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, root) of every row: rows with the same ``root`` are one group of near-duplicates, whatever their ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            made = [fingerprint(raw, width) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.int64())], schema=schema)
+
+    keyed = texts_of(df, id_col, text_col).withColumn("text_key", text_key(F.col("text")))
+    prints = stage(keyed.mapInArrow(run, "doc_id long, text_key long, fp long"), "fingerprints")
+    return prints.join(_roots(prints, limit).select("fp", "root"), "fp").select("doc_id", "text_key", "root")
+
+
+def _roots(prints: DataFrame, limit: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint: its component's smallest fingerprint and smallest document."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(distinct, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.select("fp", "root").join(smallest, "root")

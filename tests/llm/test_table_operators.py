@@ -419,3 +419,12 @@ def test_pipeline_awkward_rows(spark, tmp_path):
         ids = sorted(r.doc_id for r in docs.collect() if r.doc_id is not None)
         assert len(ids) == len(set(ids))
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
+def test_rows_with_one_id_are_judged_each_for_itself(spark):
+    texts = {name: prose(seed) for name, seed in (("a", 21), ("b", 22), ("c", 23), ("d", 24))}
+    rows = [(5, texts["a"]), (5, texts["b"]), (3, texts["a"]), (3, texts["a"]), (None, texts["c"]), (None, texts["c"]), (None, texts["d"]), (9, texts["d"]), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as root")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, texts["b"]), (3, texts["a"]), (None, texts["c"]), (9, texts["d"]), (7, None)], key=repr)
