@@ -151,7 +151,7 @@ def rule_drift(t: Tables):
 @query(
     "rule_drift_stored",
     """WITH a AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts >= TIMESTAMP '2024-01-16'), b AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts < TIMESTAMP '2024-01-16'),
-    t AS (SELECT unnest(range(1, 10)) / 10.0 AS p), q AS (SELECT p, (SELECT quantile_disc(value, p) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS x FROM t),
+    l AS (SELECT quantile_disc(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS xs FROM events WHERE ts < TIMESTAMP '2024-01-16'), q AS (SELECT unnest(xs) AS x, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS p FROM l),
     k AS (SELECT max(abs((SELECT avg((value <= x)::INT) FROM events WHERE ts >= TIMESTAMP '2024-01-16') - p)) AS far FROM q)
     SELECT 'value' AS column_name, round(a.v, 6) AS mean, round(b.v, 6) AS base_mean, round(abs((a.v - b.v) / b.v), 6) AS mean_change, abs((a.v - b.v) / b.v) > 0.01 OR far > 0.2 AS drifted, true AS shape_is_close FROM a, b, k
     UNION ALL SELECT 'user_id', round(a.u, 6), round(b.u, 6), round(abs((a.u - b.u) / b.u), 6), abs((a.u - b.u) / b.u) > 0.01, true FROM a, b""",

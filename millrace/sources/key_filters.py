@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -21,6 +22,7 @@ PROBES = 4
 BLOCKS_PER_MB = 16
 # Pieces by which the changed keys are compared with the files' ranges.
 PIECES = 64
+FEW_FILES = 8  # up to so many files one range is enough
 # Kinds of keys whose order is that of the text or number in the list of files; others have no range, only filters.
 RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType)
 
@@ -64,16 +66,16 @@ def summary(spark: SparkSession, path: str, ranged: bool) -> list[Row]:
     return per_file.collect()  # a row for each file
 
 
-def pieces(touched: DataFrame, key: str) -> list[tuple] | None:
-    """At most ``PIECES`` ranges, in order, that hold all keys: those of a range partitioning. None if a key is null."""
+def pieces(touched: DataFrame, key: str, most: int = PIECES) -> tuple[list[tuple] | None, int]:
+    """(at most ``most`` ranges, in order, that hold all keys; the number of rows). The ranges are None if a key is null."""
     column = exact(key)
     text = column.cast("string") if isinstance(touched.schema[key].dataType, T.DateType) else column
-    ranged = touched.select(text.alias("k")).repartitionByRange(PIECES, "k")
-    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(
-        F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("k").isNull()).alias("nulls")
-    )
-    rows = found.collect()  # a row for each piece
-    return None if any(r["nulls"] for r in rows) else sorted((r["low"], r["high"]) for r in rows)
+    keys = touched.select(text.alias("k"))
+    parts = keys.repartitionByRange(most, "k").groupBy(F.spark_partition_id().alias("p")) if most > 1 else keys.groupBy()
+    found = parts.agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("k").isNull()).alias("nulls"), F.count("*").alias("rows"))
+    rows = [r for r in found.collect() if r["rows"]]  # a row for each piece
+    ranges = None if any(r["nulls"] for r in rows) else sorted((r["low"], r["high"]) for r in rows)
+    return ranges, sum(r["rows"] for r in rows)
 
 
 def overlapping(files: Iterable, ranges: list[tuple]) -> list:
@@ -92,22 +94,33 @@ def overlapping(files: Iterable, ranges: list[tuple]) -> list:
     return found
 
 
-def holding(path: str, files: Iterable, schema: T.StructType, keys: Sequence[str], touched: DataFrame) -> list:
-    """The files of a table below ``path`` that may hold one of the keys of ``touched``; never misses one."""
-    spark, named = touched.sparkSession, list(files)
-    wanted = touched.select(*[exact(k).cast(schema[k].dataType).alias(k) for k in keys]).distinct()
+def holding(path: str, files: Iterable, schema: T.StructType, keys: Sequence[str], touched: DataFrame, probe_from: int) -> tuple[list, int]:
+    """(the files of a table below ``path`` that may hold one of the keys of ``touched``, its rows); never misses a file.
+
+    Filters are not looked up for candidates of less than ``probe_from`` bytes together: reading these is quicker.
+    """
+    named = list(files)
+    wanted = touched.select(*[exact(k).cast(schema[k].dataType).alias(k) for k in keys])
     if isinstance(schema[keys[0]].dataType, RANGED):
-        ranges = pieces(wanted, keys[0])
+        ranges, rows = pieces(wanted, keys[0], PIECES if len(named) > FEW_FILES else 1)
         named = named if ranges is None else overlapping(named, ranges)
-    if not named:
-        return []
+    else:
+        rows = wanted.count()
+    if not named or sum(f.size for f in named) < probe_from:
+        return named, rows
     hits = None
     for blocks in sorted({f.blocks for f in named}):  # powers of two: a handful
         mine = [f for f in named if f.blocks == blocks]
-        filters = spark.read.parquet(*[f"{path}/filters/{w}" for w in sorted({f.write for f in mine})]).select("file", "block", "bits")
+        filters = touched.sparkSession.read.parquet(*[f"{path}/filters/{w}" for w in sorted({f.write for f in mine})]).select("file", "block", "bits")
         probes = wanted.select(_block(keys, blocks).alias("block"), F.array(*_positions(keys)).alias("at"))
-        bit = [F.getbit(F.conv(F.hex(F.substring("bits", F.floor(F.col("at")[i] / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long"), F.col("at")[i] % 8) == 1 for i in range(PROBES)]
-        met = probes.join(filters, "block").filter(bit[0] & bit[1] & bit[2] & bit[3]).select("file").distinct()
+        met = probes.join(filters, "block").filter(reduce(lambda a, b: a & b, [_bit(i) for i in range(PROBES)])).select("file").distinct()
         hits = met if hits is None else hits.unionAll(met)
     places = {"data/" + unquote(r["file"]).rsplit("/data/", 1)[1] for r in hits.collect()}  # a row for each file at most
-    return [f for f in named if f.path in places]
+    return [f for f in named if f.path in places], rows
+
+
+def _bit(i: int) -> Column:
+    """Whether the ``i``-th bit of a key is set in a block."""
+    at = F.col("at")[i]
+    byte = F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), at % 8) == 1

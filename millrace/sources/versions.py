@@ -88,12 +88,14 @@ def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
 class VersionedTable:
     """A table below ``path``. ``keys``: columns by which rows are found again; ``partition_by``: columns whose values never share a file.
 
+    ``probe_from``: bytes of candidate files from which their filters are looked up.
+
     The driver holds the list of live files, as Spark itself does for any table it reads; ``compact`` keeps it short.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), partition_by: Sequence[str] = (), file_rows: int = FILE_ROWS):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), partition_by: Sequence[str] = (), file_rows: int = FILE_ROWS, probe_from: int = 16 << 20):
         self.spark, self.path = spark, path.rstrip("/")
-        self.keys, self.partition_by, self.file_rows = list(keys), list(partition_by), file_rows
+        self.keys, self.partition_by, self.file_rows, self.probe_from = list(keys), list(partition_by), file_rows, probe_from
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._hadoop.Path(self.path).getFileSystem(self._conf)
@@ -214,7 +216,9 @@ class VersionedTable:
         marked = df.withColumns(parts) if parts else df
         if self.keys and rows is not None:
             order = [*parts, *self.keys]
-            marked = marked.repartitionByRange(max(1, -(-rows // self.file_rows)), *order).sortWithinPartitions(*order)
+            files = -(-rows // self.file_rows)
+            dealt = marked.repartitionByRange(files, *order) if files > 1 else marked.repartition(1)
+            marked = dealt.sortWithinPartitions(*order)
         elif parts:
             marked = marked.hint("rebalance", *parts)
         writer = marked.write.partitionBy(*parts) if parts else marked.write
@@ -270,7 +274,7 @@ class VersionedTable:
 
     def holding(self, version: Version, touched: DataFrame) -> list[DataFile]:
         """The files that may hold one of the keys of ``touched``: by the range of their first key, then by their filters."""
-        return key_filters.holding(self.path, version.files, version.schema, self.keys, touched)
+        return key_filters.holding(self.path, version.files, version.schema, self.keys, touched, self.probe_from)[0]
 
     def rewrite(
         self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], writer: str | None = None, batch: int | None = None, whole_parts: bool = False
@@ -284,7 +288,10 @@ class VersionedTable:
             if self.applied(writer, batch):
                 return self.version()
             base = self.version()
-            hit = self.holding(base, touched) if self.keys and base.files else []
+            if self.keys and base.files:
+                hit, new_rows = key_filters.holding(self.path, base.files, base.schema, self.keys, touched, self.probe_from)
+            else:
+                hit, new_rows = [], touched.count()
             if whole_parts and self.partition_by:
                 named = {tuple(r) for r in touched.select(*[F.col(c).cast("string") for c in self.partition_by]).distinct().collect()}
                 parts = {f.part for f in hit} | named
@@ -292,7 +299,7 @@ class VersionedTable:
             schema = base.schema if base.files else None
             old = self.frame(hit, schema) if schema else None
             new = change(old)
-            rows = sum(f.rows or 0 for f in hit) + touched.count()
+            rows = sum(f.rows or 0 for f in hit) + new_rows
             added = self.write_files(new, rows)
             try:
                 return self.commit(new.schema, added, [f.path for f in hit], writer, batch, only_after=base.number)
