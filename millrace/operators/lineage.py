@@ -57,7 +57,7 @@ def record_lineage(spark: SparkSession, path: str, edge: Mapping[str, object]) -
 
 
 DIRECTIONS = {"downstream": ("source_table", "target_table"), "upstream": ("target_table", "source_table")}
-# Bounded searches of at most so many hops go hop by hop in one plan.
+# Bounded searches of at most so many hops go hop by hop.
 WALK = 4
 
 
@@ -72,7 +72,7 @@ def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth:
 def closure(edges: DataFrame, table: str, directions: Sequence[str] = ("downstream", "upstream"), depth: int | None = None) -> DataFrame:
     """(direction, table_name, depth): tables reachable in each of the directions, which are searched together.
 
-    A search of at most ``WALK`` hops is one plan. A longer one first folds up stretches without branches: a table with one
+    A search of at most ``WALK`` hops goes hop by hop. A longer one first folds up stretches without branches: a table with one
     way in, from a table with one way out, takes over that table's place by path doubling, which halves the remaining
     stretch in every round. What is left, joined by edges with lengths, is searched branch by branch. So the number of
     rounds is that of the branches on the longest way plus the logarithm of the longest stretch, each with rows of at most
@@ -90,12 +90,12 @@ def closure(edges: DataFrame, table: str, directions: Sequence[str] = ("downstre
 
 
 def _walked(hops: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Tables within a few hops: each hop is a join with the tables of the one before."""
+    """Tables within a few hops: each hop is a join with the few tables of the one before, which are written once."""
     layers, here = [starts], starts
     for hop in range(1, depth + 1):
         near = here.select("direction", F.col("node").alias("near"))
         met = hops.join(near, ["direction", "near"], "left_semi").select("direction", F.col("far").alias("node")).distinct()
-        here = met.withColumn("depth", F.lit(hop))
+        here = stage(met, "hop").withColumn("depth", F.lit(hop))
         layers.append(here)
     return reduce(DataFrame.unionAll, layers).groupBy("direction", "node").agg(F.min("depth").alias("depth"))
 

@@ -153,8 +153,8 @@ def rule_drift(t: Tables):
     """WITH a AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts >= TIMESTAMP '2024-01-16'), b AS (SELECT avg(value) AS v, avg(user_id) AS u FROM events WHERE ts < TIMESTAMP '2024-01-16'),
     l AS (SELECT quantile_disc(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS xs FROM events WHERE ts < TIMESTAMP '2024-01-16'), q AS (SELECT unnest(xs) AS x, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS p FROM l),
     k AS (SELECT max(abs((SELECT avg((value <= x)::INT) FROM events WHERE ts >= TIMESTAMP '2024-01-16') - p)) AS far FROM q)
-    SELECT 'value' AS column_name, round(a.v, 6) AS mean, round(b.v, 6) AS base_mean, round(abs((a.v - b.v) / b.v), 6) AS mean_change, abs((a.v - b.v) / b.v) > 0.01 OR far > 0.2 AS drifted, true AS shape_is_close FROM a, b, k
-    UNION ALL SELECT 'user_id', round(a.u, 6), round(b.u, 6), round(abs((a.u - b.u) / b.u), 6), abs((a.u - b.u) / b.u) > 0.01, true FROM a, b""",
+    SELECT 'value' AS column_name, round(a.v, 4) AS mean, round(b.v, 4) AS base_mean, round(abs((a.v - b.v) / b.v), 4) AS mean_change, abs((a.v - b.v) / b.v) > 0.01 OR far > 0.2 AS drifted, true AS shape_is_close FROM a, b, k
+    UNION ALL SELECT 'user_id', round(a.u, 4), round(b.u, 4), round(abs((a.u - b.u) / b.u), 4), abs((a.u - b.u) / b.u) > 0.01, true FROM a, b""",
 )
 def rule_drift_stored(t: Tables):
     """Profiles stored for each day of events; both periods are compared without reading an event again."""
@@ -164,7 +164,7 @@ def rule_drift_stored(t: Tables):
     old = F.col("day") < F.lit("2024-01-16").cast("date")
     found = sketches.drift(stored.read().filter(~old), stored.read().filter(old), 0.01, 0.2)
     return found.select(
-        "column_name", *[F.round(c, 6).alias(c) for c in ("mean", "base_mean", "mean_change")], "drifted", (F.col("shape_change") < 0.2).alias("shape_is_close")
+        "column_name", *[F.round(c, 4).alias(c) for c in ("mean", "base_mean", "mean_change")], "drifted", (F.col("shape_change") < 0.2).alias("shape_is_close")
     )
 
 

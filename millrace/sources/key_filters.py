@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from millrace.functions.scalars import exact
 
@@ -57,9 +57,13 @@ def build(rows: DataFrame, keys: Sequence[str], largest: int, path: str) -> int:
     return blocks
 
 
-def summary(spark: SparkSession, path: str, ranged: bool) -> list[Row]:
-    """(file, rows, low, high) of the files of one write."""
-    stored = spark.read.parquet(path)
+def ranges(rows: DataFrame, key: str) -> DataFrame:
+    """(file, rows, low, high) of the files that ``rows`` is read from, without filters."""
+    return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.min(exact(key)).alias("low"), F.max(exact(key)).alias("high"))
+
+
+def summary(stored: DataFrame, ranged: bool) -> list[Row]:
+    """(file, rows, low, high) of the files of one write, the ends as they are kept in the list of files."""
     kind = stored.schema["low"].dataType
     bound = (lambda c: c.cast("string") if isinstance(kind, T.DateType) else c) if ranged else (lambda c: F.lit(None))
     per_file = stored.groupBy("file").agg(F.sum("rows").alias("rows"), bound(F.min("low")).alias("low"), bound(F.max("high")).alias("high"))
@@ -108,14 +112,15 @@ def holding(path: str, files: Iterable, schema: T.StructType, keys: Sequence[str
         rows = wanted.count()
     if not named or sum(f.size for f in named) < probe_from:
         return named, rows
-    hits = None
-    for blocks in sorted({f.blocks for f in named}):  # powers of two: a handful
+    hits, places = None, {f.path for f in named if not f.blocks}
+    for blocks in sorted({f.blocks for f in named} - {0}):  # powers of two: a handful
         mine = [f for f in named if f.blocks == blocks]
         filters = touched.sparkSession.read.parquet(*[f"{path}/filters/{w}" for w in sorted({f.write for f in mine})]).select("file", "block", "bits")
         probes = wanted.select(_block(keys, blocks).alias("block"), F.array(*_positions(keys)).alias("at"))
         met = probes.join(filters, "block").filter(reduce(lambda a, b: a & b, [_bit(i) for i in range(PROBES)])).select("file").distinct()
         hits = met if hits is None else hits.unionAll(met)
-    places = {"data/" + unquote(r["file"]).rsplit("/data/", 1)[1] for r in hits.collect()}  # a row for each file at most
+    if hits is not None:
+        places |= {"data/" + unquote(r["file"]).rsplit("/data/", 1)[1] for r in hits.collect()}  # a row for each file at most
     return [f for f in named if f.path in places], rows
 
 

@@ -88,14 +88,16 @@ def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
 class VersionedTable:
     """A table below ``path``. ``keys``: columns by which rows are found again; ``partition_by``: columns whose values never share a file.
 
-    ``probe_from``: bytes of candidate files from which their filters are looked up.
+    ``probe_from``: bytes of candidate files from which their filters are looked up. ``filter_from``: bytes of a write's
+    largest file from which filters are made; smaller files are read sooner than looked up, and have ranges only.
 
     The driver holds the list of live files, as Spark itself does for any table it reads; ``compact`` keeps it short.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), partition_by: Sequence[str] = (), file_rows: int = FILE_ROWS, probe_from: int = 16 << 20):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), partition_by: Sequence[str] = (), file_rows: int = FILE_ROWS, probe_from: int = 16 << 20, filter_from: int = 1 << 20):
         self.spark, self.path = spark, path.rstrip("/")
         self.keys, self.partition_by, self.file_rows, self.probe_from = list(keys), list(partition_by), file_rows, probe_from
+        self.filter_from = filter_from
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._hadoop.Path(self.path).getFileSystem(self._conf)
@@ -245,10 +247,14 @@ class VersionedTable:
         """The files with rows, range of the first key and a filter over all keys; one row for each file comes to the driver."""
         narrow = self.frame(files, T.StructType([schema[k] for k in self.keys]))
         ranged = isinstance(schema[self.keys[0]].dataType, key_filters.RANGED)
-        target = f"{self.path}/filters/{write}"
-        blocks = key_filters.build(narrow, self.keys, max(f.size for f in files), target)
-        measured = {}
-        for row in key_filters.summary(self.spark, target, ranged):
+        largest, blocks, measured = max(f.size for f in files), 0, {}
+        if largest < self.filter_from:
+            per_file = key_filters.ranges(narrow, self.keys[0])
+        else:
+            target = f"{self.path}/filters/{write}"
+            blocks = key_filters.build(narrow, self.keys, largest, target)
+            per_file = self.spark.read.parquet(target)
+        for row in key_filters.summary(per_file, ranged):
             name = unquote(row["file"]).rsplit("/data/", 1)[1]
             measured[f"data/{name}"] = (row["rows"], row["low"], row["high"], blocks)
         return [replace(f, **dict(zip(("rows", "low", "high", "blocks"), measured.get(f.path, (0, None, None, blocks))))) for f in files]

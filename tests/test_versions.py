@@ -61,7 +61,7 @@ def changed(spark, keys):
 
 def test_few_files_are_rewritten_for_a_narrow_range(spark, tmp_path):
     target = spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
-    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], file_rows=250, probe_from=0)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], file_rows=250, probe_from=0, filter_from=0)
     table.add(target.repartition(4), rows=20_000)
     before = table.version()
     assert len(before.files) == 80 and all(f.rows and f.low is not None for f in before.files)
@@ -75,7 +75,7 @@ def test_few_files_are_rewritten_for_a_narrow_range(spark, tmp_path):
 
 
 def test_filters_find_keys_where_ranges_do_not(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), ["k", "part"], probe_from=0)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k", "part"], probe_from=0, filter_from=0)
     for i in range(12):  # every file spans nearly all keys
         rows = spark.range(200).select((F.col("id") * 12 + i).alias("k"), F.lit("é").alias("part"), F.lit(i).alias("v"))
         table.add(rows.coalesce(1))
@@ -91,7 +91,7 @@ def test_files_are_found_by_keys_of_any_kind(spark, tmp_path, kind):
     number = F.col("id").cast("int")
     key = {"string": F.concat(F.lit("k:%/+ "), number), "date": F.date_add(F.lit("1999-12-01").cast("date"), number), "timestamp": F.timestamp_seconds(number * 1000)}.get(kind, number)
     df = spark.range(60).select(key.cast(kind).alias("k"), "id").unionAll(spark.createDataFrame([(None, -1)], f"k {kind}, id long"))
-    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], file_rows=10, probe_from=0)
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], file_rows=10, probe_from=0, filter_from=0)
     table.add(df, rows=61)
     base = table.version()
     for wanted in ("id = 7", "id in (0, 59)", "id = -1"):
