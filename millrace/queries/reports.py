@@ -277,14 +277,14 @@ def completed(t: Tables):
     SELECT l.*, (SELECT count(*) FROM l) // 10 AS refreshes, (SELECT count(*) FROM a WHERE extraction_status = 'success') AS gold_assets FROM l""",
 )
 def event_gold_stream(t: Tables):
-    """Two files of events, each a micro-batch; the lineage events, the refreshes they made due, and the Gold rows."""
+    """Two parts of the events, each a micro-batch; the lineage events, the refreshes they made due, and the Gold rows."""
     source, checkpoint = fresh_path(t.spark, "completed"), fresh_path(t.spark, "chk")
-    for part in range(2):
-        completed(t).filter(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
     known = assets(t).withColumn("model", F.lit("base"))
     cfg = gold.GoldStream(lambda: known, *[fresh_path(t.spark, n) for n in ("gold_lineage", "gold", "refreshes")])
-    stream = t.spark.readStream.schema(completed(t).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    gold.start_gold_stream(stream, cfg, checkpoint, available_now=True, now=now()).awaitTermination()
+    for part in range(2):  # each run finds the files of one more part and takes them as one batch
+        completed(t).filter(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(completed(t).schema).parquet(source)
+        gold.start_gold_stream(stream, cfg, checkpoint, available_now=True, now=now()).awaitTermination()
     rows = versions.read(t.spark, cfg.lineage).select("asset_id", "event_type", "model_used", "quality_score")
     refreshes = versions.VersionedTable(t.spark, cfg.gold).version().counts.get("refreshes", 0)
     gold_rows = versions.read(t.spark, cfg.gold).agg(F.count("*")).scalar()

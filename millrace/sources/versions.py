@@ -325,8 +325,9 @@ class VersionedTable:
     def compact(self, file_bytes: int = FILE_BYTES) -> Version:
         """Gather small files of a partition into files of about ``file_bytes``, in one job.
 
-        Files below half that size are packed first-fit decreasing; each bin becomes one file. Safe beside running writers: they
-        only add files, or replace some; if one of the gathered files was replaced meanwhile, nothing is published.
+        Files below half that size are packed first-fit decreasing; each bin becomes one file. Rows are sorted only where the
+        table has keys; others pass from the shuffle into their file. Safe beside running writers: they only add files, or replace
+        some; if one of the gathered files was replaced meanwhile, nothing is published.
         """
         base = self.version()
         bins = pack_files([f for f in base.files if f.size < file_bytes // 2], file_bytes)
@@ -338,7 +339,8 @@ class VersionedTable:
         place = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"/(data/[0-9a-f]{32}/.*)$", 1)
         of_file = self.spark.createDataFrame(numbered, "_file string, _bin int")  # a row for each gathered file
         gathered = rows.withColumn("_file", place).join(of_file, "_file").drop("_file")
-        spread = gathered.repartitionByRange(len(bins), "_bin").sortWithinPartitions("_bin", *self.keys).drop("_bin")
+        spread = gathered.repartitionByRange(len(bins), "_bin")
+        spread = (spread.sortWithinPartitions("_bin", *self.keys) if self.keys else spread).drop("_bin")
         added = self.write_files(spread) if not self.partition_by else self._gathered_parts(spread)
         try:
             return self.commit(base.schema, added, [p for p, _ in numbered])

@@ -43,12 +43,10 @@ def gold_sink(cfg: GoldStream, now: Column | None = None) -> Callable[[DataFrame
         assets = cfg.assets()
         lineage = VersionedTable(spark, cfg.lineage)
         if not lineage.applied(writer, batch_id):
-            rows = lineage_from_events(batch, assets, moment).persist()
-            try:
-                count = rows.count()
-                lineage.add(rows, writer, batch_id, counted={"events": count})
-            finally:
-                rows.unpersist()
+            rows = lineage_from_events(batch, assets, moment)
+            files = lineage.write_files(rows)
+            count = lineage.frame(files, rows.schema).count()  # from the files' footers
+            lineage.commit(rows.schema, files, writer=writer, batch=batch_id, counted={"events": count})
         tidy(lineage)
         refresh(spark, cfg, assets, lineage, moment)
 
