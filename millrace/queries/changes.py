@@ -160,7 +160,7 @@ def cdc_merge_files(t: Tables):
     """All orders in a stored table, then the changes of a narrow range of keys."""
     target = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
     rows = target.count()
-    table = versions.VersionedTable(t.spark, fresh_path(t.spark, "merged"), ["o_orderkey"], file_rows=max(1, rows // 16))
+    table = versions.VersionedTable(t.spark, fresh_path(t.spark, "merged"), ["o_orderkey"], file_rows=min(versions.FILE_ROWS, max(1, rows // 16)))
     table.add(target, rows=rows)
     cdc.merge_into(table, order_changes(t).filter(NARROW), ["lsn"])
     return table.read()

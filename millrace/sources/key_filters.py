@@ -43,18 +43,34 @@ def build(rows: DataFrame, keys: Sequence[str], largest: int, path: str) -> int:
     blocks = 1
     while blocks < BLOCKS_PER_MB * largest >> 20:
         blocks *= 2
-    first = exact(keys[0])
+    filters(rows, keys, blocks).write.parquet(path)
+    return blocks
+
+
+def filters(rows: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
+    """The rows that ``build`` writes.
+
+    Bits are first gathered into words of 64, which are plain numbers and hashed; an aggregate of bitmaps would sort four rows
+    for each key. A word's bytes stand as in the bitmap, so its hex digits are a piece of the block's.
+    """
     marked = rows.select(
         F.col("_metadata.file_path").alias("file"),
         _block(keys, blocks).alias("block"),
-        first.alias("first"),
+        exact(keys[0]).alias("first"),
         F.posexplode(F.array(*_positions(keys))).alias("probe", "position"),
     )
-    found = marked.groupBy("file", "block").agg(
-        F.bitmap_construct_agg("position").alias("bits"), F.count_if(F.col("probe") == 0).alias("rows"), F.min("first").alias("low"), F.max("first").alias("high")
+    shift = 56 - F.shiftright(F.col("position") % 64, 3) * 8 + F.col("position") % 8
+    of_word = marked.groupBy("file", "block", F.shiftright("position", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), shift)).alias("set"),
+        F.count_if(F.col("probe") == 0).alias("rows"), F.min("first").alias("low"), F.max("first").alias("high"),
+    )
+    of_block = of_word.groupBy("file", "block").agg(
+        F.array_sort(F.collect_list(F.struct("word", "set"))).alias("words"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    found.write.parquet(path)
-    return blocks
+    before = lambda i: F.coalesce(F.get("words", i - 1).getField("word"), F.lit(-1))
+    pieces = F.transform("words", lambda w, i: F.concat(F.repeat(F.lit("0"), 16 * (w.getField("word") - before(i) - 1)), F.lpad(F.hex(w.getField("set")), 16, "0")))
+    bits = F.unhex(F.rpad(F.array_join(pieces, ""), BITS // 4, "0"))
+    return of_block.select("file", "block", bits.alias("bits"), "rows", "low", "high")
 
 
 def ranges(rows: DataFrame, key: str) -> DataFrame:

@@ -260,3 +260,29 @@ def test_gold_sink_holds_no_batch_in_memory(spark, tmp_path, monkeypatch):
         gold.gold_sink(cfg, F.lit("2024-01-01").cast("timestamp"))(batch, 0)
     assert versions.read(spark, cfg.lineage).count() == 20 == VersionedTable(spark, cfg.lineage).version().counts["events"]
     assert VersionedTable(spark, cfg.gold).version().counts["refreshes"] == 2
+
+
+def test_filters_are_the_bitmaps_of_the_keys_without_sorting_them(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    spark.range(0, 30_000, 1, 3).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), F.lit("x").alias("s")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    made = key_filters.filters(rows, ["k", "s"], 4)
+    positions = rows.select(F.col("_metadata.file_path").alias("file"), key_filters._block(["k", "s"], 4).alias("block"), "k", F.posexplode(F.array(*key_filters._positions(["k", "s"]))))
+    want = positions.groupBy("file", "block").agg(F.bitmap_construct_agg("col").alias("bits"), F.count_if(F.col("pos") == 0).alias("rows"), F.min("k").alias("low"), F.max("k").alias("high"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_merged_orders_are_kept_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from millrace.queries import QUERIES
+
+    orders = "id AS o_orderkey, id * 2 AS o_custkey, 'O' AS o_orderstatus, 1.5D AS o_totalprice"
+    spark.range(2000).selectExpr(*orders.split(", ")).write.parquet(str(tmp_path / "orders.parquet"))
+    events = "id AS event_id, 100 + id % 70 AS user_id, 'signup' AS event_type, 60D AS value"
+    spark.range(100).selectExpr(*events.split(", ")).write.parquet(str(tmp_path / "events.parquet"))
+    tables, real = [], versions.VersionedTable
+    monkeypatch.setattr(versions, "FILE_ROWS", 40)
+    monkeypatch.setattr(versions, "VersionedTable", lambda *a, **k: (tables.append(real(*a, **k)), tables[-1])[1])
+    assert QUERIES["cdc_merge_files"](spark, str(tmp_path)).count() == 2000
+    assert tables[0].file_rows == 40 and len(tables[0].version(1).files) >= 40
