@@ -72,14 +72,16 @@ def text_metrics(df: DataFrame, col: str, preview_chars: int | None = None) -> D
 def _top_words(df: DataFrame, id_col: str, text_col: str, keep: Callable[[Column], Column], k: int) -> DataFrame:
     """(id, word, count, rank, highest) of the most frequent longer words for which ``keep`` holds; ties by first use.
 
-    Every row is counted for itself, whatever ids it shares. Its words are added up where the row lies, so the shuffle carries
-    each different word of a row once, and of those only ``k`` go on to be ranked.
+    Every row is counted for itself, whatever ids it shares. The texts are dealt out whole, as they are smaller than the
+    counts of their words, and evenly, so that the counts of a task fit in memory. A row's words are then added up and cut to
+    ``k`` where the row lies; the second shuffle, which gathers the ranked words into fewer tasks, carries no more than these.
     """
-    kept = F.filter(words(exact(text_col), LONG_WORD), keep)
-    rows = df.select(exact(id_col), F.monotonically_increasing_id().alias("_row"), kept.alias("_words"))
-    used = rows.select(exact(id_col), "_row", F.posexplode("_words").alias("_first", "word"))
+    rows = df.select(exact(id_col), F.monotonically_increasing_id().alias("_row"), exact(text_col).alias("_text"))
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_row")
+    kept = F.filter(words(F.col("_text"), LONG_WORD), keep)
+    used = dealt.select(exact(id_col), "_row", F.posexplode(kept).alias("_first", "word"))
     counted = used.groupBy("_row", exact(id_col), "word").agg(F.count("*").alias("count"), F.min("_first").alias("_first"))
-    of_row = Window.partitionBy("_row")
+    of_row = Window.partitionBy(F.struct("_row", exact(id_col)))
     ranked = counted.withColumn("rank", F.row_number().over(of_row.orderBy(F.col("count").desc(), "_first"))).filter(F.col("rank") <= k)
     return ranked.select(exact(id_col), "word", "count", "rank", F.max("count").over(of_row).alias("_highest"))
 

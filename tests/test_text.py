@@ -44,3 +44,12 @@ def test_impact_goes_to_the_end_of_long_chains(spark, start, up, down):
 def test_ad_hoc_queries_are_not_cut(spark):
     assert columns.run_query(spark, "SELECT * FROM numbers", {"numbers": spark.range(5000)}).count() == 5000
     assert "ORDER BY id LIMIT 7" in columns.query_template("basic_preview", "numbers", order="id", rows=7)
+
+
+def test_keywords_leave_only_the_ranked_words_of_a_row_to_the_second_shuffle(spark):
+    df = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 97}" for j in range(400))) for i in range(20)], "id long, t string")
+    found = text.keywords(df, "id", "t", 3)
+    assert found.count() == sum(min(3, len({(i * j) % 97 for j in range(400)})) for i in range(20))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "word#" not in shuffles[-1] and "_row" in shuffles[-1]  # the first one carries whole texts, by row
