@@ -57,7 +57,7 @@ def record_lineage(spark: SparkSession, path: str, edge: Mapping[str, object]) -
 
 
 DIRECTIONS = {"downstream": ("source_table", "target_table"), "upstream": ("target_table", "source_table")}
-# Bounded searches of at most so many hops go hop by hop.
+# So many hops are walked one by one before what is left is folded up.
 WALK = 4
 
 
@@ -72,11 +72,11 @@ def lineage(edges: DataFrame, table: str, direction: str = "downstream", depth:
 def closure(edges: DataFrame, table: str, directions: Sequence[str] = ("downstream", "upstream"), depth: int | None = None) -> DataFrame:
     """(direction, table_name, depth): tables reachable in each of the directions, which are searched together.
 
-    A search of at most ``WALK`` hops goes hop by hop. A longer one first folds up stretches without branches: a table with one
-    way in, from a table with one way out, takes over that table's place by path doubling, which halves the remaining
-    stretch in every round. What is left, joined by edges with lengths, is searched branch by branch. So the number of
-    rounds is that of the branches on the longest way plus the logarithm of the longest stretch, each with rows of at most
-    the number of edges; pairs of tables far apart are never made.
+    The first ``WALK`` hops go hop by hop, each with one look at the edges; most searches end there, bounded or not. A longer
+    one folds up stretches without branches: a table with one way in, from a table with one way out, takes over that table's
+    place by path doubling, which halves the remaining stretch in every round. What is left, joined by edges with lengths, is
+    searched branch by branch. So the number of rounds is that of the branches on the longest way plus the logarithm of the
+    longest stretch, each with rows of at most the number of edges; pairs of tables far apart are never made.
     """
     if depth is not None and depth < 1:
         raise ValueError("depth must be at least 1, or None for no bound")
@@ -84,20 +84,30 @@ def closure(edges: DataFrame, table: str, directions: Sequence[str] = ("downstre
         edges.select(F.lit(d).alias("direction"), F.col(DIRECTIONS[d][0]).alias("near"), F.col(DIRECTIONS[d][1]).alias("far")) for d in directions
     ]
     hops = reduce(DataFrame.unionAll, sides).filter((F.col("near") != F.col("far")) & (F.col("far") != table))
-    starts = edges.sparkSession.createDataFrame([(d, table, 0) for d in directions], "direction string, node string, depth int")
-    found = _walked(hops, starts, depth) if depth is not None and depth <= WALK else _folded_search(hops, starts, depth)
+    begin = F.explode(F.array(*[F.lit(d) for d in directions])).alias("direction")
+    starts = edges.sparkSession.range(1).select(begin, F.lit(table).alias("node"), F.lit(0).alias("depth"))  # known to be small
+    found = _walked(hops, starts, depth)
+    found = _folded_search(hops, starts, depth) if found is None else found
     return found.filter("depth > 0").select("direction", F.col("node").alias("table_name"), "depth")
 
 
-def _walked(hops: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Tables within a few hops: each hop is a join with the few tables of the one before, which are written once."""
-    layers, here = [starts], starts
-    for hop in range(1, depth + 1):
+def _walked(hops: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame | None:
+    """Tables within the bound, or all there are; None if more than ``WALK`` hops are needed to tell.
+
+    Each hop is a join with the few tables found by the one before, which are written once.
+    """
+    reached, here = starts, starts
+    for hop in range(1, WALK + 1):
         near = here.select("direction", F.col("node").alias("near"))
         met = hops.join(near, ["direction", "near"], "left_semi").select("direction", F.col("far").alias("node")).distinct()
-        here = stage(met, "hop").withColumn("depth", F.lit(hop))
-        layers.append(here)
-    return reduce(DataFrame.unionAll, layers).groupBy("direction", "node").agg(F.min("depth").alias("depth"))
+        new = met.join(reached.select("direction", "node"), ["direction", "node"], "left_anti")
+        here = stage(new, "hop").withColumn("depth", F.lit(hop))
+        if here.isEmpty():
+            return reached
+        reached = reached.unionAll(here)
+        if hop == depth:
+            return reached
+    return None
 
 
 def _folded_search(hops: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:

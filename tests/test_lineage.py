@@ -59,3 +59,13 @@ def test_impact(spark):
     assert (row["total_upstream"], row["total_downstream"], row["risk_level"]) == (1, 6, "high")
     assert L.lineage(edges_of(spark, pairs), "c1", "upstream").orderBy("depth").collect() == [("b", 1), ("a", 2)]
     assert L.closure(edges_of(spark, pairs), "b").filter(F.col("depth") < 1).isEmpty()
+
+
+@pytest.mark.parametrize("depth", [None, 3, 9])
+def test_short_lineage_is_walked_without_folding_the_whole_graph(spark, monkeypatch, depth):
+    pairs = [("a", "b"), ("b", "c"), ("b", "d"), ("c", "a"), ("d", "c")] + [(f"x{i}", f"x{i + 1}") for i in range(50)]
+    rounds, real = [], L.stage
+    monkeypatch.setattr(L, "stage", lambda df, label: (rounds.append(label), real(df, label))[1])
+    got = found(L.closure(edges_of(spark, pairs), "b", depth=depth))
+    assert got == {d: search(pairs, "b", d, depth) for d in ("downstream", "upstream")}
+    assert set(rounds) == {"hop"} and len(rounds) <= L.WALK
