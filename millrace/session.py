@@ -57,6 +57,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 _staged: list[str] = []
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, for what is staged in several writes; ``release`` removes it."""
+    _staged.append(fresh_path(spark, label))
+    return _staged[-1]
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -64,8 +70,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     columns. A lost executor only costs the tasks it was running: the files outlive it. They stay until ``release``.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    _staged.append(path)
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

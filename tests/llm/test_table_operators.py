@@ -111,6 +111,58 @@ def test_range_join_equals_all_pairs(spark, block):
     assert found(got) == links_of(rows, 0.9)
 
 
+def test_range_join_in_rounds(spark):
+    """Small chunks: the same pairs over many rounds, with rings cut in two, a large core, floats beside doubles and three lengths."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 8))
+    rows = [(i, (centres[rng.integers(10)] + rng.normal(0, rng.choice([0.05, 0.3]), 8)).tolist()) for i in range(200)]
+    hot = rng.normal(size=8)
+    rows += [(1000 + i, (hot + rng.normal(0, 0.02, 8)).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(2000 + i, rng.normal(size=4).tolist()) for i in range(60)] + [(3000, [1.0] * 3), (3001, [1.0, 1.0, 1.1])]
+    source = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block, chunk_bytes in ((20, 6000), (3, 1500)):
+        assert found(range_join.near_duplicates(source, block=block, chunk_bytes=chunk_bytes)) == links_of(rows, 0.9)
+
+
+def test_range_join_chunks():
+    sizes = [(3, 10), (5, 1000), (6, 0), (9, 70)]
+    chunks = range_join._chunks(sizes, 100)
+    assert chunks[0][0] == 3 << range_join.MIX_BITS and chunks[-1][1] == 10 << range_join.MIX_BITS
+    assert all(lo < hi for lo, hi in chunks) and [hi for _, hi in chunks[:-1]] == [lo for lo, _ in chunks[1:]]
+    assert 11 <= len(chunks) <= 12 and len(range_join._chunks([(0, 5)], 100)) == 1
+
+
+def test_range_join_bound_is_no_less_than_the_cosine():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 64))
+    x[200:] = x[:200] + rng.normal(0, 0.05, (200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    base = range_join._base(x, 0.9)
+    low = range_join._lowered(x, base)
+    assert len(base) < 64 and (low @ low.T >= x @ x.T - range_join._blur(64)).all()
+
+
+def peak_of_workers():
+    """Largest MB that any of the Python workers alive has ever held."""
+    mb = [0.0]
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if "pyspark" in (p / "cmdline").read_text():
+                mb += [int(x.split()[1]) / 1024 for x in (p / "status").read_text().splitlines() if x.startswith("VmHWM") and "java" not in (p / "comm").read_text()]
+        except OSError:
+            pass
+    return max(mb)
+
+
+def test_range_join_memory_when_every_cell_is_visited(spark):
+    """Vectors without clusters are in reach of nearly all cells; no copies of them are made for that."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).normal(size=(4000, 64)))]
+    before = peak_of_workers()
+    got = range_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2), block=4)
+    assert {tuple(r) for r in got.collect()} == {(i, 0, i, True) for i in range(4000)}
+    assert peak_of_workers() <= max(before, 500)
+
+
 def test_range_join_awkward_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, [1e-320, 0.0]), (10, [1e300, 1e300]), (11, [1.0, 0.0, 0.0])]
     rows[11] = (10, [0.0, 1e300])
